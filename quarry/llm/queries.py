@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_rules
-from quarry.llm.common import crc_mod, documents, materialize
+import public_tokenizers
+
+from quarry.llm import quality_rules, scaled_sketch, token_file, unigram
+from quarry.llm.common import documents, materialize
+
+#: The public vocabularies of the queries; operators take a path.
+WORD_BPE, BYTE_BPE, PIECE_BPE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
+#: The id that ends a document in the token file.
+END_ID = 2
+
+
+def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids through the rANS token file: written, read back, digested."""
+    path = token_file.new_path(spark)
+    token_file.write(documents(spark, sf_dir), path, WORD_BPE, "words", END_ID)
+    return token_file.read(spark, path, digest=True)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +72,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM m JOIN ok USING (doc_id)
 """
 
+def op9_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return scaled_sketch.with_neighbours(documents(spark, sf_dir))
+
+
+def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's piece ids, and whether they decode to its text."""
+    return unigram.round_trip(documents(spark, sf_dir), PIECE_BPE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_file": op1_token_file,
     "op8_quality_rules": op8_quality_rules,
+    "op9_scaled_sketch": op9_scaled_sketch,
+    "op10_unigram": op10_unigram,
 }
 
 #: DuckDB's SQL of the queries that SQL can express.
