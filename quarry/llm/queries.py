@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import quality_rules, scaled_sketch, token_file, unigram
-from quarry.llm.common import documents, materialize
+from quarry.llm import knn_quality, langid, quality_rules, scaled_sketch, token_file, unigram
+from quarry.llm.common import crc_mod, documents, materialize
 
 #: The public vocabularies of the queries; operators take a path.
 WORD_BPE, BYTE_BPE, PIECE_BPE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -25,6 +25,22 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read(spark, path, digest=True)
 
 
+def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its labelled neighbours, learned outside the held-out fifth."""
+    docs, labels = documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = knn_quality.fit(docs, labels, ~held_out)
+    return knn_quality.score(docs, model, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive quality rules on every document."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
@@ -84,6 +100,8 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
+    "op2_knn_quality": op2_knn_quality,
+    "op5_language_id": op5_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_unigram": op10_unigram,
