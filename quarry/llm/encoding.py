@@ -2,6 +2,8 @@
 
 A text is cut only where the tokenizer itself cannot join the two sides, so the ids are those of encoding it at once:
 
+New pieces are encoded many at a time, joined by what keeps them apart, and told apart by their tokens' widths in bytes.
+
 * ``words``: the tokenizer drops white space and never looks across it: pieces are runs without ASCII white space;
 * ``spaced``: white space belongs to what follows it: a piece is a run of ASCII white space and the run up to the next.
   Texts with other white space are encoded at once, since it could join such a run.
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 
@@ -18,6 +21,7 @@ from quarry.llm.common import env_single_thread
 
 _SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
+_BLANK = " \t\n\r\x0b\x0c"
 #: Pieces in each of the cache's two generations.
 CACHE = 300_000
 
@@ -32,14 +36,45 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.style = style
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes of text that a token stands for: byte-level vocabularies spell each byte as one character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token.removesuffix("</w>")) if style == "words" else len(token)
         self.young: dict = {}
         self.old: dict = {}
 
     def _learn(self, pieces: list) -> None:
-        texts = [p.decode() for p in pieces] if self.style == "words" else pieces
-        for i in range(0, len(texts), 4096):
-            for p, e in zip(pieces[i : i + 4096], self.tokenizer.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False), strict=True):
-                self.young[p] = np.array(e.ids, self.dtype).tobytes()
+        if self.style == "words":
+            texts = [p.decode() for p in pieces]
+            sizes = [len(t) if t.isascii() else len(normalize("NFC", t).lower().encode()) for t in texts]
+            together, glue = list(range(len(pieces))), " "
+        else:
+            texts, glue = pieces, ""
+            sizes = [len(t.encode()) for t in texts]
+            # Pieces that begin with white space and end without it stay apart when they are joined.
+            together = [i for i, t in enumerate(texts) if t[0] in _BLANK and t[-1] not in _BLANK]
+            joined = set(together)
+            self._alone(pieces, texts, [i for i in range(len(texts)) if i not in joined])
+        for k in range(0, len(together), 8192):
+            part = together[k : k + 8192]
+            ids = np.array(self.tokenizer.encode_batch_fast([glue.join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.dtype)
+            reached = np.concatenate(([0], np.cumsum(self.width[ids])))
+            ends = np.cumsum([sizes[i] for i in part])
+            # A piece's tokens end where its bytes end; an id of no width could stand on either side.
+            at = np.searchsorted(reached, ends)
+            if at[-1] != len(ids) or (reached[at] != ends).any() or (self.width[ids] == 0).any():
+                self._alone(pieces, texts, part)
+                continue
+            raw, step = ids.tobytes(), self.dtype.itemsize
+            cuts = [0, *(at * step).tolist()]
+            self.young.update(zip([pieces[i] for i in part], [raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def _alone(self, pieces: list, texts: list[str], which: list[int]) -> None:
+        for k in range(0, len(which), 4096):
+            part = which[k : k + 4096]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False), strict=True):
+                self.young[pieces[i]] = np.array(e.ids, self.dtype).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > CACHE:
@@ -51,7 +86,7 @@ class CachedEncoder:
             if (v := self.old.get(p)) is not None:
                 self.young[p] = v
                 new.discard(p)
-        self._learn(sorted(new))
+        self._learn(list(new))
         get = self.young.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
 

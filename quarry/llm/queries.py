@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import knn_quality, langid, quality_rules, scaled_sketch, token_file, unigram
+from quarry.llm import knn_quality, langid, packing, quality_rules, scaled_sketch, token_file, unigram
 from quarry.llm.common import crc_mod, documents, materialize
 
 #: The public vocabularies of the queries; operators take a path.
@@ -41,6 +41,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 1024 ids, digested."""
+    pieces = packing.pack_documents(documents(spark, sf_dir), BYTE_BPE, "spaced", 0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive quality rules on every document."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_knn_quality": op2_knn_quality,
     "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_unigram": op10_unigram,

@@ -27,9 +27,9 @@ from quarry.llm.common import shared_dir, texts_of, tune
 from quarry.llm.encoding import encoder
 from quarry.llm.ranges import range_bounds, range_index, range_parts
 
-LANES = 256
-BLOCK = 1 << 17
-STRIDE = 256
+LANES = 512
+BLOCK = 1 << 18
+STRIDE = 128
 LOW = np.uint64(1 << 31)
 #: Bytes of frequency tables up to which a reader broadcasts them; beyond, blocks and tables meet in a shuffle.
 TABLES = 64 << 20
