@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import circulant_minhash, knn_quality, langid, packing, quality_rules, scaled_sketch, token_file, unigram
+from quarry.llm import circulant_minhash, context_mixing, knn_quality, langid, packing, quality_rules, scaled_sketch, token_file, unigram
 from quarry.llm.common import crc_mod, documents, materialize
 
 #: The public vocabularies of the queries; operators take a path.
@@ -33,6 +33,11 @@ def op2_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_quality.score(docs, model, keep_text=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, learned outside the held-out tenth."""
+    return context_mixing.score_documents(documents(spark, sf_dir), crc_mod("doc_id", 10) == 0)
+
+
 def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: three-word shingles, similarity 0.85 and more."""
     return circulant_minhash.near_duplicates(documents(spark, sf_dir), 3, 85)
@@ -112,6 +117,7 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_knn_quality": op2_knn_quality,
+    "op3_context_mixing": op3_context_mixing,
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
