@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import circulant_minhash, context_mixing, knn_quality, langid, packing, quality_rules, scaled_sketch, token_file, unigram
+from quarry.llm import circulant_minhash, context_mixing, html_layout, knn_quality, langid, packing, quality_rules, scaled_sketch, token_file, unigram
 from quarry.llm.common import crc_mod, documents, materialize
 
 #: The public vocabularies of the queries; operators take a path.
@@ -57,6 +57,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, as it is laid out."""
+    return html_layout.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive quality rules on every document."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_circulant_minhash": op4_circulant_minhash,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_html_layout": op7_html_layout,
     "op8_quality_rules": op8_quality_rules,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_unigram": op10_unigram,
