@@ -4,7 +4,7 @@ A text is cut only where the tokenizer itself cannot join the two sides, so the
 
 New pieces are encoded many at a time, joined by what keeps them apart, and told apart by their tokens' widths in bytes.
 
-* ``words``: the tokenizer drops white space and never looks across it: pieces are runs without ASCII white space;
+* ``words``: the tokenizer lowers letters, drops white space and never looks across it: pieces are runs without ASCII white space;
 * ``spaced``: white space belongs to what follows it: a piece is a run of ASCII white space and the run up to the next.
   Texts with other white space are encoded at once, since it could join such a run.
 """
@@ -19,11 +19,16 @@ import numpy as np
 
 from quarry.llm.common import env_single_thread
 
-_SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Both also cut behind Latin letters before ASCII marks and digits, where the tokenizers' runs of letters end: fewer pieces differ.
+_LETTERS = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af]++(?=[!-@\[-`{-~])"
+_WORDS = re.compile(_LETTERS + r"|[^ \t-\r]++")
+_SPACED = re.compile(r"[ \t-\r]*+" + _LETTERS + r"|[ \t-\r]*+[^ \t-\r]++|[ \t-\r]++")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
 _BLANK = " \t\n\r\x0b\x0c"
 #: Pieces in each of the cache's two generations.
-CACHE = 300_000
+CACHE = 500_000
+#: Texts that are looked up together: few enough for their pieces to stay in the processor's cache.
+GROUP = 256
 
 
 class CachedEncoder:
@@ -41,12 +46,12 @@ class CachedEncoder:
         self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.width[i] = len(token.removesuffix("</w>")) if style == "words" else len(token)
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _learn(self, pieces: list) -> None:
         if self.style == "words":
-            texts = [p.decode() for p in pieces]
+            texts = pieces
             sizes = [len(t) if t.isascii() else len(normalize("NFC", t).lower().encode()) for t in texts]
             together, glue = list(range(len(pieces))), " "
         else:
@@ -77,18 +82,36 @@ class CachedEncoder:
                 self.young[pieces[i]] = np.array(e.ids, self.dtype).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        return [x for i in range(0, len(texts), GROUP) for x in self._ids(texts[i : i + GROUP])]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > CACHE:
             self.young, self.old = {}, self.young
-        words = self.style == "words"
-        cut = [t.encode().split() if words else None if _OTHER_SPACE.search(t) else _SPACED.findall(t) for t in texts]
-        new = set().union(*(c for c in cut if c)) - self.young.keys()
+        cut = [self._cut(t) for t in texts]
+        look = self.young.get
+        found = [None if c is None else list(map(look, c)) for c in cut]
+        gaps = [[] if v is None else [i for i, x in enumerate(v) if x is None] for v in found]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
         for p in list(new):
             if (v := self.old.get(p)) is not None:
                 self.young[p] = v
                 new.discard(p)
         self._learn(list(new))
-        get = self.young.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
+        out = []
+        for t, c, v, g in zip(texts, cut, found, gaps, strict=True):
+            if v is None:
+                out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype).tobytes())
+                continue
+            for i in g:
+                v[i] = self.young[c[i]]
+            out.append(b"".join(v))
+        return out
+
+    def _cut(self, text: str) -> list | None:
+        if self.style == "words":
+            # The tokenizer lowers letters itself; only the spelling of a special token could change by it.
+            return _WORDS.findall(text if "<|" in text else text.encode().lower().decode())
+        return None if _OTHER_SPACE.search(text) else _SPACED.findall(text)
 
 
 @lru_cache(4)

@@ -84,10 +84,10 @@ class Coder:
         marks: list[tuple[int, np.ndarray]] = []
         written = 0
         top = (LOW >> self.bits) << _32
+        every, begin = self.freq[ids], self.start[ids]
         for s in range(steps - 1, -1, -1):
-            part = ids[s * LANES : (s + 1) * LANES]
-            y = x[: len(part)]
-            f = self.freq[part]
+            f = every[s * LANES : (s + 1) * LANES]
+            y = x[: len(f)]
             full = y >= top * f
             if full.any():
                 out = (y[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -95,7 +95,7 @@ class Coder:
                 written += len(out)
                 y = np.where(full, y >> _32, y)
             q = y // f
-            x[: len(part)] = (q << self.bits) + (y - q * f) + self.start[part]
+            x[: len(f)] = (q << self.bits) + (y - q * f) + begin[s * LANES : (s + 1) * LANES]
             if s % STRIDE == 0:
                 marks.append((written, x.copy()))
         payload = np.concatenate(words[::-1]) if words else np.empty(0, np.uint32)
