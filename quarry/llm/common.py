@@ -17,6 +17,8 @@ _OWN_DIRS: dict[str, str] = {}
 
 #: Rows of an Arrow batch: texts can be long, so a batch holds fewer rows than Spark's default of 10000.
 BATCH_ROWS = 2000
+#: Bytes of one, where Spark knows such a bound.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,9 @@ def tune(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, "10000") == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if str(spark.conf.get(key, "1")).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

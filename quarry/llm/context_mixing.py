@@ -30,7 +30,7 @@ from quarry.llm import mixing
 from quarry.llm.common import materialize, texts_of, tune
 from quarry.llm.mixing import SCALE, SLOTS, WORDS, Code, Paths, ranges
 
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Distinct words of all blocks that one range of hashes adds up, about.
 RANGE = 1 << 21
 CHUNK = 1 << 17
@@ -205,7 +205,7 @@ def train_tables(table: DataFrame, code: Code) -> list[np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
-        tables = [np.zeros(2 << SLOTS, np.int64) for _ in range(2)]
+        tables = [np.zeros(2 << SLOTS, np.uint32) for _ in range(2)]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {x: batch.column(x)[i].as_py() for x in ("words", "tokens", "sizes", "held", "train")}

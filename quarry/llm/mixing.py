@@ -177,12 +177,12 @@ def decisions(tokens: np.ndarray, c1: np.ndarray, c2: np.ndarray, p: Paths) -> t
 def count(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, p: Paths, tables: list[np.ndarray]) -> None:
     """Add the decisions of the tokens to the tables: slot s has its zeros at 2 s and its ones at 2 s + 1."""
     c1, c2 = contexts(tokens, hashes, first)
-    for a in range(0, len(tokens), 2 * WINDOW):
-        b = a + 2 * WINDOW
+    for a in range(0, len(tokens), WINDOW):
+        b = a + WINDOW
         at, s1, s2, _ = decisions(tokens[a:b], c1[a:b], c2[a:b], p)
         bit = p.bit[at].astype(np.int64)
         for table, s in zip(tables, (s1, s2), strict=True):
-            table += np.bincount(s.astype(np.int64) * 2 + bit, minlength=len(table))
+            table += np.bincount(s.astype(np.int64) * 2 + bit, minlength=len(table)).astype(np.uint32)
 
 
 def count_spelling(words: list[bytes], hashes: np.ndarray, code: Code, tables: list[np.ndarray]) -> None:
