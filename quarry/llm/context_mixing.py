@@ -7,7 +7,9 @@
    one entry per block.
 3. The words with at least a certain count (so that about WORDS remain) get the leaves of the code tree; the tasks then
    count all decisions of all training blocks in hashed tables of fixed size, which add up chunk by chunk.
-4. Trees and tables are sent to all tasks (their size is fixed by WORDS and SLOTS), and every document is scored.
+4. One in CALIBRATE training documents stays out of the tables: what the mixer has learned at its end, averaged, is where
+   every document's weights begin.
+5. Trees and tables are sent to all tasks (their size is fixed by WORDS and SLOTS), and every document is scored.
 
 Defined cases: a null or empty text is its end token alone; without training documents every base probability is 1 (its
 logarithm 0) and the model knows only the escape and bytes; repeated ids each get a row; an empty table gives none; a
@@ -27,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
-from quarry.llm.common import materialize, texts_of, tune
-from quarry.llm.mixing import SCALE, SLOTS, WORDS, Code, Paths, ranges
+from quarry.llm.common import materialize, texts_of, trim, tune
+from quarry.llm.mixing import SCALE, SLOTS, WORDS, Code, Units, ranges
 
 BLOCK = 1 << 22
 #: Distinct words of all blocks that one range of hashes adds up, about.
 RANGE = 1 << 21
 CHUNK = 1 << 17
+#: One in so many training documents is kept out of the tables and sets the mixer's first weights instead.
+CALIBRATE = 16
 BLOCKS = "block bigint, ids binary, held binary, sizes binary, words binary, tokens binary, train binary"
 END = b""
 
@@ -49,7 +53,7 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made = TaskContext.get().partitionId(), 0
         ids: list = []
-        held: list[bool] = []
+        held: list[int] = []
         number: dict[bytes, int] = {END: 0}
         docs_: list[np.ndarray] = []
         size = 0
@@ -58,7 +62,7 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
             nonlocal made, ids, held, number, docs_, size
             sizes = np.array([len(x) for x in docs_], np.int64)
             tokens = np.concatenate(docs_)
-            train = np.bincount(tokens[np.repeat(~np.array(held), sizes)], minlength=len(number))
+            train = np.bincount(tokens[np.repeat(np.array(held) != 1, sizes)], minlength=len(number))
             row = {
                 "block": (shard << 24) + made, "ids": _pack(np.array([-(1 << 63) if x is None else x for x in ids], "<i8")), "held": _pack(np.array(held, np.uint8)),
                 "sizes": _pack(sizes.astype("<i8")), "words": b" ".join(number), "tokens": zlib.compress(_pack(tokens.astype("<u4")), 1), "train": _pack(train.astype("<u4")),
@@ -77,12 +81,15 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                 docs_.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
                 docs_[-1] = np.append(docs_[-1], 0)
                 ids.append(i)
-                held.append(bool(h))
+                held.append(int(h))
                 size += len(t)
         if ids:
             yield flush()
+        trim()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), held_out.alias("held"), F.col(text).alias("text"))
+    # 0: learned in tables, 1: held out, 2: sets the mixer's first weights.
+    part = F.when(held_out, 1).when(F.pmod(F.xxhash64(doc_id, text), F.lit(CALIBRATE)) == 0, 2).otherwise(0)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), part.alias("held"), F.col(text).alias("text"))
     return materialize(rows.mapInArrow(run, BLOCKS), "blocks")
 
 
@@ -204,24 +211,26 @@ def train_tables(table: DataFrame, code: Code) -> list[np.ndarray]:
     sent = table.sparkSession.sparkContext.broadcast(code)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
+        u = Units(sent.value)
         tables = [np.zeros(2 << SLOTS, np.uint32) for _ in range(2)]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {x: batch.column(x)[i].as_py() for x in ("words", "tokens", "sizes", "held", "train")}
                 words, hashes, tokens, sizes = _block(row)
-                once = np.flatnonzero(np.frombuffer(row["train"], "<u4") == 1)
-                mixing.count_spelling([words[i] for i in once], hashes[once], c, tables)
+                once = np.frombuffer(row["train"], "<u4") == 1
+                u.load(words, hashes, once)
                 keep = np.frombuffer(row["held"], np.uint8) == 0
                 starts = (np.cumsum(sizes) - sizes)[keep]
                 n = sizes[keep]
                 if len(n):
-                    mixing.count(tokens[ranges(starts, n)], np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), hashes, Paths(words, hashes, c), tables)
+                    mixing.count(tokens[ranges(starts, n)], np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), hashes, once, u, tables)
         for k, x in enumerate(tables):
             for a in range(0, len(x), 2 * CHUNK):
                 part = x[a : a + 2 * CHUNK]
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a // (2 * CHUNK)], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names=["tab", "chunk", "data"])
+        del tables, u
+        trim()
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(2 * CHUNK, np.int64)
@@ -238,6 +247,34 @@ def train_tables(table: DataFrame, code: Code) -> list[np.ndarray]:
     return tables
 
 
+def first_weights(table: DataFrame, code: Code, tables: list[np.ndarray]) -> np.ndarray:
+    """The weights that the calibration documents end with, averaged by the decisions at each gate."""
+    sent = table.sparkSession.sparkContext.broadcast((code, tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, tab = sent.value
+        u = Units(c)
+        learned = np.zeros((3, mixing.GATES))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {x: batch.column(x)[i].as_py() for x in ("words", "tokens", "sizes", "held")}
+                words, hashes, tokens, sizes = _block(row)
+                keep = np.frombuffer(row["held"], np.uint8) == 2
+                n = sizes[keep]
+                if len(n):
+                    tokens = tokens[ranges((np.cumsum(sizes) - sizes)[keep], n)]
+                    here, local = np.unique(tokens, return_inverse=True)
+                    u.load([words[k] for k in here], hashes[here])
+                    mixing.score(local, n, hashes[here], u, tab, learned=learned)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(learned.size)), pa.array(learned.reshape(-1))], names=["k", "x"])
+
+    learned = np.zeros((3, mixing.GATES))
+    for r in table.select("words", "tokens", "sizes", "held").mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+        learned[divmod(r.k, mixing.GATES)] = r.x
+    seen = learned[2] > 1000
+    return np.where(seen, learned[:2] / np.maximum(1, learned[2]), mixing.START)
+
+
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
@@ -249,10 +286,12 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     code, n, distinct = make_code(totals, words)
     code = _with_bytes(code, byte_counts(table))
     tables = train_tables(table, code)
-    sent = table.sparkSession.sparkContext.broadcast((code, tables))
+    # Rounded, so that the order in which sums arrive leaves no trace in the scores.
+    sent = table.sparkSession.sparkContext.broadcast((code, tables, np.round(first_weights(table, code, tables), 6)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tab = sent.value
+        c, tab, start = sent.value
+        u = Units(c)
         key, counts = None, []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -270,9 +309,10 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
                 starts = ends - sizes
                 value = np.log10((total + 0.1) / (n + 0.1 * (distinct + 1)))
                 width = np.array([len(w) + 1 for w in words_], np.int64)
-                bits = mixing.score(tokens, sizes, hashes, Paths(words_, hashes, c), c, tab)
+                u.load(words_, hashes)
+                bits = mixing.score(tokens, sizes, hashes, u, tab, start)
                 ids = np.frombuffer(row["ids"], "<i8")
-                held = np.frombuffer(row["held"], np.uint8) > 0
+                held = np.frombuffer(row["held"], np.uint8) == 1
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, mask=ids == np.int64(-(1 << 63))), pa.array(held), pa.array(sizes), pa.array(np.add.reduceat((total > 0)[tokens].astype(np.int64), starts)),
@@ -280,6 +320,7 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
                     ],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
                 )
+        trim()
 
     # A block's counts and the block itself meet in one shuffle; the counts come first, in order of range.
     answers = totals.where("block >= 0").select("block", F.col("part"), "counts", *(F.lit(None).cast("binary").alias(c) for c in ("ids", "held", "sizes", "words", "tokens")))

@@ -21,17 +21,19 @@ import numpy as np
 
 WORDS = 1 << 18
 SLOTS = 21
-STEP = 16
+STEP = 32
 #: Steps of the weights at each gate: words, spelling.
-RATE = [0.02] * 12 + [0.01] * 12
+RATE = [0.01] * 12 + [0.005] * 12
 LANES = 256
 #: Tokens whose decisions are held as arrays at once.
 WINDOW = 1 << 16
+#: Decisions that are counted at once: each count passes over a whole table.
+COUNTED = 1 << 22
 GATES = 24
 SCALE = 8.0
-#: First weights of each gate: order 0, its difference from the first context and from the second, and the constant.
-#: Spelling leans on its contexts from the start, words on theirs only where the longer one is sure.
-START = [[1.0] * GATES, [0.0] * 12 + [0.4] * 12, [0.05, 0.2, 0.5] * 4 + [0.5] * 12, [0.0] * GATES]
+#: First weights of each gate, of the two contexts' differences from order 0.  Spelling leans on its contexts from the
+#: start, words on theirs only where the longer one is sure.
+START = [[0.0] * 12 + [0.4] * 12, [0.05, 0.2, 0.5] * 4 + [0.5] * 12]
 _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 END_OF_WORD = 256
 
@@ -89,28 +91,40 @@ class Code:
         self.odds = np.concatenate((self.words.odds, self.bytes.odds))
 
 
-class Paths:
-    """The decisions of each distinct word of a block: start, length, and per decision node, bit, gate and fixed contexts."""
+class Units:
+    """Decisions of a block's units as columns: first the leaves of the word tree, then the spellings of the block's other words.
 
-    def __init__(self, words: list[bytes], hashes: np.ndarray, code: Code, spelling: bool = False):
-        """``spelling``: only the spelling of each word, also of words that have a leaf."""
-        k = len(code.hashes)
-        leaf = np.minimum(np.searchsorted(code.hashes, hashes), max(0, k - 1))
-        known = code.hashes[leaf] == hashes if k else np.zeros(len(hashes), bool)
-        known &= not spelling
-        leaf = np.where(known, leaf, k)
-        tree = code.words
-        head = tree.length[leaf] * (not spelling)
-        odd = np.flatnonzero(~known)
+    Unit i < leaves is leaf i of the tree; the leaf of the escape is followed by the word's spelling, a unit behind them.
+    """
+
+    def __init__(self, code: Code):
+        t = code.words
+        self.code, self.leaves, self.fixed = code, len(t.length), len(t.nodes)
+        self.node, self.bit = t.nodes, t.bits
+        self.gate = (np.minimum(t.depth // 4, 3) * 3).astype(np.int8)
+        self.key = t.nodes.astype(np.uint32) * _A
+        self.columns = None
+
+    def load(self, words: list[bytes], hashes: np.ndarray, spell: np.ndarray | None = None) -> None:
+        """Take in a block's words.  ``spell``: words that have a leaf and are to be spelled as well."""
+        k = self.leaves - 1
+        known_hashes = self.code.hashes
+        leaf = np.minimum(np.searchsorted(known_hashes, hashes), max(0, k - 1))
+        known = known_hashes[leaf] == hashes if k else np.zeros(len(hashes), bool)
+        self.leaf = np.where(known, leaf, k)
+        spelled = ~known if spell is None else ~known | spell
+        odd = np.flatnonzero(spelled)
+        self.unit = np.full(len(hashes), -1, np.int64)
+        self.unit[odd] = self.leaves + np.arange(len(odd))
+        self.known = known
         raw = [words[i] for i in odd]
         size = np.array([len(w) for w in raw], np.int64)
         text = np.zeros(int(size.sum()) + len(raw), np.int64)
         ends = np.cumsum(size + 1)
-        if len(raw):
-            inner = np.ones(len(text), bool)
-            inner[ends - 1] = False
-            text[inner] = np.frombuffer(b"".join(raw), np.uint8)
-            text[~inner] = END_OF_WORD
+        inner = np.ones(len(text), bool)
+        inner[ends - 1] = False
+        text[inner] = np.frombuffer(b"".join(raw), np.uint8)
+        text[~inner] = END_OF_WORD
         place = np.arange(len(text)) - np.repeat(ends - size - 1, size + 1)
         before = []
         for back in range(1, 5):  # the bytes before; 257 stands for the word's beginning
@@ -119,28 +133,35 @@ class Paths:
             before.append(np.where(place >= back, moved, np.uint32(257)).astype(np.uint32))
         two = (before[0] * _A + before[1]) * _B + np.uint32(1)
         four = ((two + before[2]) * _A + before[3]) * _C + np.uint32(2)
-        tb = code.bytes
+        tb = self.code.bytes
         letters = tb.length[text]
-        tail = np.zeros(len(words), np.int64)
-        if len(raw):
-            tail[odd] = np.add.reduceat(letters, ends - size - 1)
-        self.length = head + tail
-        self.start = np.cumsum(self.length) - self.length
-        total = int(self.length.sum())
-        self.node, self.bit, self.gate = np.zeros(total, np.int32), np.zeros(total, np.int8), np.zeros(total, np.int8)
-        self.word = np.zeros(total, np.uint32)
-        self.c1, self.c2 = np.zeros(total, np.uint32), np.zeros(total, np.uint32)
-        to, source = ranges(self.start, head), ranges(tree.start[leaf], head)
-        self.node[to], self.bit[to], self.word[to] = tree.nodes[source], tree.bits[source], 1
-        self.gate[to] = np.minimum(tree.depth[source] // 4, 3) * 3
-        if len(raw):
-            to, source = ranges(self.start[odd] + head[odd], tail[odd]), ranges(tb.start[text], letters)
-            self.node[to], self.bit[to] = tb.nodes[source], tb.bits[source]
-            self.c1[to], self.c2[to] = np.repeat(two, letters), np.repeat(four, letters)
-            self.gate[to] = 12 + np.minimum(np.repeat(place, letters), 3) * 3
-        node = self.node.astype(np.uint32) * _A
-        self.c1 += node
-        self.c2 += node
+        source = ranges(tb.start[text], letters)
+        node = tb.nodes[source]
+        key = node.astype(np.uint32) * _A
+        self.slots = [slot(np.repeat(c, letters) + key, True) for c in (two, four)]
+        tail = np.add.reduceat(letters, ends - size - 1) if len(raw) else np.empty(0, np.int64)
+        self.length = np.concatenate((self.code.words.length, tail))
+        self.start = np.concatenate((self.code.words.start, self.fixed + np.cumsum(tail) - tail))
+        self.spell_node, self.spell_bit = node, tb.bits[source]
+        self.spell_gate = (12 + np.minimum(np.repeat(place, letters), 3) * 3).astype(np.int8)
+
+    def sequence(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(units, index of the token of each): a token's leaf, then its spelling if it has no leaf."""
+        odd = ~self.known[tokens]
+        n = 1 + odd
+        which = np.repeat(np.arange(len(tokens)), n)
+        units = self.leaf[tokens][which]
+        second = np.cumsum(n)[odd] - 1
+        units[second] = self.unit[tokens[odd]]
+        return units, which
+
+
+def slot(h: np.ndarray, spelling: bool) -> np.ndarray:
+    """The table slot of mixed keys; spelling has the last quarter of the table to itself."""
+    h ^= h >> np.uint32(15)
+    h *= _B
+    h >>= np.uint32(32 - SLOTS)
+    return (h >> np.uint32(2)) + np.uint32(3 << (SLOTS - 2)) if spelling else h - (h >> np.uint32(2))
 
 
 def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,65 +176,81 @@ def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple
     return (one + np.uint32(11)) * _B, ((two + np.uint32(7)) * _A + one) * _C + np.uint32(3)
 
 
-def decisions(tokens: np.ndarray, c1: np.ndarray, c2: np.ndarray, p: Paths) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(index into the paths, slot of the first table, slot of the second, decisions of each token)."""
-    n = p.length[tokens]
-    at = ranges(p.start[tokens], n)
-    word = p.word[at]
-    out = []
-    for token_context, fixed in ((c1, p.c1), (c2, p.c2)):
-        h = np.repeat(token_context, n)
-        h *= word
-        h += fixed[at]
-        h ^= h >> np.uint32(15)
-        h *= _B
-        h >>= np.uint32(32 - SLOTS)
-        # Spelling has the last quarter of the table to itself.
-        quarter = h >> np.uint32(2)
-        out.append(np.where(word > 0, h - quarter, quarter + np.uint32(3 << (SLOTS - 2))))
-    return at, out[0], out[1], n
-
-
-def count(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, p: Paths, tables: list[np.ndarray]) -> None:
-    """Add the decisions of the tokens to the tables: slot s has its zeros at 2 s and its ones at 2 s + 1."""
+def decisions(units: np.ndarray, c1: np.ndarray, c2: np.ndarray, u: Units):
+    """(node, bit, gate, slots of both tables, decisions of each unit); units in the order given."""
+    n = u.length[units]
+    at = ranges(u.start[units], n)
+    spelled = at >= u.fixed
+    if not spelled.any():
+        key = u.key[at]
+        return u.node[at], u.bit[at], u.gate[at], slot(np.repeat(c1, n) + key, False), slot(np.repeat(c2, n) + key, False), n
+    word, tail = np.flatnonzero(~spelled), np.flatnonzero(spelled)
+    i, j = at[word], at[tail] - u.fixed
+    key = u.key[i]
+    merged = []
+    for a, b in ((u.node[i], u.spell_node[j]), (u.bit[i], u.spell_bit[j]), (u.gate[i], u.spell_gate[j]), (slot(np.repeat(c1, n)[word] + key, False), u.slots[0][j]), (slot(np.repeat(c2, n)[word] + key, False), u.slots[1][j])):
+        x = np.empty(len(at), a.dtype)
+        x[word], x[tail] = a, b
+        merged.append(x)
+    return (*merged, n)
+
+
+def count(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, once: np.ndarray, u: Units, tables: list[np.ndarray]) -> None:
+    """Add the decisions of the tokens to the tables: slot s has its zeros at 2 s and its ones at 2 s + 1.
+
+    Spelling does not depend on other words, so it is added once for each distinct word, times its occurrences; words
+    ``once`` in the block are spelled even if they have a leaf, so that spelling is learned where few words lack one.
+    """
     c1, c2 = contexts(tokens, hashes, first)
+    leaf = u.leaf[tokens]
+    t = u.code.words
+    found: list[list[np.ndarray]] = [[], []]
+    held = 0
     for a in range(0, len(tokens), WINDOW):
-        b = a + WINDOW
-        at, s1, s2, _ = decisions(tokens[a:b], c1[a:b], c2[a:b], p)
-        bit = p.bit[at].astype(np.int64)
-        for table, s in zip(tables, (s1, s2), strict=True):
-            table += np.bincount(s.astype(np.int64) * 2 + bit, minlength=len(table)).astype(np.uint32)
+        part = leaf[a : a + WINDOW]
+        n = t.length[part]
+        at = ranges(t.start[part], n)
+        key, bit = u.key[at], u.bit[at]
+        for parts, c in zip(found, (c1, c2), strict=True):
+            h = slot(np.repeat(c[a : a + WINDOW], n) + key, False)
+            h <<= np.uint32(1)
+            h += bit.astype(np.uint32)
+            parts.append(h)
+        held += len(at)
+        if held >= COUNTED or a + WINDOW >= len(tokens):
+            for table, parts in zip(tables, found, strict=True):
+                table += np.bincount(np.concatenate(parts), minlength=len(table)).astype(np.uint32)
+                parts.clear()
+            held = 0
+    words = np.flatnonzero(u.unit >= 0)
+    times = np.where(u.known[words], once[words], np.bincount(tokens, minlength=len(u.unit))[words])
+    units = u.unit[words]
+    weight = np.repeat(times, u.length[units])
+    j = ranges(u.start[units], u.length[units]) - u.fixed
+    for table, s in zip(tables, u.slots, strict=True):
+        table += np.bincount(s[j].astype(np.int64) * 2 + u.spell_bit[j], weights=weight, minlength=len(table)).astype(np.uint32)
 
 
-def count_spelling(words: list[bytes], hashes: np.ndarray, code: Code, tables: list[np.ndarray]) -> None:
-    """Add the spelling of words to the tables, so that words outside the tree can be spelled even where few are seen."""
-    for a in range(0, len(words), WINDOW // 2):
-        p = Paths(words[a : a + WINDOW // 2], hashes[a : a + WINDOW // 2], code, spelling=True)
-        n = len(p.length)
-        count(np.arange(n), np.zeros(n, np.int64), hashes[a : a + WINDOW // 2], p, tables)
+def score(tokens: np.ndarray, n_tokens: np.ndarray, hashes: np.ndarray, u: Units, tables: list[np.ndarray], start=START, learned: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each document's tokens under the mixed model; ``tables`` hold log odds as signed bytes.
 
-
-def score(tokens: np.ndarray, n_tokens: np.ndarray, hashes: np.ndarray, p: Paths, code: Code, tables: list[np.ndarray]) -> np.ndarray:
-    """Bits of each document's tokens under the mixed model; ``tables`` hold log odds as signed bytes."""
+    ``learned``, if given, gains each document's last weights times the decisions at the gate, and these: 3 rows of gates.
+    """
     starts = np.cumsum(n_tokens) - n_tokens
     first = np.arange(len(tokens)) - np.repeat(starts, n_tokens)
     c1, c2 = contexts(tokens, hashes, first)
     bits = np.zeros(len(n_tokens))
     order = np.argsort(-n_tokens, kind="stable")
-    a = 0
-    while a < len(order):
-        b = a + 1
-        while b < len(order) and b - a < LANES:
-            b += 1
-        docs = order[a:b]
-        bits[docs] = _lanes(tokens, c1, c2, starts[docs], n_tokens[docs], p, code, tables)
-        a = b
+    for a in range(0, len(order), LANES):
+        docs = order[a : a + LANES]
+        bits[docs] = _lanes(tokens, c1, c2, starts[docs], n_tokens[docs], u, tables, start, learned)
     return bits
 
 
-def _lanes(tokens, c1, c2, starts, sizes, p, code, tables) -> np.ndarray:
+def _lanes(tokens, c1, c2, starts, sizes, u, tables, start, learned) -> np.ndarray:
     lanes = len(starts)
-    weights = [np.tile(np.asarray(w, np.float32), lanes) for w in START]
+    w1, w2 = (np.tile(np.asarray(w, np.float32), lanes) for w in start)
+    used = np.zeros(lanes * GATES)
     rate = np.tile(np.asarray(RATE, np.float32), lanes)
     total = np.zeros(lanes)
     step = 0
@@ -231,26 +268,42 @@ def _lanes(tokens, c1, c2, starts, sizes, p, code, tables) -> np.ndarray:
             cuts.append(held)
             step += 1
         where, lane = np.concatenate(picked), np.concatenate(who)
-        at, s1, s2, n = decisions(tokens[where], c1[where], c2[where], p)
-        edge = np.concatenate(([0], np.cumsum(n)))[cuts]
-        base = code.odds[p.node[at]]
-        x1 = tables[0][s1].astype(np.float32) / np.float32(SCALE) - base
+        units, which = u.sequence(tokens[where])
+        at = where[which]
+        node, bit, gate, s1, s2, n = decisions(units, c1[at], c2[at], u)
+        edge = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(which, cuts)]
         t2 = tables[1][s2]
+        base = u.code.odds[node]
+        x1 = tables[0][s1].astype(np.float32) / np.float32(SCALE) - base
         x2 = t2.astype(np.float32) / np.float32(SCALE) - base
         sure = np.abs(t2)
-        gate = p.gate[at] + (sure > 6).astype(np.int8) + (sure > 20).astype(np.int8)
-        place = np.repeat(lane * GATES, n) + gate
-        sign = 1 - 2 * p.bit[at].astype(np.float32)
-        for i, (u, v) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            live = int(lane[cuts[i + 1] - 1]) + 1
-            g, s, y0, y1, y2 = place[u:v], sign[u:v], base[u:v], x1[u:v], x2[u:v]
-            w = [x[: live * GATES] for x in weights]
+        owner = np.repeat(lane[which].astype(np.int32), n)
+        place = (owner * GATES + gate + (sure > 6) + (sure > 20)).astype(np.int64)
+        sign = 1 - 2 * bit.astype(np.float32)
+        cost = np.empty(len(node), np.float32)
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            live = (int(lane[cuts[i + 1] - 1]) + 1) * GATES
+            g, s, y1, y2 = place[a:b], sign[a:b], x1[a:b], x2[a:b]
             # The cost of a bit is log(1 + exp(z)), z the log odds of the other bit.
-            z = s * (w[0][g] * y0 + w[1][g] * y1 + w[2][g] * y2 + w[3][g])
+            z = w1[g]
+            z *= y1
+            z += base[a:b]
+            t = w2[g]
+            t *= y2
+            z += t
+            z *= s
             np.clip(z, -30, 30, out=z)
             e = np.exp(z)
-            total[:live] += np.bincount(g // GATES, weights=np.log1p(e), minlength=live)
-            error = e / (1 + e) * s
-            for x, y in zip(w, (y0, y1, y2, None), strict=True):
-                x -= rate[: len(x)] * np.bincount(g, weights=error if y is None else error * y, minlength=len(x)).astype(np.float32)
+            q = e + np.float32(1)
+            cost[a:b] = np.log(q)
+            e /= q
+            e *= s
+            for w, y in ((w1, y1), (w2, y2)):
+                w[:live] -= rate[:live] * np.bincount(g, weights=e * y, minlength=live).astype(np.float32)
+        total += np.bincount(owner, weights=cost, minlength=lanes)
+        if learned is not None:
+            used += np.bincount(place, minlength=len(used))
+    if learned is not None:
+        for k, w in enumerate((w1, w2, np.ones(len(used)))):
+            learned[k] += (w * used).reshape(lanes, GATES).sum(0)
     return total / np.log(2)
