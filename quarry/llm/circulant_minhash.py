@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import arrow_map, materialize, slices, texts_of, tune
+from quarry.llm.common import arrow_map, materialize, slices, texts_of, trim, tune
 from quarry.llm.components import connected_components
 from quarry.llm.shingles import band_keys, bands_for, shingle_sets, signatures
 
@@ -165,6 +165,7 @@ def verify(docs: DataFrame, members: DataFrame, width: int, percent: int, doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
         if key is not None and (out := finish()):
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+        trim()
 
     return dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a bigint, b bigint")
 

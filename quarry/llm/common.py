@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -62,10 +64,18 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
         for batch in batches:
             if batch.num_rows and (out := f(batch)) is not None:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give freed memory back at a task's end: workers are used again, beside an executor whose own memory grows."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and (give := getattr(ctypes.CDLL(None), "malloc_trim", None)):
+        give(0)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the column's text form, modulo n."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, texts_of, tune
+from quarry.llm.common import materialize, texts_of, trim, tune
 from quarry.llm.cutting_stock import round_patterns, solve
 from quarry.llm.encoding import encoder
 
@@ -62,6 +62,7 @@ def encode(docs: DataFrame, vocabulary_file: str, style: str, end_id: int, capac
                 [pa.array(np.full(len(n), shard, np.int32)), batch.column("id"), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(first), pa.array(ids, pa.binary())],
                 names=["shard", "id", "n", "remainder", "rank", "full_rank", "ids"],
             )
+        trim()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     return materialize(rows.mapInArrow(run, TOKENS), "packing-ids")
@@ -167,6 +168,7 @@ def pack(tokens: DataFrame, vocabulary_dtype: str = "<u2", capacity: int = CAPAC
                     for c, v in zip(out, (rows["id"][i], s, m, ids[4 * s : 4 * (s + m)], n, q, o), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 3 else pa.int64()) for k, c in enumerate(out)], names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        trim()
 
     return tokens.join(starts, ["shard", "remainder"]).mapInArrow(run, PIECES)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, texts_of, tune
+from quarry.llm.common import shared_dir, texts_of, trim, tune
 from quarry.llm.encoding import encoder
 from quarry.llm.ranges import range_bounds, range_index, range_parts
 
@@ -187,6 +187,7 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, style: str, end_id:
             ids += [np.concatenate((np.frombuffer(x, enc.dtype), end)) for x in enc.ids(texts_of(batch))]
         for x in shard_blocks(shard, doc_ids, ids, vocabulary):
             yield pa.RecordBatch.from_pylist([x], schema=_ARROW)
+        trim()
 
     rows.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 

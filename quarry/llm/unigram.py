@@ -31,7 +31,7 @@ from quarry.llm.common import arrow_map, slices, texts_of, tune
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-CACHE = 300_000
+CACHE = 200_000
 SLICE = 1 << 20
 _PIECES = re.compile(" *[^ \n]+|\n| +")
 
