@@ -1,0 +1,65 @@
+"""Query analysis on the driver: intent, words, alias groups, match queries, routing."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+# Fixed values that the query language prescribes.
+INTENT_WORDS = "review survey compare comparison background history timeline summary summarize overview latest current recent best result results status update work works paper papers".split()
+STOPWORDS = set("a an and are as at by for from how in into is it of on or the this to what which with best current latest recent result results status summary overview".split())
+RELATION_PHRASES = "related work|related works|review|survey|summary|summarize|overview|compare|comparison|similar|connection|connections|relationship|relationships|background|history|timeline|evolution|landscape".split("|")
+RESULT_PHRASES = "summary|summarize|overview|current result|current results|latest result|latest results|recent result|recent results|best result|best results|status|update".split("|")
+
+
+@dataclass
+class Profile:
+    text: str
+    words: list[str]
+    groups: list[list[str]] = field(default_factory=list)
+    concepts: list[str] = field(default_factory=list)
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"\w+", text.casefold())
+
+
+def analyze(text: str, concepts: dict[str, list[str]] | None = None) -> Profile:
+    """Content words and alias groups; ``concepts`` maps a concept's trigger word to its aliases.
+
+    As in the data model's language, a word within an intent word (``work`` in ``network`` the other way round too) counts as intent.
+    """
+    concepts = concepts or {}
+    words = [w for w in dict.fromkeys(words_of(text)) if w not in STOPWORDS and not any(p in w for p in INTENT_WORDS) and not (w.isdigit() and len(w) > 4)]
+    found = [k for k in concepts if k in words]
+    groups = [concepts[k] for k in found] + [[w] for w in words if w not in found]
+    return Profile(text, words, groups, found)
+
+
+def match_queries(profile: Profile) -> list[tuple[str, list[list[str]]]]:
+    """Up to four queries from strict to loose: all of four groups, any of three, all of six words, any of eight."""
+    g, w = profile.groups, [[x] for x in profile.words]
+    out = [("and", g[:4])] + ([("or", g[:3])] if len(g) > 1 else []) + [("and", w[:6]), ("or", w[:8] or [[x] for x in words_of(profile.text)][:8])]
+    seen: list[tuple[str, list[list[str]]]] = []
+    for q in out:
+        if q[1] and q not in seen:
+            seen.append(q)
+    return seen
+
+
+def route(text: str, concepts: dict[str, list[str]] | None = None) -> tuple[str, int]:
+    """(target, neighbours to expand to): relations and results ask for works, anything else for chunks."""
+    low = text.casefold()
+    p = analyze(text, concepts)
+    if any(x in low for x in RELATION_PHRASES):
+        return "works", 5
+    if any(x in low for x in RESULT_PHRASES) and (p.concepts or len(p.words) >= 2):
+        return "works", 3
+    return "chunks", 0
+
+
+def strategy(overviews: int, evidence: int, survey: bool) -> str:
+    """How an answer is put together from what was found."""
+    if not evidence:
+        return "insufficient_evidence"
+    return "community_map_reduce" if overviews and survey else "single_pass"

@@ -135,3 +135,17 @@ def test_stream_equals_batch(spark, tmp_path):
     versions = sorted((tmp_path / "out").glob("v=*"), key=lambda p: int(p.name[2:]))
     got = {r.job: r.s.event_id for r in spark.read.parquet(str(versions[-1])).collect()}
     assert got == {0: 18, 1: 19, 2: 17}
+
+
+def test_query_profile_and_routes():
+    from quarry.plans import profile
+
+    p = profile.analyze("latest results on the CMS trimuon search", {"cms": ["cms", "cms collaboration"]})
+    assert p.words == ["cms", "trimuon", "search"]
+    assert p.groups[0] == ["cms", "cms collaboration"]
+    assert [q[0] for q in profile.match_queries(p)] == ["and", "or", "and", "or"]
+    assert profile.route("overview of trimuon") == ("works", 5)
+    assert profile.route("trimuon mass") == ("chunks", 0)
+    assert profile.match_queries(profile.analyze("")) == []
+    assert profile.strategy(0, 0, True) == "insufficient_evidence"
+    assert profile.strategy(1, 3, True) == "community_map_reduce"
