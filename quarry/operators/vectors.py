@@ -14,9 +14,10 @@ DIM = 768
 BLOCK = 2048
 
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = DIM) -> DataFrame:
-    """(doc_id, bucket, value): signed hashed words (1 each) and pairs of adjacent words (1/2 each)."""
-    toks = docs.select(F.col(doc_id), tokens(F.col(text)).alias("toks"))
+def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = DIM, stop: list[str] | None = None) -> DataFrame:
+    """(doc_id, bucket, value): signed hashed words (1 each) and pairs of adjacent words (1/2 each), without ``stop`` words."""
+    words = tokens(F.col(text))
+    toks = docs.select(F.col(doc_id), (F.filter(words, lambda t: ~t.isin(stop)) if stop else words).alias("toks"))
     both = F.concat(
         F.transform("toks", lambda t: F.struct(t.alias("f"), F.lit(1.0).alias("w"))),
         F.expr("filter(transform(toks, (t, i) -> struct(concat(t, '__', get(toks, i + 1)) AS f, 0.5D AS w)), x -> x.f is not null)"),

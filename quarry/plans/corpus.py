@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import fulltext, ingest
+from quarry.operators import extract, fulltext, ingest
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -81,10 +81,6 @@ def bibliography_entries(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("doc_id", entry.alias("e")).where("length(e) >= 12").groupBy("doc_id", F.md5("e").alias("entry")).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def _flags(patterns: dict[str, str], c: Column) -> list[Column]:
-    return [F.when(c.rlike(p), F.lit(k)) for k, p in patterns.items()]
-
-
 def _edges(p: str) -> str:
     """The pattern with Unicode word edges spelled out, for an engine whose edges are ASCII."""
     return p.replace(r"\b(", r"(^|[^\p{L}\p{N}_])(", 1).replace(r")\b", r")($|[^\p{L}\p{N}_])", 1)
@@ -98,9 +94,7 @@ _STRUCTURE = f"x AS (SELECT doc_id, source, {_sql_list(TEST_PROFILE)} AS results
 
 
 def structures(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.coalesce(F.col("text"), F.lit(""))
-    kept = lambda p: F.array_compact(F.array(*_flags(p, c)))
-    return table(spark, sf, "documents").select("doc_id", "source", kept(TEST_PROFILE).alias("results"), kept(TEST_METHODS).alias("methods"))
+    return extract.signatures(table(spark, sf, "documents"), TEST_PROFILE, TEST_METHODS)
 
 
 @R.add("signature_extract", f"WITH {_STRUCTURE} SELECT doc_id, array_to_string(results, '|') AS results, array_to_string(methods, '|') AS methods FROM x WHERE len(results) + len(methods) > 0")
@@ -114,8 +108,7 @@ _STATUS = "CASE WHEN source = 'src0' THEN 'partial' WHEN len(results) = 0 OR len
 @R.add("structure_status", f"WITH {_STRUCTURE} SELECT doc_id, {_STATUS} AS status, CASE WHEN {_STATUS} = 'needs_review' THEN 'missing_required_signatures' END AS anomaly FROM x")
 def structure_status(spark: SparkSession, sf: str) -> DataFrame:
     """Reviews (here: one source) are partial; works without a result or method signature need review."""
-    status = F.when(F.col("source") == "src0", "partial").when((F.size("results") == 0) | (F.size("methods") == 0), "needs_review").otherwise("ready")
-    return structures(spark, sf).select("doc_id", status.alias("status")).withColumn("anomaly", F.when(F.col("status") == "needs_review", "missing_required_signatures"))
+    return extract.status(structures(spark, sf), F.col("source") == "src0").select("doc_id", "status", "anomaly")
 
 
 @R.add(

@@ -149,3 +149,40 @@ def test_query_profile_and_routes():
     assert profile.match_queries(profile.analyze("")) == []
     assert profile.strategy(0, 0, True) == "insufficient_evidence"
     assert profile.strategy(1, 3, True) == "community_map_reduce"
+
+
+def test_default_signatures_and_status(spark):
+    from quarry.operators import extract
+
+    docs = spark.createDataFrame([(1, "We measured the branching fraction by a profile likelihood.", False), (2, "Nothing.", False), (3, None, True)], "doc_id long, text string, review boolean")
+    got = {r.doc_id: (r.results, r.methods, r.status, r.anomaly) for r in extract.status(extract.signatures(docs), F.col("review")).collect()}
+    assert got[1] == (["measurement"], ["statistical_fit"], "ready", None)
+    assert got[2] == ([], [], "needs_review", "missing_required_signatures")
+    assert got[3] == ([], [], "partial", None)
+
+
+def test_stop_words_leave_features(spark):
+    docs = spark.createDataFrame([(1, "search alpha")], "doc_id long, text string")
+    assert vectors.features(docs).count() == 3
+    assert vectors.features(docs, stop=T.EMBEDDING_STOPWORDS).count() == 1
+
+
+def test_content_lists_become_blocks_and_windows(spark):
+    from quarry.operators import blocks
+
+    items = [
+        {"type": "title", "text": "Head", "text_level": 1, "page_idx": 0},
+        {"type": "paragraph", "text": "Before.", "page_no": 1},
+        {"type": "formula", "latex": "x=1"},
+        {"type": "discarded", "text": "gone"},
+        {"type": "figure", "image_path": "a.png", "image_caption": ["Plot", "one"]},
+        {"type": "text", "text": " "},
+        {"type": "text", "text": "After."},
+    ]
+    rows_ = [(1, json.dumps(items)), (2, json.dumps({"data": items[:1]})), (3, "junk"), (4, None)]
+    df = blocks.decode(spark.createDataFrame(rows_, "doc_id long, content string"))
+    got = [(r.position, r.kind, r.page, r.text) for r in df.where("doc_id = 1").orderBy("position").collect()]
+    assert got == [(0, "text", 0, "Head"), (1, "text", 1, "Before."), (2, "equation", None, "x=1"), (4, "image", None, "Plot one"), (6, "text", None, "After.")]
+    assert {r.doc_id for r in df.collect()} == {1, 2}
+    around = {r.position: (r.role, r.text) for r in blocks.windows(df).collect()}
+    assert around == {2: ("formula_window", "Before.\nAfter."), 4: ("asset_window", "Before.\nPlot one\nAfter.")}
