@@ -50,7 +50,9 @@ def counts(text: str) -> np.ndarray | None:
     if not _TABLE:
         _TABLE.append(_letters())
     code = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    letter = _TABLE[0][np.minimum(code, 65535)] | (code > 0xFFFF) & (code < 0x1F000) | (code >= 0x20000)
+    letter = _TABLE[0][np.minimum(code, 65535)]
+    if len(high := np.flatnonzero(code > 0xFFFF)):
+        letter[high] = [chr(c).isalpha() for c in code[high].tolist()]
     if not letter.any():
         return None
     code = np.where(letter, code, 32).astype(np.uint64)

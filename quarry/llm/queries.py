@@ -119,6 +119,16 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(documents(spark, sf_dir), PIECE_BPE)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+l AS (SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(i, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.c),
+m AS (SELECT i AS doc_id, min(c) AS component_id FROM r GROUP BY 1)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_file": op1_token_file,
     "op2_knn_quality": op2_knn_quality,
@@ -133,4 +143,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB's SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_circulant_minhash": OP4_SQL, "op8_quality_rules": OP8_SQL}

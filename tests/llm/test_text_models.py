@@ -94,9 +94,10 @@ def test_statistics_by_brute_force():
         assert row[:5].tolist() == want
 
 
-def test_quality_rules_match_sql(spark):
-    names, want = rows_of_sql(connect(SF), ORACLES["op8_quality_rules"])
-    assert rows_of_spark(QUERIES["op8_quality_rules"](spark, SF)) == want
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_match_sql(spark, name):
+    _, want = rows_of_sql(connect(SF), ORACLES[name])
+    assert rows_of_spark(QUERIES[name](spark, SF)) == want
 
 
 def test_quality_rules_on_odd_texts(odd_docs):
