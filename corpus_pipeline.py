@@ -36,7 +36,10 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each group of near duplicates; of rows that repeat an id and text, one."""
     found = materialize(circulant_minhash.near_duplicates(docs, SHINGLE, PERCENT), "groups")
-    left = docs.join(found.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    removed = found.where(~F.col("kept")).select("doc_id").distinct()
+    if removed.count() <= circulant_minhash.BROADCAST_ROWS:  # ids only; beyond, they meet the documents in a shuffle
+        removed = F.broadcast(removed)
+    left = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     return left.dropDuplicates(["doc_id", "text"]) if repeated else left
 
