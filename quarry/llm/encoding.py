@@ -26,7 +26,7 @@ _SPACED = re.compile(r"[ \t-\r]*+" + _LETTERS + r"|[ \t-\r]*+[^ \t-\r]++|[ \t-\r
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　]")
 _BLANK = " \t\n\r\x0b\x0c"
 #: Pieces in each of the cache's two generations.
-CACHE = 200_000
+CACHE = 500_000
 #: Texts that are looked up together: few enough for their pieces to stay in the processor's cache.
 GROUP = 256
 
