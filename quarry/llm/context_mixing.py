@@ -18,13 +18,14 @@ document longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from quarry.llm.mixing import SCALE, SLOTS, WORDS, Code, Units, ranges
 BLOCK = 1 << 22
 #: Distinct words of all blocks that one range of hashes adds up, about.
 RANGE = 1 << 21
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 #: One in so many training documents is kept out of the tables and sets the mixer's first weights instead.
 CALIBRATE = 16
 BLOCKS = "block bigint, ids binary, held binary, sizes binary, words binary, tokens binary, train binary"
@@ -153,7 +154,7 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
 _TOTALS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64()), ("hist", pa.binary()), ("hashes", pa.binary()), ("totals", pa.binary())])
 
 
-def make_code(totals: DataFrame, words: int = WORDS) -> tuple[Code, int, int]:
+def make_code(totals: DataFrame, bytes_: np.ndarray, words: int = WORDS) -> tuple[Code, int, int]:
     """(code, training tokens, distinct words): the tree holds the words whose count is at least the power of two that leaves at most ``words``, and the most frequent of the next."""
     own = totals.where("block = -1")
     n = distinct = 0
@@ -180,7 +181,7 @@ def make_code(totals: DataFrame, words: int = WORDS) -> tuple[Code, int, int]:
     chosen = own.select("hashes", "totals").mapInArrow(pick, "h bigint, n bigint").toArrow()
     h, t = chosen.column("h").to_numpy().view(np.uint64), chosen.column("n").to_numpy()
     # What is outside the tree, and as many new words as words were seen once (Good and Turing).
-    return Code(h, t, n - int(t.sum()) + int(hist[0]), np.full(257, 1)), n, distinct
+    return Code(h, t, n - int(t.sum()) + int(hist[0]), bytes_), n, distinct
 
 
 def byte_counts(table: DataFrame) -> np.ndarray:
@@ -206,19 +207,20 @@ def _block(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     return words, word_hashes(words), np.frombuffer(zlib.decompress(row["tokens"]), "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
 
 
-def train_tables(table: DataFrame, code: Code) -> list[np.ndarray]:
+def train_tables(table: DataFrame, code: Broadcast) -> list[np.ndarray]:
     """Log odds of every slot of both tables, as signed bytes in units of 1 / SCALE."""
-    sent = table.sparkSession.sparkContext.broadcast(code)
+    salts = math.isqrt(max(1, table.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = Units(sent.value)
+        u = Units.of(code.value)
+        salt = TaskContext.get().partitionId() % salts
         tables = [np.zeros(2 << SLOTS, np.uint32) for _ in range(2)]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {x: batch.column(x)[i].as_py() for x in ("words", "tokens", "sizes", "held", "train")}
                 words, hashes, tokens, sizes = _block(row)
-                once = np.frombuffer(row["train"], "<u4") == 1
-                u.load(words, hashes, once)
+                u.load(words, hashes, hapax=True)
+                once = u.hapax & (np.frombuffer(row["train"], "<u4") > 0)
                 keep = np.frombuffer(row["held"], np.uint8) == 0
                 starts = (np.cumsum(sizes) - sizes)[keep]
                 n = sizes[keep]
@@ -228,32 +230,39 @@ def train_tables(table: DataFrame, code: Code) -> list[np.ndarray]:
             for a in range(0, len(x), 2 * CHUNK):
                 part = x[a : a + 2 * CHUNK]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a // (2 * CHUNK)], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names=["tab", "chunk", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a // (2 * CHUNK)], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names=["tab", "chunk", "salt", "data"])
         del tables, u
         trim()
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(2 * CHUNK, np.int64)
+    def total(group: pa.Table) -> np.ndarray:
+        out = np.zeros(2 * CHUNK, np.int64)
         for x in group.column("data"):
-            total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
-        odds = np.log(total[1::2] + 0.4) - np.log(total[::2] + 0.4)
+            out += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
+        return out
+
+    def add(group: pa.Table) -> pa.Table:
+        return pa.table({"tab": group.column("tab")[:1], "chunk": group.column("chunk")[:1], "salt": group.column("salt")[:1], "data": pa.array([zlib.compress(total(group).astype("<u4").tobytes(), 1)], pa.binary())})
+
+    def finish(group: pa.Table) -> pa.Table:
+        n = total(group)
+        odds = np.log(n[1::2] + 0.4) - np.log(n[::2] + 0.4)
         return pa.table({"tab": group.column("tab")[:1], "chunk": group.column("chunk")[:1], "data": pa.array([np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8).tobytes()], pa.binary())})
 
-    schema = "tab int, chunk int, data binary"
+    # Many tasks' sums meet in two rounds, so that no group has more rows than about the root of their number.
+    sums = table.select("words", "tokens", "sizes", "held", "train").mapInArrow(run, "tab int, chunk int, salt int, data binary").groupBy("tab", "chunk", "salt").applyInArrow(add, "tab int, chunk int, salt int, data binary")
     tables = [np.zeros(1 << SLOTS, np.int8) for _ in range(2)]
-    for r in table.select("words", "tokens", "sizes", "held", "train").mapInArrow(run, schema).groupBy("tab", "chunk").applyInArrow(add, schema).toLocalIterator():
+    for r in sums.groupBy("tab", "chunk").applyInArrow(finish, "tab int, chunk int, data binary").toLocalIterator():
         part = np.frombuffer(r["data"], np.int8)
         tables[r["tab"]][r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
     return tables
 
 
-def first_weights(table: DataFrame, code: Code, tables: list[np.ndarray]) -> np.ndarray:
+def first_weights(table: DataFrame, code: Broadcast, tables: Broadcast) -> np.ndarray:
     """The weights that the calibration documents end with, averaged by the decisions at each gate."""
-    sent = table.sparkSession.sparkContext.broadcast((code, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tab = sent.value
-        u = Units(c)
+        tab = tables.value
+        u = Units.of(code.value)
         learned = np.zeros((3, mixing.GATES))
         for batch in batches:
             for i in range(batch.num_rows):
@@ -283,15 +292,16 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     table = blocks(docs, held_out, doc_id, text)
     size = table.agg(F.coalesce(F.sum(F.length("train")), F.lit(0)).alias("s")).first().s // 4
     totals = word_totals(table, max(1, -(-size // RANGE)))
-    code, n, distinct = make_code(totals, words)
-    code = _with_bytes(code, byte_counts(table))
-    tables = train_tables(table, code)
+    code, n, distinct = make_code(totals, byte_counts(table), words)
+    code_sent = table.sparkSession.sparkContext.broadcast(code)  # at most about `words` counts
+    tables = train_tables(table, code_sent)
     # Rounded, so that the order in which sums arrive leaves no trace in the scores.
-    sent = table.sparkSession.sparkContext.broadcast((code, tables, np.round(first_weights(table, code, tables), 6)))
+    tables_sent = table.sparkSession.sparkContext.broadcast(tables)  # 2**SLOTS bytes each
+    start = np.round(first_weights(table, code_sent, tables_sent), 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tab, start = sent.value
-        u = Units(c)
+        tab = tables_sent.value
+        u = Units.of(code_sent.value)
         key, counts = None, []
         for batch in batches:
             for i in range(batch.num_rows):
@@ -328,9 +338,3 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     met = answers.unionByName(bodies).repartition("block").sortWithinPartitions("block", "part")
     return met.mapInArrow(run, SCORES).withColumnRenamed("id", doc_id)
 
-
-def _with_bytes(code: Code, counts: np.ndarray) -> Code:
-    """The same words with the tree of these bytes."""
-    code.bytes = mixing.Tree(counts + 1, code.words.size)
-    code.odds = np.concatenate((code.words.odds, code.bytes.odds))
-    return code

@@ -26,9 +26,9 @@ STEP = 32
 RATE = [0.01] * 12 + [0.005] * 12
 LANES = 256
 #: Tokens whose decisions are held as arrays at once.
-WINDOW = 1 << 16
+WINDOW = 1 << 15
 #: Decisions that are counted at once: each count passes over a whole table.
-COUNTED = 1 << 22
+COUNTED = 1 << 21
 GATES = 24
 SCALE = 8.0
 #: First weights of each gate, of the two contexts' differences from order 0.  Spelling leans on its contexts from the
@@ -62,57 +62,79 @@ class Tree:
             heapq.heappush(heap, (a[0] + b[0], k))
             k += 1
         self.odds = (np.log(ones[n:k] + 0.4) - np.log(zeros[n:k] + 0.4)).astype(np.float32)
-        at, levels = np.arange(n), []
-        live = np.flatnonzero(parent[at] >= 0)
-        while len(live):
-            levels.append((live, parent[at[live]], side[at[live]]))
-            at[live] = parent[at[live]]
-            live = live[parent[at[live]] >= 0]
-        self.length = np.zeros(n, np.int64)
-        for who, _, _ in levels:
-            self.length[who] += 1
+        del heap
+        parent = parent.astype(np.int32)
+        depth = np.zeros(2 * n, np.int64)
+        for i in range(k - 2, -1, -1):  # a parent's number is above its children's
+            depth[i] = depth[parent[i]] + 1
+        self.length = depth[:n].copy()
         self.start = np.cumsum(self.length) - self.length
         self.nodes, self.bits, self.depth = np.zeros(int(self.length.sum()), np.int32), np.zeros(int(self.length.sum()), np.int8), np.zeros(int(self.length.sum()), np.int8)
-        for up, (who, node, bit) in enumerate(levels):
+        at, who = np.arange(n), np.flatnonzero(parent[:n] >= 0)
+        up = 0
+        while len(who):
             place = self.start[who] + self.length[who] - 1 - up
-            self.nodes[place], self.bits[place] = node - n + first_node, bit
+            here = at[who]
+            self.nodes[place], self.bits[place] = parent[here] - n + first_node, side[here]
             self.depth[place] = self.length[who] - 1 - up
+            at[who] = parent[here]
+            who = who[parent[at[who]] >= 0]
+            up += 1
         self.size = k - n
 
 
 class Code:
-    """Both trees.  ``hashes``: of the words in the tree, ascending; leaf len(hashes) is the escape."""
+    """Both trees.  ``hashes``: of the words in the tree, ascending; leaf len(hashes) is the escape.
+
+    It travels as the counts that it is made of, a tenth of its size, and is made anew where it arrives.
+    """
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, escapes: int, byte_counts: np.ndarray):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        self.words = Tree(np.append(counts[order], max(1, escapes)) + 0, 0)
+        self.made_of = (self.hashes, counts[order], escapes, byte_counts)
+        self.words = Tree(np.append(counts[order], max(1, escapes)), 0)
         self.bytes = Tree(byte_counts + 1, self.words.size)
         self.odds = np.concatenate((self.words.odds, self.bytes.odds))
+        self.units: Units | None = None
+
+    def __reduce__(self):
+        return Code, self.made_of
 
 
 class Units:
     """Decisions of a block's units as columns: first the leaves of the word tree, then the spellings of the block's other words.
 
     Unit i < leaves is leaf i of the tree; the leaf of the escape is followed by the word's spelling, a unit behind them.
+    Columns: order-0 log odds, gate and bit in one byte, and a key for each table, to which a word's context is added.
     """
 
     def __init__(self, code: Code):
         t = code.words
         self.code, self.leaves, self.fixed = code, len(t.length), len(t.nodes)
-        self.node, self.bit = t.nodes, t.bits
-        self.gate = (np.minimum(t.depth // 4, 3) * 3).astype(np.int8)
-        self.key = t.nodes.astype(np.uint32) * _A
-        self.columns = None
-
-    def load(self, words: list[bytes], hashes: np.ndarray, spell: np.ndarray | None = None) -> None:
-        """Take in a block's words.  ``spell``: words that have a leaf and are to be spelled as well."""
+        room = self.fixed + (self.fixed >> 1) + 1024
+        self.base, self.gb, self.keys = np.empty(room, np.float32), np.empty(room, np.int8), [np.empty(room, np.uint32) for _ in range(2)]
+        self.base[: self.fixed] = code.odds[t.nodes]
+        self.gb[: self.fixed] = np.minimum(t.depth // 4, 3) * 6 + t.bits
+        for k in self.keys:
+            k[: self.fixed] = t.nodes.astype(np.uint32) * _A
+
+    @staticmethod
+    def of(code: Code) -> Units:
+        """The process's units for a code."""
+        if code.units is None:
+            code.units = Units(code)
+        return code.units
+
+    def load(self, words: list[bytes], hashes: np.ndarray, hapax: bool = False) -> None:
+        """Take in a block's words.  ``hapax``: spell words as well that have a leaf but occur once in all training texts."""
         k = self.leaves - 1
         known_hashes = self.code.hashes
         leaf = np.minimum(np.searchsorted(known_hashes, hashes), max(0, k - 1))
         known = known_hashes[leaf] == hashes if k else np.zeros(len(hashes), bool)
         self.leaf = np.where(known, leaf, k)
-        spelled = ~known if spell is None else ~known | spell
+        self.hapax = known & (np.append(self.code.made_of[1], 0)[self.leaf] == 1) if hapax else np.zeros(len(hashes), bool)
+        spelled = ~known | self.hapax
         odd = np.flatnonzero(spelled)
         self.unit = np.full(len(hashes), -1, np.int64)
         self.unit[odd] = self.leaves + np.arange(len(odd))
@@ -137,13 +159,18 @@ class Units:
         letters = tb.length[text]
         source = ranges(tb.start[text], letters)
         node = tb.nodes[source]
-        key = node.astype(np.uint32) * _A
-        self.slots = [slot(np.repeat(c, letters) + key, True) for c in (two, four)]
         tail = np.add.reduceat(letters, ends - size - 1) if len(raw) else np.empty(0, np.int64)
         self.length = np.concatenate((self.code.words.length, tail))
         self.start = np.concatenate((self.code.words.start, self.fixed + np.cumsum(tail) - tail))
-        self.spell_node, self.spell_bit = node, tb.bits[source]
-        self.spell_gate = (12 + np.minimum(np.repeat(place, letters), 3) * 3).astype(np.int8)
+        stop = self.fixed + len(node)
+        if stop > len(self.base):
+            more = stop - len(self.base)
+            self.base, self.gb = np.concatenate((self.base, np.empty(more, np.float32))), np.concatenate((self.gb, np.empty(more, np.int8)))
+            self.keys = [np.concatenate((k, np.empty(more, np.uint32))) for k in self.keys]
+        self.base[self.fixed : stop] = self.code.odds[node]
+        self.gb[self.fixed : stop] = (12 + np.minimum(np.repeat(place, letters), 3) * 3) * 2 + tb.bits[source]
+        for k, c in zip(self.keys, (two, four), strict=True):
+            k[self.fixed : stop] = np.repeat(c, letters) + node.astype(np.uint32) * _A
 
     def sequence(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(units, index of the token of each): a token's leaf, then its spelling if it has no leaf."""
@@ -156,12 +183,17 @@ class Units:
         return units, which
 
 
-def slot(h: np.ndarray, spelling: bool) -> np.ndarray:
+def slot(h: np.ndarray, gb: np.ndarray) -> np.ndarray:
     """The table slot of mixed keys; spelling has the last quarter of the table to itself."""
     h ^= h >> np.uint32(15)
     h *= _B
     h >>= np.uint32(32 - SLOTS)
-    return (h >> np.uint32(2)) + np.uint32(3 << (SLOTS - 2)) if spelling else h - (h >> np.uint32(2))
+    quarter = h >> np.uint32(2)
+    h -= quarter
+    spelled = np.flatnonzero(gb >= 24)
+    if len(spelled):
+        h[spelled] = quarter[spelled] + np.uint32(3 << (SLOTS - 2))
+    return h
 
 
 def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,58 +209,52 @@ def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple
 
 
 def decisions(units: np.ndarray, c1: np.ndarray, c2: np.ndarray, u: Units):
-    """(node, bit, gate, slots of both tables, decisions of each unit); units in the order given."""
+    """(index into the columns, gate and bit, slots of both tables, decisions of each unit); a spelling's contexts are its own."""
     n = u.length[units]
     at = ranges(u.start[units], n)
-    spelled = at >= u.fixed
-    if not spelled.any():
-        key = u.key[at]
-        return u.node[at], u.bit[at], u.gate[at], slot(np.repeat(c1, n) + key, False), slot(np.repeat(c2, n) + key, False), n
-    word, tail = np.flatnonzero(~spelled), np.flatnonzero(spelled)
-    i, j = at[word], at[tail] - u.fixed
-    key = u.key[i]
-    merged = []
-    for a, b in ((u.node[i], u.spell_node[j]), (u.bit[i], u.spell_bit[j]), (u.gate[i], u.spell_gate[j]), (slot(np.repeat(c1, n)[word] + key, False), u.slots[0][j]), (slot(np.repeat(c2, n)[word] + key, False), u.slots[1][j])):
-        x = np.empty(len(at), a.dtype)
-        x[word], x[tail] = a, b
-        merged.append(x)
-    return (*merged, n)
+    gb = u.gb[at]
+    spelled = units >= u.leaves
+    slots = []
+    for key, c in zip(u.keys, (c1, c2), strict=True):
+        h = np.repeat(np.where(spelled, np.uint32(0), c), n)
+        h += key[at]
+        slots.append(slot(h, gb))
+    return at, gb, slots[0], slots[1], n
 
 
 def count(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, once: np.ndarray, u: Units, tables: list[np.ndarray]) -> None:
     """Add the decisions of the tokens to the tables: slot s has its zeros at 2 s and its ones at 2 s + 1.
 
-    Spelling does not depend on other words, so it is added once for each distinct word, times its occurrences; words
-    ``once`` in the block are spelled even if they have a leaf, so that spelling is learned where few words lack one.
+    Spelling does not depend on other words, so it is added once for each distinct word, times its occurrences.  Words seen
+    once in all (``once`` marks those seen here) are spelled even if they have a leaf: they are what new words look like.
     """
     c1, c2 = contexts(tokens, hashes, first)
     leaf = u.leaf[tokens]
-    t = u.code.words
     found: list[list[np.ndarray]] = [[], []]
     held = 0
     for a in range(0, len(tokens), WINDOW):
-        part = leaf[a : a + WINDOW]
-        n = t.length[part]
-        at = ranges(t.start[part], n)
-        key, bit = u.key[at], u.bit[at]
-        for parts, c in zip(found, (c1, c2), strict=True):
-            h = slot(np.repeat(c[a : a + WINDOW], n) + key, False)
-            h <<= np.uint32(1)
-            h += bit.astype(np.uint32)
-            parts.append(h)
-        held += len(at)
-        if held >= COUNTED or a + WINDOW >= len(tokens):
+        b = a + WINDOW
+        _, gb, s1, s2, _ = decisions(leaf[a:b], c1[a:b], c2[a:b], u)
+        bit = (gb & 1).astype(np.uint32)
+        for parts, s in zip(found, (s1, s2), strict=True):
+            s <<= np.uint32(1)
+            s += bit
+            parts.append(s)
+        held += len(gb)
+        if held >= COUNTED or b >= len(tokens):
             for table, parts in zip(tables, found, strict=True):
                 table += np.bincount(np.concatenate(parts), minlength=len(table)).astype(np.uint32)
                 parts.clear()
             held = 0
     words = np.flatnonzero(u.unit >= 0)
     times = np.where(u.known[words], once[words], np.bincount(tokens, minlength=len(u.unit))[words])
-    units = u.unit[words]
-    weight = np.repeat(times, u.length[units])
-    j = ranges(u.start[units], u.length[units]) - u.fixed
-    for table, s in zip(tables, u.slots, strict=True):
-        table += np.bincount(s[j].astype(np.int64) * 2 + u.spell_bit[j], weights=weight, minlength=len(table)).astype(np.uint32)
+    none = np.zeros(len(words), np.uint32)
+    for a in range(0, len(words), WINDOW):
+        b = a + WINDOW
+        _, gb, s1, s2, n = decisions(u.unit[words[a:b]], none[a:b], none[a:b], u)
+        weight = np.repeat(times[a:b], n)
+        for table, s in zip(tables, (s1, s2), strict=True):
+            table += np.bincount(s.astype(np.int64) * 2 + (gb & 1), weights=weight, minlength=len(table)).astype(np.uint32)
 
 
 def score(tokens: np.ndarray, n_tokens: np.ndarray, hashes: np.ndarray, u: Units, tables: list[np.ndarray], start=START, learned: np.ndarray | None = None) -> np.ndarray:
@@ -270,17 +296,17 @@ def _lanes(tokens, c1, c2, starts, sizes, u, tables, start, learned) -> np.ndarr
         where, lane = np.concatenate(picked), np.concatenate(who)
         units, which = u.sequence(tokens[where])
         at = where[which]
-        node, bit, gate, s1, s2, n = decisions(units, c1[at], c2[at], u)
+        row, gb, s1, s2, n = decisions(units, c1[at], c2[at], u)
         edge = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(which, cuts)]
         t2 = tables[1][s2]
-        base = u.code.odds[node]
-        x1 = tables[0][s1].astype(np.float32) / np.float32(SCALE) - base
-        x2 = t2.astype(np.float32) / np.float32(SCALE) - base
+        base = u.base[row]
+        x1 = tables[0][s1] * np.float32(1 / SCALE) - base
+        x2 = t2 * np.float32(1 / SCALE) - base
         sure = np.abs(t2)
         owner = np.repeat(lane[which].astype(np.int32), n)
-        place = (owner * GATES + gate + (sure > 6) + (sure > 20)).astype(np.int64)
-        sign = 1 - 2 * bit.astype(np.float32)
-        cost = np.empty(len(node), np.float32)
+        place = (owner * GATES + (gb >> 1) + (sure > 6) + (sure > 20)).astype(np.int64)
+        sign = 1 - 2 * (gb & 1).astype(np.float32)
+        cost = np.empty(len(row), np.float32)
         for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
             live = (int(lane[cuts[i + 1] - 1]) + 1) * GATES
             g, s, y1, y2 = place[a:b], sign[a:b], x1[a:b], x2[a:b]
