@@ -10,7 +10,11 @@ ignored; raw text elements) give a tree, which a renderer without recursion walk
 
 Not visible: head, scripts, styles, templates, noscript, media and form controls without text, elements with ``hidden``,
 ``display: none`` or ``visibility: hidden`` in their style or by a simple rule (element, class or id) of a style sheet on
-the page, and what a closed ``details`` holds beside its summary.
+the page, and what a closed ``details`` holds beside its summary.  Of several rules the one that CSS prefers decides
+(importance, the element's own style, layers, specificity, order).  Rules of ``@media`` hold if a screen of SCREEN pixels meets the query;
+a query with another feature does not hold, nor do rules of other at-rules than ``@supports`` and ``@layer``.
+
+Formulas show their text without annotations, fractions' parts set apart; drawings (svg) what their text elements hold, each on its own line.
 
 Defined cases: null or empty HTML is the empty text; text without tags is rendered as such; unclosed comments and raw
 text end with the page; nesting may be of any depth; repeated rows each get a row; an empty table gives an empty result.
@@ -31,14 +35,17 @@ WIDEST = 40
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s]+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"display\s*:\s*none", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+_CSS_SKIP = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->|(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*')", re.S)
+_CSS_STOP = re.compile(r"[{};]")
+_FEATURE = re.compile(r"\((min-|max-)?(width|height)\s*(:|[<>]=?)\s*(\d*\.?\d+)(px|em|rem)?\)")
+SCREEN = {"width": 1280, "height": 720}
 _SIMPLE = re.compile(r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)?$")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
-UNSEEN = frozenset("head script style title template noscript iframe noframes object audio video canvas svg math datalist area map param source track".split())
+UNSEEN = frozenset("head script style title template noscript iframe noframes object audio video canvas annotation annotation-xml mphantom datalist area map param source track".split())
+#: What a drawing holds but does not show where it stands.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr menu".split())
 BLOCKS = SPACED | frozenset("address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup html legend li main nav option optgroup section select summary tbody td tfoot th thead tr".split())
 #: A start tag closes these open elements, up to the scope's end.
@@ -149,10 +156,10 @@ def build(html: str) -> tuple[Node, list[str]]:
             elif tag == "tr" and stack[-1].tag == "table":
                 stack.append(open_("tbody", ""))
         node = open_(tag, attributes)
-        if tag in RAW:
+        if tag in RAW and not (attributes.endswith("/") and any(x.tag in ("svg", "math") for x in stack)):
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             text = html[at : stop.start()] if stop else html[at:]
-            if tag == "style":
+            if tag == "style" and media_holds(node.get("media") or ""):
                 sheets.append(text)
             elif tag == "textarea":
                 node.children.append(text)
@@ -167,13 +174,96 @@ def build(html: str) -> tuple[Node, list[str]]:
     return root, sheets
 
 
-def hidden_selectors(sheets: list[str]) -> set[str]:
-    """Simple selectors (element, .class, #id, or element with one of these) that hide."""
-    out: set[str] = set()
+def media_holds(query: str) -> bool:
+    """Whether a screen of SCREEN pixels meets one of the media queries."""
+    return not query.strip() or any(_query_holds(" ".join(q.lower().split())) for q in query.split(","))
+
+
+def _query_holds(query: str) -> bool:
+    denied = query.startswith("not ")
+    kind, *features = re.split(r"\band\b", query.removeprefix("not ").removeprefix("only "))
+    if kind.strip().startswith("("):
+        kind, features = "all", [kind, *features]
+    holds = kind.strip() in ("all", "screen")
+    for f in features:
+        f = f.strip()
+        if m := _FEATURE.fullmatch(f):
+            have, want = SCREEN[m[2]], float(m[4]) * (1 if m[5] == "px" else 16)
+            sign = {"min-": ">=", "max-": "<="}.get(m[1], "==") if m[3] == ":" else m[3]
+            holds &= {">=": have >= want, "<=": have <= want, "==": have == want, ">": have > want, "<": have < want}[sign]
+        elif f in ("(orientation: portrait)", "(orientation:portrait)"):
+            holds = False
+        elif f not in ("(orientation: landscape)", "(orientation:landscape)"):
+            return False
+    return holds != denied
+
+
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """display and visibility as the declarations set them, with their importance."""
+    out: dict[str, tuple[bool, str]] = {}
+    for d in style.split(";"):
+        name, _, value = d.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in ("display", "visibility") and value:
+            bare = re.sub(r"\s*!\s*important$", "", value)
+            important = bare != value
+            if (name == "display" or bare in ("hidden", "collapse", "visible")) and important >= out.get(name, (False,))[0]:
+                out[name] = important, bare
+    return out
+
+
+def sheet_rules(sheets: list[str]) -> dict[str, dict[str, tuple]]:
+    """For each simple selector (element, .class, #id, or element with one of these) and property: (rank, value), the highest rank of CSS."""
+    out: dict[str, dict[str, tuple]] = {}
+    order = 0
     for sheet in sheets:
-        for selectors, rule in _RULE.findall(re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)):
-            if _HIDES.search(rule) or re.search(r"visibility\s*:\s*(hidden|collapse)", rule, re.I):
-                out.update(s for x in selectors.split(",") if (s := x.strip()) and _SIMPLE.match(s))
+        css = _CSS_SKIP.sub(lambda m: '""' if m[1] else " ", sheet)
+        at = start = 0
+        # Open blocks: (kind, selectors or nothing, own declarations); rules within a rule or a block that does not hold are passed over.
+        blocks: list[tuple[str, str, list[str]]] = []
+        layers = 0
+        while at <= len(css):
+            m = _CSS_STOP.search(css, at)
+            stop, end = (m[0], m.start()) if m else ("}", len(css))
+            text = css[start:end].strip()
+            at = start = end + 1
+            if stop == "{":
+                passed = bool(blocks) and blocks[-1][0] in ("rule", "passed")
+                if passed:
+                    kind = "passed"
+                elif text.startswith("@"):
+                    name, _, rest = text[1:].replace("(", " (", 1).partition(" ")
+                    name = name.lower()
+                    holds = name == "layer" or name == "media" and media_holds(rest) or name == "supports" and not rest.strip().lower().startswith("not")
+                    kind = ("layer" if name == "layer" else "group") if holds else "passed"
+                else:
+                    kind = "rule"
+                layers += kind == "layer"
+                blocks.append((kind, text, []))
+                continue
+            if blocks and blocks[-1][0] == "rule" and text:
+                blocks[-1][2].append(text)
+            if stop == "}" and blocks:
+                kind, selectors, own = blocks.pop()
+                layers -= kind == "layer"
+                if m is None and blocks:
+                    at = start = len(css)  # the sheet's end closes what is open
+                if kind != "rule":
+                    continue
+                found = declared(";".join(own))
+                order += 1
+                for x in selectors.split(",") if found else ():
+                    x = x.strip()
+                    if not x or not _SIMPLE.match(x):
+                        continue
+                    cut = min((i for i in (x.find("."), x.find("#")) if i >= 0), default=len(x))
+                    element = x[:cut].lower()
+                    key = ("" if element == "*" and cut < len(x) else element) + x[cut:]
+                    weight = ("#" in x, "." in x, element not in ("", "*"))
+                    for name, (important, value) in found.items():
+                        rank = (important, False, not layers, weight, order)
+                        if name not in (had := out.setdefault(key, {})) or had[name][0] < rank:
+                            had[name] = rank, value
     return out
 
 
@@ -259,26 +349,31 @@ def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     return out
 
 
-def _hidden(node: Node, rules: set[str]) -> tuple[bool, str | None]:
+def _hidden(node: Node, rules: dict[str, dict[str, tuple]]) -> tuple[bool, str | None]:
     """(not displayed at all, visibility that it sets)."""
     if node.tag in UNSEEN or node.tag == "input":
         return True, None
     low = node.attributes.lower() if node.attributes else ""
+    best: dict[str, tuple] = {}
     if "hidden" in low and node.get("hidden") is not None:
-        return True, None
-    seen = None
-    if "style" in low and (style := node.get("style")):
-        if _HIDES.search(style):
-            return True, None
-        if m := _VISIBILITY.search(style):
-            seen = "visible" if m[1].lower() == "visible" else "hidden"
+        best["display"] = (), "none"
     if rules:
-        names = [node.tag, *(f".{c}" for c in (node.get("class") or "").split())]
+        names = [f".{c}" for c in (node.get("class") or "").split()]
         if i := node.get("id"):
             names.append(f"#{i}")
-        if any(x in rules or node.tag + x in rules for x in names):
-            return True, None
-    return False, seen
+        for x in ("*", node.tag, *names, *(node.tag + x for x in names)):
+            for name, found in rules.get(x, {}).items():
+                if name not in best or best[name][0] < found[0]:
+                    best[name] = found
+    if "style" in low and (style := node.get("style")):
+        for name, (important, value) in declared(_CSS_SKIP.sub(lambda m: '""' if m[1] else " ", style)).items():
+            if name not in best or best[name][0] < (important, True):
+                best[name] = (important, True), value
+    if "display" in best and best["display"][1] == "none":
+        return True, None
+    if "visibility" in best:
+        return False, "visible" if best["visibility"][1] == "visible" else "hidden"
+    return False, None
 
 
 def _number(text: str | None, default: int) -> int:
@@ -291,21 +386,24 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     root, sheets = build(html)
-    rules = hidden_selectors(sheets)
+    rules = sheet_rules(sheets)
     page = Page()
     pages, tables, lists = [page], [], []
     shown = True
+    drawn = ""  # in a drawing: "svg", or "text" within a text element
     todo: list = [("in", root)]
     while todo:
         step, x, *more = todo.pop()
         page = pages[-1]
         if step == "text":
-            if shown:
+            if shown and drawn != "svg":
                 page.text(x)
             continue
         if step == "out":
-            shown = more[0]
             tag = x.tag
+            if drawn == "text" and tag == "text" and more[2] == "svg":
+                page.break_line()
+            shown, drawn = more[0], more[2]
             if tag == "pre" or tag == "textarea":
                 page.break_line()
                 page.pre -= 1
@@ -334,9 +432,16 @@ def render(html: str | None) -> str:
                     page.gap = bool(page.lines)
             continue
         gone, visibility = _hidden(x, rules)
-        if gone:
+        if gone or drawn and x.tag in UNDRAWN:
             continue
-        tag, was = x.tag, shown
+        tag, was, around = x.tag, shown, drawn
+        if tag == "svg":
+            drawn = "svg"
+        elif drawn == "svg" and tag == "text":
+            drawn = "text"
+            page.break_line()
+        elif drawn and tag == "foreignobject":
+            drawn = ""
         if visibility:
             shown = visibility == "visible"
         if tag == "br":
@@ -371,12 +476,14 @@ def render(html: str | None) -> str:
             pages[-1].pre += 1
         elif extra and page.pre:
             pages[-1].pre = page.pre
-        todo.append(("out", x, was, extra))
+        todo.append(("out", x, was, extra, around))
         children = x.children
         if tag == "details" and x.get("open") is None:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
         if tag == "pre" and children and isinstance(children[0], str):
             children = [children[0].removeprefix("\n"), *children[1:]]
+        if tag in ("mfrac", "mtable", "mtr"):
+            children = [y for c in children for y in (c, " ")]
         for c in reversed(children):
             todo.append(("text", c) if isinstance(c, str) else ("in", c))
     return "\n".join(pages[0].done())

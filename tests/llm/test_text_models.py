@@ -255,6 +255,29 @@ def test_html_edges(html, want):
     assert html_layout.render(html) == want
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<style>@media print { .nav, #side { display:none } } .x{display:none}</style><p class=nav>a<p id=side>b<p class=x>c", "a\n\nb"),
+        ("<style>@media (max-width: 600px) { p { display:none } }</style><p>a", "a"),
+        ("<style>p{display:none} @media (min-width: 600px) { p { display:block } }</style><p>a", "a"),
+        ("<style>@media screen { p { display:none } }</style><p>a", ""),
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style>@import 'x'; .x{display:none} @keyframes k { from {visibility:hidden} }</style><p class=x>a<p>b", "b"),
+        ("<style>.x{display:none} .x{display:block}</style><p class=x>a", "a"),
+        ("<style>#i{display:none} .x{display:block}</style><p class=x id=i>a", ""),
+        ("<style>.x{display:none !important} .x{display:block}</style><p class=x style='display:block'>a", ""),
+        ("<style>.x{display:none}</style><p class=x style='display:block'>a", "a"),
+        ("<style>.x{color:red; @media print {display:none}} .y{content:'}'; display:none</style><p class=x>a<p class=y>b", "a"),
+        ("<style>.x{visibility:hidden} .y{visibility:visible}</style><div class=x>a<b class=y>b</b><b style='visibility:visible'>c</b></div>", "bc"),
+        ("<p>so <math><mfrac><mi>a</mi><mi>b</mi></mfrac><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "so a b =1"),
+        ("<p>x<svg><title/><desc>no</desc><defs><text>no</text></defs><g>no<path d='M0'/><text>one</text><text>t<tspan>wo</tspan></text></g></svg>y", "x\none\ntwo\ny"),
+    ],
+)
+def test_style_rules_formulas_and_drawings(html, want):
+    assert html_layout.render(html) == want
+
+
 def test_every_visible_word_is_kept(spark):
     pages = duckdb.connect().execute(f"select html from read_parquet('{SF}/pages.parquet')").fetchall()
     for (html,) in pages:
