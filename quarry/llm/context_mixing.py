@@ -5,11 +5,13 @@
 2. Word counts: each block sends each distinct word's hash and count once, packed by hash range; one task per range adds
    them up exactly and answers every block.  So counts cover all training documents, and a word of every document costs
    one entry per block.
-3. The words with at least a certain count (so that about WORDS remain) get the leaves of the code tree; the tasks then
-   count all decisions of all training blocks in hashed tables of fixed size, which add up chunk by chunk.
-4. One in CALIBRATE training documents stays out of the tables: what the mixer has learned at its end, averaged, is where
-   every document's weights begin.
-5. Trees and tables are sent to all tasks (their size is fixed by WORDS and SLOTS), and every document is scored.
+3. The most frequent words (``tree_words``: their number grows with the training tokens) get the leaves of the code tree.
+4. Each block sends the distinct pairs of context and symbol of its texts, with how often its training documents have them,
+   packed by hash range; one task per range adds them up exactly and answers every block with the log odds along its
+   pairs' paths.  So no table is of fixed size, none is sent to all tasks, and a task holds about PAIRS pairs.
+5. One in CALIBRATE training documents is first scored by the counts of the others: what the mixer has learned at its end,
+   averaged, is where every document's weights begin.  The counts by which all documents are scored have these too.
+6. The code's counts are sent to all tasks; each block meets its answers and is scored.
 
 Defined cases: a null or empty text is its end token alone; without training documents every base probability is 1 (its
 logarithm 0) and the model knows only the escape and bytes; repeated ids each get a row; an empty table gives none; a
@@ -18,7 +20,7 @@ document longer than a block is a block of its own.
 
 from __future__ import annotations
 
-import math
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -26,18 +28,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
 from quarry.llm.common import materialize, texts_of, trim, tune
-from quarry.llm.mixing import SCALE, SLOTS, WORDS, Code, Units, ranges
+from quarry.llm.mixing import Code, Symbols, ranges, tree_words
 
 BLOCK = 1 << 22
 #: Distinct words of all blocks that one range of hashes adds up, about.
 RANGE = 1 << 21
-CHUNK = 1 << 15
-#: One in so many training documents is kept out of the tables and sets the mixer's first weights instead.
+#: Pairs of all blocks that one range of hashes adds up, about.
+PAIRS = 1 << 21
+#: One in so many training documents sets the mixer's first weights, by the counts of the others.
 CALIBRATE = 16
 BLOCKS = "block bigint, ids binary, held binary, sizes binary, words binary, tokens binary, train binary"
 END = b""
@@ -88,7 +91,7 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
             yield flush()
         trim()
 
-    # 0: learned in tables, 1: held out, 2: sets the mixer's first weights.
+    # 0: training, 1: held out, 2: training, and sets the mixer's first weights.
     part = F.when(held_out, 1).when(F.pmod(F.xxhash64(doc_id, text), F.lit(CALIBRATE)) == 0, 2).otherwise(0)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), part.alias("held"), F.col(text).alias("text"))
     return materialize(rows.mapInArrow(run, BLOCKS), "blocks")
@@ -123,14 +126,14 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(parts, b)), pa.array(np.arange(parts, dtype=np.int32)),
-                        pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([n[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary()),
+                        pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([_press(n[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.binary()),
                     ],
                     names=["block", "part", "hashes", "counts"],
                 )
 
     def add(group: pa.Table) -> pa.Table:
         h = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-        n = [np.frombuffer(x, "<u4").astype(np.int64) for x in group.column("counts").to_pylist()]
+        n = [_unpress(x, len(k), np.uint32).astype(np.int64) for x, k in zip(group.column("counts").to_pylist(), h, strict=True)]
         keys, where = np.unique(np.concatenate(h), return_inverse=True)
         total = np.zeros(len(keys), np.int64)
         np.add.at(total, where, np.concatenate(n))
@@ -139,7 +142,7 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
         hist = np.bincount(np.log2(np.maximum(total[seen], 1)).astype(np.int64), minlength=64)
         part = group.column("part")[0].as_py()
         rows = [
-            {"block": b, "part": part, "counts": total[where[e - len(x) : e]].astype("<i8").tobytes(), "n": None, "distinct": None, "hist": None, "hashes": None, "totals": None}
+            {"block": b, "part": part, "counts": _press(total[where[e - len(x) : e]]), "n": len(x), "distinct": None, "hist": None, "hashes": None, "totals": None}
             for b, e, x in zip(group.column("block").to_pylist(), ends, h, strict=True)
         ]
         rows.append(
@@ -154,13 +157,14 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
 _TOTALS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64()), ("hist", pa.binary()), ("hashes", pa.binary()), ("totals", pa.binary())])
 
 
-def make_code(totals: DataFrame, bytes_: np.ndarray, words: int = WORDS) -> tuple[Code, int, int]:
-    """(code, training tokens, distinct words): the tree holds the words whose count is at least the power of two that leaves at most ``words``, and the most frequent of the next."""
+def make_code(totals: DataFrame, bytes_: np.ndarray, words: int | None = None) -> tuple[Code, int, int]:
+    """(code, training tokens, distinct words): the tree holds the words whose count is at least the power of two that leaves at most ``words`` (by default as ``tree_words`` has it), and some of the next."""
     own = totals.where("block = -1")
     n = distinct = 0
     hist = np.zeros(64, np.int64)
     for r in own.select("n", "distinct", "hist").toLocalIterator():
         n, distinct, hist = n + r.n, distinct + r.distinct, hist + np.frombuffer(r["hist"], "<i8")
+    words = tree_words(n) if words is None else words
     above = np.cumsum(hist[::-1])[::-1]
     level = next((k for k in range(64) if above[k] <= words), 0)
     room = words - int(above[level]) if level else 0
@@ -207,78 +211,170 @@ def _block(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     return words, word_hashes(words), np.frombuffer(zlib.decompress(row["tokens"]), "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
 
 
-def train_tables(table: DataFrame, code: Broadcast) -> list[np.ndarray]:
-    """Log odds of every slot of both tables, as signed bytes in units of 1 / SCALE."""
-    salts = math.isqrt(max(1, table.rdd.getNumPartitions()))
+def _press(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of their bytes, compressed."""
+    return _ZSTD.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u = Units.of(code.value)
-        salt = TaskContext.get().partitionId() % salts
-        tables = [np.zeros(2 << SLOTS, np.uint32) for _ in range(2)]
+
+def _unpress(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(_ZSTD.decompress(data, n * size, asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _symbols(row: dict, code: Code) -> tuple[Symbols, np.ndarray, np.ndarray, tuple]:
+    """(the block's documents as symbols; tokens; tokens of each document; the block)."""
+    words, hashes, tokens, sizes = block = _block(row)
+    first = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return Symbols(tokens, first, words, hashes, code), tokens, sizes, block
+
+
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of what is materialized go now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+PAIR_ROWS = "block bigint, part int, size int, pairs binary, train binary, first binary"
+ANSWERS = "block bigint, part int, size int, odds binary, first_size int, first_odds binary"
+_ANSWERS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("odds", pa.binary()), ("first_size", pa.int32()), ("first_odds", pa.binary())])
+
+
+def pair_odds(table: DataFrame, code: Broadcast, parts: int) -> DataFrame:
+    """For each block and range: the log odds of the block's pairs in ascending order; and of those of its calibration documents, by the other documents' counts."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = code.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {x: batch.column(x)[i].as_py() for x in ("words", "tokens", "sizes", "held", "train")}
-                words, hashes, tokens, sizes = _block(row)
-                u.load(words, hashes, hapax=True)
-                once = u.hapax & (np.frombuffer(row["train"], "<u4") > 0)
-                keep = np.frombuffer(row["held"], np.uint8) == 0
-                starts = (np.cumsum(sizes) - sizes)[keep]
-                n = sizes[keep]
-                if len(n):
-                    mixing.count(tokens[ranges(starts, n)], np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), hashes, once, u, tables)
-        for k, x in enumerate(tables):
-            for a in range(0, len(x), 2 * CHUNK):
-                part = x[a : a + 2 * CHUNK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a // (2 * CHUNK)], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.astype("<u4").tobytes(), 1)], pa.binary())], names=["tab", "chunk", "salt", "data"])
-        del tables, u
+                row = {x: batch.column(x)[i].as_py() for x in ("block", "words", "tokens", "sizes", "held", "train")}
+                text, tokens, sizes, (words, _, _, _) = _symbols(row, c)
+                pairs, number = np.unique(np.concatenate((text.one, text.both)), return_inverse=True)
+                part = np.repeat(np.repeat(np.frombuffer(row["held"], np.uint8), sizes), text.n)
+                count = [np.bincount(number, weights=np.tile(part == k, 2), minlength=len(pairs)).astype(np.uint32) for k in (0, 2)]
+                del number
+                yield _dealt(row["block"], pairs, *count, parts)
+                # Words seen once in all are spelled even if they have a leaf: they are what new words look like.
+                once = np.flatnonzero(text.known & (np.append(c.counts, 0)[text.leaf] == 1) & (np.frombuffer(row["train"], "<u4") > 0))
+                if len(once):
+                    _, _, two, four, size, _ = mixing.spelled([words[k] for k in once], c)
+                    mark = np.zeros(len(words), np.uint8)
+                    mark[tokens] = np.maximum(mark[tokens], np.repeat(np.where(np.frombuffer(row["held"], np.uint8) == 2, 2, 0), sizes))
+                    pairs, number = np.unique(np.concatenate((two, four)), return_inverse=True)
+                    part = np.tile(np.repeat(mark[once], size), 2)
+                    yield _dealt(-1, pairs, *(np.bincount(number, weights=part == k, minlength=len(pairs)).astype(np.uint32) for k in (0, 2)), parts)
         trim()
 
-    def total(group: pa.Table) -> np.ndarray:
-        out = np.zeros(2 * CHUNK, np.int64)
-        for x in group.column("data"):
-            out += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
-        return out
-
     def add(group: pa.Table) -> pa.Table:
-        return pa.table({"tab": group.column("tab")[:1], "chunk": group.column("chunk")[:1], "salt": group.column("salt")[:1], "data": pa.array([zlib.compress(total(group).astype("<u4").tobytes(), 1)], pa.binary())})
+        c = code.value
+        rows = group.to_pylist()
+        pairs, number = np.unique(np.concatenate([np.cumsum(_unpress(r["pairs"], r["size"], np.uint64), dtype=np.uint64) for r in rows]), return_inverse=True)
+        first = [_unpress(r["first"], r["size"], np.uint32) for r in rows]
+        train = np.bincount(number, weights=np.concatenate([_unpress(r["train"], r["size"], np.uint32) for r in rows]), minlength=len(pairs))
+        every, place = mixing.context_odds(pairs, train + np.bincount(number, weights=np.concatenate(first), minlength=len(pairs)), c)
+        others, _ = mixing.context_odds(pairs, train, c)
+        length = c.length[(pairs & np.uint64((1 << mixing.SYMBOL) - 1)).astype(np.int64)]
+        out, a = [], 0
+        for r, f in zip(rows, first, strict=True):
+            own = number[a : a + r["size"]]
+            a += r["size"]
+            if r["block"] >= 0:
+                odds = every[ranges(place[own], length[own])]
+                own = own[f > 0]
+                early = others[ranges(place[own], length[own])]
+                out.append({"block": r["block"], "part": r["part"], "size": len(odds), "odds": _press(odds), "first_size": len(early), "first_odds": _press(early)})
+        del every, others, number
+        return pa.Table.from_pylist(out, schema=_ANSWERS)
+
+    sent = table.select("block", "words", "tokens", "sizes", "held", "train").mapInArrow(send, PAIR_ROWS)
+    return materialize(sent.groupBy("part").applyInArrow(add, ANSWERS), "pair-odds")
+
+
+def _steps(pairs: np.ndarray) -> np.ndarray:
+    return np.diff(pairs, prepend=np.uint64(0))
+
+
+def _dealt(block: int, pairs: np.ndarray, train: np.ndarray, first: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Ascending pairs by range of hashes."""
+    cut = np.searchsorted((pairs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+    some = [(k, x, y) for k, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+    columns = [pa.array([_press(f(v[x:y])) for _, x, y in some], pa.binary()) for f, v in ((_steps, pairs), (np.asarray, train), (np.asarray, first))]
+    return pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([k for k, _, _ in some], pa.int32()), pa.array([y - x for _, x, y in some], pa.int32()), *columns], names=["block", "part", "size", "pairs", "train", "first"])
+
+
+def _where(text: Symbols, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Where the log odds of each symbol's pairs begin, if those of all distinct pairs follow each other in ascending order."""
+    pairs, number = np.unique(np.concatenate((text.one, text.both)), return_inverse=True)
+    length = code.length[(pairs & np.uint64((1 << mixing.SYMBOL) - 1)).astype(np.int64)]
+    at = (np.cumsum(length) - length)[number]
+    return at[: len(text.one)], at[len(text.one) :]
+
+
+#: A block's answers come before the block, in order of range: first those on its words, then those on its pairs.
+MET = ("block", "part", "size", "counts", "odds", "ids", "held", "sizes", "words", "tokens")
+ODDS, BODY = 1 << 29, 1 << 30
+
+
+def _met(table: DataFrame, answers: DataFrame, totals: DataFrame | None) -> DataFrame:
+    empty = {"size": F.lit(None).cast("int"), **{c: F.lit(None).cast("binary") for c in MET[3:]}}
+    row = lambda df, part, **cols: df.select("block", part.alias("part"), *(cols.get(c, empty[c]).alias(c) for c in MET[2:]))
+    out = row(answers, F.col("part") + ODDS, size=F.col("size"), odds=F.col("odds")).unionByName(row(table, F.lit(BODY), **{c: F.col(c) for c in MET[5:]}))
+    if totals is not None:
+        out = out.unionByName(row(totals.where("block >= 0"), F.col("part"), size=F.col("n").cast("int"), counts=F.col("counts")))
+    return out.repartition("block").sortWithinPartitions("block", "part")
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.ndarray], np.ndarray]]:
+    """(block, its answers on words, the log odds of its pairs)."""
+    key, counts, odds = None, [], []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {x: batch.column(x)[i].as_py() for x in MET}
+            if row["block"] != key:
+                key, counts, odds = row["block"], [], []
+            if row["part"] == BODY:
+                yield row, counts, np.concatenate([np.empty(0, np.int8), *odds])
+            elif row["part"] >= ODDS:
+                odds.append(_unpress(row["odds"], row["size"], np.int8))
+            else:
+                counts.append(_unpress(row["counts"], row["size"], np.int64))
+
+
+def calibration(table: DataFrame) -> DataFrame:
+    """The calibration documents of each block, as a block."""
 
-    def finish(group: pa.Table) -> pa.Table:
-        n = total(group)
-        odds = np.log(n[1::2] + 0.4) - np.log(n[::2] + 0.4)
-        return pa.table({"tab": group.column("tab")[:1], "chunk": group.column("chunk")[:1], "data": pa.array([np.clip(np.rint(odds * SCALE), -127, 127).astype(np.int8).tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {x: batch.column(x)[i].as_py() for x in ("block", "held", "sizes", "words", "tokens")}
+                if 2 not in row["held"]:
+                    continue
+                words, tokens, sizes = split_words(row["words"]), np.frombuffer(zlib.decompress(row["tokens"]), "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
+                keep = np.frombuffer(row["held"], np.uint8) == 2
+                here, local = np.unique(tokens[ranges((np.cumsum(sizes) - sizes)[keep], sizes[keep])], return_inverse=True)
+                # The end token, the empty word, is in every document and so comes first again.
+                out = {"block": row["block"], "ids": None, "held": b"\2" * int(keep.sum()), "sizes": _pack(sizes[keep]), "words": b" ".join([words[k] for k in here]), "tokens": zlib.compress(_pack(local.astype("<u4")), 1), "train": None}
+                yield pa.RecordBatch.from_pylist([out], schema=_ARROW)
 
-    # Many tasks' sums meet in two rounds, so that no group has more rows than about the root of their number.
-    sums = table.select("words", "tokens", "sizes", "held", "train").mapInArrow(run, "tab int, chunk int, salt int, data binary").groupBy("tab", "chunk", "salt").applyInArrow(add, "tab int, chunk int, salt int, data binary")
-    tables = [np.zeros(1 << SLOTS, np.int8) for _ in range(2)]
-    for r in sums.groupBy("tab", "chunk").applyInArrow(finish, "tab int, chunk int, data binary").toLocalIterator():
-        part = np.frombuffer(r["data"], np.int8)
-        tables[r["tab"]][r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
-    return tables
+    return table.mapInArrow(run, BLOCKS)
 
 
-def first_weights(table: DataFrame, code: Broadcast, tables: Broadcast) -> np.ndarray:
+def first_weights(table: DataFrame, code: Broadcast, answers: DataFrame) -> np.ndarray:
     """The weights that the calibration documents end with, averaged by the decisions at each gate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tab = tables.value
-        u = Units.of(code.value)
         learned = np.zeros((3, mixing.GATES))
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {x: batch.column(x)[i].as_py() for x in ("words", "tokens", "sizes", "held")}
-                words, hashes, tokens, sizes = _block(row)
-                keep = np.frombuffer(row["held"], np.uint8) == 2
-                n = sizes[keep]
-                if len(n):
-                    tokens = tokens[ranges((np.cumsum(sizes) - sizes)[keep], n)]
-                    here, local = np.unique(tokens, return_inverse=True)
-                    u.load([words[k] for k in here], hashes[here])
-                    mixing.score(local, n, hashes[here], u, tab, learned=learned)
+        for row, _, odds in _bodies(batches):
+            text, _, sizes, _ = _symbols(row, code.value)
+            mixing.score(text, sizes, code.value, _where(text, code.value), odds, learned=learned)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(learned.size)), pa.array(learned.reshape(-1))], names=["k", "x"])
 
+    early = answers.where("first_size > 0").select("block", "part", F.col("first_size").alias("size"), F.col("first_odds").alias("odds"))
     learned = np.zeros((3, mixing.GATES))
-    for r in table.select("words", "tokens", "sizes", "held").mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
+    for r in _met(calibration(table), early, None).mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
         learned[divmod(r.k, mixing.GATES)] = r.x
     seen = learned[2] > 1000
     return np.where(seen, learned[:2] / np.maximum(1, learned[2]), mixing.START)
@@ -287,54 +383,39 @@ def first_weights(table: DataFrame, code: Broadcast, tables: Broadcast) -> np.nd
 SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
 
 
-def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """Every document's base and model score (log10 probabilities), and the model's bits per byte of its words and their ends."""
     table = blocks(docs, held_out, doc_id, text)
     size = table.agg(F.coalesce(F.sum(F.length("train")), F.lit(0)).alias("s")).first().s // 4
     totals = word_totals(table, max(1, -(-size // RANGE)))
     code, n, distinct = make_code(totals, byte_counts(table), words)
-    code_sent = table.sparkSession.sparkContext.broadcast(code)  # at most about `words` counts
-    tables = train_tables(table, code_sent)
+    code_sent = table.sparkSession.sparkContext.broadcast(code)  # at most about ``tree_words`` counts
+    del code
+    # Two pairs a token and those of spelled words, less what repeats in a block.
+    answers = pair_odds(table, code_sent, max(1, -(-2 * n // PAIRS)))
+    _release(table.sparkSession)
     # Rounded, so that the order in which sums arrive leaves no trace in the scores.
-    tables_sent = table.sparkSession.sparkContext.broadcast(tables)  # 2**SLOTS bytes each
-    start = np.round(first_weights(table, code_sent, tables_sent), 6)
+    start = np.round(first_weights(table, code_sent, answers), 6)
+    _release(table.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tab = tables_sent.value
-        u = Units.of(code_sent.value)
-        key, counts = None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b, payload = batch.column("block")[i].as_py(), batch.column("counts")[i].as_py()
-                if b != key:
-                    key, counts = b, []
-                if payload is not None:
-                    counts.append(np.frombuffer(payload, "<i8"))
-                    continue
-                row = {x: batch.column(x)[i].as_py() for x in ("ids", "held", "sizes", "words", "tokens")}
-                words_, hashes, tokens, sizes = _block(row)
-                total = np.empty(len(words_), np.int64)
-                total[np.argsort(hashes)] = np.concatenate(counts)
-                ends = np.cumsum(sizes)
-                starts = ends - sizes
-                value = np.log10((total + 0.1) / (n + 0.1 * (distinct + 1)))
-                width = np.array([len(w) + 1 for w in words_], np.int64)
-                u.load(words_, hashes)
-                bits = mixing.score(tokens, sizes, hashes, u, tab, start)
-                ids = np.frombuffer(row["ids"], "<i8")
-                held = np.frombuffer(row["held"], np.uint8) == 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids, mask=ids == np.int64(-(1 << 63))), pa.array(held), pa.array(sizes), pa.array(np.add.reduceat((total > 0)[tokens].astype(np.int64), starts)),
-                        pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(value[tokens], starts)), pa.array(-bits * np.log10(2)), pa.array(bits / np.add.reduceat(width[tokens], starts)),
-                    ],
-                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
-                )
+        for row, counts, odds in _bodies(batches):
+            text_, tokens, sizes, (words_, hashes, _, _) = _symbols(row, code_sent.value)
+            total = np.empty(len(words_), np.int64)
+            total[np.argsort(hashes)] = np.concatenate(counts)
+            starts = np.cumsum(sizes) - sizes
+            value = np.log10((total + 0.1) / (n + 0.1 * (distinct + 1)))
+            width = np.array([len(w) + 1 for w in words_], np.int64)
+            bits = mixing.score(text_, sizes, code_sent.value, _where(text_, code_sent.value), odds, start)
+            ids = np.frombuffer(row["ids"], "<i8")
+            held = np.frombuffer(row["held"], np.uint8) == 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, mask=ids == np.int64(-(1 << 63))), pa.array(held), pa.array(sizes), pa.array(np.add.reduceat((total > 0)[tokens].astype(np.int64), starts)),
+                    pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(value[tokens], starts)), pa.array(-bits * np.log10(2)), pa.array(bits / np.add.reduceat(width[tokens], starts)),
+                ],
+                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"],
+            )
         trim()
 
-    # A block's counts and the block itself meet in one shuffle; the counts come first, in order of range.
-    answers = totals.where("block >= 0").select("block", F.col("part"), "counts", *(F.lit(None).cast("binary").alias(c) for c in ("ids", "held", "sizes", "words", "tokens")))
-    bodies = table.select("block", F.lit(1 << 30).alias("part"), F.lit(None).cast("binary").alias("counts"), "ids", "held", "sizes", "words", "tokens")
-    met = answers.unionByName(bodies).repartition("block").sortWithinPartitions("block", "part")
-    return met.mapInArrow(run, SCORES).withColumnRenamed("id", doc_id)
-
+    return _met(table, answers, totals).mapInArrow(run, SCORES).withColumnRenamed("id", doc_id)

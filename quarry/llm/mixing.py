@@ -1,12 +1,16 @@
 """The binary model behind language-model scoring: code paths, hashed-context bit predictors and the gated logistic mixer.
 
 A token is a path of binary decisions: down a Huffman tree of the most frequent training words; a word outside it takes
-the tree's escape leaf and is then spelled, each byte and its end down a second tree.  Every decision has three
+the tree's escape leaf and is then spelled, each byte and its end down a second tree.  A leaf of either tree is a symbol;
+symbols are numbered from left to right, so that what lies below a node is a run of numbers.  Every decision has three
 predictors, each the logarithm of the odds of a 1 bit:
 
 * order 0: the tree node's own counts;
-* two hashed contexts: a slot of a table chosen by the node and, for words, the previous one or two words, for spelling,
-  the previous two or four bytes.
+* two contexts of the symbol, for words the previous one and two words, for spelling the previous two and four bytes: the
+  counts of the node's two sides among the symbols seen in the context.
+
+A context and a symbol make a pair: CONTEXT bits of the context's hash above SYMBOL bits of the symbol.  What is gathered
+are the distinct pairs' counts, as many as the texts have.
 
 A mixer adds them up with weights that a gate selects (what is decided, how deep, how sure the longest context is).  The
 weights start at order 0 alone and are refined after every STEP tokens of the document by the gradient of the coding cost.
@@ -19,22 +23,26 @@ import heapq
 
 import numpy as np
 
+from quarry.llm.common import fmix64
+
+#: Words of the tree up to TOKENS training tokens; beyond, they grow with the cube root (``tree_words``).
 WORDS = 1 << 18
-SLOTS = 21
+TOKENS = 1 << 22
+SYMBOL = 24
+CONTEXT = 64 - SYMBOL
 STEP = 32
 #: Steps of the weights at each gate: words, spelling.
 RATE = [0.01] * 12 + [0.005] * 12
 LANES = 256
 #: Tokens whose decisions are held as arrays at once.
 WINDOW = 1 << 15
-#: Decisions that are counted at once: each count passes over a whole table.
-COUNTED = 1 << 21
 GATES = 24
 SCALE = 8.0
 #: First weights of each gate, of the two contexts' differences from order 0.  Spelling leans on its contexts from the
 #: start, words on theirs only where the longer one is sure.
 START = [[0.0] * 12 + [0.4] * 12, [0.05, 0.2, 0.5] * 4 + [0.5] * 12]
-_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_CUT = np.uint64(((1 << CONTEXT) - 1) << SYMBOL)
 END_OF_WORD = 256
 
 
@@ -45,8 +53,13 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def tree_words(tokens: int) -> int:
+    """How many words get leaves of their own."""
+    return min((1 << SYMBOL) - 1024, max(WORDS, int(WORDS * (tokens / TOKENS) ** (1 / 3))))
+
+
 class Tree:
-    """A Huffman tree: for each leaf its path's nodes and bits, and each node's log odds of a 1."""
+    """A Huffman tree: for each leaf its symbol, for each symbol its path's nodes and bits, and each node's log odds of a 1."""
 
     def __init__(self, counts: np.ndarray, first_node: int):
         n = len(counts)
@@ -81,6 +94,15 @@ class Tree:
             who = who[parent[at[who]] >= 0]
             up += 1
         self.size = k - n
+        # Leaves from left to right: a path's bits are a number below 1.
+        code = np.zeros(n)
+        for d in range(int(self.length.max(initial=0))):
+            deep = np.flatnonzero(self.length > d)
+            code[deep] += np.ldexp(self.bits[self.start[deep] + d].astype(float), -1 - d)
+        order = np.argsort(code, kind="stable")
+        self.symbol = np.empty(n, np.int64)
+        self.symbol[order] = np.arange(n)
+        self.length, self.start = self.length[order], self.start[order]
 
 
 class Code:
@@ -91,189 +113,126 @@ class Code:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, escapes: int, byte_counts: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.made_of = (self.hashes, counts[order], escapes, byte_counts)
-        self.words = Tree(np.append(counts[order], max(1, escapes)), 0)
-        self.bytes = Tree(byte_counts + 1, self.words.size)
-        self.odds = np.concatenate((self.words.odds, self.bytes.odds))
-        self.units: Units | None = None
+        self.hashes, self.counts = hashes[order], counts[order]
+        self.made_of = (self.hashes, self.counts, escapes, byte_counts)
+        w = Tree(np.append(self.counts, max(1, escapes)), 0)
+        b = Tree(byte_counts + 1, w.size)
+        self.leaves = len(w.length)
+        self.word_symbols, self.byte_symbols = w.symbol, b.symbol + self.leaves
+        self.length, self.start = np.concatenate((w.length, b.length)), np.concatenate((w.start, len(w.nodes) + b.start))
+        self.nodes, self.bits = np.concatenate((w.nodes, b.nodes)), np.concatenate((w.bits, b.bits))
+        self.gb = np.concatenate((np.minimum(w.depth // 4, 3) * 6 + w.bits, b.bits)).astype(np.int8)
+        self.odds = np.concatenate((w.odds, b.odds))
 
     def __reduce__(self):
         return Code, self.made_of
 
 
-class Units:
-    """Decisions of a block's units as columns: first the leaves of the word tree, then the spellings of the block's other words.
-
-    Unit i < leaves is leaf i of the tree; the leaf of the escape is followed by the word's spelling, a unit behind them.
-    Columns: order-0 log odds, gate and bit in one byte, and a key for each table, to which a word's context is added.
-    """
-
-    def __init__(self, code: Code):
-        t = code.words
-        self.code, self.leaves, self.fixed = code, len(t.length), len(t.nodes)
-        room = self.fixed + (self.fixed >> 1) + 1024
-        self.base, self.gb, self.keys = np.empty(room, np.float32), np.empty(room, np.int8), [np.empty(room, np.uint32) for _ in range(2)]
-        self.base[: self.fixed] = code.odds[t.nodes]
-        self.gb[: self.fixed] = np.minimum(t.depth // 4, 3) * 6 + t.bits
-        for k in self.keys:
-            k[: self.fixed] = t.nodes.astype(np.uint32) * _A
-
-    @staticmethod
-    def of(code: Code) -> Units:
-        """The process's units for a code."""
-        if code.units is None:
-            code.units = Units(code)
-        return code.units
-
-    def load(self, words: list[bytes], hashes: np.ndarray, hapax: bool = False) -> None:
-        """Take in a block's words.  ``hapax``: spell words as well that have a leaf but occur once in all training texts."""
-        k = self.leaves - 1
-        known_hashes = self.code.hashes
-        leaf = np.minimum(np.searchsorted(known_hashes, hashes), max(0, k - 1))
-        known = known_hashes[leaf] == hashes if k else np.zeros(len(hashes), bool)
-        self.leaf = np.where(known, leaf, k)
-        self.hapax = known & (np.append(self.code.made_of[1], 0)[self.leaf] == 1) if hapax else np.zeros(len(hashes), bool)
-        spelled = ~known | self.hapax
-        odd = np.flatnonzero(spelled)
-        self.unit = np.full(len(hashes), -1, np.int64)
-        self.unit[odd] = self.leaves + np.arange(len(odd))
-        self.known = known
-        raw = [words[i] for i in odd]
-        size = np.array([len(w) for w in raw], np.int64)
-        text = np.zeros(int(size.sum()) + len(raw), np.int64)
-        ends = np.cumsum(size + 1)
-        inner = np.ones(len(text), bool)
-        inner[ends - 1] = False
-        text[inner] = np.frombuffer(b"".join(raw), np.uint8)
-        text[~inner] = END_OF_WORD
-        place = np.arange(len(text)) - np.repeat(ends - size - 1, size + 1)
-        before = []
-        for back in range(1, 5):  # the bytes before; 257 stands for the word's beginning
-            moved = np.full(len(text), 257, np.uint32)
-            moved[back:] = text[: max(0, len(text) - back)]
-            before.append(np.where(place >= back, moved, np.uint32(257)).astype(np.uint32))
-        two = (before[0] * _A + before[1]) * _B + np.uint32(1)
-        four = ((two + before[2]) * _A + before[3]) * _C + np.uint32(2)
-        tb = self.code.bytes
-        letters = tb.length[text]
-        source = ranges(tb.start[text], letters)
-        node = tb.nodes[source]
-        tail = np.add.reduceat(letters, ends - size - 1) if len(raw) else np.empty(0, np.int64)
-        self.length = np.concatenate((self.code.words.length, tail))
-        self.start = np.concatenate((self.code.words.start, self.fixed + np.cumsum(tail) - tail))
-        stop = self.fixed + len(node)
-        if stop > len(self.base):
-            more = stop - len(self.base)
-            self.base, self.gb = np.concatenate((self.base, np.empty(more, np.float32))), np.concatenate((self.gb, np.empty(more, np.int8)))
-            self.keys = [np.concatenate((k, np.empty(more, np.uint32))) for k in self.keys]
-        self.base[self.fixed : stop] = self.code.odds[node]
-        self.gb[self.fixed : stop] = (12 + np.minimum(np.repeat(place, letters), 3) * 3) * 2 + tb.bits[source]
-        for k, c in zip(self.keys, (two, four), strict=True):
-            k[self.fixed : stop] = np.repeat(c, letters) + node.astype(np.uint32) * _A
-
-    def sequence(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(units, index of the token of each): a token's leaf, then its spelling if it has no leaf."""
-        odd = ~self.known[tokens]
-        n = 1 + odd
-        which = np.repeat(np.arange(len(tokens)), n)
-        units = self.leaf[tokens][which]
-        second = np.cumsum(n)[odd] - 1
-        units[second] = self.unit[tokens[odd]]
-        return units, which
-
-
-def slot(h: np.ndarray, gb: np.ndarray) -> np.ndarray:
-    """The table slot of mixed keys; spelling has the last quarter of the table to itself."""
-    h ^= h >> np.uint32(15)
-    h *= _B
-    h >>= np.uint32(32 - SLOTS)
-    quarter = h >> np.uint32(2)
-    h -= quarter
-    spelled = np.flatnonzero(gb >= 24)
-    if len(spelled):
-        h[spelled] = quarter[spelled] + np.uint32(3 << (SLOTS - 2))
-    return h
+class Symbols:
+    """Texts as symbols.  Of each: the symbol, its part of the gate, its two pairs; of each token: its first symbol and their number."""
+
+    def __init__(self, tokens: np.ndarray, first: np.ndarray, words: list[bytes], hashes: np.ndarray, code: Code):
+        """``tokens``: numbers of ``words``; ``first``: positions within the documents."""
+        k = len(code.hashes)
+        leaf = np.minimum(np.searchsorted(code.hashes, hashes), max(0, k - 1))
+        known = code.hashes[leaf] == hashes if k else np.zeros(len(hashes), bool)
+        self.leaf, self.known = np.where(known, leaf, k), known
+        odd = np.flatnonzero(~known)
+        letters, gate, two, four, size, start = spelled([words[i] for i in odd], code)
+        sizes, starts = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        sizes[odd], starts[odd] = size, start
+        self.n = 1 + sizes[tokens]
+        self.first = np.cumsum(self.n) - self.n
+        total = int(self.n.sum())
+        self.symbol, self.gate = np.empty(total, np.int32), np.zeros(total, np.int8)
+        self.one, self.both = np.empty(total, np.uint64), np.empty(total, np.uint64)
+        self.symbol[self.first] = code.word_symbols[self.leaf[tokens]]
+        for pairs, context in zip((self.one, self.both), contexts(tokens, hashes, first), strict=True):
+            pairs[self.first] = context | self.symbol[self.first].astype(np.uint64)
+        other = np.flatnonzero(~known[tokens])
+        here = ranges(starts[tokens[other]], sizes[tokens[other]])
+        there = ranges(self.first[other] + 1, sizes[tokens[other]])
+        self.symbol[there], self.gate[there] = letters[here], gate[here]
+        self.one[there], self.both[there] = two[here], four[here]
+
+
+def spelled(raw: list[bytes], code: Code) -> tuple[np.ndarray, ...]:
+    """Symbols, gates and both pairs of the words' bytes and ends; how many symbols each word has, and its first one."""
+    size = np.array([len(w) for w in raw], np.int64)
+    text = np.zeros(int(size.sum()) + len(raw), np.int64)
+    ends = np.cumsum(size + 1)
+    inner = np.ones(len(text), bool)
+    inner[ends - 1] = False
+    text[inner] = np.frombuffer(b"".join(raw), np.uint8)
+    text[~inner] = END_OF_WORD
+    place = np.arange(len(text)) - np.repeat(ends - size - 1, size + 1)
+    before = np.zeros((2, len(text)), np.uint64)
+    for back in range(1, 5):  # the bytes before; 257 stands for the word's beginning
+        moved = np.full(len(text), 257, np.uint64)
+        moved[back:] = text[: max(0, len(text) - back)]
+        moved[place < back] = 257
+        for k in range(2):
+            if back <= 2 + 2 * k:
+                before[k] |= moved << np.uint64(9 * back)
+    symbol = code.byte_symbols[text]
+    pairs = [fmix64(x + np.uint64(1 + k)) & _CUT | symbol.astype(np.uint64) for k, x in enumerate(before)]
+    return symbol, ((12 + np.minimum(place, 3) * 3) * 2).astype(np.int8), *pairs, size + 1, ends - size - 1
 
 
 def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word contexts of each token: of the previous word, and of the previous two; ``first``: positions within the document."""
-    h = (hashes >> np.uint64(32)).astype(np.uint32)[tokens]
-    one = np.zeros(len(h), np.uint32)
+    h = hashes[tokens]
+    one = np.zeros(len(h), np.uint64)
     one[1:] = h[:-1]
     one[first < 1] = 0
-    two = np.zeros(len(h), np.uint32)
+    two = np.zeros(len(h), np.uint64)
     two[2:] = h[:-2]
     two[first < 2] = 0
-    return (one + np.uint32(11)) * _B, ((two + np.uint32(7)) * _A + one) * _C + np.uint32(3)
-
-
-def decisions(units: np.ndarray, c1: np.ndarray, c2: np.ndarray, u: Units):
-    """(index into the columns, gate and bit, slots of both tables, decisions of each unit); a spelling's contexts are its own."""
-    n = u.length[units]
-    at = ranges(u.start[units], n)
-    gb = u.gb[at]
-    spelled = units >= u.leaves
-    slots = []
-    for key, c in zip(u.keys, (c1, c2), strict=True):
-        h = np.repeat(np.where(spelled, np.uint32(0), c), n)
-        h += key[at]
-        slots.append(slot(h, gb))
-    return at, gb, slots[0], slots[1], n
+    return fmix64(one * _A + np.uint64(11)) & _CUT, fmix64((two * _B + np.uint64(7)) ^ (one * _A)) & _CUT
 
 
-def count(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, once: np.ndarray, u: Units, tables: list[np.ndarray]) -> None:
-    """Add the decisions of the tokens to the tables: slot s has its zeros at 2 s and its ones at 2 s + 1.
+def context_odds(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """For ascending pairs and their counts: the log odds along each pair's path of the bits that it takes, as signed bytes in units of 1 / SCALE, and where each path begins.
 
-    Spelling does not depend on other words, so it is added once for each distinct word, times its occurrences.  Words seen
-    once in all (``once`` marks those seen here) are spelled even if they have a leaf: they are what new words look like.
+    Odds of what is taken, not of a 1: below the node from where a symbol is alone in its context they are all the same, and pack well.
     """
-    c1, c2 = contexts(tokens, hashes, first)
-    leaf = u.leaf[tokens]
-    found: list[list[np.ndarray]] = [[], []]
-    held = 0
-    for a in range(0, len(tokens), WINDOW):
-        b = a + WINDOW
-        _, gb, s1, s2, _ = decisions(leaf[a:b], c1[a:b], c2[a:b], u)
-        bit = (gb & 1).astype(np.uint32)
-        for parts, s in zip(found, (s1, s2), strict=True):
-            s <<= np.uint32(1)
-            s += bit
-            parts.append(s)
-        held += len(gb)
-        if held >= COUNTED or b >= len(tokens):
-            for table, parts in zip(tables, found, strict=True):
-                table += np.bincount(np.concatenate(parts), minlength=len(table)).astype(np.uint32)
-                parts.clear()
-            held = 0
-    words = np.flatnonzero(u.unit >= 0)
-    times = np.where(u.known[words], once[words], np.bincount(tokens, minlength=len(u.unit))[words])
-    none = np.zeros(len(words), np.uint32)
-    for a in range(0, len(words), WINDOW):
-        b = a + WINDOW
-        _, gb, s1, s2, n = decisions(u.unit[words[a:b]], none[a:b], none[a:b], u)
-        weight = np.repeat(times[a:b], n)
-        for table, s in zip(tables, (s1, s2), strict=True):
-            table += np.bincount(s.astype(np.int64) * 2 + (gb & 1), weights=weight, minlength=len(table)).astype(np.uint32)
-
-
-def score(tokens: np.ndarray, n_tokens: np.ndarray, hashes: np.ndarray, u: Units, tables: list[np.ndarray], start=START, learned: np.ndarray | None = None) -> np.ndarray:
-    """Bits of each document's tokens under the mixed model; ``tables`` hold log odds as signed bytes.
+    symbol = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)
+    context = pairs >> np.uint64(SYMBOL)
+    length, start = code.length[symbol], code.start[symbol]
+    place = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.int8)
+    alive = np.flatnonzero(length > 0)
+    d = 0
+    while len(alive):
+        at = start[alive] + d
+        node, c, m = code.nodes[at], context[alive], n[alive]
+        new = np.ones(len(alive), bool)
+        new[1:] = (node[1:] != node[:-1]) | (c[1:] != c[:-1])
+        group = np.flatnonzero(new)
+        ones = np.add.reduceat(m * code.bits[at], group)
+        zeros = np.add.reduceat(m, group) - ones
+        odds = np.clip(np.rint((np.log(ones + 0.4) - np.log(zeros + 0.4)) * SCALE), -127, 127).astype(np.int8)
+        out[place[alive] + d] = odds[np.cumsum(new) - 1] * (2 * code.bits[at] - 1)
+        d += 1
+        alive = alive[length[alive] > d]
+    return out, place
+
+
+def score(text: Symbols, n_tokens: np.ndarray, code: Code, where: tuple[np.ndarray, np.ndarray], known: np.ndarray, start=START, learned: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each document's tokens under the mixed model; ``where``: each symbol's beginnings of both contexts' log odds in ``known``.
 
     ``learned``, if given, gains each document's last weights times the decisions at the gate, and these: 3 rows of gates.
     """
     starts = np.cumsum(n_tokens) - n_tokens
-    first = np.arange(len(tokens)) - np.repeat(starts, n_tokens)
-    c1, c2 = contexts(tokens, hashes, first)
     bits = np.zeros(len(n_tokens))
     order = np.argsort(-n_tokens, kind="stable")
     for a in range(0, len(order), LANES):
         docs = order[a : a + LANES]
-        bits[docs] = _lanes(tokens, c1, c2, starts[docs], n_tokens[docs], u, tables, start, learned)
+        bits[docs] = _lanes(text, starts[docs], n_tokens[docs], code, where, known, start, learned)
     return bits
 
 
-def _lanes(tokens, c1, c2, starts, sizes, u, tables, start, learned) -> np.ndarray:
+def _lanes(text, starts, sizes, code, known_at, known, start, learned) -> np.ndarray:
     lanes = len(starts)
     w1, w2 = (np.tile(np.asarray(w, np.float32), lanes) for w in start)
     used = np.zeros(lanes * GATES)
@@ -294,13 +253,18 @@ def _lanes(tokens, c1, c2, starts, sizes, u, tables, start, learned) -> np.ndarr
             cuts.append(held)
             step += 1
         where, lane = np.concatenate(picked), np.concatenate(who)
-        units, which = u.sequence(tokens[where])
-        at = where[which]
-        row, gb, s1, s2, n = decisions(units, c1[at], c2[at], u)
+        n_symbols = text.n[where]
+        which = np.repeat(np.arange(len(where)), n_symbols)
+        at = ranges(text.first[where], n_symbols)
+        symbol = text.symbol[at]
+        n = code.length[symbol]
+        row = ranges(code.start[symbol], n)
+        gb = code.gb[row] + np.repeat(text.gate[at], n)
         edge = np.concatenate(([0], np.cumsum(n)))[np.searchsorted(which, cuts)]
-        t2 = tables[1][s2]
-        base = u.base[row]
-        x1 = tables[0][s1] * np.float32(1 / SCALE) - base
+        taken = 2 * (gb & 1) - 1
+        t1, t2 = (known[ranges(x[at], n)] * taken for x in known_at)
+        base = code.odds[code.nodes[row]]
+        x1 = t1 * np.float32(1 / SCALE) - base
         x2 = t2 * np.float32(1 / SCALE) - base
         sure = np.abs(t2)
         owner = np.repeat(lane[which].astype(np.int32), n)

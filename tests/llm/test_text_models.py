@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import circulant_minhash, context_mixing, html_layout, knn_quality, langid, quality_rules, scaled_sketch, shingles
+from quarry.llm import circulant_minhash, context_mixing, html_layout, knn_quality, langid, mixing, quality_rules, scaled_sketch, shingles
 from quarry.llm.components import connected_components
 from quarry.llm.queries import ORACLES, QUERIES
 from tests.oracle import connect, rows_of_spark, rows_of_sql
@@ -239,6 +239,43 @@ def test_scores_do_not_depend_on_order(spark, docs):
     assert a == b
 
 
+def test_language_model_counts_every_context_apart():
+    """Log odds of every decision from counts of the symbols on either side, by brute force, with more contexts than words."""
+    rng = np.random.default_rng(3)
+    words = [b"", *(f"w{i}".encode() for i in range(400))]
+    hashes = context_mixing.word_hashes(words)
+    tokens = rng.integers(1, len(words), 20_000)
+    code = mixing.Code(hashes[:300], rng.integers(1, 50, 300), 100, np.ones(257, np.int64))
+    text = mixing.Symbols(tokens, np.arange(len(tokens)), words, hashes, code)
+    assert text.n.sum() == len(tokens) + sum(len(words[t]) + 1 for t in tokens if t >= 300)
+    pairs, n = np.unique(np.concatenate((text.one, text.both)), return_counts=True)
+    previous = {(x, y, z) for x, y, z in zip(tokens[:-2], tokens[1:-1], np.minimum(tokens[2:], 300), strict=True)}
+    assert len(pairs) > len(previous)  # none shares a place with another
+    odds, place = mixing.context_odds(pairs, n, code)
+    path = lambda s: range(code.start[s], code.start[s] + code.length[s])
+    sides = Counter()
+    split = [(int(p) >> mixing.SYMBOL, int(p) & (1 << mixing.SYMBOL) - 1) for p in pairs]
+    for (c, s), k in zip(split, n, strict=True):
+        for i in path(s):
+            sides[c, code.nodes[i], code.bits[i]] += int(k)
+    for (c, s), at in list(zip(split, place, strict=True))[::97]:
+        for d, i in enumerate(path(s)):
+            want = (math.log(sides[c, code.nodes[i], 1] + 0.4) - math.log(sides[c, code.nodes[i], 0] + 0.4)) * mixing.SCALE
+            assert abs(odds[at + d] * (2 * code.bits[i] - 1) - np.clip(want, -127, 127)) < 0.51
+
+
+def test_language_model_grows_with_its_training_texts(docs):
+    """Every distinct pair of a context and a symbol is answered; the tree takes more words of more tokens."""
+    assert mixing.WORDS == mixing.tree_words(1000) < mixing.tree_words(1 << 26) < mixing.tree_words(1 << 30)
+    size = []
+    for part in (docs.where("doc_id % 4 = 0"), docs):
+        table = context_mixing.blocks(part, F.lit(False))
+        code, n, _ = context_mixing.make_code(context_mixing.word_totals(table, 1), context_mixing.byte_counts(table))
+        answers = context_mixing.pair_odds(table, docs.sparkSession.sparkContext.broadcast(code), 3)
+        size.append(answers.agg(F.sum("size")).first()[0])
+    assert size[1] > 3 * size[0]
+
+
 PAGE = """<html><head><title>no</title><style>.h{display:none}</style></head><body><h1>A &amp; b</h1><p>One<p>Two<br>three<div class=h>no</div><ul><li>x<li>y<ol start=3><li>z</ol></ul>
 <table><tr><th>Name<th>Qty<tr><td>pear<td>10</table><pre>
  a
