@@ -276,6 +276,17 @@ def test_language_model_grows_with_its_training_texts(docs):
     assert size[1] > 3 * size[0]
 
 
+def test_language_model_learns_from_calibration_documents(spark, monkeypatch):
+    """With every training document a calibration document, repeated contexts still count."""
+    monkeypatch.setattr(context_mixing, "CALIBRATE", 1)
+    text = " ".join(f"w{i * 7 % 50} w{i * 11 % 50}" for i in range(400))
+    table = context_mixing.blocks(spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string"), F.lit(False))
+    code, _, _ = context_mixing.make_code(context_mixing.word_totals(table, 1), context_mixing.byte_counts(table))
+    r = context_mixing.pair_odds(table, spark.sparkContext.broadcast(code), 1).first()
+    assert context_mixing._unpress(r["odds"], r["size"], np.int8).any()
+    assert not context_mixing._unpress(r["first_odds"], r["first_size"], np.int8).any()
+
+
 PAGE = """<html><head><title>no</title><style>.h{display:none}</style></head><body><h1>A &amp; b</h1><p>One<p>Two<br>three<div class=h>no</div><ul><li>x<li>y<ol start=3><li>z</ol></ul>
 <table><tr><th>Name<th>Qty<tr><td>pear<td>10</table><pre>
  a
