@@ -141,6 +141,15 @@ def test_sketches_estimate_containment_and_merge():
     assert (scaled_sketch.unpack(scaled_sketch.pack(a))[1] == a[1]).all()
 
 
+def test_no_estimate_is_not_zero():
+    rng = np.random.default_rng(4)
+    whole = "".join(rng.choice(list("abcdefgh ij"), 60_000))
+    long, *short = scaled_sketch.sketch([whole, *(whole[a : a + 25] for a in range(0, 6000, 100))])
+    got = [scaled_sketch.likeness(long, s) for s in short]
+    assert None in got and {x for x in got if x is not None} <= {1.0}
+    assert scaled_sketch.likeness(*scaled_sketch.sketch(["x" * 20, "y" * 20])) == 0.0
+
+
 def components_by_brute_force(texts, width, percent):
     def sets(t):
         w = [x.lower() for x in (t or "").encode().split()]
