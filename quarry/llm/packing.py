@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import materialize, texts_of, trim, tune
+from quarry.llm.common import materialize, trim, tune
 from quarry.llm.cutting_stock import round_patterns, solve
 from quarry.llm.encoding import encoder
 
@@ -46,8 +47,8 @@ def encode(docs: DataFrame, vocabulary_file: str, style: str, end_id: int, capac
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [x + end for x in enc.ids(texts_of(batch, "text"))]
-            n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
+            ids = enc.column(batch.column("text"), end)
+            n = pc.binary_length(ids).to_numpy().astype(np.int64) // enc.dtype.itemsize
             rest = n % capacity
             order = np.argsort(rest, kind="stable")
             run_start = np.concatenate(([True], np.diff(rest[order]) != 0))
@@ -59,7 +60,7 @@ def encode(docs: DataFrame, vocabulary_file: str, style: str, end_id: int, capac
             first = full + np.cumsum(whole) - whole
             full += int(whole.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), shard, np.int32)), batch.column("id"), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(first), pa.array(ids, pa.binary())],
+                [pa.array(np.full(len(n), shard, np.int32)), batch.column("id"), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(rank), pa.array(first), ids],
                 names=["shard", "id", "n", "remainder", "rank", "full_rank", "ids"],
             )
         trim()
