@@ -1,6 +1,7 @@
 """Token-id files: static range asymmetric numeral coding (rANS) of token ids, in blocks that decode independently.
 
-A file (one range of documents, in ascending id order) has a shared frequency table and blocks.  A block holds whole
+A file (a run of documents of about FILE ids within one range of document ids, in ascending order) has a shared frequency
+table and blocks; a task holds the ids of one file, however large its range.  A block holds whole
 documents, about BLOCK ids: its symbols are dealt round-robin to LANES interleaved 64-bit coders that write 32-bit words
 to one stream.  The block's header has the documents' ids and lengths, a checksum of the ids, one of the payload, and
 checkpoints: every STRIDE steps the coders' states and the place in the stream, so that a block can be decoded from
@@ -23,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_dir, texts_of, trim, tune
+from quarry.llm.common import shared_dir, slices, trim, tune
 from quarry.llm.encoding import encoder
 from quarry.llm.ranges import range_bounds, range_index, range_parts
 
 LANES = 512
 BLOCK = 1 << 18
+#: Ids of a file, about: what a task holds before it writes.
+FILE = 1 << 24
 STRIDE = 128
 LOW = np.uint64(1 << 31)
 #: Bytes of frequency tables up to which a reader broadcasts them; beyond, blocks and tables meet in a shuffle.
 TABLES = 64 << 20
-SCHEMA = "shard int, block int, first_token bigint, n_tokens bigint, doc_ids binary, doc_lengths binary, freq binary, checkpoints binary, payload binary, ids_crc bigint, payload_crc bigint"
+SCHEMA = "shard bigint, block int, first_token bigint, n_tokens bigint, doc_ids binary, doc_lengths binary, freq binary, checkpoints binary, payload binary, ids_crc bigint, payload_crc bigint"
 _32 = np.uint64(32)
 
 
@@ -143,31 +146,28 @@ def unpack_table(raw: bytes) -> np.ndarray:
 def shard_blocks(shard: int, doc_ids: list, ids: list[np.ndarray], vocabulary: int) -> Iterator[dict]:
     """The blocks of one file."""
     counts = np.zeros(vocabulary, np.int64)
-    for x in ids:
-        counts += np.bincount(x, minlength=vocabulary)
+    for a, b in slices([len(x) for x in ids], BLOCK):
+        counts += np.bincount(np.concatenate(ids[a:b]), minlength=vocabulary)
     freq = frequencies(counts)
     coder = Coder(freq)
-    first = block = a = 0
-    while a < len(ids):
-        b, total = a, 0
-        while b < len(ids) and (b == a or total + len(ids[b]) <= BLOCK):
-            total += len(ids[b])
-            b += 1
+    first = 0
+    for block, (a, b) in enumerate(slices([len(x) for x in ids], BLOCK)):
         flat = np.concatenate(ids[a:b]).astype(np.int64)
+        total = len(flat)
         payload, points = coder.encode(flat)
         yield {
             "shard": shard, "block": block, "first_token": first, "n_tokens": total, "doc_ids": np.array(doc_ids[a:b], "<i8").tobytes(),
             "doc_lengths": np.array([len(x) for x in ids[a:b]], "<u4").tobytes(), "freq": None if block else pack_table(freq), "checkpoints": zlib.compress(points, 1),
             "payload": payload, "ids_crc": zlib.crc32(flat.astype("<u4").tobytes()), "payload_crc": zlib.crc32(payload),
         }
-        first, block, a = first + total, block + 1, b
+        first += total
 
 
 # ---- writing and reading with Spark
 
 
 def write(docs: DataFrame, path: str, vocabulary_file: str, style: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Encode every text and write the blocks to ``path``; file i holds the documents of the i-th range of ids."""
+    """Encode every text and write the blocks to ``path``; files number the ranges of ids in their upper 32 binary digits."""
     tune(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = range_bounds(docs, "id", range_parts(docs))
@@ -176,24 +176,36 @@ def write(docs: DataFrame, path: str, vocabulary_file: str, style: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary_file, style)
         vocabulary = max(enc.tokenizer.get_vocab_size(), end_id + 1)
-        end = np.array([end_id], enc.dtype)
+        end = np.array([end_id], enc.dtype).tobytes()
         doc_ids: list = []
         ids: list[np.ndarray] = []
-        shard = 0
+        shard = held = 0
         for batch in batches:
-            if batch.num_rows:
-                shard = batch.column("part")[0].as_py()
-            doc_ids += [-(1 << 63) if x is None else x for x in batch.column("id").to_pylist()]
-            ids += [np.concatenate((np.frombuffer(x, enc.dtype), end)) for x in enc.ids(texts_of(batch))]
-        for x in shard_blocks(shard, doc_ids, ids, vocabulary):
-            yield pa.RecordBatch.from_pylist([x], schema=_ARROW)
+            if not batch.num_rows:
+                continue
+            if not ids:
+                # A range's files are numbered within the range.
+                shard = max(shard, batch.column("part")[0].as_py() << 32)
+            found = enc.column(batch.column("text"), end)
+            cut = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1] // enc.dtype.itemsize
+            flat = np.frombuffer(found.buffers()[2], enc.dtype)
+            ids += [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            doc_ids += batch.column("id").fill_null(-(1 << 63)).to_pylist()
+            held += int(cut[-1] - cut[0])
+            if held >= FILE:
+                for x in shard_blocks(shard, doc_ids, ids, vocabulary):
+                    yield pa.RecordBatch.from_pylist([x], schema=_ARROW)
+                doc_ids, ids, shard, held = [], [], shard + 1, 0
+        if ids:
+            for x in shard_blocks(shard, doc_ids, ids, vocabulary):
+                yield pa.RecordBatch.from_pylist([x], schema=_ARROW)
         trim()
 
     rows.mapInArrow(run, SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 _ARROW = pa.schema(
-    [("shard", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_lengths", pa.binary())]
+    [("shard", pa.int64()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_lengths", pa.binary())]
     + [("freq", pa.binary()), ("checkpoints", pa.binary()), ("payload", pa.binary()), ("ids_crc", pa.int64()), ("payload_crc", pa.int64())]
 )
 
@@ -211,7 +223,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     # One row per file: few, whatever the number of documents.
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    schema = "shard int, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ("" if digest else ", ids array<int>")
+    schema = "shard bigint, doc_id bigint, at bigint, n_tokens bigint, ids_crc32 bigint" + ("" if digest else ", ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, coder = None, None
@@ -229,7 +241,7 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 ends = np.cumsum(n)
                 doc = np.frombuffer(r["doc_ids"], "<i8")
                 cols = [
-                    pa.array(np.full(len(n), r["shard"], np.int32)),
+                    pa.array(np.full(len(n), r["shard"], np.int64)),
                     pa.array(doc, mask=doc == np.int64(-(1 << 63))),
                     pa.array(r["first_token"] + ends - n),
                     pa.array(n),
