@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,32 @@ def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
 
 
 def range_index(key: str, bounds: list[int]) -> Column:
-    """The number of bounds that are not above the key, 0 for a null key, found by binary search over a literal array."""
+    """The number of bounds that are not above the key, 0 for a null key.
+
+    Only the key goes through the function; the bounds travel with it (8 bytes a range, broadcast by Spark if they are many), not in the plan.
+    """
     if not bounds:
         return F.lit(0)
-    text = ",".join(f"{b}L" for b in bounds)
-    found = (
-        f"aggregate(sequence(1, {len(bounds).bit_length()}), struct(0 AS lo, {len(bounds)} AS hi), (s, i) -> CASE WHEN s.lo >= s.hi THEN s "
-        f"WHEN element_at(array({text}), 1 + shiftright(s.lo + s.hi, 1)) <= `{key}` THEN struct(shiftright(s.lo + s.hi, 1) + 1 AS lo, s.hi AS hi) "
-        f"ELSE struct(s.lo AS lo, shiftright(s.lo + s.hi, 1) AS hi) END).lo"
-    )
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.expr(found))
+    marks = np.array(bounds, np.int64)
+
+    @F.arrow_udf("int")
+    def index(keys: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(marks, keys.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32))
+
+    return index(F.col(key))
+
+
+def begins_range(key: str, bounds: list[int]) -> Column:
+    """Whether the key is one of the bounds."""
+    if not bounds:
+        return F.lit(False)
+    marks = np.array(bounds, np.int64)
+
+    @F.arrow_udf("boolean")
+    def begins(keys: pa.Array) -> pa.Array:
+        return pa.array(np.isin(keys.fill_null(-(1 << 63)).to_numpy(), marks))
+
+    return begins(F.col(key))
 
 
 def range_parts(df: DataFrame) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import fmix64, slices, texts_of, tune
-from quarry.llm.ranges import range_bounds, range_index, range_parts
+from quarry.llm.ranges import begins_range, range_bounds, range_index, range_parts
 
 SHINGLE = 12
 SCALE = 16
@@ -131,7 +131,7 @@ def with_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = docs.select("id").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("m")).first().m
     own = docs.withColumn("part", range_index("id", bounds)).withColumn("guest", F.lit(False))
     n = len(bounds) + 1
-    guests = docs.where(F.col("id").eqNullSafe(F.lit(first.id if first else None)) | F.col("id").isin(bounds))
+    guests = docs.where(F.col("id").eqNullSafe(F.lit(first.id if first else None)) | begins_range("id", bounds))
     # The first of all follows the last; the first of range i follows range i - 1.
     guests = guests.withColumn("part", F.pmod(F.when(F.col("id").eqNullSafe(F.lit(first.id if first else None)), F.lit(n - 1)).otherwise(range_index("id", bounds) - 1), F.lit(n)))
     rows = own.unionByName(guests.withColumn("guest", F.lit(True))).repartitionById(n, F.col("part")).sortWithinPartitions("guest", F.col("id").asc_nulls_first(), "text")
