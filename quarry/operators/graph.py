@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_DIRS: dict[str, str] = {}
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder (``spark.checkpoint.dir``; a local one only where that is unset) and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _DIRS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="quarry-graph-")
-        _DIRS[spark.sparkContext.applicationId] = base
-    path = f"{base.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quarry.operators.shared import written
 
 
 def shared_pairs(edges: DataFrame, node: str, via: str, least: int = 2) -> DataFrame:

@@ -32,7 +32,7 @@ def canonical_identity(inspire: Column, arxiv: Column, doi: Column, title: Colum
 
 def ordered_text(rows: DataFrame, owner: str, position: str, value: str) -> DataFrame:
     """(owner, text): distinct non-empty values in first-seen order between bars."""
-    first = rows.where(F.trim(value) != "").groupBy(owner, F.col(value).alias("v")).agg(F.min(position).alias("p"))
+    first = rows.where(F.trim(value) != "").groupBy(owner, F.trim(value).alias("v")).agg(F.min(position).alias("p"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x.v), "|")
     return first.groupBy(owner).agg(F.concat(F.lit("|"), joined, F.lit("|")).alias("text"))
 
@@ -54,78 +54,3 @@ def synthetic_works(spark: SparkSession, n: int) -> DataFrame:
         i.alias("work"), (i + 9_000_000).alias("control_number"), (i % 9 + 2016).alias("year"), F.concat(F.lit("26"), month, F.lit("."), number).alias("arxiv"), name.alias("collaboration"),
         F.concat(F.lit("Search number "), i.cast("string"), F.lit(" by "), name).alias("title"),
     )
-
-
-# ---- bibliographic records (nested hits)
-
-HIT = """struct<metadata:struct<control_number:bigint, titles:array<struct<title:string>>, abstracts:array<struct<value:string>>,
-  authors:array<struct<full_name:string, affiliations:array<struct<value:string>>>>, collaborations:array<struct<value:string>>,
-  publication_info:array<struct<year:int, journal_title:string>>, arxiv_eprints:array<struct<value:string>>, dois:array<struct<value:string>>,
-  keywords:array<struct<value:string>>, inspire_categories:array<struct<term:string>>, preprint_date:string, earliest_date:string, citation_count:int, document_type:array<string>,
-  references:array<struct<control_number:bigint, record:struct<`$ref`:string>, dois:array<struct<value:string>>, arxiv_eprint:string>>>>"""
-
-
-def parse_hits(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON lines to records; those that can't be read or have no title are dropped."""
-    hit = lines.select(F.from_json(column, HIT).alias("h")).select("h.metadata.*")
-    return hit.where(F.coalesce(F.get("titles", F.lit(0)).title, F.lit("")) != "")
-
-
-def works(hits: DataFrame) -> DataFrame:
-    """One row per record: identity, title, abstract, year."""
-    first = lambda array, field: F.get(F.col(array), F.lit(0)).getField(field)
-    year = F.coalesce(first("publication_info", "year"), F.expr("try_cast(substr(preprint_date, 1, 4) AS int)"), F.expr("try_cast(substr(earliest_date, 1, 4) AS int)"))
-    title = first("titles", "title")
-    identity = canonical_identity(F.col("control_number").cast("string"), first("arxiv_eprints", "value"), first("dois", "value"), title, year)
-    return hits.select(identity.alias("identity"), title.alias("title"), first("abstracts", "value").alias("abstract"), year.alias("year"), F.col("citation_count"), "*").select("identity.*", "title", "abstract", "year", "citation_count")
-
-
-def work_ids(hits: DataFrame) -> DataFrame:
-    """(canonical_id, id_type, id_value) of every identifier."""
-    ids = F.concat(
-        F.transform(F.array_compact(F.array(F.col("control_number").cast("string"))), lambda x: F.struct(F.lit("inspire").alias("id_type"), x.alias("id_value"))),
-        F.transform(F.coalesce(F.col("arxiv_eprints.value"), F.array().cast("array<string>")), lambda x: F.struct(F.lit("arxiv").alias("id_type"), x.alias("id_value"))),
-        F.transform(F.coalesce(F.col("dois.value"), F.array().cast("array<string>")), lambda x: F.struct(F.lit("doi").alias("id_type"), F.lower(x).alias("id_value"))),
-    )
-    return _owned(hits).select("canonical_id", F.explode(ids).alias("i")).select("canonical_id", "i.*").where("id_value <> ''").distinct()
-
-
-def _owned(hits: DataFrame) -> DataFrame:
-    first = lambda array, field: F.get(F.col(array), F.lit(0)).getField(field)
-    year = F.coalesce(first("publication_info", "year"), F.expr("try_cast(substr(preprint_date, 1, 4) AS int)"))
-    identity = canonical_identity(F.col("control_number").cast("string"), first("arxiv_eprints", "value"), first("dois", "value"), first("titles", "title"), year)
-    return hits.withColumn("canonical_id", identity.canonical_id)
-
-
-def work_authors(hits: DataFrame) -> DataFrame:
-    """(canonical_id, author_position, name), in order; empty names dropped."""
-    return _owned(hits).select("canonical_id", F.posexplode("authors").alias("author_position", "a")).select("canonical_id", "author_position", F.trim("a.full_name").alias("name")).where("name <> ''")
-
-
-def work_topics(hits: DataFrame) -> DataFrame:
-    """(canonical_id, source, topic) from keywords and categories; one per folded topic and source."""
-    none = F.array().cast("array<string>")
-    both = F.concat(
-        F.transform(F.coalesce(F.col("keywords.value"), none), lambda x: F.struct(F.lit("keyword").alias("source"), x.alias("topic"))),
-        F.transform(F.coalesce(F.col("inspire_categories.term"), none), lambda x: F.struct(F.lit("category").alias("source"), x.alias("topic"))),
-    )
-    rows = _owned(hits).select("canonical_id", F.explode(both).alias("t")).select("canonical_id", "t.*").where(F.trim("topic") != "")
-    return rows.groupBy("canonical_id", "source", F.lower(F.trim("topic")).alias("topic_key")).agg(F.min("topic").alias("topic"))
-
-
-def citations(hits: DataFrame) -> DataFrame:
-    """(canonical_id, dst_source, dst_external_id): reference targets by control number, record link, DOI, arXiv; one per work and target."""
-    target = F.coalesce(
-        F.when(F.col("r.control_number").isNotNull(), F.struct(F.lit("inspire").alias("s"), F.col("r.control_number").cast("string").alias("v"))),
-        F.when(F.col("r.record.`$ref`").isNotNull(), F.struct(F.lit("inspire").alias("s"), F.element_at(F.split("r.record.`$ref`", "/"), -1).alias("v"))),
-        F.when(F.get("r.dois", F.lit(0)).isNotNull(), F.struct(F.lit("doi").alias("s"), F.lower(F.get("r.dois", F.lit(0)).value).alias("v"))),
-        F.when(F.col("r.arxiv_eprint").isNotNull(), F.struct(F.lit("arxiv").alias("s"), F.col("r.arxiv_eprint").alias("v"))),
-    )
-    rows = _owned(hits).select("canonical_id", F.explode("references").alias("r")).select("canonical_id", target.alias("t")).where("t is not null")
-    return rows.select("canonical_id", F.col("t.s").alias("dst_source"), F.col("t.v").alias("dst_external_id")).distinct()
-
-
-def resolve_citations(refs: DataFrame, ids: DataFrame) -> DataFrame:
-    """References with the work that they name, if it is there."""
-    known = ids.select(F.col("id_type").alias("dst_source"), F.col("id_value").alias("dst_external_id"), F.col("canonical_id").alias("dst"))
-    return refs.join(known, ["dst_source", "dst_external_id"], "left").withColumn("status", F.when(F.col("dst").isNotNull(), "resolved").otherwise("unresolved"))

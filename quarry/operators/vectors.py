@@ -1,61 +1,178 @@
-"""Hashed vectors with inverse document frequencies, exact cosines, and k-nearest-neighbour edges in blocks."""
+"""Hashed vectors with inverse document frequencies, exact cosines, and k-nearest-neighbour edges in blocks.
+
+A hashed vector has DIM slots, so it is folded within the row: one Arrow pass numbers the distinct words and pairs of a
+batch, hashes each once and adds up signed weights.  Features are never rows and never shuffled; what leaves a task for the
+document frequencies is one count for each slot.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import re
+import uuid
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.functions.text import tokens
+from quarry.functions.normalize import search_text
+from quarry.functions.text import EMBEDDING_STOPWORDS, tokens
 
 DIM = 768
 #: Vectors of one block: two blocks and their products are what a task holds.
 BLOCK = 2048
+#: Rows that are folded together: rows times slots are held as an array.
+ROWS = 1024
+#: What the query language embeds a text as: a text's words, each hashed as ``md5`` (SQL can follow) or ``blake2b`` (as prescribed).
+HASHES = ("md5", "blake2b")
+
+
+def slot(feature: str, dim: int = DIM, kind: str = "md5") -> tuple[int, float]:
+    """(slot, sign) of a feature."""
+    if kind == "md5":
+        digest = hashlib.md5(feature.encode(), usedforsecurity=False).hexdigest()
+        return int(digest[:15], 16) % dim, 1.0 if int(digest[15], 16) & 1 else -1.0
+    raw = hashlib.blake2b(feature.encode(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little") % dim, 1.0 if raw[8] & 1 else -1.0
+
+
+def embedding_words(text: str | None) -> list[str]:
+    """The words that are embedded: those of the searched form, folded, without the prescribed stop words."""
+    return [w for w in (x.casefold() for x in re.findall(r"\w+", search_text(text))) if w not in EMBEDDING_STOPWORDS]
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def embedding_tokens(texts: pa.Array) -> pa.Array:
+    return pa.array([embedding_words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def fold(lists: pa.Array, dim: int = DIM, kind: str = "md5") -> tuple[np.ndarray, np.ndarray]:
+    """(values, present) of a column of word lists, one row each: signed sums of words (1 each) and adjacent pairs (1/2 each; so counts a word that holds ``__``), and which slots have any."""
+    n = len(lists)
+    flat = lists.flatten().dictionary_encode()
+    index = flat.indices.to_numpy().astype(np.int64)
+    words = flat.dictionary.to_pylist()
+    size = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64) if lists.null_count else np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(n), size)
+    same = row[1:] == row[:-1]
+    pair, number = np.unique((index[:-1] * len(words) + index[1:])[same], return_inverse=True)
+    features = words + [f"{words[p // len(words)]}__{words[p % len(words)]}" for p in pair.tolist()]
+    if not features:
+        return np.zeros((n, dim)), np.zeros((n, dim), bool)
+    at, sign = (np.array(x) for x in zip(*(slot(f, dim, kind) for f in features), strict=True))
+    weight = sign * np.array([0.5 if "__" in f else 1.0 for f in features])
+    rows, which = np.concatenate((row, row[1:][same])), np.concatenate((index, number + len(words)))
+    place = rows * dim + at[which]
+    values = np.bincount(place, weights=weight[which], minlength=n * dim).reshape(n, dim)
+    return values, np.bincount(place, minlength=n * dim).reshape(n, dim) > 0
+
+
+def _folded(batch: pa.RecordBatch, dim: int, kind: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    for a in range(0, batch.num_rows, ROWS):
+        part = batch.slice(a, ROWS)
+        yield part, *fold(pa.concat_arrays([part.column("toks")]), dim, kind)
+
 
+def _worded(docs: DataFrame, doc_id: str, text: str, words: Callable[[Column], Column]) -> DataFrame:
+    return docs.select(F.col(doc_id), words(F.col(text)).alias("toks"))
 
-def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = DIM, stop: list[str] | None = None) -> DataFrame:
-    """(doc_id, bucket, value): signed hashed words (1 each) and pairs of adjacent words (1/2 each), without ``stop`` words."""
-    words = tokens(F.col(text))
-    toks = docs.select(F.col(doc_id), (F.filter(words, lambda t: ~t.isin(stop)) if stop else words).alias("toks"))
-    both = F.concat(
-        F.transform("toks", lambda t: F.struct(t.alias("f"), F.lit(1.0).alias("w"))),
-        F.expr("filter(transform(toks, (t, i) -> struct(concat(t, '__', get(toks, i + 1)) AS f, 0.5D AS w)), x -> x.f is not null)"),
-    )
-    # Equal features are summed within the document first, so each is hashed once.
-    each = toks.select(doc_id, F.explode(both).alias("x")).groupBy(doc_id, F.col("x.f").alias("f")).agg(F.sum("x.w").alias("w"))
-    digest = F.md5("f")
-    bucket = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(dim))
-    sign = F.when(F.pmod(F.conv(F.substring(digest, 16, 1), 16, 10).cast("long"), F.lit(2)) == 1, 1.0).otherwise(-1.0)
-    return each.select(doc_id, bucket.alias("bucket"), (F.col("w") * sign).alias("w")).groupBy(doc_id, "bucket").agg(F.sum("w").alias("value"))
 
+def slot_idf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = DIM, kind: str = "md5", words: Callable[[Column], Column] = tokens) -> np.ndarray:
+    """The inverse document frequency of each slot; tasks send one count a slot."""
 
-def bucket_idf(feats: DataFrame, n: int) -> DataFrame:
-    """(bucket, idf) from the documents in which the bucket occurs; at most as many rows as buckets."""
-    return feats.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).select("bucket", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(dim + 1, np.int64)
+        for batch in batches:
+            for part, _, present in _folded(batch, dim, kind):
+                count[:dim] += present.sum(0)
+                count[dim] += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1, dtype=np.int32)), pa.array(count)], names=["slot", "n"])
+
+    found = np.zeros(dim + 1)
+    for r in _worded(docs, doc_id, text, words).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # dim + 1 rows
+        found[r.slot] = r.n
+    return np.log((1.0 + found[dim]) / (1.0 + found[:dim])) + 1
+
+
+def hash_vectors(docs: DataFrame, idf: np.ndarray | None = None, doc_id: str = "doc_id", text: str = "text", dim: int = DIM, kind: str = "md5", words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(doc_id, slots, weights): sparse vectors of unit length; without ``idf`` every slot weighs the same.  A text without words has none."""
+    weight = np.ones(dim) if idf is None else idf
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values, _ in _folded(batch, dim, kind):
+                x = values * weight
+                x /= np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
+                r, c = np.nonzero(x)
+                ends = pa.array(np.searchsorted(r, np.arange(part.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(c.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(x[r, c]))], names=[doc_id, "slots", "weights"])
+
+    worded = _worded(docs, doc_id, text, words)
+    return worded.mapInArrow(run, T.StructType([worded.schema[0], T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))]))
 
 
 def hash_idf_vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = DIM) -> DataFrame:
-    """(doc_id, bucket, weight) of unit-length sparse vectors."""
-    feats = features(docs, doc_id, text, dim)
-    n = docs.count()
-    weighted = feats.join(F.broadcast(bucket_idf(feats, n)), "bucket").select(doc_id, "bucket", (F.col("value") * F.col("idf")).alias("w")).where("w <> 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc_id)))
-    return weighted.select(doc_id, "bucket", (F.col("w") / norm).alias("weight"))
+    """(doc_id, bucket, weight): the vectors' entries as rows."""
+    found = hash_vectors(docs, slot_idf(docs, doc_id, text, dim), doc_id, text, dim)
+    return found.select(doc_id, F.explode(F.arrays_zip("slots", "weights")).alias("x")).select(doc_id, F.col("x.slots").cast("long").alias("bucket"), F.col("x.weights").alias("weight"))
+
+
+def query_vector(words: list[str], idf: np.ndarray | None, dim: int = DIM, kind: str = "md5") -> np.ndarray:
+    """A query's unit vector; all zeros without words."""
+    values, _ = fold(pa.array([words], pa.list_(pa.string())), dim, kind)
+    x = values[0] * (1.0 if idf is None else idf)
+    return x / (np.linalg.norm(x) or 1.0)
+
+
+def hash_cosine(docs: DataFrame, words: list[str], doc_id: str = "doc_id", text: str = "text", dim: int = DIM, kind: str = "md5", analyze: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(doc_id, score): cosines of all documents that have a vector with the query's; folded and scored in one pass."""
+    idf = slot_idf(docs, doc_id, text, dim, kind, analyze)
+    q = query_vector(words, idf, dim, kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values, _ in _folded(batch, dim, kind):
+                x = values * idf
+                length = np.linalg.norm(x, axis=1)
+                keep = np.flatnonzero(length > 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep)), pa.array((x[keep] @ q) / length[keep])], names=[doc_id, "score"])
+
+    worded = _worded(docs, doc_id, text, analyze)
+    return worded.mapInArrow(run, T.StructType([worded.schema[0], T.StructField("score", T.DoubleType())]))
+
+
+# ---- indexes that stay
 
 
-def hash_cosine(docs: DataFrame, query: str, dim: int = DIM) -> DataFrame:
-    """(doc_id, score): cosines of all documents with the query's vector."""
+def write_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", dim: int = DIM, kind: str = "blake2b", words: Callable[[Column], Column] = embedding_tokens) -> None:
+    """Vectors and their frequencies as two tables under ``path``; a new index replaces an old one only when it is whole."""
     spark = docs.sparkSession
-    feats = features(docs, dim=dim)
-    idf = bucket_idf(feats, docs.count())
-    q = features(spark.createDataFrame([(0, query)], "doc_id long, text string"), dim=dim).join(F.broadcast(idf), "bucket")
-    rows = [(r.bucket, r.value * r.idf) for r in q.collect()]  # as many as the query has features
-    norm = sum(w * w for _, w in rows) ** 0.5 or 1.0
-    sent = F.broadcast(spark.createDataFrame([(b, w / norm) for b, w in rows], "bucket long, q double"))
-    weighted = feats.join(F.broadcast(idf), "bucket").select("doc_id", "bucket", (F.col("value") * F.col("idf")).alias("w"))
-    sums = weighted.join(sent, "bucket", "left").groupBy("doc_id").agg(F.sum(F.col("w") * F.coalesce("q", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return sums.where("len > 0").select("doc_id", (F.col("dot") / F.col("len")).alias("score"))
+    idf = slot_idf(docs, doc_id, text, dim, kind, words)
+    version = uuid.uuid4().hex
+    hash_vectors(docs, idf, doc_id, text, dim, kind, words).write.parquet(f"{path}/{version}/vectors")
+    spark.createDataFrame([(dim, kind, idf.tolist())], "dim int, kind string, idf array<double>").write.parquet(f"{path}/{version}/frequencies")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+
+
+class Index:
+    """An index that ``write_index`` wrote; one table scan a query, no text is read."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        version = spark.read.parquet(f"{path}/current").first().version
+        self.vectors = spark.read.parquet(f"{path}/{version}/vectors")
+        r = spark.read.parquet(f"{path}/{version}/frequencies").first()
+        self.dim, self.kind, self.idf = r.dim, r.kind, np.array(r.idf)
+
+    def cosine(self, words: list[str], allowed: DataFrame | None = None) -> DataFrame:
+        """(id, score) of every vector, or of those in ``allowed`` (its first column)."""
+        q = query_vector(words, self.idf, self.dim, self.kind)
+        key = self.vectors.columns[0]
+        kept = self.vectors if allowed is None else self.vectors.join(allowed.select(F.col(allowed.columns[0]).alias(key)), key, "left_semi")
+        weights = F.lit(q.tolist())
+        return kept.select(key, F.aggregate(F.zip_with("slots", "weights", lambda s, w: w * F.get(weights, s)), F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def dense_cosine_topk(vectors: DataFrame, query_id: int, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

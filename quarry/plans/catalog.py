@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, graphs, ops, retrieval
+from quarry.plans import corpus, graphs, ops, retrieval, search
 
-QUERIES = {**retrieval.R.queries, **graphs.R.queries, **corpus.R.queries, **ops.R.queries}
-SQL = {**retrieval.R.sql, **graphs.R.sql, **corpus.R.sql, **ops.R.sql}
+QUERIES = {**retrieval.R.queries, **search.R.queries, **graphs.R.queries, **corpus.R.queries, **ops.R.queries}
+SQL = {**retrieval.R.sql, **search.R.sql, **graphs.R.sql, **corpus.R.sql, **ops.R.sql}

@@ -85,7 +85,7 @@ _COSINE = f"""{_FEATURES.format(source='d')}, {_IDF},
 
 @R.add("hash_cosine_topk", f"WITH {_TOKENS}, {_COSINE} SELECT doc_id, round(score, 6) AS score, {_RANK} AS rank FROM c QUALIFY {_RANK} <= 10")
 def hash_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ranked(vectors.hash_cosine(table(spark, sf, "documents"), QUERY), 10).select("doc_id", F.round("score", 6).alias("score"), "rank")
+    return lexical.ranked(vectors.hash_cosine(table(spark, sf, "documents"), QUERY.split()), 10).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @R.add(
@@ -127,7 +127,7 @@ def similarity_max_by_metric(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rrf_fusion_docs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return fused(lexical.ranked(lexical.bm25_scores(docs, WORDS), 50), lexical.ranked(vectors.hash_cosine(docs, QUERY), 50), 1.25, 0.75)
+    return fused(lexical.ranked(lexical.bm25_scores(docs, WORDS), 50), lexical.ranked(vectors.hash_cosine(docs, QUERY.split()), 50), 1.25, 0.75)
 
 
 def fused(bm25: DataFrame, vector: DataFrame, w1: float, w2: float) -> DataFrame:
@@ -145,23 +145,6 @@ def agreement_filter(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.agreement_filter(table(spark, sf, "documents"), GROUPS).withColumn("coverage", F.round("coverage", 6))
 
 
-@R.add(
-    "hybrid_works",
-    f"""WITH {_TOKENS}, s AS ({_bm25(WORDS)}), {_COSINE}, b AS (SELECT doc_id, {_RANK} AS r FROM s QUALIFY r <= 50), v AS (SELECT doc_id, {_RANK} AS r FROM c QUALIFY r <= 50),
-    fu AS (SELECT coalesce(b.doc_id, v.doc_id) AS doc_id, coalesce(1.25 / (60 + b.r), 0) + coalesce(0.75 / (60 + v.r), 0) AS hybrid FROM b FULL JOIN v ON b.doc_id = v.doc_id),
-    hh AS (SELECT doc_id, {_HITS}::BIGINT AS hits FROM d)
-    SELECT doc_id, hits, round(hybrid, 6) AS hybrid, row_number() OVER (ORDER BY hits DESC, round(hybrid, 9) DESC, doc_id) AS rank FROM fu JOIN hh USING (doc_id) QUALIFY rank <= 20""",
-)
-def hybrid_works(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    b = lexical.ranked(lexical.bm25_scores(docs, WORDS), 50).select("doc_id", (1.25 / (60 + F.col("rank"))).alias("s"))
-    v = lexical.ranked(vectors.hash_cosine(docs, QUERY), 50).select("doc_id", (0.75 / (60 + F.col("rank"))).alias("s"))
-    both = b.unionByName(v).groupBy("doc_id").agg(F.sum("s").alias("hybrid"))  # 100 rows at most
-    rows = lexical.agreement(docs, GROUPS).join(F.broadcast(both), "doc_id")
-    order = [F.col("hits").desc(), F.round("hybrid", 9).desc(), F.col("doc_id")]
-    return rows.orderBy(*order).limit(20).select("doc_id", "hits", F.round("hybrid", 6).alias("hybrid"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
-
-
 @R.add(
     "online_merge",
     f"""WITH {_TOKENS}, a AS ({_bm25(WORDS[:1])}), b AS ({_bm25(WORDS[1:])}), r AS (SELECT doc_id, 0 AS batch, {_RANK} AS r FROM a QUALIFY r <= 30 UNION ALL SELECT doc_id, 1, {_RANK} AS r FROM b QUALIFY r <= 30)

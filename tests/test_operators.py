@@ -79,35 +79,6 @@ def test_html_sections(spark):
     assert got == [(0, 1, "A", "A"), (1, 2, "B", "A / B"), (2, 2, "C", "A / C"), (3, 1, "D", "D")]
 
 
-HIT = {
-    "metadata": {
-        "control_number": 7,
-        "titles": [{"title": "A search"}],
-        "abstracts": [{"value": "text"}],
-        "authors": [{"full_name": "B, A"}, {"full_name": " "}, {"full_name": "C, D"}],
-        "arxiv_eprints": [{"value": "2601.00001"}],
-        "dois": [{"value": "10.1000/ABC"}],
-        "keywords": [{"value": "Higgs"}, {"value": "higgs"}],
-        "inspire_categories": [{"term": "Experiment"}],
-        "preprint_date": "2021-05-01",
-        "references": [{"control_number": 9}, {"record": {"$ref": "https://x/api/literature/9"}}, {"dois": [{"value": "10.1/X"}]}, {}],
-    }
-}
-
-
-def test_bibliographic_records(spark):
-    lines = spark.createDataFrame([(json.dumps(HIT),), ("not json",), (json.dumps({"metadata": {"control_number": 8}}),)], "value string")
-    hits = ingest.parse_hits(lines)
-    work = ingest.works(hits).collect()
-    assert [(w.source, w.canonical_id, w.title, w.year) for w in work] == [("inspire", "7", "A search", 2021)]
-    assert rows(ingest.work_ids(hits).select("id_type", "id_value")) == [("arxiv", "2601.00001"), ("doi", "10.1000/abc"), ("inspire", "7")]
-    assert [r.name for r in ingest.work_authors(hits).orderBy("author_position").collect()] == ["B, A", "C, D"]
-    assert rows(ingest.work_topics(hits).select("source", "topic_key")) == [("category", "experiment"), ("keyword", "higgs")]
-    refs = ingest.citations(hits)
-    assert rows(refs.select("dst_source", "dst_external_id")) == [("doi", "10.1/x"), ("inspire", "9")]
-    assert {r.status for r in ingest.resolve_citations(refs, ingest.work_ids(hits)).collect()} == {"unresolved"}
-
-
 @pytest.mark.parametrize(("raw", "want"), [("A &amp; <b>B</b>", "A & B"), ("x_{1} , (y)", "x 1 y"), (None, "")])
 def test_normalize_search(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "t string").select(T.normalize_search(F.col("t"))).first()[0] == want
@@ -138,17 +109,45 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_query_profile_and_routes():
-    from quarry.plans import profile
-
-    p = profile.analyze("latest results on the CMS trimuon search", {"cms": ["cms", "cms collaboration"]})
-    assert p.words == ["cms", "trimuon", "search"]
-    assert p.groups[0] == ["cms", "cms collaboration"]
-    assert [q[0] for q in profile.match_queries(p)] == ["and", "or", "and", "or"]
-    assert profile.route("overview of trimuon") == ("works", 5)
-    assert profile.route("trimuon mass") == ("chunks", 0)
-    assert profile.match_queries(profile.analyze("")) == []
-    assert profile.strategy(0, 0, True) == "insufficient_evidence"
-    assert profile.strategy(1, 3, True) == "community_map_reduce"
+    from quarry.functions import query as Q
+
+    p = Q.analyze("latest results on the CMS trimuon search")
+    assert p.content == ("cms", "collaboration", "trimuon", "search")
+    assert p.groups[0] == ("cms", "cms collaboration")
+    assert p.concepts == ("cms", "muon")
+    assert [q.every for q in Q.match_queries(p)] == [True, False, True, False]
+    assert Q.route("overview of trimuon") == ("works", 5)
+    assert Q.route("trimuon mass") == ("chunks", 0)
+    assert Q.match_queries(Q.analyze("")) == []
+    assert Q.embedded_form(Q.analyze("")) == ""
+    assert Q.strategy(0, 0, True) == "insufficient_evidence"
+    assert Q.strategy(1, 3, True) == "community_map_reduce"
+    assert Q.wants_summaries("overview", "works")
+    assert not Q.wants_summaries("overview", "chunks")
+
+
+def test_query_language_of_abbreviations_and_intent():
+    from quarry.functions import query as Q
+
+    p = Q.analyze("综述一下 H -> aa 相关工作")
+    rewritten = Q.embedded_form(p)
+    assert "higgs" in rewritten
+    assert "pseudoscalar" in rewritten
+    assert "综述" not in rewritten
+    first = Q.match_queries(p)[0]
+    assert first.every
+    assert {"higgs", "pseudoscalar"} <= {x for g in first.groups for x in g}
+    assert p.relations == ("综述", "相关工作")
+    p = Q.analyze("总结CMS VBS SSWW的最新结果")
+    for want in ("cms collaboration", "vector boson scattering", "same-sign"):
+        assert want in Q.embedded_form(p)
+    p = Q.analyze("CMS current SSWW best results")
+    phrases = {x for q in Q.match_queries(p) for g in q.groups for x in g}
+    assert {"cms", "same sign ww"} <= phrases
+    assert not {"current", "best", "results"} & phrases
+    assert Q.route("CMS current SSWW best results") == ("works", 3)
+    assert Q.route("总结CMS VBS SSWW的最新结果")[0] == "works"
+    assert Q.analyze("network 123456 中").content == ()  # "work" within a word, a long number, a single ideograph
 
 
 def test_default_signatures_and_status(spark):
@@ -161,10 +160,88 @@ def test_default_signatures_and_status(spark):
     assert got[3] == ([], [], "partial", None)
 
 
-def test_stop_words_leave_features(spark):
-    docs = spark.createDataFrame([(1, "search alpha")], "doc_id long, text string")
-    assert vectors.features(docs).count() == 3
-    assert vectors.features(docs, stop=T.EMBEDDING_STOPWORDS).count() == 1
+def test_hashed_vectors_by_brute_force(spark):
+    import hashlib
+
+    import numpy as np
+
+    texts = {1: "search alpha beta alpha", 2: "", 3: None, 4: "a__b a b alpha", 5: "gamma " * 50}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
+
+    def folded(words, dim, kind):
+        out, seen = np.zeros(dim), set()
+        for f in words + [f"{a}__{b}" for a, b in zip(words, words[1:], strict=False)]:
+            if kind == "md5":
+                d = hashlib.md5(f.encode()).hexdigest()
+                k, sign = int(d[:15], 16) % dim, 1 if int(d[15], 16) % 2 else -1
+            else:
+                d = hashlib.blake2b(f.encode(), digest_size=16).digest()
+                k, sign = int.from_bytes(d[:8], "little") % dim, 1 if d[8] & 1 else -1
+            out[k] += sign * (0.5 if "__" in f else 1)
+            seen.add(k)
+        return out, seen
+
+    for kind, dim in (("md5", 16), ("blake2b", 64)):
+        plain = {i: folded((t or "").split(), dim, kind) for i, t in texts.items()}
+        idf = np.log(6 / (1 + np.array([sum(k in s for _, s in plain.values()) for k in range(dim)]))) + 1
+        assert np.allclose(vectors.slot_idf(docs, dim=dim, kind=kind), idf)
+        for r in vectors.hash_vectors(docs, idf, dim=dim, kind=kind).collect():
+            want = plain[r.doc_id][0] * idf
+            want /= np.linalg.norm(want) or 1
+            got = np.zeros(dim)
+            got[r.slots] = r.weights
+            assert np.allclose(got, want)
+
+
+def test_embedded_words_and_stored_index(spark, tmp_path):
+    assert vectors.embedding_words("Search for τ→μ: <b>results</b> in $\\eta$ Alpha") == ["for", "tau", "to", "mu", "in", "eta", "alpha"]
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta gamma"), (3, "gamma delta"), (4, None)], "doc_id long, text string")
+    path = str(tmp_path / "index")
+    vectors.write_index(docs, path)
+    index = vectors.Index(spark, path)
+    got = {r.doc_id: r.score for r in index.cosine(["beta", "gamma"]).collect()}
+    assert max(got, key=got.get) == 2
+    assert got[2] == pytest.approx(1.0)
+    assert got[4] == 0
+    assert {r.doc_id for r in index.cosine(["beta"], docs.where("doc_id < 3").select("doc_id")).collect()} == {1, 2}
+    assert set(r.score for r in index.cosine([]).collect()) == {0.0}
+    assert vectors.slot("abc") == (251, 1.0 if int(__import__("hashlib").md5(b"abc").hexdigest()[15], 16) & 1 else -1.0)
+
+
+NORMAL_FORMS = [
+    (r"$1 3 \mathrm { T e V }$ and $9 7. 7 \mathrm { f b } ^ { - 1 }$ and $1 0 ^ { - 8 }$ with $\tau \to 3 \mu$", ["13 TeV", "97.7 fb^-1", "10^-8", "τ -> 3 μ"], []),
+    (
+        r"The selection requires $| \eta | < 2 . 4$ and $p _ { \mathrm { T } } > 3 . 5 \mathrm { G e V }$. The transverse mass is $\begin{array} { r } { m _ { \mathrm { T } } = \sqrt { 2 p _ { \mathrm { T } } } } \end{array}$.",
+        ["| η | < 2.4", "pT > 3.5 GeV", "mT = sqrt"],
+        ["begin array", "end array"],
+    ),
+    ("The strategy, detailed in Ref., is summarized here. Any muon must have pT > 3.5 GeV . .", ["The strategy is summarized here."], ["detailed in", ".."]),
+    ("The exact procedure is detailed in.\x00 The isolation is rI = frac pT (B) pT (B) + sum trkpT.", ["/"], ["\x00", "detailed in.", "frac"]),
+    ("aa frac xx yy bb frac", ["aa (xx) / (yy) bb frac"], []),
+    ("frac frac aa bb cc", ["((aa) / (bb)) / (cc)"], []),
+]
+
+
+@pytest.mark.parametrize(("text", "wanted", "unwanted"), NORMAL_FORMS)
+def test_displayed_form(text, wanted, unwanted):
+    from quarry.functions.normalize import display_text
+
+    got = display_text(text)
+    for x in wanted:
+        assert x in got, got
+    for x in unwanted:
+        assert x not in got, got
+
+
+def test_searched_form(spark):
+    from quarry.functions import normalize
+
+    got = normalize.search_text("Rare decay <math><mi>η</mi><mo>→</mo><msup><mi>μ</mi><mo>+</mo></msup></math> at $\\sqrt{s}$ = 1 3 TeV and 101 fb$^{-1}$.")
+    for x in ("eta", "mu", "sqrt", "13", "101"):
+        assert x in got.split()
+    assert normalize.search_text("粒子 a&amp;b\u2060c\x01") == "粒 子 a&bc"
+    df = spark.createDataFrame([("x_{2} – y",), (None,)], "t string").select(normalize.search_form(F.col("t")).alias("s"), normalize.display_form(F.col("t")).alias("d"))
+    assert [tuple(r) for r in df.collect()] == [("x 2 y", "x 2 – y"), ("", "")]
 
 
 def test_content_lists_become_blocks_and_windows(spark):
