@@ -2,22 +2,59 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.shared import written
 
+#: Edges of a vertex from which it is a hub.
+HUB = 100_000
+#: Edges that one task joins.
+SMALL = 200_000
+#: Nodes with a common neighbour that one task pairs with each other.
+BLOCK = 2048
+
+
+def dealt_pairs(edges: DataFrame, block: int = 0) -> DataFrame:
+    """(src, dst), src < dst, once for each common neighbour of ``edges`` (n, v; distinct).
+
+    The nodes of one neighbour are dealt in blocks, and a task pairs two blocks of bounded size, however many there are.
+    """
+    blocks = edges.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / (block or BLOCK)).cast("int").alias("blocks"))
+    own = edges.join(blocks, "v").withColumn("own", F.pmod(F.xxhash64("n"), "blocks").cast("int"))
+    left = own.select("v", F.col("n").alias("x"), F.col("own").alias("i"), F.explode(F.expr("sequence(own, blocks - 1)")).alias("j"))
+    right = own.select("v", F.col("n").alias("y"), F.explode(F.expr("sequence(0, own)")).alias("i"), F.col("own").alias("j"))
+    both = left.join(right, ["v", "i", "j"]).where("(i = j and x < y) or i < j")
+    return both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
 
 def shared_pairs(edges: DataFrame, node: str, via: str, least: int = 2) -> DataFrame:
-    """(src, dst, shared, score), src < dst: nodes with at least ``least`` common neighbours; score shared / sqrt(degrees)."""
+    """(src, dst, shared, score), src < dst: nodes with at least ``least`` common neighbours; score shared / sqrt(degrees).
+
+    Where some neighbour has more than BLOCK nodes, its pairs are not all made: two nodes with so many in common share one
+    that is not among the ``least - 1`` most frequent of either, which makes candidates; these are counted exactly on their
+    whole lists.
+    """
     e = edges.select(F.col(node).alias("n"), F.col(via).alias("v")).distinct()
-    degree = e.groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
-    pairs = e.alias("a").join(e.alias("b"), "v").where("a.n < b.n").groupBy(F.col("a.n").alias("src"), F.col("b.n").alias("dst")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-    return (
-        pairs.join(degree.select(F.col("n").alias("src"), F.col("deg").alias("da")), "src")
-        .join(degree.select(F.col("n").alias("dst"), F.col("deg").alias("db")), "dst")
-        .select("src", "dst", "shared", (F.col("shared") / F.sqrt(F.col("da") * F.col("db"))).alias("score"))
-    )
+    sizes = e.groupBy("v").agg(F.count(F.lit(1)).alias("f"))
+    score = lambda shared, a, b: shared / F.sqrt(a * b)
+    if (sizes.agg(F.max("f")).first()[0] or 0) <= BLOCK:
+        degree = e.groupBy("n").agg(F.count(F.lit(1)).alias("deg"))
+        pairs = e.alias("a").join(e.alias("b"), "v").where("a.n < b.n").groupBy(F.col("a.n").alias("src"), F.col("b.n").alias("dst")).agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+        side = lambda c: degree.select(F.col("n").alias(c), F.col("deg").alias(f"{c}_deg"))
+        return pairs.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", "shared", score(F.col("shared"), F.col("src_deg"), F.col("dst_deg")).alias("score"))
+    frequent = e.join(sizes, "v").withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.col("f").desc(), F.col("v").desc())))
+    near = dealt_pairs(frequent.where(F.col("r") >= least).select("n", "v")).distinct()
+    lists = e.groupBy("n").agg(F.collect_list("v").alias("vs"))
+    side = lambda c: lists.select(F.col("n").alias(c), F.col("vs").alias(f"{c}_vs"))
+    shared = F.size(F.array_intersect("src_vs", "dst_vs")).cast("long")
+    rows = near.join(side("src"), "src").join(side("dst"), "dst")
+    return rows.select("src", "dst", shared.alias("shared"), score(shared, F.size("src_vs"), F.size("dst_vs")).alias("score")).where(F.col("shared") >= least)
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -38,27 +75,80 @@ def injected(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return near.groupBy(F.col("dst").alias("id")).agg(F.sum("boost").alias("graph_score"), F.count(F.lit(1)).alias("votes"), F.max("shared").alias("shared_max"))
 
 
-def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
-    """(node, component): the least node reachable, for every node of an edge.  Large-star and small-star steps on written tables."""
-
-    def least(e: DataFrame) -> DataFrame:
-        m = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return e.join(m, "u")
-
-    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    loops = now.where("u = v").select(F.col("u").alias("node"))
-    now = now.where("u <> v")
-    count = F.struct(F.count(F.lit(1)), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0))).alias("s")
-    seen = now.agg(count).first().s
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = least(large.where("u <> v"))
-        now = written(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        last, seen = seen, now.agg(count).first().s
+# ---- connected components: alternating large-star and small-star steps (Kiveris and others, 2014)
+#
+# Every step is a grouped minimum and a join.  A vertex of any degree is combined before the shuffle; the edges of a hub (more
+# than HUB) stay where they are and meet its minimum by broadcast: there are at most as many hubs as edges over HUB.  Each
+# round's edges are a table in the shared folder: lineage stays short.  Once at most SMALL edges are left, a bounded number of
+# bytes, one task joins them by pointer jumping, which spares the many small rounds; the result is the same.
+
+
+def _with_least(edges: DataFrame, hub: int) -> DataFrame:
+    """(u, v, m): m is the least of u and its neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
+    marked = edges.join(hubs, "u", "left")
+    light = marked.where("hub_m is null").select("u", "v").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    return light.unionByName(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
+
+
+def _large_star(edges: DataFrame, hub: int) -> DataFrame:
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame, hub: int) -> DataFrame:
+    near = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), hub)
+    moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """(u, v) with v the component's least vertex; the edges are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        u, v = (pa.concat_arrays([b.column(c) for b in parts]) for c in ("u", "v"))
+        names = pc.unique(pa.concat_arrays([u, v]))
+        names = names.take(pc.array_sort_indices(names))
+        a, b = (pc.index_in(x, value_set=names).to_numpy() for x in (u, v))
+        label = np.arange(len(names))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            # Each end, and the vertex that it points to, points to the lower of the two labels.
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(label[moved]))], names=["u", "v"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, edges.select("u", "v").schema)
+
+
+def components(edges: DataFrame, a: str = "src", b: str = "dst", small: int = SMALL, hub: int = HUB) -> DataFrame:
+    """(node, component) of every vertex of the edges but the components' least vertices, which name them."""
+    state = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0)).alias("s")).alias("state")
+    now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    seen = now.agg(state).first().state
+    while seen.n:
+        if seen.n <= small:
+            now = written(_in_one_task(now), "edges")
+            break
+        now = written(_small_star(_large_star(now, hub), hub), "edges")
+        last, seen = seen, now.agg(state).first().state
         if last == seen:
             break
-    members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct()).unionByName(
-        loops.join(members, "node", "left_anti").join(members.select(F.col("component").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("component"))
-    )
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def connected_components(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """(node, component): the least node reachable, for every node of an edge, loops too."""
+    found = written(components(edges, a, b), "components")
+    nodes = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node"))).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

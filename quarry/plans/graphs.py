@@ -144,52 +144,16 @@ def group_pairs(rows: DataFrame, key: list[str], member: str, cap: int) -> DataF
     return a.join(b, same & (F.col("a.m") < F.col("b.m"))).select(F.col("a.m").alias("src"), F.col("b.m").alias("dst"))
 
 
-def part_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """(src, dst, weight, signals): co-citation, topic (brand, type and size) and name-in-size signals, summed."""
-    part, items = table(spark, sf, "part"), table(spark, sf, "lineitem")
-    cited = graph.shared_pairs(items, "l_partkey", "l_orderkey").select("src", "dst", F.least(F.lit(0.6), F.greatest(1.6 * F.col("score"), F.least(F.lit(0.35), 0.06 * F.col("shared")))).alias("w"), F.lit("co_citation").alias("signal"))
-    topic = group_pairs(part, ["p_brand", "p_type", "p_size"], "p_partkey", 24).select("src", "dst", F.lit(0.18).alias("w"), F.lit("topic").alias("signal"))
-    result = group_pairs(part, ["p_name", "p_size"], "p_partkey", 16).select("src", "dst", F.lit(0.12).alias("w"), F.lit("result").alias("signal"))
-    method = group_pairs(part, ["p_name", "p_brand"], "p_partkey", 16).select("src", "dst", F.lit(0.10).alias("w"), F.lit("method").alias("signal"))
-    every = cited.unionByName(topic).unionByName(result).unionByName(method)
-    return every.groupBy("src", "dst").agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("signals"))
-
-
 def _group(key: str, member: str, cap: int, weight: float) -> str:
     return f"""SELECT a.{member} AS src, b.{member} AS dst, {weight}::DOUBLE AS w FROM part a JOIN part b ON ({', '.join('a.' + k for k in key.split(','))}) = ({', '.join('b.' + k for k in key.split(','))}) AND a.{member} < b.{member}
       WHERE (SELECT count(*) FROM part c WHERE ({', '.join('c.' + k for k in key.split(','))}) = ({', '.join('a.' + k for k in key.split(','))})) BETWEEN 2 AND {cap}"""
 
 
-_WEIGHTED = f"""{_pairs('l_partkey', 'l_orderkey')}, sig AS (SELECT src, dst, least(0.6, greatest(1.6 * score, least(0.35, 0.06 * shared)))::DOUBLE AS w FROM s
-    UNION ALL {_group('p_brand,p_type,p_size', 'p_partkey', 24, 0.18)} UNION ALL {_group('p_name,p_size', 'p_partkey', 16, 0.12)} UNION ALL {_group('p_name,p_brand', 'p_partkey', 16, 0.1)}),
-  we AS (SELECT src, dst, sum(w) AS weight, count(*) AS signals FROM sig GROUP BY 1, 2)"""
-THRESHOLD = 0.38
-_COMMUNITIES = f"""{_WEIGHTED}, mir AS (SELECT src, dst FROM we WHERE round(weight, 9) >= {THRESHOLD} UNION SELECT dst, src FROM we WHERE round(weight, 9) >= {THRESHOLD}),
-  reach(a, b) AS (SELECT src, src FROM mir UNION SELECT reach.a, mir.dst FROM reach JOIN mir ON mir.src = reach.b), comm AS (SELECT a AS node, min(b) AS community FROM reach GROUP BY 1)"""
-
-
 @R.add("group_overlap_edges", "SELECT src, dst FROM (" + _group("p_brand,p_type,p_size", "p_partkey", 24, 0.18) + ")")
 def group_overlap_edges(spark: SparkSession, sf: str) -> DataFrame:
     return group_pairs(table(spark, sf, "part"), ["p_brand", "p_type", "p_size"], "p_partkey", 24)
 
 
-@R.add("weighted_edges", f"WITH {_WEIGHTED} SELECT src, dst, round(weight, 6) AS weight, signals FROM we")
-def weighted_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return part_edges(spark, sf).withColumn("weight", F.round("weight", 6))
-
-
-def communities_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(members, edges above the threshold)."""
-    edges = graph.written(part_edges(spark, sf).where(F.round("weight", 9) >= THRESHOLD), "weighted")
-    return graph.connected_components(edges).withColumnRenamed("component", "community"), edges
-
-
-@R.add("communities", f"WITH RECURSIVE {_COMMUNITIES} SELECT node, community, count(*) OVER (PARTITION BY community) AS size FROM comm")
-def communities(spark: SparkSession, sf: str) -> DataFrame:
-    members, _ = communities_of(spark, sf)
-    return members.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("community")))
-
-
 def top_values(rows: DataFrame, group: str, value: str, n: int = 3) -> DataFrame:
     """(group, labels): the n most frequent values as 'value=count', ties by value."""
     counted = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
@@ -199,37 +163,6 @@ def top_values(rows: DataFrame, group: str, value: str, n: int = 3) -> DataFrame
     return top.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", label.alias("l")))), lambda x: x.l), " | ").alias("labels"))
 
 
-@R.add(
-    "community_summary",
-    f"""WITH RECURSIVE {_COMMUNITIES}, c AS (SELECT community, p_brand, count(*) AS n FROM comm JOIN part ON p_partkey = node GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, p_brand) AS r FROM c QUALIFY r <= 3),
-    l AS (SELECT community, string_agg(p_brand || '=' || n, ' | ' ORDER BY r) AS labels FROM t GROUP BY 1), ed AS (SELECT community, count(*) AS edges, sum(signals)::BIGINT AS signals FROM we JOIN comm ON node = src WHERE round(weight, 9) >= {THRESHOLD} GROUP BY 1)
-    SELECT community, works, edges, signals, labels FROM (SELECT community, count(*) AS works FROM comm GROUP BY 1) JOIN ed USING (community) JOIN l USING (community)""",
-)
-def community_summary(spark: SparkSession, sf: str) -> DataFrame:
-    members, edges = communities_of(spark, sf)
-    members = graph.written(members, "communities")
-    size = members.groupBy("community").agg(F.count(F.lit(1)).alias("works"))
-    stats = edges.join(members, edges.src == members.node).groupBy("community").agg(F.count(F.lit(1)).alias("edges"), F.sum("signals").alias("signals"))
-    named = members.join(table(spark, sf, "part").select(F.col("p_partkey").alias("node"), "p_brand"), "node")
-    return size.join(stats, "community").join(top_values(named, "community", "p_brand"), "community").select("community", "works", "edges", "signals", "labels")
-
-
-@R.add(
-    "overview_communities",
-    f"""WITH RECURSIVE {_COMMUNITIES}, c AS (SELECT community, p_brand, p_type, p_size FROM comm JOIN part ON p_partkey = node),
-    o AS (SELECT a.community AS src, b.community AS dst, 0.16 * least(1, count(DISTINCT a.p_brand || '/' || a.p_size)) + 0.14 * least(1, count(DISTINCT a.p_type)) AS weight
-      FROM c a JOIN c b ON a.community < b.community AND a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size GROUP BY 1, 2)
-    SELECT src, dst, round(weight, 6)::DOUBLE AS weight FROM o WHERE weight >= 0.26""",
-)
-def overview_communities(spark: SparkSession, sf: str) -> DataFrame:
-    """Links between communities that share a brand, type and size: an equi-join on the shared signal, never all pairs."""
-    members, _ = communities_of(spark, sf)
-    c = members.join(table(spark, sf, "part").withColumnRenamed("p_partkey", "node"), "node").select("community", "p_brand", "p_type", "p_size").distinct()
-    a, b = c.alias("a"), c.alias("b")
-    both = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.community") < F.col("b.community")))
-    return both.groupBy(F.col("a.community").alias("src"), F.col("b.community").alias("dst")).agg(F.lit(0.3).alias("weight")).where("weight >= 0.26")
-
-
 # ---- facets
 
 

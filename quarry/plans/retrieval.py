@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
-from quarry.operators import graph, lexical, vectors
+from quarry.operators import graph, grounding, lexical, vectors
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -212,16 +212,9 @@ def works_from_chunks(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, item_id, round(confidence, 6)::DOUBLE AS confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, n DESC, item_id) AS rank FROM m QUALIFY rank <= 6""",
 )
 def alias_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """Aliases that a document holds word for word: an alias's first words are the key of an equi-join, the rest is verified."""
-    key = 3
-    docs = table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
-    aliases = table(spark, sf, "benchmark").select("item_id", tokens(F.col("text")).alias("a")).where("size(a) > 0")
-    aliases = aliases.select("item_id", F.array_join("a", " ").alias("alias"), F.size("a").alias("words"), F.array_join(F.slice("a", 1, key), " ").alias("k"))
-    sizes = [r.n for r in aliases.select(F.least("words", F.lit(key)).alias("n")).distinct().collect()]  # at most `key` values
-    starts = F.array_distinct(F.flatten(F.array(*(F.expr(f"transform(sequence(1, greatest(size(t), 1)), i -> array_join(slice(t, i, {n}), ' '))") for n in sizes or [1]))))
-    near = docs.select("doc_id", F.explode(starts).alias("k")).join(aliases.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    text = docs.select("doc_id", F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")).alias("text"))
-    found = text.join(near, "doc_id").join(aliases.drop("k"), "item_id").where(F.col("text").contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
-    scored = found.select("doc_id", "item_id", F.least(F.lit(0.99), 0.46 + 0.08 * F.least("words", F.lit(5)) + 0.2 + 0.06).alias("confidence"), F.length("alias").alias("n"))
+    """Aliases that a document holds word for word, the six best of each."""
+    aliases = table(spark, sf, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
+    found = grounding.mentions(table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("words")), aliases, "doc_id", "item_id")
+    scored = found.select("doc_id", "item_id", F.least(F.lit(0.99), 0.46 + 0.08 * F.least("words", F.lit(5)) + 0.2 + 0.06).alias("confidence"), F.col("chars").alias("n"))
     order = Window.partitionBy("doc_id").orderBy(F.round("confidence", 9).desc(), F.col("n").desc(), "item_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 6").select("doc_id", "item_id", F.round("confidence", 6).alias("confidence"), "rank")
