@@ -53,7 +53,7 @@ def test_quality_on_held_out_rows(spark):
 def test_cosines_are_exact():
     rng = np.random.default_rng(0)
     texts = ["".join(rng.choice(list("abc de"), 60)) for _ in range(80)]
-    idf = np.ones(1 << knn_quality.BITS)
+    idf = np.ones(knn_quality.FEATURES)
     x = knn_quality.vectors(texts, idf)
     basis = knn_quality.latent_basis(x, 16)
     points = x @ basis
