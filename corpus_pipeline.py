@@ -28,20 +28,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the thresholds of their language and source."""
-    measured = materialize(quality_rules.with_statistics(docs.select("doc_id", "lang", "source", "text"), keep_text=False), "statistics")
+    measured = materialize(quality_rules.with_statistics(docs), "statistics")
     limits = materialize(quality_rules.thresholds(measured), "thresholds")
-    return quality_rules.judge(quality_rules.with_statistics(docs), limits).where("kept").select(*docs.columns)
+    return quality_rules.judge(measured, limits).where("kept").select(*docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near duplicates; of rows that repeat an id and text, one."""
-    found = materialize(circulant_minhash.near_duplicates(docs, SHINGLE, PERCENT), "groups")
-    removed = found.where(~F.col("kept")).select("doc_id").distinct()
-    if removed.count() <= circulant_minhash.BROADCAST_ROWS:  # ids only; beyond, they meet the documents in a shuffle
-        removed = F.broadcast(removed)
-    left = docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    """One row, that of the least id, of each group of near duplicates; see ``one_of_each`` for rows that repeat an id or have none."""
+    return circulant_minhash.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
