@@ -1,13 +1,14 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text's terms are character trigrams as written (hashed into 2**BITS, weighted by inverse document frequencies over all
-documents) and the shapes of its words and lines (shares of upper-case words, of words with symbols, of repeated words,
-windows and lines, ...).  A truncated singular value decomposition of the labelled vectors gives RANK latent dimensions.
+A text's terms are its character trigrams as written (hashed into 2**BITS) and its words' recurrences (how far back the same
+word last stood, in powers of two, or that it is new).  Both are counted, damped by logarithms and weighted by inverse
+document frequencies over all documents; recurrences have a fifth of a vector's squared length, trigrams the rest.  A
+truncated singular value decomposition of the labelled vectors gives RANK latent dimensions.
 The labelled vectors are broadcast: at most about SAMPLE of them, drawn by a hash of the id, whatever the corpus.  Each
 block of documents takes its exact cosines with all of them as one matrix product; the K nearest vote with the POWER-th
 power of their cosines.
 
-Defined cases: null text is the empty text, which has a vector of its own (a constant term) and so a score; without any
+Defined cases: null text is the empty text, which has the one trigram of an empty text and so a score; without any
 label the score is 0.5; equal cosines: the earlier vector in order of hash is nearer; repeated rows each get a row; an
 empty table gives an empty result.  Other columns pass through; result columns of the same name are replaced.
 """
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.common import arrow_map, slices, texts_of, tune
-from quarry.llm.quality_rules import STATS, measure
 from quarry.llm.sampling import hash_below
 
 BITS = 12
@@ -30,12 +30,14 @@ RANK = 64
 SAMPLE = 6000
 K = 25
 POWER = 8
-SHAPES = 12
-SHAPE_WEIGHT = 1.5
+#: Recurrence terms: a new word, and a gap's number of binary digits.
+GAPS = 24
+#: Length of a vector's recurrence block beside the trigram block of length 1.
+GAP_WEIGHT = 0.5
+FEATURES = (1 << BITS) + GAPS
 CUT = 0.3
 SLICE = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-S = {s: i for i, s in enumerate(STATS)}
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -48,49 +50,49 @@ def fold(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * _ODD[1] >> np.uint64(64 - BITS)
 
 
-def shapes(texts: list[str]) -> np.ndarray:
-    """Square roots of shares, one row per text."""
-    m = measure(texts).astype(np.float64)
-    words, lines, chars = np.maximum(1, m[:, S["n_words"]]), np.maximum(1, m[:, S["n_lines"]]), np.maximum(1, np.array([len(t) for t in texts]))
-    out = np.zeros((len(texts), SHAPES))
-    out[:, 0] = 1
-    out[:, 1] = np.minimum(1, m[:, S["n_symbols"]] / words)
-    out[:, 2] = m[:, S["n_dup_lines"]] / lines
-    out[:, 3] = m[:, S["n_repeat_words"]] / words
-    out[:, 4] = m[:, S["n_adjacent"]] / words
-    out[:, 5] = m[:, S["n_upper"]] / np.maximum(1, m[:, S["n_letters"]])
-    out[:, 6] = np.minimum(1, m[:, S["word_chars"]] / words / 20)
-    out[:, 7] = m[:, S["n_letters"]] / chars
-    out[:, 8] = np.minimum(1, np.array([t.count("!") for t in texts]) / words)
-    out[:, 9] = np.minimum(1, np.array([t.count("|") for t in texts]) / words)
-    out[:, 10] = np.array([len(set(t.split())) for t in texts]) / words
-    out[:, 11] = words < 8
-    return np.sqrt(np.minimum(out, 1))
+def recurrences(texts: list[str]) -> np.ndarray:
+    """How many words of each text are new, and how many last stood each number of words back (by its binary digits)."""
+    words = [t.encode().split() for t in texts]
+    flat = [w for ws in words for w in ws]
+    doc = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    number = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    key = doc * (len(number) + 1) + np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+    order = np.argsort(key, kind="stable")
+    gap = np.zeros(len(flat), np.int64)
+    if len(flat):
+        again = np.diff(key[order]) == 0
+        gap[order[1:][again]] = np.diff(order)[again]
+    digits = np.minimum(GAPS - 1, np.ceil(np.log2(gap + 1))).astype(np.int64)
+    return np.bincount(doc * GAPS + digits, minlength=len(texts) * GAPS).reshape(len(texts), GAPS)
 
 
 def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
-    """Rows of unit length: the trigram block of length 1 beside the shapes, then scaled."""
-    out = np.zeros((len(texts), (1 << BITS) + SHAPES), np.float32)
+    """Rows of unit length: the trigram block of length 1 beside the recurrence block, then scaled."""
+    out = np.zeros((len(texts), FEATURES), np.float32)
     for i, t in enumerate(texts):
         c = trigrams(t)
         at = np.flatnonzero(c)
         v = (1 + np.log(c[at])) * idf[at]
         out[i, at] = v / max(1e-12, np.sqrt(v @ v))
-    out[:, 1 << BITS :] = SHAPE_WEIGHT * shapes(texts)
+    gaps = np.log1p(recurrences(texts)) * idf[1 << BITS :]
+    out[:, 1 << BITS :] = GAP_WEIGHT * gaps / np.maximum(1e-12, np.linalg.norm(gaps, axis=1, keepdims=True))
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
-        df, n = np.zeros(1 << BITS, np.int64), 0
+        df, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
-            for t in texts_of(batch, "text"):
-                df += trigrams(t) > 0
-                n += 1
+            texts = texts_of(batch, "text")
+            for a, b in slices([len(t) for t in texts], SLICE):
+                for t in texts[a:b]:
+                    df[: 1 << BITS] += trigrams(t) > 0
+                df[1 << BITS :] += (recurrences(texts[a:b]) > 0).sum(0)
+            n += len(texts)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 1 << BITS)), pa.array(np.concatenate(([n], df)))], names=["feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, FEATURES)), pa.array(np.concatenate(([n], df)))], names=["feature", "n"])
 
-    df, n = np.zeros(1 << BITS, np.int64), 0
+    df, n = np.zeros(FEATURES, np.int64), 0
     for r in docs.mapInArrow(run, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         if r.feature < 0:
             n = r.n
