@@ -1,9 +1,11 @@
 """Quality rules: word, line and symbol statistics of a document against thresholds that each language and source sets itself.
 
-Fixed cutoffs stay only in the base rules (too few words, too many repeated words).  Every other limit is a fence around
-the middle of the document's own group (language, source), read from a mergeable quantile sketch: counts of the values of
-a statistic after all but their leading ``BITS`` binary digits are cleared, so that a quantile is at most 1/2**(BITS-1)
-below the true one.  Counts add up, hence sketches merge in any order and a rerun gives the same thresholds.
+Fixed cutoffs stay only in the base rules (too few words, too many repeated words).  Every other limit is a fence of the
+document's own group (language, source): the group's highest tenth begins at some value, and the fence lies REACH times as
+far beyond it as it lies from the median; lower fences mirror that with the lowest tenth.  Quantiles are read from a
+mergeable sketch: counts of the values of a statistic after all but their leading ``BITS`` binary digits are cleared, so
+that a quantile is at most 1/2**(BITS-1) below the true one.  Counts add up, hence sketches merge in any order and a rerun
+gives the same thresholds.  Where nine in ten documents of a group agree, a statistic's grain stands for the distance.
 
 Defined cases: null text has no words and fails; null language or source is a group of its own; a group of fewer than
 ``MIN_GROUP`` documents uses the merged sketch of its language, and a language of fewer that of the whole corpus; repeated
@@ -32,15 +34,17 @@ MIN_GROUP = 200
 #: Characters of text that are held as arrays at once.
 SLICE = 1 << 21
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_adjacent")
-#: Statistic: (numerator, denominator, factor, least spread).  Fence: median + REACH * max(2 * (median - lower quartile), least spread).
+#: Statistic: (numerator, denominator, factor, grain, has an upper fence, has a lower fence).
 FENCES = {
-    "symbol_rate": ("n_symbols", "n_words", 1000, 50),
-    "upper_rate": ("n_upper", "n_letters", 1000, 50),
-    "adjacent_rate": ("n_adjacent", "n_words", 1000, 50),
-    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 100),
-    "word_length": ("word_chars", "n_words", 10, 10),
+    "symbol_rate": ("n_symbols", "n_words", 1000, 10, True, False),
+    "upper_rate": ("n_upper", "n_letters", 1000, 5, True, False),
+    "adjacent_rate": ("n_adjacent", "n_words", 1000, 5, True, False),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 50, True, False),
+    "word_length": ("word_chars", "n_words", 10, 3, True, True),
+    "letter_rate": ("n_letters", "word_chars", 1000, 10, False, True),
 }
 REACH = 6
+LIMITS = [*(f"max_{k}" for k, v in FENCES.items() if v[4]), *(f"min_{k}" for k, v in FENCES.items() if v[5])]
 
 
 @lru_cache(1)
@@ -132,7 +136,7 @@ def with_statistics(docs: DataFrame, text: str = "text", keep_text: bool = True)
 
 
 def _value(name: str):
-    over, under, factor, _ = FENCES[name]
+    over, under, factor, *_ = FENCES[name]
     return F.expr(f"if({under} > 0, ({factor} * {over}) div {under}, 0L)")
 
 
@@ -154,7 +158,7 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
 
 
 def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per group (lang, source): the fence of each statistic, from the group's sketch or the merged one above it."""
+    """One row per group (lang, source): the fences (LIMITS), from the group's sketch or the merged one above it."""
     base = sketches(measured, lang, source)
     levels = union_all(
         [
@@ -166,23 +170,19 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source",
     # A sketch has a bounded number of values, so one group's rows are few however many documents it has.
     sketch = levels.groupBy("level", "lang", "source", "stat").agg(F.sum("n").alias("docs"), F.array_sort(F.collect_list(F.struct("value", "n"))).alias("bins"))
 
-    def at(quarter: int) -> str:
-        found = f"aggregate(bins, struct(0L AS seen, -1L AS hit), (a, b) -> struct(a.seen + b.n AS seen, if(a.hit < 0 and 4 * (a.seen + b.n) >= {quarter} * docs, b.value, a.hit) AS hit)).hit"
+    def at(tenths: int) -> str:
+        found = f"aggregate(bins, struct(0L AS seen, -1L AS hit), (a, b) -> struct(a.seen + b.n AS seen, if(a.hit < 0 and 10 * (a.seen + b.n) >= {tenths} * docs, b.value, a.hit) AS hit)).hit"
         return f"greatest({found}, 0L)"
 
-    least = F.create_map(*(F.lit(x) for k, v in FENCES.items() for x in (k, v[3])))
-    fence = sketch.select("level", "lang", "source", "stat", "docs", F.expr(at(2)).alias("middle"), F.expr(at(1)).alias("low")).withColumn(
-        "fence", F.col("middle") + REACH * F.greatest(2 * (F.col("middle") - F.col("low")), least[F.col("stat")].cast("long"))
-    )
-    wide = fence.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("stat") == k, F.col("fence"))).alias(k) for k in FENCES))
+    grain = F.create_map(*(F.lit(x) for k, v in FENCES.items() for x in (k, v[3])))[F.col("stat")].cast("long")
+    low, middle, high = (F.expr(at(x)) for x in (1, 5, 9))
+    fence = sketch.select("level", "lang", "source", "stat", "docs", (high + REACH * F.greatest(high - middle, grain)).alias("max"), (low - REACH * F.greatest(middle - low, grain)).alias("min"))
+    wide = fence.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *(F.max(F.when(F.col("stat") == k[4:], F.col(k[:3]))).alias(k) for k in LIMITS))
     own, by_lang, whole = (wide.where(F.col("level") == i) for i in range(3))
-    pick = lambda k: F.when(F.col("o.docs") >= min_group, F.col(f"o.{k}")).when(F.col("l.docs") >= min_group, F.col(f"l.{k}")).otherwise(F.col(f"w.{k}"))
-    return (
-        own.alias("o")
-        .join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")))
-        .join(whole.alias("w"), F.lit(True))
-        .select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *(pick(k).alias(f"max_{k}") for k in FENCES))
-    )
+    all_ = whole.select(F.struct(*LIMITS)).scalar()
+    pick = lambda k: F.when(F.col("o.docs") >= min_group, F.col(f"o.{k}")).when(F.col("l.docs") >= min_group, F.col(f"l.{k}")).otherwise(all_.getField(k))
+    joined = own.alias("o").join(by_lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")))
+    return joined.select(F.col("o.lang").alias("lang"), F.col("o.source").alias("source"), *(pick(k).alias(k) for k in LIMITS))
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -190,7 +190,7 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     measured = measured.drop("base_failed", "kept")
     cols = [F.col(f"m.`{c}`") for c in measured.columns]
     base = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT} * n_words"
-    inside = [_value(k) <= F.col(f"t.max_{k}") for k in FENCES]
+    inside = [_value(k[4:]) <= F.col(f"t.{k}") if k.startswith("max") else _value(k[4:]) >= F.col(f"t.{k}") for k in LIMITS]
     verdict = inside[0]
     for x in inside[1:]:
         verdict = verdict & x

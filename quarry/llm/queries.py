@@ -86,22 +86,25 @@ m AS (
     length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS n_letters, length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper
   FROM d LEFT JOIN per_doc USING (rid) JOIN line USING (rid)),
 v AS (
-  SELECT *, unnest(['symbol_rate', 'upper_rate', 'adjacent_rate', 'dup_line_rate', 'word_length']) AS stat, unnest([50, 50, 50, 100, 10]) AS least,
+  SELECT *, unnest(['symbol_rate', 'upper_rate', 'adjacent_rate', 'dup_line_rate', 'word_length', 'letter_rate']) AS stat, unnest([10, 5, 5, 50, 3, 10]) AS grain,
+    unnest([true, true, true, true, true, false]) AS has_max, unnest([false, false, false, false, true, true]) AS has_min,
     unnest([CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END, CASE WHEN n_letters > 0 THEN 1000 * n_upper // n_letters ELSE 0 END,
       CASE WHEN n_words > 0 THEN 1000 * n_adjacent // n_words ELSE 0 END, CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END,
-      CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END])::BIGINT AS v FROM m),
-c AS (SELECT lang, source, stat, least, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS value, count(*) AS n FROM v GROUP BY ALL),
+      CASE WHEN n_words > 0 THEN 10 * word_chars // n_words ELSE 0 END, CASE WHEN word_chars > 0 THEN 1000 * n_letters // word_chars ELSE 0 END])::BIGINT AS v FROM m),
+c AS (SELECT lang, source, stat, grain, (v >> greatest(length(bin(v)) - 7, 0)::BIGINT) << greatest(length(bin(v)) - 7, 0)::BIGINT AS value, count(*) AS n FROM v GROUP BY ALL),
 lev AS (
-  SELECT 0 AS level, lang, source, stat, least, value, n FROM c
-  UNION ALL SELECT 1, lang, NULL, stat, least, value, sum(n) FROM c GROUP BY lang, stat, least, value
-  UNION ALL SELECT 2, NULL, NULL, stat, least, value, sum(n) FROM c GROUP BY stat, least, value),
+  SELECT 0 AS level, lang, source, stat, grain, value, n FROM c
+  UNION ALL SELECT 1, lang, NULL, stat, grain, value, sum(n) FROM c GROUP BY lang, stat, grain, value
+  UNION ALL SELECT 2, NULL, NULL, stat, grain, value, sum(n) FROM c GROUP BY stat, grain, value),
 run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, stat ORDER BY value) AS seen, sum(n) OVER (PARTITION BY level, lang, source, stat) AS docs FROM lev),
-f AS (
-  SELECT level, lang, source, stat, max(docs) AS docs,
-    min(value) FILTER (WHERE 4 * seen >= 2 * docs) + 6 * greatest(2 * (min(value) FILTER (WHERE 4 * seen >= 2 * docs) - min(value) FILTER (WHERE 4 * seen >= docs)), max(least)) AS fence
+q AS (
+  SELECT level, lang, source, stat, max(grain) AS grain, max(docs) AS docs,
+    min(value) FILTER (WHERE 10 * seen >= docs) AS low, min(value) FILTER (WHERE 10 * seen >= 5 * docs) AS middle, min(value) FILTER (WHERE 10 * seen >= 9 * docs) AS high
   FROM run GROUP BY level, lang, source, stat),
+f AS (SELECT *, high + 6 * greatest(high - middle, grain) AS most, low - 6 * greatest(middle - low, grain) AS least FROM q),
 ok AS (
-  SELECT v.doc_id, bool_and(v.v <= CASE WHEN o.docs >= 200 THEN o.fence WHEN l.docs >= 200 THEN l.fence ELSE w.fence END) AS inside
+  SELECT v.doc_id, bool_and((NOT has_max OR v.v <= CASE WHEN o.docs >= 200 THEN o.most WHEN l.docs >= 200 THEN l.most ELSE w.most END)
+    AND (NOT has_min OR v.v >= CASE WHEN o.docs >= 200 THEN o.least WHEN l.docs >= 200 THEN l.least ELSE w.least END)) AS inside
   FROM v JOIN f o ON o.level = 0 AND o.stat = v.stat AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
   JOIN f l ON l.level = 1 AND l.stat = v.stat AND l.lang IS NOT DISTINCT FROM v.lang JOIN f w ON w.level = 2 AND w.stat = v.stat GROUP BY v.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
