@@ -9,9 +9,9 @@ TOKEN = r"[\p{L}\p{N}_]+"
 
 # Fixed values that the data model prescribes.
 EMBEDDING_STOPWORDS = (
-    "search searches observation observations measurement measurements result results study studies paper presents presented "
-    "reported report collision collisions proton pp tev sqrt final state states"
-).split()
+    "search", "searches", "observation", "observations", "measurement", "measurements", "result", "results", "study", "studies", "paper", "presents",
+    "presented", "reported", "report", "collision", "collisions", "proton", "pp", "tev", "sqrt", "final", "state", "states",
+)
 RESULT_PATTERNS = {
     "measurement": r"(?i)\b(measure(?:ment|d|s)?|determination|branching fraction|branching ratio|cross section)\b",
     "upper_limit": r"(?i)\b(upper limit|95%\s*cl|limit at 95% cl|set limits?)\b",
@@ -20,7 +20,7 @@ RESULT_PATTERNS = {
 }
 METHOD_PATTERNS = {
     "statistical_fit": r"(?i)\b(profile likelihood|likelihood fit|template fit|maximum likelihood)\b",
-    "multivariate": r"(?i)\b(boosted decision tree|bdt|neural network|deep neural network|multivariate)\b",
+    "multivariate": r"(?i)\b(boosted decision tree|\bbdt\b|neural network|deep neural network|multivariate)\b",
     "background_estimation": r"(?i)\b(background estimation|data[- ]driven|control region)\b",
     "reconstruction": r"(?i)\b(reconstruction|unfolding|matrix element|tagger)\b",
 }

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import normalize
 from quarry.functions import text as T
-from quarry.operators import extract, fulltext, ingest
+from quarry.operators import documents, extract, fulltext, grounding, ingest, objects
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -111,16 +112,96 @@ def structure_status(spark: SparkSession, sf: str) -> DataFrame:
     return extract.status(structures(spark, sf), F.col("source") == "src0").select("doc_id", "status", "anomaly")
 
 
+# A snapshot of earlier capsules: labelled documents; those of poor quality were left in review.
+_VALUES = lambda p: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '{_edges(x)}') THEN '{k}' END" for k, x in p.items()) + "], lambda x: x IS NOT NULL)"
+_OBJECTS = f"""o AS (SELECT doc_id, {_VALUES(TEST_PROFILE)} AS vals, CASE WHEN quality = 0 THEN 'needs_review' WHEN toxic = 1 THEN 'failed' WHEN quality = 1 THEN 'ready' END AS recorded,
+    coalesce(trim(text, ' '), '') <> '' AS has_text FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+def snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    status = F.when(F.col("quality") == 0, "needs_review").when(F.col("toxic") == 1, "odd").otherwise("ready")
+    return table(spark, sf, "labels").select("doc_id", status.alias("status"), F.lit(None).cast(f"array<{objects.VALUE}>").alias("values"))
+
+
+def result_rows(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", T.title(F.col("text")).alias("title"), "text")
+    found = objects.capsules(docs, F.lit(False), TEST_PROFILE, TEST_METHODS, "doc_id")
+    return objects.objects(found, "results", snapshot(spark, sf), "doc_id")
+
+
 @R.add(
     "result_objects",
-    f"""WITH {_STRUCTURE}, r AS (SELECT doc_id, {_STATUS} AS status, results, 0.5 + 0.1 * least(len(results) + len(methods), 4) AS confidence FROM x WHERE len(results) > 0)
-    SELECT 'work:' || doc_id || ':' || results[1] AS object_key, doc_id, results[1] AS result_kind, status, round(confidence, 6)::DOUBLE AS confidence FROM r""",
+    f"""WITH {_OBJECTS} SELECT doc_id, vals[1] AS kind, CASE WHEN recorded IN ('needs_review', 'failed') THEN recorded WHEN len(vals) > 0 THEN 'ready' WHEN has_text THEN 'partial' ELSE 'failed' END AS status,
+      CASE WHEN len(vals) > 0 THEN 0.65::DOUBLE END AS confidence, CASE WHEN has_text THEN 'chunks' ELSE 'metadata_only' END AS source, len(vals)::BIGINT AS n_values FROM o""",
 )
 def result_objects(spark: SparkSession, sf: str) -> DataFrame:
-    rows = structure_status(spark, sf).join(structures(spark, sf).select("doc_id", "results", "methods"), "doc_id").where("size(results) > 0")
-    kind = F.element_at("results", 1)
-    confidence = 0.5 + 0.1 * F.least(F.size("results") + F.size("methods"), F.lit(4))
-    return rows.select(F.concat(F.lit("work:"), F.col("doc_id").cast("string"), F.lit(":"), kind).alias("object_key"), "doc_id", kind.alias("result_kind"), "status", F.round(confidence, 6).alias("confidence"))
+    """Result objects of all documents: their first kind, their state, how sure, and from where."""
+    return result_rows(spark, sf).select("doc_id", "kind", "status", "confidence", "source", F.size("values").cast("long").alias("n_values"))
+
+
+@R.add("result_values", f"WITH {_OBJECTS}, u AS (SELECT doc_id, unnest(vals) AS kind, unnest(range(1, len(vals) + 1)) AS place FROM o) SELECT doc_id, place, kind, 0.65::DOUBLE AS confidence FROM u")
+def result_values(spark: SparkSession, sf: str) -> DataFrame:
+    return objects.object_values(result_rows(spark, sf), "doc_id").select("doc_id", "place", "kind", "confidence")
+
+
+@R.add(
+    "typed_signatures",
+    f"""WITH {_OBJECTS}, u AS (SELECT doc_id, unnest(vals) AS kind, unnest(range(1, len(vals) + 1)) AS place FROM o)
+    SELECT 'result_signature:' || doc_id || ':' || place AS object_id, doc_id AS work_id, kind, CASE WHEN doc_id % 7 = 0 THEN 'status' WHEN doc_id % 11 = 0 THEN 'confidence' ELSE '' END AS broken FROM u""",
+)
+def typed_signatures(spark: SparkSession, sf: str) -> DataFrame:
+    """Result values as typed objects, some of them made to break the contract, with the rules that they break."""
+    values = objects.object_values(result_rows(spark, sf), "doc_id")
+    values = values.withColumn("confidence", F.when((F.col("doc_id") % 11 == 0) & (F.col("doc_id") % 7 != 0), 1.5).otherwise(F.col("confidence")))
+    typed = objects.signature_objects(values, F.when(F.col("doc_id") % 7 == 0, "odd").otherwise("ready"), work="doc_id")
+    return typed.select("object_id", "work_id", "kind", F.array_join(objects.violations(typed), ",").alias("broken"))
+
+
+_AUDIT = {
+    "latex_frac_literal": r"(?i)\bfrac\b",
+    "style_command_literal": r"(?i)\b(?:mathnormal|boldsymbol|textcircled|operatorname)\b",
+    "array_artifact": r"(?i)\b(?:begin|end)\s+array\b",
+    "arrow_split": r"[A-Za-zΑ-Ωα-ω0-9]\s+-\s+>\s*[A-Za-zΑ-Ωα-ω0-9(]",
+    "double_punct": r"(,\s*,|,,|(^|[^.])\.\s*\.($|[^.]))",
+    "orphan_citation_phrase": r"(?i)\bdetailed\s+in(?:\s+(?:Refs?\.?|references?))?\s*([.,;:]|$)",
+}
+_AUDIT_SQL = ", ".join(f"regexp_matches(coalesce(text, ''), '{p}')::INT AS {k}" for k, p in _AUDIT.items())
+_SUMS = ", ".join(f"sum({k})::BIGINT AS {k}" for k in _AUDIT)
+_HITS = "(" + " + ".join(_AUDIT) + ")"
+
+
+@R.add(
+    "conversation_audit",
+    f"""WITH t AS (SELECT conv_id, CASE role WHEN 'assistant' THEN 'block' ELSE 'chunk' END AS level, {_AUDIT_SQL} FROM conversations),
+    s AS (SELECT conv_id, {_SUMS}, coalesce(sum({_HITS}) FILTER (WHERE level = 'chunk'), 0)::BIGINT AS chunk_noise, coalesce(sum({_HITS}) FILTER (WHERE level = 'block'), 0)::BIGINT AS block_noise FROM t GROUP BY 1)
+    SELECT *, chunk_noise <= 0 AND block_noise <= 1 AS ready, CASE WHEN chunk_noise > 0 THEN 'repair_chunks' WHEN block_noise > 1 THEN 'repair_blocks' ELSE 'none' END AS recommendation FROM s""",
+)
+def conversation_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Readiness of every conversation: its turns as chunks and blocks."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.when(F.col("role") == "assistant", "block").otherwise("chunk").alias("level"), "text")
+    return objects.audit(turns, "conv_id").drop("equations", "structured")
+
+
+@R.add("document_items")
+def document_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a parsed paper: sections, blocks and chunks, in one pass."""
+    docs = table(spark, sf, "documents").select("doc_id", T.title(F.col("text")).alias("title"), documents.text_as_content(F.col("text")).alias("content"))
+    return documents.materialize(docs).select("doc_id", "item", "id", "section", "role", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
+@R.add("searched_forms")
+def searched_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The searched and the shown form of every document, as the data model prescribes them."""
+    both = table(spark, sf, "documents").select("doc_id", normalize.search_form(F.col("text")).alias("s"), normalize.display_form(F.col("text")).alias("d"))
+    return both.select("doc_id", F.md5("s").alias("searched"), F.length("s").cast("long").alias("n_searched"), F.md5("d").alias("shown"), F.length("d").cast("long").alias("n_shown"))
+
+
+@R.add("concept_taxonomy")
+def concept_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
+    """Concepts that the paths of parts name, beside headings of the kind that the data model knows."""
+    part = table(spark, sf, "part")
+    path = F.concat_ws(" / ", F.lit("Parts"), F.concat("p_brand", F.lit(" meson")), F.when(F.col("p_size") % 2 == 0, "1.2 Decays").otherwise("Introduction"), "p_type")
+    return grounding.taxonomy(grounding.concept_rows(part.select(F.col("p_partkey").alias("source"), path.alias("path")), ("Parts",)))
 
 
 @R.add(

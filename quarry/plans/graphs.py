@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import title, tokens
-from quarry.operators import graph, lexical
+from quarry.operators import graph, lexical, objects
 from quarry.plans.registry import Registry
 from quarry.plans.retrieval import WORDS, _bm25, _RANK, _TOKENS
 from quarry.sources.tables import table
@@ -130,6 +130,31 @@ def family_dedup_rank(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "family", "versions", F.row_number().over(Window.orderBy("pos")).cast("long").alias("rank"))
 
 
+_TYPES = "CASE lang WHEN 'en' THEN 'article' WHEN 'fr' THEN 'review' WHEN 'de' THEN 'note' ELSE 'conference paper' END"
+
+
+@R.add(
+    "online_merge",
+    f"""WITH RECURSIVE {_TOKENS}, a AS ({_bm25(WORDS[:1])}), b AS ({_bm25(WORDS[1:])}), r AS (SELECT doc_id, 0 AS l, {_RANK} AS r FROM a QUALIFY r <= 30 UNION ALL SELECT doc_id, 1, {_RANK} AS r FROM b QUALIFY r <= 30), {_FAMILIES},
+    t AS (SELECT doc_id, n_chars, {_TYPES} AS type FROM documents),
+    f AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + r) + CASE type WHEN 'article' THEN 0.003 WHEN 'review' THEN 0.0015 WHEN 'note' THEN -0.0015 ELSE -0.001 END) AS score, count(*) AS lists, min((l, r)) AS first FROM r JOIN t USING (doc_id) GROUP BY 1),
+    p AS (SELECT f.*, family, n_chars, type, row_number() OVER (ORDER BY round(score, 9) DESC, first, doc_id) AS place FROM f JOIN fam USING (doc_id) JOIN t USING (doc_id)),
+    g AS (SELECT arg_max({{'k': doc_id, 's': score, 'l': lists}}, (CASE type WHEN 'article' THEN 5 WHEN 'review' THEN 4 WHEN 'note' THEN 3 ELSE 2 END, n_chars, -place)) AS b, min(place) AS place, count(*) AS members FROM p GROUP BY family)
+    SELECT b.k AS key, round(b.s, 6) AS score, b.l AS lists, members, row_number() OVER (ORDER BY place) AS rank FROM g""",
+)
+def online_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Several ranked lists as one: reciprocal ranks with a bonus for the type, versions of one work as one hit, the richest standing for it."""
+    docs = table(spark, sf, "documents")
+    kind = F.when(F.col("lang") == "en", "article").when(F.col("lang") == "fr", "review").when(F.col("lang") == "de", "note").otherwise("conference paper")
+    typed = docs.select("doc_id", "n_chars", kind.alias("type"))
+    lists = [lexical.ranked(lexical.bm25_scores(docs, w), 30).select("doc_id", F.lit(i).alias("list"), "rank") for i, w in enumerate((WORDS[:1], WORDS[1:]))]
+    hits = typed.join(F.broadcast(lists[0].unionByName(lists[1])), "doc_id")  # 60 rows
+    fused = objects.fused_lists(hits.select(F.col("doc_id").alias("key"), "list", "rank", "type"))
+    preference = F.when(F.col("type") == "article", 5).when(F.col("type") == "review", 4).when(F.col("type") == "note", 3).otherwise(2)
+    groups = families(docs).join(typed, "doc_id").select(F.col("doc_id").alias("key"), F.col("family").alias("group"), F.struct(preference, "n_chars").alias("richness"))
+    return objects.one_per_group(fused, groups, 60)
+
+
 # ---- communities of parts
 
 
@@ -225,8 +250,7 @@ def transfer_candidates(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     key = F.concat_ws("/", F.lower("p_name"), F.lower("p_brand"), F.col("p_size").cast("string"))
     x = items.join(part, items.l_partkey == part.p_partkey).select(F.col("l_suppkey").alias("supp"), key.alias("k")).distinct()
-    has = items.groupBy(F.col("l_suppkey").alias("src")).agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("has"))
-    a, b = x.alias("a"), x.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.supp") != F.col("b.supp"))).groupBy(F.col("a.supp").alias("src"), F.col("b.supp").alias("dst")).agg(F.count(F.lit(1)).alias("support"))
-    score = F.least(F.lit(0.99), 0.35 + 0.2 * F.col("support") + 0.15 * F.col("has"))
-    return pairs.where("support >= 2").join(has, "src").select("src", "dst", "support", F.round(score, 6).alias("score"))
+    # Here the giver's own returns count as the result that supports it, so pairs are turned round.
+    has = items.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("work")).distinct()
+    found = objects.transfer(x.select(F.col("supp").alias("work"), F.col("k").alias("key")), has, least=2)
+    return found.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "support", F.round("score", 6).alias("score"))

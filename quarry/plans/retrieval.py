@@ -145,17 +145,6 @@ def agreement_filter(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.agreement_filter(table(spark, sf, "documents"), GROUPS).withColumn("coverage", F.round("coverage", 6))
 
 
-@R.add(
-    "online_merge",
-    f"""WITH {_TOKENS}, a AS ({_bm25(WORDS[:1])}), b AS ({_bm25(WORDS[1:])}), r AS (SELECT doc_id, 0 AS batch, {_RANK} AS r FROM a QUALIFY r <= 30 UNION ALL SELECT doc_id, 1, {_RANK} AS r FROM b QUALIFY r <= 30)
-    SELECT doc_id, round(sum(1.0 / (60 + r) + 0.0015), 6) AS score, count(*) AS lists, min(batch)::BIGINT AS first_batch FROM r GROUP BY 1""",
-)
-def online_merge(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    lists = [lexical.ranked(lexical.bm25_scores(docs, w), 30).select("doc_id", F.lit(i).cast("long").alias("batch"), "rank") for i, w in enumerate((WORDS[:1], WORDS[1:]))]
-    return lists[0].unionByName(lists[1]).groupBy("doc_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank")) + 0.0015), 6).alias("score"), F.count(F.lit(1)).alias("lists"), F.min("batch").alias("first_batch"))
-
-
 @R.add(
     "like_search",
     "SELECT doc_id, n_chars FROM documents WHERE text ILIKE '%edoution%' ORDER BY n_chars DESC, doc_id DESC LIMIT 25",
