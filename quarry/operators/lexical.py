@@ -11,7 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.query import MatchQuery
 from quarry.functions.text import tokens
+from quarry.operators import search
 
 K1, B = 1.2, 0.75
 
@@ -61,18 +63,11 @@ def bm25_topk(docs: DataFrame, words: list[str], k: int) -> DataFrame:
 
 
 def ladder(docs: DataFrame, words: list[str], limit: int) -> DataFrame:
-    """All words first, then any word, then the first two: later stages only append what earlier ones lack."""
-    fetch = max(3 * limit, 20)
-    scores = bm25_scores(docs, words)
-    stages = [
-        ranked(scores.where(F.col("hits") == len(words)), fetch).withColumn("stage", F.lit(0)),
-        ranked(scores, fetch).withColumn("stage", F.lit(1)),
-        ranked(bm25_scores(docs, words[:2]), fetch).withColumn("stage", F.lit(2)),
-    ]
-    rows = stages[0].unionByName(stages[1]).unionByName(stages[2])
-    first = Window.partitionBy("doc_id").orderBy("stage", "rank")
-    kept = rows.withColumn("seen", F.row_number().over(first)).where("seen = 1").orderBy("stage", "rank").limit(limit)
-    return kept.select("doc_id", F.col("stage").cast("long").alias("stage"), F.row_number().over(Window.orderBy("stage", "rank")).cast("long").alias("rank"))
+    """All words first, then any word, then the first two: later stages only append what earlier ones lack.  Two passes in all."""
+    each = tuple((w,) for w in words)
+    queries = [MatchQuery(True, each), MatchQuery(False, each), MatchQuery(False, each[:2])]
+    found = search.search(search.index(docs, "doc_id", ["text"]), queries, limit, [F.col("doc_id")])
+    return found.select("doc_id", "stage", "rank")
 
 
 def phrase_match(docs: DataFrame, phrase: list[str]) -> DataFrame:

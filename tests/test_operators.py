@@ -263,3 +263,90 @@ def test_content_lists_become_blocks_and_windows(spark):
     assert {r.doc_id for r in df.collect()} == {1, 2}
     around = {r.position: (r.role, r.text) for r in blocks.windows(df).collect()}
     assert around == {2: ("formula_window", "Before.\nAfter."), 4: ("asset_window", "Before.\nPlot one\nAfter.")}
+
+
+def test_pairs_of_a_hub_and_of_blocks(spark, monkeypatch):
+    import itertools
+
+    rows_ = [(n, 0) for n in range(40)] + [(n, n % 7 + 1) for n in range(40)] + [(n, n % 5 + 100) for n in range(0, 40, 2)] + [(3, 100), (3, 100)]
+    df = spark.createDataFrame(rows_, "n long, v long")
+    via = {}
+    for n, v in set(rows_):
+        via.setdefault(n, set()).add(v)
+    want = {(a, b): len(via[a] & via[b]) for a, b in itertools.combinations(sorted(via), 2) if len(via[a] & via[b]) >= 2}
+    for block in (2048, 3):  # directly, and by candidates where a neighbour has many nodes
+        monkeypatch.setattr(graph, "BLOCK", block)
+        got = {(r.src, r.dst): (r.shared, r.score) for r in graph.shared_pairs(df, "n", "v").collect()}
+        assert {k: s for k, (s, _) in got.items()} == want
+        assert all(abs(x - want[k] / (len(via[k[0]]) * len(via[k[1]])) ** 0.5) < 1e-9 for k, (_, x) in got.items())
+    pairs = graph.dealt_pairs(df.distinct(), 4)
+    assert pairs.count() == pairs.where("src < dst").count() == sum(len(via[a] & via[b]) for a, b in itertools.combinations(via, 2))
+
+
+def test_places_and_quantiles_of_large_groups(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    data = [(int(g), float(v)) for g, v in zip(rng.integers(0, 2, 3000), rng.integers(0, 700, 3000), strict=True)] + [(7, None)]
+    df = spark.createDataFrame(data, "g long, v double").repartition(5)
+    got = {(r.g, r.v): r.place for r in jobs.place_in_group(df.where("v is not null"), "g", "v").collect()}
+    for g in (0, 1):
+        order = sorted({v for x, v in data if x == g})
+        assert [got[g, v] for v in order] == list(range(1, len(order) + 1))
+    for bracket in (1_000_000, 10):
+        monkeypatch.setattr(jobs, "BRACKET", bracket)
+        for r in jobs.exact_quantiles(df, "g", "v", [0.5, 0.95, 1.0]).where("g < 2").collect():
+            values = [v for x, v in data if x == r.g]
+            assert np.allclose([r.q_0, r.q_1, r.q_2], np.quantile(values, [0.5, 0.95, 1.0]))
+            assert r.n == len(values)
+
+
+def test_contract_and_transfer(spark):
+    from quarry.operators import objects
+
+    works = spark.createDataFrame([(1, "A", "A profile likelihood fit sets an upper limit."), (2, "B", "Nothing."), (3, None, None), (4, "D", "BDT; upper limit")], "work_id long, title string, text string")
+    found = objects.capsules(works, F.col("work_id") == 4)
+    state = {r.work_id: (r.status, r.detail, r.capsule) for r in found.collect()}
+    assert state[1] == ("ready", None, "A\nresults: upper limit\nmethods: profile likelihood")
+    assert state[2][:2] == ("needs_review", "missing: result, method")
+    assert state[4][0] == "partial"
+    snapshot = spark.createDataFrame([(2, "odd", []), (4, "ready", [("measurement", "m", "e", 0.9)])], f"work_id long, status string, values array<{objects.VALUE}>")
+    got = {r.work_id: (r.status, r.kind, r.confidence, r.source) for r in objects.objects(found, "results", snapshot).collect()}
+    assert got == {1: ("ready", "upper_limit", 0.65, "chunks"), 2: ("failed", None, None, "chunks"), 3: ("failed", None, None, "metadata_only"), 4: ("ready", "measurement", 0.9, "structure_capsule")}
+    values = objects.object_values(objects.objects(found, "results"))
+    typed = objects.signature_objects(values, F.lit("ready"))
+    assert typed.where(F.size(objects.violations(typed)) > 0).count() == 0
+    bad = typed.limit(1).withColumn("status", F.lit("x")).withColumn("confidence", F.lit(2.0)).withColumn("derivation", F.lit(None).cast("string")).withColumn("source_refs", F.array(F.lit(" "))).withColumn("work_id", F.lit(None).cast("long"))
+    assert bad.select(objects.violations(bad)).first()[0] == ["status", "derivation", "source_refs", "confidence", "work"]
+    signs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (1, "b"), (2, "b"), (4, None)], "work long, key string")
+    edges = {(r.src, r.dst): (r.support, round(r.score, 2)) for r in objects.transfer(signs, spark.createDataFrame([(2,)], "work long"), spark.createDataFrame([(3,)], "work long")).collect()}
+    assert edges == {(1, 2): (2, 0.9), (2, 1): (2, 0.75), (1, 3): (1, 0.55), (2, 3): (1, 0.55)}
+
+
+def test_audit_and_fused_lists(spark):
+    from quarry.operators import objects
+
+    texts = spark.createDataFrame([(1, "chunk", "fine"), (1, "block", "x frac y"), (2, "chunk", "a , , b"), (3, "chunk", "Equation: a"), (4, "chunk", "Equation: a / b"), (5, "chunk", "see .. and ... dots - > x")], "doc_id long, level string, text string")
+    got = {r.doc_id: (r.ready, r.recommendation) for r in objects.audit(texts).collect()}
+    assert got == {1: (True, "none"), 2: (False, "repair_chunks"), 3: (False, "repair_equations"), 4: (True, "none"), 5: (False, "repair_chunks")}
+    hits = spark.createDataFrame([("a", 0, 1, "article"), ("b", 0, 2, "note"), ("b", 1, 1, "note"), ("c", 1, 2, None)], "key string, list int, rank long, type string")
+    fused = {r.key: r.score for r in objects.fused_lists(hits).collect()}
+    assert fused["b"] == pytest.approx(1 / 62 + 1 / 61 - 0.003)
+    groups = spark.createDataFrame([("a", "g", 1), ("b", "g", 2), ("c", "h", 1)], "key string, group string, richness int")
+    assert [(r.key, r.members, r["rank"]) for r in objects.one_per_group(objects.fused_lists(hits), groups, 5).orderBy("rank").collect()] == [("b", 2, 1), ("c", 1, 2)]
+
+
+def test_latest_status_survives_restarts(spark, tmp_path):
+    from quarry.streaming import windows
+
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    stamp = lambda m: __import__("datetime").datetime(2024, 1, 1, 0, m)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for k, batch in enumerate(([(1, stamp(1), 1, "a", 0.0), (2, stamp(2), 2, "b", 0.0)], [(3, stamp(3), 1, "c", 0.0)], [(4, stamp(0), 2, "z", 0.0)])):
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(source)
+        # The last query starts anew, without the checkpoint of those before.
+        query = windows.latest_status(spark, spark.readStream.schema(schema).parquet(source), target, str(tmp_path / ("new" if k == 2 else "old")))
+        query.awaitTermination(60)
+    got = {r.job: r.s.event_type for r in windows.current(spark, target).collect()}
+    assert got == {1: "c", 2: "b"}
+    assert len(windows.versions(spark, target)) == 2
