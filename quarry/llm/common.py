@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -15,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: dict[str, str] = {}
+from quarry.operators.shared import shared_dir, written
 
 #: Rows of an Arrow batch: texts can be long, so a batch holds fewer rows than Spark's default of 10000.
 BATCH_ROWS = 2000
@@ -23,17 +21,6 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a local temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="quarry-")
-        base = _OWN_DIRS[app]
-    return base.rstrip("/")
-
-
 def tune(spark: SparkSession) -> None:
     """Bound the rows of the Arrow batches that Python workers get, unless the user has set a bound."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -46,10 +33,7 @@ def tune(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +92,9 @@ def fmix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+__all__ = ["arrow_map", "crc_mod", "documents", "env_single_thread", "fmix64", "materialize", "shared_dir", "slices", "texts_of", "trim", "tune", "union_all"]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

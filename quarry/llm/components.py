@@ -1,90 +1,7 @@
-"""Connected components of an edge table by alternating large-star and small-star steps (Kiveris and others, 2014).
-
-Every step is a grouped minimum and a join.  A vertex of any degree is combined before the shuffle; the edges of a hub (more
-than HUB) stay where they are and meet its minimum by broadcast: there are at most as many hubs as edges over HUB.  Each
-round's edges are a table in the shared folder: lineage stays short.  Once at most SMALL edges are left, a bounded number
-of bytes, one task joins them by pointer jumping, which spares the many small rounds; the result is the same.
-
-Vertices may be of any ordered type.  Loops and repeated edges change nothing; a null vertex is not allowed.
-"""
+"""Connected components, as the core has them: hubs by broadcast, bounded rounds, written tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quarry.llm.common import materialize
-
-#: Edges of a vertex from which it is a hub.
-HUB = 100_000
-#: Edges that one task joins.
-SMALL = 200_000
-
-
-def _with_least(edges: DataFrame, hub: int) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "v").alias("m"), "n")
-    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", F.col("m").alias("hub_m")))
-    marked = edges.join(hubs, "u", "left")
-    light = marked.where("hub_m is null").select("u", "v").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
-    return light.unionByName(marked.where("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")))
-
-
-def _large_star(edges: DataFrame, hub: int) -> DataFrame:
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame, hub: int) -> DataFrame:
-    near = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"), hub)
-    moved = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(near.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _in_one_task(edges: DataFrame) -> DataFrame:
-    """(u, v) with v the component's least vertex; the edges are few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        u, v = (pa.concat_arrays([b.column(c) for b in parts]) for c in ("u", "v"))
-        names = pc.unique(pa.concat_arrays([u, v]))
-        names = names.take(pc.array_sort_indices(names))
-        a, b = (pc.index_in(x, value_set=names).to_numpy() for x in (u, v))
-        label = np.arange(len(names))
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            # Each end, and the vertex that it points to, points to the lower of the two labels.
-            for x in (a, b, label[a], label[b]):
-                np.minimum.at(new, x, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        yield pa.RecordBatch.from_arrays([names.take(pa.array(moved)), names.take(pa.array(label[moved]))], names=["u", "v"])
-
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, edges.select("u", "v").schema)
-
+from quarry.operators.graph import components as connected_components
 
-def connected_components(edges: DataFrame, a: str, b: str, small: int = SMALL, hub: int = HUB) -> DataFrame:
-    """(node, component) of every vertex of the edges but the components' least vertices, which name them."""
-    state = F.struct(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))), F.lit(0)).alias("s")).alias("state")
-    now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = now.agg(state).first().state
-    while seen.n:
-        if seen.n <= small:
-            now = materialize(_in_one_task(now), "edges")
-            break
-        now = materialize(_small_star(_large_star(now, hub), hub), "edges")
-        last, seen = seen, now.agg(state).first().state
-        if last == seen:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+__all__ = ["connected_components"]
