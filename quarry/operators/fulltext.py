@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.pages import capsule
+from quarry.functions.pages import sections as sections_of_page
 from quarry.functions.text import TOKEN, sentences
 
 
@@ -80,61 +81,17 @@ def pack_chunks(docs: DataFrame, budget: int, overlap: int) -> DataFrame:
     return sized.mapInArrow(run, "doc_id bigint, chunk bigint, text string, n_tokens bigint")
 
 
-class _Sections(HTMLParser):
-    """Headings open sections at their level; the text of other elements goes to the section that is open."""
-
-    HEADS = {f"h{i}": i for i in range(1, 7)}
-    SKIP = {"script", "style", "noscript", "svg", "template", "title"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.sections: list[dict] = []
-        self.stack: list[tuple[int, str]] = []
-        self.head: int | None = None
-        self.words: list[str] = []
-        self.skipped = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SKIP:
-            self.skipped += 1
-        elif tag in self.HEADS:
-            self.head, self.words = self.HEADS[tag], []
-
-    def handle_endtag(self, tag):
-        if tag in self.SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag in self.HEADS and self.head:
-            level, title = self.head, " ".join(" ".join(self.words).split())
-            self.head = None
-            while self.stack and self.stack[-1][0] >= level:
-                self.stack.pop()
-            self.stack.append((level, title))
-            self.sections.append({"level": level, "title": title, "path": " / ".join(t for _, t in self.stack), "text": []})
-
-    def handle_data(self, data):
-        if self.skipped or not data.strip():
-            return
-        if self.head:
-            self.words.append(data)
-        elif self.sections:
-            self.sections[-1]["text"].append(data)
-
-
-def html_sections(pages: DataFrame) -> DataFrame:
-    """(page_id, section, level, title, path, n_chars) of every heading of every page."""
+def html_sections(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, section, level, title, parent, path, text, capsule, n_chars) of every section of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                parser = _Sections()
-                parser.feed(html or "")
-                parser.close()
-                for i, s in enumerate(parser.sections):
-                    body = " ".join(" ".join(s["text"]).split())
-                    for c, v in zip(out, (page, i, s["level"], s["title"], s["path"], len(body)), strict=True):
+            out: list[list] = [[] for _ in range(9)]
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, s in enumerate(sections_of_page(text)):
+                    for c, v in zip(out, (page, i, s.level, s.title, s.parent, s.path, s.text, capsule(s.title, s.text), len(s.text)), strict=True):
                         c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["page_id", "section", "level", "title", "path", "n_chars"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.string(),) * 5, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["page_id", "section", "level", "title", "parent", "path", "text", "capsule", "n_chars"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id bigint, section bigint, level bigint, title string, path string, n_chars bigint")
+    return pages.select(F.col(page_id).cast("long"), F.col(html)).mapInArrow(run, "page_id bigint, section bigint, level bigint, title string, parent string, path string, text string, capsule string, n_chars bigint")

@@ -246,7 +246,7 @@ def chunk_roles(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("html_sections")
 def html_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Sections of every page by its headings."""
-    return fulltext.html_sections(table(spark, sf, "pages"))
+    return fulltext.html_sections(table(spark, sf, "pages")).select("page_id", "section", "level", "title", "path", "n_chars")
 
 
 @R.add(

@@ -73,12 +73,6 @@ def test_neighbour_text_skips_nulls(spark):
     assert got == {0: (None, "c"), 1: ("a", "c"), 2: ("a", None), 3: ("c", None)}
 
 
-def test_html_sections(spark):
-    html = "<html><head><title>x</title></head><body><h1>A</h1><p>one<h2>B</h2>two<script>no</script><h2>C</h2><h1>D</h1></body>"
-    got = [tuple(r)[1:5] for r in fulltext.html_sections(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")).collect()]
-    assert got == [(0, 1, "A", "A"), (1, 2, "B", "A / B"), (2, 2, "C", "A / C"), (3, 1, "D", "D")]
-
-
 @pytest.mark.parametrize(("raw", "want"), [("A &amp; <b>B</b>", "A & B"), ("x_{1} , (y)", "x 1 y"), (None, "")])
 def test_normalize_search(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "t string").select(T.normalize_search(F.col("t"))).first()[0] == want
