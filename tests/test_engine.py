@@ -63,3 +63,18 @@ def test_chunks_retrieval_and_answers(engine):
     assert (got.strategy, len(got.prompts)) == ("community_map_reduce", 2)
     assert "[G1]" in got.prompts[0]
     assert engine.status()["works"] == 8
+
+
+def test_command_line(engine, capsys):
+    from quarry.__main__ import main
+
+    main(["list"])
+    assert "hybrid_works" in capsys.readouterr().out.split()
+    main(["profile", "CMS current SSWW best results"])
+    assert '"target": "works"' in capsys.readouterr().out
+    main(["status", engine.folder])
+    assert '"works": 8' in capsys.readouterr().out
+    main(["neighbours", engine.folder, "701"])
+    assert '"dst": 702' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", engine.folder])
