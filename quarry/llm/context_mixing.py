@@ -21,7 +21,6 @@ document longer than a block is a block of its own.
 from __future__ import annotations
 
 import gc
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
-from quarry.llm.common import materialize, texts_of, trim, tune
+from quarry.llm.common import materialize, slices, trim, tune
 from quarry.llm.mixing import Code, Symbols, ranges, tree_words
 
 BLOCK = 1 << 22
@@ -56,37 +55,50 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, made = TaskContext.get().partitionId(), 0
-        ids: list = []
-        held: list[int] = []
+        ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
         number: dict[bytes, int] = {END: 0}
-        docs_: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal made, ids, held, number, docs_, size
-            sizes = np.array([len(x) for x in docs_], np.int64)
-            tokens = np.concatenate(docs_)
-            train = np.bincount(tokens[np.repeat(np.array(held) != 1, sizes)], minlength=len(number))
+            nonlocal made, size, number
+            every, n, part = np.concatenate(tokens), np.concatenate(sizes), np.concatenate(held)
+            # Frequent words get small numbers, which pack well; the end token keeps 0.
+            order = np.concatenate(([0], 1 + np.argsort(-np.bincount(every, minlength=len(number))[1:], kind="stable")))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            every, words = rank[every], list(number)
+            train = np.bincount(every[np.repeat(part != 1, n)], minlength=len(number))
             row = {
-                "block": (shard << 24) + made, "ids": _pack(np.array([-(1 << 63) if x is None else x for x in ids], "<i8")), "held": _pack(np.array(held, np.uint8)),
-                "sizes": _pack(sizes.astype("<i8")), "words": b" ".join(number), "tokens": zlib.compress(_pack(tokens.astype("<u4")), 1), "train": _pack(train.astype("<u4")),
+                "block": (shard << 24) + made, "ids": _pack(np.concatenate(ids).astype("<i8")), "held": _pack(part.astype(np.uint8)),
+                "sizes": _pack(n.astype("<i8")), "words": _zipped(b" ".join([words[k] for k in order])), "tokens": _zipped(_planes(every.astype("<u4"))), "train": _pack(train.astype("<u4")),
             }
             made += 1
-            ids, held, number, docs_, size = [], [], {END: 0}, [], 0
+            size, number = 0, {END: 0}
+            for x in (ids, held, tokens, sizes):
+                x.clear()
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for i, h, t in zip(batch.column("id").to_pylist(), batch.column("held").to_pylist(), texts_of(batch), strict=True):
-                if size and size + len(t) > BLOCK:
+            if not batch.num_rows:
+                continue
+            texts = batch.column("text").fill_null("").cast(pa.large_string())
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            for a, b in slices(np.diff(offsets).tolist(), BLOCK // 4):
+                chars = int(offsets[b] - offsets[a])
+                if size and size + chars > BLOCK:
                     yield flush()
-                words = t.encode().lower().split()
-                for w in set(words).difference(number):
-                    number[w] = len(number)
-                docs_.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                docs_[-1] = np.append(docs_[-1], 0)
-                ids.append(i)
-                held.append(int(h))
-                size += len(t)
+                words, index, n = _words(texts.slice(a, b - a))
+                place = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+                # Each document's words, and the end token behind them.
+                ends = np.cumsum(n)
+                tokens.append(np.insert(place[index], ends, 0))
+                sizes.append(n + 1)
+                ids.append(batch.column("id").slice(a, b - a).fill_null(-(1 << 63)).to_numpy())
+                held.append(batch.column("held").slice(a, b - a).to_numpy())
+                size += chars
         if ids:
             yield flush()
         trim()
@@ -97,6 +109,25 @@ def blocks(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     return materialize(rows.mapInArrow(run, BLOCKS), "blocks")
 
 
+def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the numbers of all words, words of each text): A-Z in lower case, cut at ASCII white space."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begins[first] = solid[first]
+    start = np.flatnonzero(begins)
+    place = np.concatenate(([0], np.cumsum(solid)))
+    data = data[solid]
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    cuts = np.append(place[start], place[-1]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.diff(np.searchsorted(start, offsets))
+
+
 _ARROW = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "held", "sizes", "words", "tokens", "train"))])
 
 
@@ -105,8 +136,25 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(digest, words), np.uint64, len(words))
 
 
-def split_words(raw: bytes) -> list[bytes]:
-    return raw.split(b" ")
+def _zipped(raw: bytes) -> bytes:
+    return np.array([len(raw)], "<i8").tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return _ZSTD.decompress(data[8:], int(np.frombuffer(data[:8], "<i8")[0]), asbytes=True)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _tokens(data: bytes) -> np.ndarray:
+    """A block's word numbers."""
+    return np.ascontiguousarray(np.frombuffer(_unzipped(data), np.uint8).reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+
+
+def split_words(data: bytes) -> list[bytes]:
+    return _unzipped(data).split(b" ")
 
 
 TOTALS = "block bigint, part int, counts binary, n bigint, distinct bigint, hist binary, hashes binary, totals binary"
@@ -126,13 +174,13 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(parts, b)), pa.array(np.arange(parts, dtype=np.int32)),
-                        pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([_press(n[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.binary()),
+                        pa.array([_press(np.diff(h[x:y], prepend=np.uint64(0))) for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array(np.diff(cut).astype(np.int32)), pa.array([_press(n[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.binary()),
                     ],
-                    names=["block", "part", "hashes", "counts"],
+                    names=["block", "part", "hashes", "size", "counts"],
                 )
 
     def add(group: pa.Table) -> pa.Table:
-        h = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+        h = [np.cumsum(_unpress(x, n, np.uint64), dtype=np.uint64) for x, n in zip(group.column("hashes").to_pylist(), group.column("size").to_pylist(), strict=True)]
         n = [_unpress(x, len(k), np.uint32).astype(np.int64) for x, k in zip(group.column("counts").to_pylist(), h, strict=True)]
         keys, where = np.unique(np.concatenate(h), return_inverse=True)
         total = np.zeros(len(keys), np.int64)
@@ -150,7 +198,7 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
         )
         return pa.Table.from_pylist(rows, schema=_TOTALS)
 
-    sent = table.select("block", "words", "train").mapInArrow(send, "block bigint, part int, hashes binary, counts binary")
+    sent = table.select("block", "words", "train").mapInArrow(send, "block bigint, part int, hashes binary, size int, counts binary")
     return materialize(sent.groupBy("part").applyInArrow(add, TOTALS), "word-totals")
 
 
@@ -185,7 +233,7 @@ def make_code(totals: DataFrame, bytes_: np.ndarray, words: int | None = None) -
     chosen = own.select("hashes", "totals").mapInArrow(pick, "h bigint, n bigint").toArrow()
     h, t = chosen.column("h").to_numpy().view(np.uint64), chosen.column("n").to_numpy()
     # What is outside the tree, and as many new words as words were seen once (Good and Turing).
-    return Code(h, t, n - int(t.sum()) + int(hist[0]), bytes_), n, distinct
+    return Code(h, t, n - int(t.sum()) + int(hist[0]), bytes_, mixing.context_bits(n)), n, distinct
 
 
 def byte_counts(table: DataFrame) -> np.ndarray:
@@ -208,12 +256,12 @@ def byte_counts(table: DataFrame) -> np.ndarray:
 
 def _block(row: dict) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
     words = split_words(row["words"])
-    return words, word_hashes(words), np.frombuffer(zlib.decompress(row["tokens"]), "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
+    return words, word_hashes(words), _tokens(row["tokens"]), np.frombuffer(row["sizes"], "<i8")
 
 
 def _press(x: np.ndarray) -> bytes:
     """Whole numbers as planes of their bytes, compressed."""
-    return _ZSTD.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), asbytes=True)
+    return _ZSTD.compress(_planes(x), asbytes=True)
 
 
 def _unpress(data: bytes, n: int, kind: type) -> np.ndarray:
@@ -225,6 +273,27 @@ def _unpress(data: bytes, n: int, kind: type) -> np.ndarray:
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
+class _Answers:
+    """Odds of pairs, as ``context_odds`` gives them, and those of some of them as one piece of bytes."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray, code: Code):
+        self.pairs, self.code = pairs, code
+        self.alone, self.split, self.odds = mixing.context_odds(pairs, n, code)
+        self.place = np.cumsum(self.split, dtype=np.int64) - self.split
+
+    def packed(self, own: np.ndarray) -> bytes:
+        split = self.split[own]
+        shared = mixing.inherited(self.pairs[own], split, self.code)
+        odds = self.odds[ranges(self.place[own] + shared, split - shared)]
+        raw = b"".join(x.tobytes() for x in (self.alone[own], split, odds))
+        return np.array([len(raw)], "<i8").tobytes() + _ZSTD.compress(raw, asbytes=True)
+
+    @staticmethod
+    def read(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = _ZSTD.decompress(data[8:], int(np.frombuffer(data[:8], "<i8")[0]), asbytes=True)
+        return np.frombuffer(raw, np.int8, n), np.frombuffer(raw, np.uint8, n, n), np.frombuffer(raw, np.int8, -1, 2 * n)
+
+
 def _symbols(row: dict, code: Code) -> tuple[Symbols, np.ndarray, np.ndarray, tuple]:
     """(the block's documents as symbols; tokens; tokens of each document; the block)."""
     words, hashes, tokens, sizes = block = _block(row)
@@ -243,8 +312,15 @@ ANSWERS = "block bigint, part int, size int, odds binary, first_size int, first_
 _ANSWERS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("odds", pa.binary()), ("first_size", pa.int32()), ("first_odds", pa.binary())])
 
 
-def pair_odds(table: DataFrame, code: Broadcast, parts: int) -> DataFrame:
-    """For each block and range: the log odds of the block's pairs in ascending order; and of those of its calibration documents, by the other documents' counts."""
+#: Ranges of the pairs of the longer contexts are numbered from here.
+LONGER = 1 << 26
+
+
+def pair_odds(table: DataFrame, code: Broadcast, parts: int, longer: bool) -> DataFrame:
+    """For each block and range: the log odds of the block's pairs in ascending order; and of those of its calibration documents, by the other documents' counts.
+
+    The pairs of the shorter or of the longer contexts: one kind after the other halves what lies on disk at once.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = code.value
@@ -252,9 +328,9 @@ def pair_odds(table: DataFrame, code: Broadcast, parts: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {x: batch.column(x)[i].as_py() for x in ("block", "words", "tokens", "sizes", "held", "train")}
                 text, tokens, sizes, (words, _, _, _) = _symbols(row, c)
-                pairs, number = np.unique(np.concatenate((text.one, text.both)), return_inverse=True)
+                pairs, number = np.unique(text.both if longer else text.one, return_inverse=True)
                 part = np.repeat(np.repeat(np.frombuffer(row["held"], np.uint8), sizes), text.n)
-                count = [np.bincount(number, weights=np.tile(part == k, 2), minlength=len(pairs)).astype(np.uint32) for k in (0, 2)]
+                count = [np.bincount(number, weights=part == k, minlength=len(pairs)).astype(np.uint32) for k in (0, 2)]
                 del number
                 yield _dealt(row["block"], pairs, *count, parts)
                 # Words seen once in all are spelled even if they have a leaf: they are what new words look like.
@@ -263,29 +339,27 @@ def pair_odds(table: DataFrame, code: Broadcast, parts: int) -> DataFrame:
                     _, _, two, four, size, _ = mixing.spelled([words[k] for k in once], c)
                     mark = np.zeros(len(words), np.uint8)
                     mark[tokens] = np.maximum(mark[tokens], np.repeat(np.where(np.frombuffer(row["held"], np.uint8) == 2, 2, 0), sizes))
-                    pairs, number = np.unique(np.concatenate((two, four)), return_inverse=True)
-                    part = np.tile(np.repeat(mark[once], size), 2)
+                    pairs, number = np.unique(four if longer else two, return_inverse=True)
+                    part = np.repeat(mark[once], size)
                     yield _dealt(-1, pairs, *(np.bincount(number, weights=part == k, minlength=len(pairs)).astype(np.uint32) for k in (0, 2)), parts)
         trim()
 
     def add(group: pa.Table) -> pa.Table:
         c = code.value
         rows = group.to_pylist()
-        pairs, number = np.unique(np.concatenate([np.cumsum(_unpress(r["pairs"], r["size"], np.uint64), dtype=np.uint64) for r in rows]), return_inverse=True)
+        pairs, number = np.unique(np.concatenate([_unpress_pairs(r["pairs"], r["size"]) for r in rows]), return_inverse=True)
         first = [_unpress(r["first"], r["size"], np.uint32) for r in rows]
         train = np.bincount(number, weights=np.concatenate([_unpress(r["train"], r["size"], np.uint32) for r in rows]), minlength=len(pairs))
-        every, place = mixing.context_odds(pairs, train + np.bincount(number, weights=np.concatenate(first), minlength=len(pairs)), c)
-        others, _ = mixing.context_odds(pairs, train, c)
-        length = c.length[(pairs & np.uint64((1 << mixing.SYMBOL) - 1)).astype(np.int64)]
+        every = _Answers(pairs, train + np.bincount(number, weights=np.concatenate(first), minlength=len(pairs)), c)
+        others = _Answers(pairs, train, c)
+        del pairs, train
         out, a = [], 0
         for r, f in zip(rows, first, strict=True):
             own = number[a : a + r["size"]]
             a += r["size"]
             if r["block"] >= 0:
-                odds = every[ranges(place[own], length[own])]
-                own = own[f > 0]
-                early = others[ranges(place[own], length[own])]
-                out.append({"block": r["block"], "part": r["part"], "size": len(odds), "odds": _press(odds), "first_size": len(early), "first_odds": _press(early)})
+                early = own[f > 0]
+                out.append({"block": r["block"], "part": r["part"] + LONGER * longer, "size": len(own), "odds": every.packed(own), "first_size": len(early), "first_odds": others.packed(early)})
         del every, others, number
         return pa.Table.from_pylist(out, schema=_ANSWERS)
 
@@ -293,24 +367,36 @@ def pair_odds(table: DataFrame, code: Broadcast, parts: int) -> DataFrame:
     return materialize(sent.groupBy("part").applyInArrow(add, ANSWERS), "pair-odds")
 
 
-def _steps(pairs: np.ndarray) -> np.ndarray:
-    return np.diff(pairs, prepend=np.uint64(0))
+def _press_pairs(pairs: np.ndarray) -> bytes:
+    """Ascending pairs: the steps of their contexts, then their symbols."""
+    steps = _press(np.diff(pairs >> np.uint64(mixing.SYMBOL), prepend=np.uint64(0)))
+    return np.array([len(steps)], "<i8").tobytes() + steps + _press((pairs & np.uint64((1 << mixing.SYMBOL) - 1)).astype(np.uint32))
+
+
+def _unpress_pairs(data: bytes, n: int) -> np.ndarray:
+    cut = 8 + int(np.frombuffer(data[:8], "<i8")[0])
+    return np.cumsum(_unpress(data[8:cut], n, np.uint64), dtype=np.uint64) << np.uint64(mixing.SYMBOL) | _unpress(data[cut:], n, np.uint32).astype(np.uint64)
 
 
 def _dealt(block: int, pairs: np.ndarray, train: np.ndarray, first: np.ndarray, parts: int) -> pa.RecordBatch:
     """Ascending pairs by range of hashes."""
     cut = np.searchsorted((pairs >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
     some = [(k, x, y) for k, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-    columns = [pa.array([_press(f(v[x:y])) for _, x, y in some], pa.binary()) for f, v in ((_steps, pairs), (np.asarray, train), (np.asarray, first))]
+    columns = [pa.array([f(v[x:y]) for _, x, y in some], pa.binary()) for f, v in ((_press_pairs, pairs), (_press, train), (_press, first))]
     return pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array([k for k, _, _ in some], pa.int32()), pa.array([y - x for _, x, y in some], pa.int32()), *columns], names=["block", "part", "size", "pairs", "train", "first"])
 
 
-def _where(text: Symbols, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Where the log odds of each symbol's pairs begin, if those of all distinct pairs follow each other in ascending order."""
-    pairs, number = np.unique(np.concatenate((text.one, text.both)), return_inverse=True)
-    length = code.length[(pairs & np.uint64((1 << mixing.SYMBOL) - 1)).astype(np.int64)]
-    at = (np.cumsum(length) - length)[number]
-    return at[: len(text.one)], at[len(text.one) :]
+def _paths(text: Symbols, code: Code, answers: tuple[list, list]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(where the log odds of each symbol's two pairs begin, the log odds of all paths); ``answers``: those of the distinct pairs of either kind in ascending order."""
+    where, known, at = [], [], 0
+    none = (np.empty(0, np.int8), np.empty(0, np.uint8), np.empty(0, np.int8))
+    for own, found in zip((text.one, text.both), answers, strict=True):
+        pairs, number = np.unique(own, return_inverse=True)
+        odds, place = mixing.whole_paths(pairs, *(np.concatenate(x) for x in zip(none, *found, strict=True)), code)
+        where.append(at + place[number])
+        known.append(odds)
+        at += len(odds)
+    return where, np.concatenate(known)
 
 
 #: A block's answers come before the block, in order of range: first those on its words, then those on its pairs.
@@ -327,18 +413,18 @@ def _met(table: DataFrame, answers: DataFrame, totals: DataFrame | None) -> Data
     return out.repartition("block").sortWithinPartitions("block", "part")
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.ndarray], np.ndarray]]:
-    """(block, its answers on words, the log odds of its pairs)."""
-    key, counts, odds = None, [], []
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[np.ndarray], tuple[list, list]]]:
+    """(block, its answers on words, those on its pairs of either kind)."""
+    key, counts, odds = None, [], ([], [])
     for batch in batches:
         for i in range(batch.num_rows):
             row = {x: batch.column(x)[i].as_py() for x in MET}
             if row["block"] != key:
-                key, counts, odds = row["block"], [], []
+                key, counts, odds = row["block"], [], ([], [])
             if row["part"] == BODY:
-                yield row, counts, np.concatenate([np.empty(0, np.int8), *odds])
+                yield row, counts, odds
             elif row["part"] >= ODDS:
-                odds.append(_unpress(row["odds"], row["size"], np.int8))
+                odds[row["part"] - ODDS >= LONGER].append(_Answers.read(row["odds"], row["size"]))
             else:
                 counts.append(_unpress(row["counts"], row["size"], np.int64))
 
@@ -352,11 +438,11 @@ def calibration(table: DataFrame) -> DataFrame:
                 row = {x: batch.column(x)[i].as_py() for x in ("block", "held", "sizes", "words", "tokens")}
                 if 2 not in row["held"]:
                     continue
-                words, tokens, sizes = split_words(row["words"]), np.frombuffer(zlib.decompress(row["tokens"]), "<u4").astype(np.int64), np.frombuffer(row["sizes"], "<i8")
+                words, tokens, sizes = split_words(row["words"]), _tokens(row["tokens"]), np.frombuffer(row["sizes"], "<i8")
                 keep = np.frombuffer(row["held"], np.uint8) == 2
                 here, local = np.unique(tokens[ranges((np.cumsum(sizes) - sizes)[keep], sizes[keep])], return_inverse=True)
                 # The end token, the empty word, is in every document and so comes first again.
-                out = {"block": row["block"], "ids": None, "held": b"\2" * int(keep.sum()), "sizes": _pack(sizes[keep]), "words": b" ".join([words[k] for k in here]), "tokens": zlib.compress(_pack(local.astype("<u4")), 1), "train": None}
+                out = {"block": row["block"], "ids": None, "held": b"\2" * int(keep.sum()), "sizes": _pack(sizes[keep]), "words": _zipped(b" ".join([words[k] for k in here])), "tokens": _zipped(_planes(local.astype("<u4"))), "train": None}
                 yield pa.RecordBatch.from_pylist([out], schema=_ARROW)
 
     return table.mapInArrow(run, BLOCKS)
@@ -369,7 +455,7 @@ def first_weights(table: DataFrame, code: Broadcast, answers: DataFrame) -> np.n
         learned = np.zeros((3, mixing.GATES))
         for row, _, odds in _bodies(batches):
             text, _, sizes, _ = _symbols(row, code.value)
-            mixing.score(text, sizes, code.value, _where(text, code.value), odds, learned=learned)
+            mixing.score(text, sizes, code.value, *_paths(text, code.value, odds), learned=learned)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(learned.size)), pa.array(learned.reshape(-1))], names=["k", "x"])
 
     early = answers.where("first_size > 0").select("block", "part", F.col("first_size").alias("size"), F.col("first_odds").alias("odds"))
@@ -389,11 +475,15 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
     size = table.agg(F.coalesce(F.sum(F.length("train")), F.lit(0)).alias("s")).first().s // 4
     totals = word_totals(table, max(1, -(-size // RANGE)))
     code, n, distinct = make_code(totals, byte_counts(table), words)
+    _release(table.sparkSession)
     code_sent = table.sparkSession.sparkContext.broadcast(code)  # at most about ``tree_words`` counts
     del code
-    # Two pairs a token and those of spelled words, less what repeats in a block.
-    answers = pair_odds(table, code_sent, max(1, -(-2 * n // PAIRS)))
-    _release(table.sparkSession)
+    # A pair a token of either kind, and those of spelled words, less what repeats in a block.
+    found = []
+    for longer in (False, True):
+        found.append(pair_odds(table, code_sent, max(1, -(-n // PAIRS)), longer))
+        _release(table.sparkSession)
+    answers = found[0].unionByName(found[1])
     # Rounded, so that the order in which sums arrive leaves no trace in the scores.
     start = np.round(first_weights(table, code_sent, answers), 6)
     _release(table.sparkSession)
@@ -406,7 +496,7 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
             starts = np.cumsum(sizes) - sizes
             value = np.log10((total + 0.1) / (n + 0.1 * (distinct + 1)))
             width = np.array([len(w) + 1 for w in words_], np.int64)
-            bits = mixing.score(text_, sizes, code_sent.value, _where(text_, code_sent.value), odds, start)
+            bits = mixing.score(text_, sizes, code_sent.value, *_paths(text_, code_sent.value, odds), start)
             ids = np.frombuffer(row["ids"], "<i8")
             held = np.frombuffer(row["held"], np.uint8) == 1
             yield pa.RecordBatch.from_arrays(

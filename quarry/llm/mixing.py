@@ -19,18 +19,17 @@ Many documents advance side by side; each has its own weights, so the order of d
 
 from __future__ import annotations
 
-import heapq
 
 import numpy as np
 
-from quarry.llm.common import fmix64
+from quarry.llm.common import fmix64, trim
 
 #: Words of the tree up to TOKENS training tokens; beyond, they grow with the cube root (``tree_words``).
 WORDS = 1 << 18
 TOKENS = 1 << 22
 SYMBOL = 24
 CONTEXT = 64 - SYMBOL
-STEP = 32
+STEP = 16
 #: Steps of the weights at each gate: words, spelling.
 RATE = [0.01] * 12 + [0.005] * 12
 LANES = 256
@@ -42,7 +41,6 @@ SCALE = 8.0
 #: start, words on theirs only where the longer one is sure.
 START = [[0.0] * 12 + [0.4] * 12, [0.05, 0.2, 0.5] * 4 + [0.5] * 12]
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_CUT = np.uint64(((1 << CONTEXT) - 1) << SYMBOL)
 END_OF_WORD = 256
 
 
@@ -58,28 +56,46 @@ def tree_words(tokens: int) -> int:
     return min((1 << SYMBOL) - 1024, max(WORDS, int(WORDS * (tokens / TOKENS) ** (1 / 3))))
 
 
+def context_bits(tokens: int) -> int:
+    """How many bits of a context's hash count: 32 times as many contexts as there are pairs, CONTEXT bits at most."""
+    return min(CONTEXT, max(20, (2 * tokens).bit_length() + 5))
+
+
 class Tree:
     """A Huffman tree: for each leaf its symbol, for each symbol its path's nodes and bits, and each node's log odds of a 1."""
 
     def __init__(self, counts: np.ndarray, first_node: int):
         n = len(counts)
-        heap = [(int(c), i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        parent, side = np.full(2 * n, -1), np.zeros(2 * n, np.int8)
-        ones, zeros = np.zeros(2 * n), np.zeros(2 * n)
-        k = n
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]], parent[b[1]], side[b[1]] = k, k, 1
-            zeros[k], ones[k] = a[0], b[0]
-            heapq.heappush(heap, (a[0] + b[0], k))
-            k += 1
-        self.odds = (np.log(ones[n:k] + 0.4) - np.log(zeros[n:k] + 0.4)).astype(np.float32)
-        del heap
-        parent = parent.astype(np.int32)
-        depth = np.zeros(2 * n, np.int64)
-        for i in range(k - 2, -1, -1):  # a parent's number is above its children's
-            depth[i] = depth[parent[i]] + 1
+        first = np.argsort(counts, kind="stable")
+        leaf, made = counts[first].tolist(), []
+        child = np.zeros((2, max(0, n - 1)), np.int64)
+        i = j = 0
+        # Leaves in order of their counts and the nodes made of them, whose counts ascend as well: the least two are in front.
+        for k in range(n - 1):
+            total = 0
+            for side in (0, 1):
+                if i < n and (j >= k or leaf[i] <= made[j]):
+                    child[side, k] = i
+                    total += leaf[i]
+                    i += 1
+                else:
+                    child[side, k] = n + j
+                    total += made[j]
+                    j += 1
+            made.append(total)
+        value = np.concatenate((np.array(leaf, float), np.array(made, float)))
+        self.odds = (np.log(value[child[1]] + 0.4) - np.log(value[child[0]] + 0.4)).astype(np.float32)
+        child = np.where(child < n, first[np.minimum(child, n - 1)], child) if n > 1 else child
+        k = 2 * n - 1
+        parent, side, depth = np.full(2 * n, -1, np.int32), np.zeros(2 * n, np.int8), np.zeros(2 * n, np.int64)
+        for s in (0, 1):
+            parent[child[s]], side[child[s]] = n + np.arange(n - 1), s
+        level = np.array([k - 1]) if n > 1 else np.empty(0, np.int64)
+        while len(level):
+            below = child[:, level - n]
+            depth[below] = depth[level] + 1
+            below = below.reshape(-1)
+            level = below[below >= n]
         self.length = depth[:n].copy()
         self.start = np.cumsum(self.length) - self.length
         self.nodes, self.bits, self.depth = np.zeros(int(self.length.sum()), np.int32), np.zeros(int(self.length.sum()), np.int8), np.zeros(int(self.length.sum()), np.int8)
@@ -111,10 +127,12 @@ class Code:
     It travels as the counts that it is made of, a tenth of its size, and is made anew where it arrives.
     """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, escapes: int, byte_counts: np.ndarray):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, escapes: int, byte_counts: np.ndarray, bits: int = CONTEXT):
+        #: The leading bits of a context's hash that count.
+        self.cut = np.uint64((1 << bits) - 1) << np.uint64(64 - bits)
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
-        self.made_of = (self.hashes, self.counts, escapes, byte_counts)
+        self.made_of = (self.hashes, self.counts, escapes, byte_counts, bits)
         w = Tree(np.append(self.counts, max(1, escapes)), 0)
         b = Tree(byte_counts + 1, w.size)
         self.leaves = len(w.length)
@@ -123,6 +141,13 @@ class Code:
         self.nodes, self.bits = np.concatenate((w.nodes, b.nodes)), np.concatenate((w.bits, b.bits))
         self.gb = np.concatenate((np.minimum(w.depth // 4, 3) * 6 + w.bits, b.bits)).astype(np.int8)
         self.odds = np.concatenate((w.odds, b.odds))
+        #: Each symbol's path as the leading bits of a number.
+        self.path = np.zeros(len(self.length), np.uint64)
+        for d in range(min(64, int(self.length.max(initial=0)))):
+            deep = np.flatnonzero(self.length > d)
+            self.path[deep] |= self.bits[self.start[deep] + d].astype(np.uint64) << np.uint64(63 - d)
+        del w, b
+        trim()  # building takes a few times what is kept
 
     def __reduce__(self):
         return Code, self.made_of
@@ -147,7 +172,7 @@ class Symbols:
         self.symbol, self.gate = np.empty(total, np.int32), np.zeros(total, np.int8)
         self.one, self.both = np.empty(total, np.uint64), np.empty(total, np.uint64)
         self.symbol[self.first] = code.word_symbols[self.leaf[tokens]]
-        for pairs, context in zip((self.one, self.both), contexts(tokens, hashes, first), strict=True):
+        for pairs, context in zip((self.one, self.both), contexts(tokens, hashes, first, code.cut), strict=True):
             pairs[self.first] = context | self.symbol[self.first].astype(np.uint64)
         other = np.flatnonzero(~known[tokens])
         here = ranges(starts[tokens[other]], sizes[tokens[other]])
@@ -175,11 +200,11 @@ def spelled(raw: list[bytes], code: Code) -> tuple[np.ndarray, ...]:
             if back <= 2 + 2 * k:
                 before[k] |= moved << np.uint64(9 * back)
     symbol = code.byte_symbols[text]
-    pairs = [fmix64(x + np.uint64(1 + k)) & _CUT | symbol.astype(np.uint64) for k, x in enumerate(before)]
+    pairs = [fmix64(x + np.uint64(1 + k)) & code.cut | symbol.astype(np.uint64) for k, x in enumerate(before)]
     return symbol, ((12 + np.minimum(place, 3) * 3) * 2).astype(np.int8), *pairs, size + 1, ends - size - 1
 
 
-def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray, cut: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The word contexts of each token: of the previous word, and of the previous two; ``first``: positions within the document."""
     h = hashes[tokens]
     one = np.zeros(len(h), np.uint64)
@@ -188,33 +213,81 @@ def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> tuple
     two = np.zeros(len(h), np.uint64)
     two[2:] = h[:-2]
     two[first < 2] = 0
-    return fmix64(one * _A + np.uint64(11)) & _CUT, fmix64((two * _B + np.uint64(7)) ^ (one * _A)) & _CUT
+    return fmix64(one * _A + np.uint64(11)) & cut, fmix64((two * _B + np.uint64(7)) ^ (one * _A)) & cut
 
 
-def context_odds(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """For ascending pairs and their counts: the log odds along each pair's path of the bits that it takes, as signed bytes in units of 1 / SCALE, and where each path begins.
+def context_odds(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ascending pairs and their counts, the log odds along each pair's path of the bits that it takes, as signed bytes in units of 1 / SCALE.
 
-    Odds of what is taken, not of a 1: below the node from where a symbol is alone in its context they are all the same, and pack well.
+    From where a pair is alone in its context they are all the same.  So: (what they are from there, how many decisions come
+    before, and these decisions' odds, pair after pair).
     """
     symbol = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)
+    units = lambda ones, zeros: np.clip(np.rint((np.log(ones + 0.4) - np.log(zeros + 0.4)) * SCALE), -127, 127).astype(np.int8)
+    alone = units(n, 0.0)
+    split = np.zeros(len(pairs), np.uint8)
+    begins = np.ones(len(pairs) + 1, bool)
     context = pairs >> np.uint64(SYMBOL)
+    begins[1:-1] = (context[1:] != context[:-1]) | ((symbol[1:] >= code.leaves) != (symbol[:-1] >= code.leaves))
+    del context
+    alive = np.flatnonzero(~(begins[:-1] & begins[1:]))
+    begins = begins[alive]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    d = 0
+    while len(alive):
+        at = code.start[symbol[alive]] + d
+        bit, m = code.bits[at], n[alive]
+        group = np.flatnonzero(begins)
+        ones = np.add.reduceat(m * bit, group)
+        odds = units(ones, np.add.reduceat(m, group) - ones)[np.cumsum(begins) - 1]
+        found.append((alive, np.where(bit == 1, odds, -odds)))
+        split[alive] += 1
+        # Within a group symbols ascend, so those that take a 0 come before those that take a 1.
+        begins[1:] |= bit[1:] != bit[:-1]
+        more = ~(begins & np.append(begins[1:], True))
+        alive, begins = alive[more], begins[more]
+        d += 1
+    place = np.cumsum(split, dtype=np.int64) - split
+    out = np.empty(int(split.sum(dtype=np.int64)), np.int8)
+    for d, (which, odds) in enumerate(found):
+        out[place[which] + d] = odds
+    return alone, split, out
+
+
+def inherited(pairs: np.ndarray, split: np.ndarray, code: Code) -> np.ndarray:
+    """How many decisions, from the first on, each of some ascending pairs has at the same nodes as the pair before it."""
+    symbol = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)
+    out = np.zeros(len(pairs), np.int64)
+    context = pairs >> np.uint64(SYMBOL)
+    same = np.flatnonzero((context[1:] == context[:-1]) & ((symbol[1:] >= code.leaves) == (symbol[:-1] >= code.leaves))) + 1
+    differ = code.path[symbol[same]] ^ code.path[symbol[same - 1]]
+    # The exponent of a number that is cut to what a float holds is the place of its leading bit.
+    common = 64 - np.frexp((differ >> np.uint64(12)).astype(np.float64))[1] - 12
+    out[same] = np.minimum(common + 1, split[same])
+    return out
+
+
+def whole_paths(pairs: np.ndarray, alone: np.ndarray, split: np.ndarray, odds: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds of whole paths, pair after pair; where each begins); ``odds``: of the decisions before ``split`` that are not inherited.
+
+    An inherited decision has the odds of the last pair that did not inherit it, the other way round if it takes the other bit.
+    """
+    symbol = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)
     length, start = code.length[symbol], code.start[symbol]
     place = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.int8)
-    alive = np.flatnonzero(length > 0)
+    out = np.repeat(alone, length)
+    split, own = split.astype(np.int64), inherited(pairs, split, code)
+    out[ranges(place + own, split - own)] = odds
+    alive = np.flatnonzero(split > 0)
     d = 0
     while len(alive):
-        at = start[alive] + d
-        node, c, m = code.nodes[at], context[alive], n[alive]
-        new = np.ones(len(alive), bool)
-        new[1:] = (node[1:] != node[:-1]) | (c[1:] != c[:-1])
-        group = np.flatnonzero(new)
-        ones = np.add.reduceat(m * code.bits[at], group)
-        zeros = np.add.reduceat(m, group) - ones
-        odds = np.clip(np.rint((np.log(ones + 0.4) - np.log(zeros + 0.4)) * SCALE), -127, 127).astype(np.int8)
-        out[place[alive] + d] = odds[np.cumsum(new) - 1] * (2 * code.bits[at] - 1)
+        later = own[alive] > d
+        if later.any():
+            source = np.maximum.accumulate(np.where(later, 0, np.arange(len(alive))))[later]
+            here, there = alive[later], alive[source]
+            out[place[here] + d] = np.where(code.bits[start[here] + d] == code.bits[start[there] + d], out[place[there] + d], -out[place[there] + d])
         d += 1
-        alive = alive[length[alive] > d]
+        alive = alive[split[alive] > d]
     return out, place
 
 

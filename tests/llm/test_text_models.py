@@ -260,7 +260,11 @@ def test_language_model_counts_every_context_apart():
     pairs, n = np.unique(np.concatenate((text.one, text.both)), return_counts=True)
     previous = {(x, y, z) for x, y, z in zip(tokens[:-2], tokens[1:-1], np.minimum(tokens[2:], 300), strict=True)}
     assert len(pairs) > len(previous)  # none shares a place with another
-    odds, place = mixing.context_odds(pairs, n, code)
+    alone, split, odds = mixing.context_odds(pairs, n, code)
+    shared = mixing.inherited(pairs, split, code)
+    first = np.cumsum(split, dtype=np.int64) - split
+    odds, place = mixing.whole_paths(pairs, alone, split, odds[mixing.ranges(first + shared, split - shared)], code)
+    assert shared.sum() > split.sum() // 4  # much is sent once only
     path = lambda s: range(code.start[s], code.start[s] + code.length[s])
     sides = Counter()
     split = [(int(p) >> mixing.SYMBOL, int(p) & (1 << mixing.SYMBOL) - 1) for p in pairs]
@@ -280,7 +284,7 @@ def test_language_model_grows_with_its_training_texts(docs):
     for part in (docs.where("doc_id % 4 = 0"), docs):
         table = context_mixing.blocks(part, F.lit(False))
         code, n, _ = context_mixing.make_code(context_mixing.word_totals(table, 1), context_mixing.byte_counts(table))
-        answers = context_mixing.pair_odds(table, docs.sparkSession.sparkContext.broadcast(code), 3)
+        answers = context_mixing.pair_odds(table, docs.sparkSession.sparkContext.broadcast(code), 3, True)
         size.append(answers.agg(F.sum("size")).first()[0])
     assert size[1] > 3 * size[0]
 
@@ -291,9 +295,10 @@ def test_language_model_learns_from_calibration_documents(spark, monkeypatch):
     text = " ".join(f"w{i * 7 % 50} w{i * 11 % 50}" for i in range(400))
     table = context_mixing.blocks(spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string"), F.lit(False))
     code, _, _ = context_mixing.make_code(context_mixing.word_totals(table, 1), context_mixing.byte_counts(table))
-    r = context_mixing.pair_odds(table, spark.sparkContext.broadcast(code), 1).first()
-    assert context_mixing._unpress(r["odds"], r["size"], np.int8).any()
-    assert not context_mixing._unpress(r["first_odds"], r["first_size"], np.int8).any()
+    r = context_mixing.pair_odds(table, spark.sparkContext.broadcast(code), 1, False).first()
+    read = context_mixing._Answers.read
+    assert any(x.any() for x in read(r["odds"], r["size"])[::2])
+    assert not any(x.any() for x in read(r["first_odds"], r["first_size"])[::2])
 
 
 PAGE = """<html><head><title>no</title><style>.h{display:none}</style></head><body><h1>A &amp; b</h1><p>One<p>Two<br>three<div class=h>no</div><ul><li>x<li>y<ol start=3><li>z</ol></ul>
