@@ -1,4 +1,4 @@
-"""The queries of the training-data operators, over the whole ``documents`` and ``pages`` tables."""
+"""The queries of the training-data operators, over the whole ``documents``, ``pages`` and ``conversations`` tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import circulant_minhash, context_mixing, html_layout, knn_quality, langid, packing, quality_rules, scaled_sketch, token_file, unigram
+from quarry.llm import circulant_minhash, context_mixing, conversation_repair, html_layout, knn_quality, langid, packing, quality_rules, scaled_sketch, spelling, token_file, unigram
 from quarry.llm.common import crc_mod, documents, materialize
 
 #: The public vocabularies of the queries; operators take a path.
@@ -122,6 +122,79 @@ def op10_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(documents(spark, sf_dir), PIECE_BPE)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired, digested."""
+    turns = conversation_repair.turns_of(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_repair.digests(conversation_repair.repair(conversation_repair.damaged(turns)))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+src AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+byte AS (SELECT rid, unnest(range(1, length(name) + 1)) AS i, name FROM src),
+k AS (SELECT rid, xor(list_reduce(list(ascii(name[i])::BIGINT ORDER BY i), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295) % 20 AS kind FROM byte, crc GROUP BY rid, t),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM src JOIN k USING (rid) WHERE kind <> 0),
+num AS (
+  SELECT *, row_number() OVER o AS i, lag(role[1:1]) OVER o || role[1:1] NOT IN ('su', 'ua', 'au') AS illegal, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM dam WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+flag AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM num),
+step AS (SELECT conv_id, i, role[1:1] AS r, fault IN ('blank', 'duplicate') AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM flag),
+p AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': ''} AS e, NULL::STRUCT(c BIGINT, a VARCHAR) AS s, {'c': 5::BIGINT, 'a': 'I'} AS u, {'c': 10::BIGINT, 'a': 'II'} AS a FROM src
+  UNION ALL
+  SELECT conv_id, i, e, s, u, list_min([a, {'c': u.c + 5, 'a': u.a || 'I'}]) FROM (
+    SELECT conv_id, i, e, s, list_min([u, {'c': e.c + 5, 'a': e.a || 'I'}, CASE WHEN s IS NOT NULL THEN {'c': s.c + 5, 'a': s.a || 'I'} END, {'c': a.c + 5, 'a': a.a || 'I'}]) AS u, a FROM (
+      SELECT p.conv_id, step.i, {'c': e.c + 2, 'a': e.a || 'D'} AS e,
+        list_min([CASE WHEN s IS NOT NULL THEN {'c': s.c + 2, 'a': s.a || 'D'} END, CASE WHEN NOT gone AND r = 's' THEN {'c': e.c + extra, 'a': e.a || 'K'} END]) AS s,
+        list_min([{'c': u.c + 2, 'a': u.a || 'D'}, CASE WHEN NOT gone THEN {'c': list_min([e, s, a]).c + extra + (r <> 'u')::INT, 'a': list_min([e, s, a]).a || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END} END]) AS u,
+        list_min([{'c': a.c + 2, 'a': a.a || 'D'}, CASE WHEN NOT gone THEN {'c': u.c + extra + (r <> 'a')::INT, 'a': u.a || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END} END]) AS a
+      FROM p JOIN step ON step.conv_id IS NOT DISTINCT FROM p.conv_id AND step.i = p.i + 1))),
+best AS (SELECT conv_id, list_min([arg_max(e, i), arg_max(a, i)]) AS b FROM p GROUP BY conv_id),
+ed AS (SELECT conv_id, unnest(range(1, length(b.a) + 1)) AS j, b.a AS audit FROM best),
+pos AS (SELECT conv_id, j, audit[j] AS edit, length(replace(audit[1:j], 'I', '')) AS i, length(replace(audit[1:j], 'D', '')) AS o FROM ed),
+line AS (
+  SELECT pos.conv_id, pos.j, edit, role, text, o - max(CASE WHEN edit = 'K' AND role[1:1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY pos.conv_id) AS o
+  FROM pos LEFT JOIN flag ON flag.conv_id IS NOT DISTINCT FROM pos.conv_id AND flag.i = pos.i),
+text AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN o % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS t FROM line WHERE edit <> 'D' GROUP BY conv_id),
+c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE illegal) AS illegal FROM flag GROUP BY conv_id)
+SELECT best.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.c AS cost, b.a AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM best LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN text ON text.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the words near them, their forms and roots."""
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+r AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS name, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT run, n, flatten(list_transform(string_split(name, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, crc),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+d AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT a.word AS x, b.word AS y FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON v.word = d.rest
+  UNION SELECT v.word, d.word FROM d JOIN v ON v.word = d.rest),
+f AS (
+  SELECT x, count(*) AS n_near, arg_min(y, {'n': -n, 'y': y}) AS y, max(n) AS m FROM (SELECT x, y, v.n FROM e JOIN v ON v.word = e.y) GROUP BY x),
+g AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN y END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN f ON x = word),
+z(word, root, form) AS (SELECT word, word, form FROM g UNION ALL SELECT z.word, g.word, g.form FROM z JOIN g ON g.word = z.form)
+SELECT g.word, g.form, z.root, n, n_near, form_n FROM g JOIN z ON z.word = g.word AND z.form IS NULL
+"""
+
+
 OP4_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
@@ -143,7 +216,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_scaled_sketch": op9_scaled_sketch,
     "op10_unigram": op10_unigram,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 #: DuckDB's SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {"op4_circulant_minhash": OP4_SQL, "op8_quality_rules": OP8_SQL}
+ORACLES: dict[str, str] = {"op4_circulant_minhash": OP4_SQL, "op8_quality_rules": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op12_spelling_variants": OP12_SQL}
