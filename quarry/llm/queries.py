@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from quarry.llm import circulant_minhash, context_mixing, conversation_repair, html_layout, knn_quality, langid, packing, quality_rules, scaled_sketch, spelling, token_file, unigram
+from quarry.llm import circulant_minhash, context_mixing, conversation_repair, html_layout, knn_quality, langid, packing, pii, quality_rules, scaled_sketch, spelling, token_file, unigram
 from quarry.llm.common import crc_mod, documents, materialize
 
 #: The public vocabularies of the queries; operators take a path.
@@ -195,6 +195,11 @@ SELECT g.word, g.form, z.root, n, n_near, form_n FROM g JOIN z ON z.word = g.wor
 """
 
 
+def op13_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: by strict patterns, and by contexts learned from what they find."""
+    return pii.digests(pii.find(documents(spark, sf_dir)))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
@@ -218,6 +223,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_unigram": op10_unigram,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_contextual_pii": op13_contextual_pii,
 }
 
 #: DuckDB's SQL of the queries that SQL can express.
