@@ -1,4 +1,4 @@
-"""Aliases of concepts found in texts, word for word; concepts from paths; the evidence that they give.
+"""Aliases of concepts found in texts, word for word, and how sure each mention is.
 
 Few aliases (at most ALIASES) are one automaton that every task runs over its texts: one pass, nothing shuffled.  More of them
 meet the texts' runs of words in a join, where each run already carries the words that would verify it.
@@ -12,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import concepts
-
 #: Aliases up to which they are sent to all tasks.
 ALIASES = 200_000
 #: Words of an alias that are the key of the join beyond that.
@@ -75,38 +73,3 @@ def alias_score(words: Column, confidence: Column, is_label: Column, same: Colum
     more = lambda c, x: F.when(c, x).otherwise(0.0)
     total = BASE + PER_WORD * F.least(words, F.lit(WORDS)) + F.least(confidence, F.lit(0.2)) + more(is_label, LABEL) + more(same, SAME) + more(kind.isin(*SPECIAL_KINDS), SPECIAL)
     return F.least(F.lit(CAP), total)
-
-
-PREFIX = "source bigint, key string, label string, kind string, level int, parent string, aliases array<struct<alias:string, alias_kind:string, confidence:double>>"
-
-
-def concept_rows(sections: DataFrame, roots: tuple[str, ...] = (), source: str = "source", path: str = "path") -> DataFrame:
-    """The accepted headings of each section's path, a row each."""
-    schema = pa.schema([("source", pa.int64()), ("key", pa.string()), ("label", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("parent", pa.string()), ("aliases", pa.list_(pa.struct([("alias", pa.string()), ("alias_kind", pa.string()), ("confidence", pa.float64())])))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{"source": i, **x} for i, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in concepts.prefixes(p, roots)]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return sections.select(F.col(source).cast("long"), F.col(path)).mapInArrow(run, PREFIX)
-
-
-def taxonomy(rows: DataFrame) -> DataFrame:
-    """(key, label, kind, level, parent, mentions): of equal keys the longest label and the most telling kind."""
-    rank = F.create_map(*(F.lit(x) for kv in concepts.KIND_RANK.items() for x in kv))[F.col("kind")]
-    return rows.groupBy("key").agg(
-        F.max_by("label", F.struct(F.length("label"), "label")).alias("label"), F.max_by("kind", F.struct(rank, "kind")).alias("kind"), F.min("level").cast("long").alias("level"),
-        F.min("parent").alias("parent"), F.countDistinct("source").alias("mentions"),
-    )
-
-
-def contains(rows: DataFrame) -> DataFrame:
-    """(parent, child): each accepted heading in the one above it."""
-    return rows.where("parent is not null").select("parent", F.col("key").alias("child")).distinct()
-
-
-def alias_rows(rows: DataFrame) -> DataFrame:
-    """(key, alias, alias_kind, confidence): each concept's aliases, the surest of equal ones; long ones first when read in order."""
-    flat = rows.select("key", F.explode("aliases").alias("a")).select("key", "a.*").where("alias <> ''")
-    return flat.groupBy("key", "alias").agg(F.max_by("alias_kind", "confidence").alias("alias_kind"), F.max("confidence").alias("confidence"))

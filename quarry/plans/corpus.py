@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import normalize
 from quarry.functions import text as T
-from quarry.operators import documents, extract, fulltext, grounding, ingest, objects
+from quarry.operators import documents, extract, fulltext, ingest, objects, taxonomy
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -196,12 +196,26 @@ def searched_forms(spark: SparkSession, sf: str) -> DataFrame:
     return both.select("doc_id", F.md5("s").alias("searched"), F.length("s").cast("long").alias("n_searched"), F.md5("d").alias("shown"), F.length("d").cast("long").alias("n_shown"))
 
 
-@R.add("concept_taxonomy")
+_PHYSICAL = "|".join([*(h for hints in taxonomy.HINTS.values() for h in hints), taxonomy.PHYSICAL])
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(lower(label), '{'|'.join(hints)}') THEN '{k}'" for k, hints in taxonomy.HINTS.items()) + " ELSE 'section' END"
+
+
+@R.add(
+    "concept_taxonomy",
+    rf"""WITH p AS (SELECT p_partkey AS source, [p_brand || ' meson', CASE WHEN p_size % 2 = 0 THEN 'Decays' ELSE 'Introduction' END, p_type] AS w FROM part),
+    s AS (SELECT source, unnest(range(1, 4)) AS level, w FROM p),
+    t AS (SELECT source, level, w[level] AS own, w[level - 1] AS parent, array_to_string(list_transform(w[1:level], lambda x: regexp_replace(regexp_replace(lower(x), '[^a-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')), '/') AS key FROM s),
+    a AS (
+      SELECT *, CASE WHEN parent IS NOT NULL AND lower(own) IN {taxonomy.CONTEXTUAL} THEN parent || ' ' || lower(own) ELSE own END AS label FROM t
+      WHERE lower(own) NOT IN {taxonomy.GENERIC} AND (coalesce(regexp_matches(lower(parent), '{_PHYSICAL}'), false) OR regexp_matches(lower(own), '{_PHYSICAL}') AND lower(own) NOT IN {taxonomy.CONTEXTUAL})),
+    k AS (SELECT key, arg_max(label, (length(label), label)) AS label, arg_max({_KIND}, CASE {_KIND} WHEN 'particle' THEN 5 WHEN 'process' THEN 4 WHEN 'decay' THEN 4 WHEN 'section' THEN 1 ELSE 3 END) AS kind, min(level)::BIGINT AS level, count(DISTINCT source) AS mentions FROM a GROUP BY key)
+    SELECT k.key, k.label, k.kind, k.level, (SELECT arg_max(b.key, length(b.key)) FROM k b WHERE starts_with(k.key, b.key || '/')) AS parent, k.mentions FROM k""",
+)
 def concept_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     """Concepts that the paths of parts name, beside headings of the kind that the data model knows."""
     part = table(spark, sf, "part")
     path = F.concat_ws(" / ", F.lit("Parts"), F.concat("p_brand", F.lit(" meson")), F.when(F.col("p_size") % 2 == 0, "1.2 Decays").otherwise("Introduction"), "p_type")
-    return grounding.taxonomy(grounding.concept_rows(part.select(F.col("p_partkey").alias("source"), path.alias("path")), ("Parts",)))
+    return taxonomy.taxonomy(taxonomy.steps(part.select(F.col("p_partkey").alias("source"), path.alias("path")), ("Parts",)))
 
 
 @R.add(

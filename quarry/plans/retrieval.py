@@ -204,6 +204,6 @@ def alias_grounding(spark: SparkSession, sf: str) -> DataFrame:
     """Aliases that a document holds word for word, the six best of each."""
     aliases = table(spark, sf, "benchmark").select("item_id", tokens(F.col("text")).alias("words"))
     found = grounding.mentions(table(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("words")), aliases, "doc_id", "item_id")
-    scored = found.select("doc_id", "item_id", F.least(F.lit(0.99), 0.46 + 0.08 * F.least("words", F.lit(5)) + 0.2 + 0.06).alias("confidence"), F.col("chars").alias("n"))
+    scored = found.select("doc_id", "item_id", grounding.alias_score(F.col("words"), F.lit(1.0), F.lit(True), F.lit(False), F.lit("section")).alias("confidence"), F.col("chars").alias("n"))
     order = Window.partitionBy("doc_id").orderBy(F.round("confidence", 9).desc(), F.col("n").desc(), "item_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 6").select("doc_id", "item_id", F.round("confidence", 6).alias("confidence"), "rank")
