@@ -64,14 +64,17 @@ def mirrored(edges: DataFrame) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, k: int) -> DataFrame:
-    """Each node's k first neighbours: most shared, then best score, then least id."""
+    """Each node's k first neighbours in mirrored edges: most shared, then best score, then least id."""
     order = Window.partitionBy("src").orderBy(F.col("shared").desc(), F.round("score", 9).desc_nulls_last(), "dst")
-    return mirrored(edges).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return edges.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def injected(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """(id, graph_score, votes, shared_max): what the neighbours of ranked seeds (id, rank, support) gain from them."""
-    near = neighbours(edges, k).join(F.broadcast(seeds), F.col("src") == F.col("id")).select("dst", "shared", (0.5 * F.col("support") / (60 + F.col("seed_rank") + F.col("rank"))).alias("boost"))
+    """(id, graph_score, votes, shared_max): what the neighbours of ranked seeds (id, rank, support) gain from them.
+
+    ``edges`` are mirrored, ``seeds`` a list of bounded length: only the seeds' edges are ranked."""
+    own = neighbours(edges.join(F.broadcast(seeds.select(F.col("id").alias("src"))), "src", "left_semi"), k)
+    near = own.join(F.broadcast(seeds), F.col("src") == F.col("id")).select("dst", "shared", (0.5 * F.col("support") / (60 + F.col("seed_rank") + F.col("rank"))).alias("boost"))
     return near.groupBy(F.col("dst").alias("id")).agg(F.sum("boost").alias("graph_score"), F.count(F.lit(1)).alias("votes"), F.max("shared").alias("shared_max"))
 
 

@@ -1,21 +1,14 @@
-"""Inverted-index statistics and BM25 over a document table.
-
-A query's words are few and known, so scoring is one pass that counts them per document: no postings are shuffled.  The
-corpus statistics are one row of counts.
-"""
+"""BM25, the ladder and phrases over an inverted index of one field; word statistics of a table."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.query import MatchQuery
 from quarry.functions.text import tokens
 from quarry.operators import search
-
-K1, B = 1.2, 0.75
+from quarry.operators.inverted import Index
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,28 +21,14 @@ def term_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return postings(docs, doc_id, text).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def _tf(words: list[str]) -> list[Column]:
-    return [F.expr(f"size(filter(toks, t -> t = '{w}'))") for w in words]  # words are tokens: letters, digits, underscores
-
-
-def counted(docs: DataFrame, words: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, dl, tf_0, tf_1, ...)."""
-    toks = docs.select(F.col(doc_id), tokens(F.col(text)).alias("toks"))
-    return toks.select(doc_id, F.size("toks").alias("dl"), *(c.alias(f"tf_{i}") for i, c in enumerate(_tf(words))))
-
-
-def bm25_scores(docs: DataFrame, words: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def bm25_scores(index: Index, words: list[str]) -> DataFrame:
     """(doc_id, score, hits) of the documents that hold any of the words; a higher score is better."""
-    rows = counted(docs, words, doc_id, text)
-    s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(words)))).first()
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(s.avgdl or 1.0))
+    rows, idf, norm = search.weighed(index, words)
     score, hits = F.lit(0.0), F.lit(0)
-    for i in range(len(words)):
-        idf = max(1e-6, math.log((s.n - s[f"df_{i}"] + 0.5) / (s[f"df_{i}"] + 0.5))) if s.n else 0.0
-        f = F.col(f"tf_{i}")
-        score = score + F.lit(idf) * f * (K1 + 1) / (f + norm)
-        hits = hits + (f > 0).cast("int")
-    return rows.select(doc_id, score.alias("score"), hits.cast("long").alias("hits")).where("hits > 0")
+    for i, weight in enumerate(idf):
+        f = F.col("tf")[i]
+        score, hits = score + F.lit(weight) * f * (search.K1 + 1) / (f + norm), hits + (f > 0).cast("int")
+    return rows.select(index.key, score.alias("score"), hits.cast("long").alias("hits")).where("hits > 0")
 
 
 def ranked(scores: DataFrame, k: int, doc_id: str = "doc_id") -> DataFrame:
@@ -58,41 +37,25 @@ def ranked(scores: DataFrame, k: int, doc_id: str = "doc_id") -> DataFrame:
     return scores.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
-def bm25_topk(docs: DataFrame, words: list[str], k: int) -> DataFrame:
-    return ranked(bm25_scores(docs, words), k).select("doc_id", F.round("score", 6).alias("score"), "rank")
+def bm25_topk(index: Index, words: list[str], k: int) -> DataFrame:
+    return ranked(bm25_scores(index, words), k).select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-def ladder(docs: DataFrame, words: list[str], limit: int) -> DataFrame:
+def ladder(index: Index, words: list[str], limit: int) -> DataFrame:
     """All words first, then any word, then the first two: later stages only append what earlier ones lack.  Two passes in all."""
     each = tuple((w,) for w in words)
     queries = [MatchQuery(True, each), MatchQuery(False, each), MatchQuery(False, each[:2])]
-    found = search.search(search.index(docs, "doc_id", ["text"]), queries, limit, [F.col("doc_id")])
-    return found.select("doc_id", "stage", "rank")
+    return search.search(index, queries, limit, [F.col("doc_id")]).select("doc_id", "stage", "rank")
 
 
-def phrase_match(docs: DataFrame, phrase: list[str]) -> DataFrame:
+def phrase_match(index: Index, phrase: list[str]) -> DataFrame:
     """(doc_id, occurrences) of adjacent words."""
-    toks = docs.select("doc_id", tokens(F.col("text")).alias("toks"))
-    here = " and ".join(f"get(toks, i + {k}) = '{w}'" for k, w in enumerate(phrase))
-    return toks.select("doc_id", F.expr(f"size(filter(transform(toks, (x, i) -> {here}), y -> y))").cast("long").alias("occurrences")).where("occurrences > 0")
-
-
-def agreement(docs: DataFrame, groups: list[list[str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, hits, coverage): groups of aliases of which one is wholly among the document's words."""
-    toks = docs.select(doc_id, tokens(F.col(text)).alias("toks"))
-    hits = F.lit(0)
-    for g in groups:
-        found = F.lit(False)
-        for alias in g:
-            every = F.lit(True)
-            for w in alias.split():
-                every = every & F.array_contains("toks", w)
-            found = found | every
-        hits = hits + found.cast("int")
-    return toks.select(doc_id, hits.cast("long").alias("hits")).withColumn("coverage", F.col("hits") / F.lit(float(len(groups))))
-
-
-def agreement_filter(docs: DataFrame, groups: list[list[str]]) -> DataFrame:
-    """Documents that agree with enough groups: min(2, all) at least, or three quarters."""
-    need = max(1, min(2, len(groups)))
-    return agreement(docs, groups).where((F.col("hits") >= need) | (F.col("coverage") >= 0.75))
+    found = index.counted([" ".join(phrase)])
+    return found.select("doc_id", F.col("tf")[0].cast("long").alias("occurrences")).where("occurrences > 0")
+
+
+def agreement_filter(docs: DataFrame, groups: list[list[str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, hits, coverage) of the documents that agree with enough groups: min(2, all) at least, or three quarters."""
+    hits, coverage = search.agreement(F.col("toks"), groups)
+    rows = docs.select(doc_id, tokens(F.col(text)).alias("toks"))
+    return rows.select(doc_id, hits.alias("hits"), coverage.alias("coverage")).where(search.agrees(groups))

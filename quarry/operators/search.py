@@ -1,8 +1,9 @@
 """Fielded word indexes, match queries of phrases ranked by BM25, vector ranking with agreement, hybrid search.
 
-A query's phrases are few and known, so a search is two passes over the index: one for the corpus statistics (one row), one
-that counts the phrases in each row and ranks every query of the cascade at once; only each task's best rows are shuffled.
-Everything after that works on at most a few hundred rows.  Ties always end at a key.
+A query's phrases are few and known, so a search is two passes over their postings (``operators.inverted``): one for the phrases'
+document frequencies (one row), one that ranks every query of the cascade at once; only each task's best rows are shuffled.
+Everything after that works on at most a few hundred rows.  Ties always end at a key.  A table of word lists serves as well, by
+a scan.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.functions.query import MatchQuery
+from quarry.operators.inverted import Index
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -54,6 +56,22 @@ def counted(built: DataFrame, phrases: Sequence[str]) -> DataFrame:
     return rows.withColumn("tf", F.expr(f"array({', '.join(_count(p) for p in phrases)})")).drop("fields")
 
 
+def weighed(built: Index | DataFrame, phrases: Sequence[str]) -> tuple[DataFrame, list[float], Column]:
+    """Rows with ``dl`` and ``tf``, the phrases' weights, and what a document's length adds to a frequency.
+
+    An inverted index reads the postings of the phrases' words; a table of word lists is scanned."""
+    of_phrase = [F.count_if(F.col("tf")[i] > 0).alias(f"df_{i}") for i in range(len(phrases))]
+    if isinstance(built, Index):
+        rows, n, avgdl = built.counted(phrases), built.n, built.avgdl
+        s = rows.agg(*of_phrase).first()
+    else:
+        rows = counted(built, phrases)
+        s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *of_phrase).first()
+        n, avgdl = s.n, s.avgdl
+    idf = [max(1e-6, math.log((n - s[f"df_{i}"] + 0.5) / (s[f"df_{i}"] + 0.5))) if n else 0.0 for i in range(len(phrases))]
+    return rows, idf, K1 * (1 - B + B * F.col("dl") / F.lit(avgdl or 1.0))
+
+
 def _matches(q: MatchQuery, at: dict[str, int]) -> Column:
     any_of = lambda g: F.expr(" OR ".join(f"tf[{at[p]}] > 0" for p in g))
     out = any_of(q.groups[0])
@@ -62,7 +80,7 @@ def _matches(q: MatchQuery, at: dict[str, int]) -> Column:
     return out
 
 
-def search(built: DataFrame, queries: Sequence[MatchQuery], limit: int, order: Sequence[Column], where: Column | None = None, penalty: Column | None = None) -> DataFrame:
+def search(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, order: Sequence[Column], where: Column | None = None, penalty: Column | None = None) -> DataFrame:
     """The cascade: rows of the first query by rank, then what the next one adds, up to ``limit``.
 
     Columns: those of ``built`` but the words, score (negative; lower is better), stage, rank.  ``order`` breaks ties of
@@ -70,13 +88,11 @@ def search(built: DataFrame, queries: Sequence[MatchQuery], limit: int, order: S
     what may be returned.
     """
     if not queries:
-        return built.drop("fields").select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("stage"), F.lit(0).cast("long").alias("rank")).limit(0)
+        empty = built.counted([]).drop("dl", "tf") if isinstance(built, Index) else built.drop("fields")
+        return empty.select("*", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("stage"), F.lit(0).cast("long").alias("rank")).limit(0)
     phrases = phrases_of(queries)
     at = {p: i for i, p in enumerate(phrases)}
-    rows = counted(built, phrases)
-    s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tf")[i] > 0).alias(f"df_{i}") for i in range(len(phrases)))).first()
-    idf = [max(1e-6, math.log((s.n - s[f"df_{i}"] + 0.5) / (s[f"df_{i}"] + 0.5))) for i in range(len(phrases))]
-    norm = K1 * (1 - B + B * F.col("dl") / F.lit(s.avgdl or 1.0))
+    rows, idf, norm = weighed(built, phrases)
 
     def score(q: MatchQuery) -> Column:
         total = F.lit(0.0)
@@ -99,12 +115,12 @@ def search(built: DataFrame, queries: Sequence[MatchQuery], limit: int, order: S
     return first.select(*kept, "score", "stage", F.row_number().over(Window.orderBy("stage", "pos")).cast("long").alias("rank"))
 
 
-def search_works(built: DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "work_id", year: str = "year", where: Column | None = None) -> DataFrame:
+def search_works(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "work_id", year: str = "year", where: Column | None = None) -> DataFrame:
     """Equal scores: the later year first (none last), then the later id."""
     return search(built, queries, limit, [F.col(year).desc_nulls_last(), F.col(key).desc()], where)
 
 
-def search_chunks(built: DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "chunk_id", role: str = "chunk_role", where: Column | None = None) -> DataFrame:
+def search_chunks(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "chunk_id", role: str = "chunk_role", where: Column | None = None) -> DataFrame:
     """Windows of formulas and assets rank a little lower; equal scores: by role, then by id."""
     penalty, place = F.lit(0.0), F.lit(len(ROLES))
     for k, v in PENALTIES.items():
@@ -114,7 +130,7 @@ def search_chunks(built: DataFrame, queries: Sequence[MatchQuery], limit: int, k
     return search(built, queries, limit, [place, F.col(key)], where, penalty)
 
 
-def search_by_id(built: DataFrame, queries: Sequence[MatchQuery], limit: int, key: str, where: Column | None = None) -> DataFrame:
+def search_by_id(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str, where: Column | None = None) -> DataFrame:
     """Formulas and assets: equal scores by id."""
     return search(built, queries, limit, [F.col(key)], where)
 
@@ -145,17 +161,20 @@ def _whole(value: Column) -> Column:
     return F.max(value).over(Window.partitionBy())
 
 
-def vector_ranked(scores: DataFrame, texts: DataFrame, groups: Sequence[Sequence[str]], limit: int, key: str = "id") -> DataFrame:
+def vector_ranked(scores: DataFrame, texts: DataFrame, groups: Sequence[Sequence[str]], limit: int, key: str = "id", analyze: Callable[[Column], Column] | None = None) -> DataFrame:
     """(key, score, hits, coverage, rank) of the best vectors.
 
     Scores of zero and less go if there are others.  Of those left, the ones that agree with the query; else those that
-    hit any group; else all.  Rank: hits, coverage, score, then the order by score.  ``texts``: (key, words).
+    hit any group; else all.  Rank: hits, coverage, score, then the order by score.  ``texts``: (key, words), or (key, text)
+    with ``analyze``, which then cuts only the best rows' texts into words.
     """
     order = [F.round("score", 9).desc(), F.col(key)]
     top = scores.orderBy(*order).limit(limit).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
     top = top.withColumn("positive", _whole((F.col("score") > 0).cast("int"))).where("score > 0 or positive = 0")
     hits, coverage = agreement(F.col("words"), groups)
-    rows = texts.join(F.broadcast(top), key).select(key, "score", "pos", hits.alias("hits"), coverage.alias("coverage"))
+    rows = texts.join(F.broadcast(top), key)
+    rows = rows if analyze is None else rows.withColumn("words", analyze(F.col("text")))
+    rows = rows.select(key, "score", "pos", hits.alias("hits"), coverage.alias("coverage"))
     rows = rows.withColumn("tier", F.when(agrees(groups), 2).when(F.col("hits") > 0, 1).otherwise(0)).withColumn("top", _whole(F.col("tier")))
     rows = rows.where(F.col("tier") == F.col("top")) if groups else rows
     by = [F.col("hits").desc(), F.round("coverage", 9).desc(), F.round("score", 9).desc(), F.col("pos")]
@@ -187,7 +206,9 @@ def seed_neighbours(seeds: DataFrame, edges: DataFrame, similar: DataFrame, k: i
     First those of coupling and co-citation ``edges`` (src, dst, shared, score; both directions; one that is found by both
     kinds counts twice), most shared first; then, where they are fewer than k, by similarity, without those seen.
     """
-    seeds = F.broadcast(seeds)
+    ids = [r[0] for r in seeds.select(key).collect()]  # as many as the caller's limit of seeds
+    seeds, at_seed = F.broadcast(seeds), F.col("src").isin(ids)
+    edges, similar = edges.where(at_seed), similar.where(at_seed)
     by = [F.col("shared").desc(), F.round("edge_score", 9).desc_nulls_last(), F.col("dst")]
     cited = edges.select("src", "dst", "shared", F.col("score").alias("edge_score")).join(seeds, F.col("src") == F.col(key)).drop("src")
     cited = cited.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("place") <= k)

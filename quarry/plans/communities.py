@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import tokens
 from quarry.operators import community as C
 from quarry.operators import graph, vectors
-from quarry.operators.shared import written
+from quarry.plans.pieces import KNN as _KNN
+from quarry.plans.pieces import hits_sql as _hits_sql
 from quarry.plans.registry import Registry
-from quarry.plans.search import _KNN, _hits_sql
+from quarry.plans.stored import stored
 from quarry.sources.tables import table
 
 R = Registry()
@@ -27,6 +28,8 @@ KEYS = {
 }
 #: What communities are described by.
 LABELS = {"topic": "p_brand", "result": "p_type", "method": "p_name", "physics": "p_size", "collaboration": "p_mod"}
+#: The tables that communities are made of.
+MADE_OF = ("part", "lineitem", "embeddings")
 QUERY_GROUPS = (("brand 1", "brand 12", "brand 7"), ("ring", "bolt"), ("economy", "promo"))
 
 
@@ -66,9 +69,9 @@ def weighted_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fine(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(members, strong edges), both written once."""
-    strong = written(C.strong(edges(spark, sf)), "strong-edges")
-    return written(C.components(strong), "communities"), strong
+    """(members, strong edges), both stored."""
+    strong = stored(spark, sf, "strong-edges", MADE_OF, lambda: C.strong(edges(spark, sf)))
+    return stored(spark, sf, "communities", MADE_OF, lambda: C.components(strong)), strong
 
 
 @R.add("communities", f"WITH RECURSIVE {_FINE} SELECT work, community FROM comm")
@@ -141,15 +144,26 @@ _SEARCH = f"""allsu AS (SELECT 'fine:' || su.community AS id, 'fine' AS level, '
   ord AS (SELECT id, level, hits, label_hits, route_score, 0 AS route, place FROM topo UNION ALL SELECT id, level, hits, label_hits, route_score, 1, row_number() OVER (ORDER BY round(route_score, 9) DESC, coalesce(on_route, 0) DESC, hits DESC, works DESC, lower(label), id) FROM finer)"""
 
 
-@R.add("community_search", f"WITH RECURSIVE {_FINE}, {_SUMMARY}, {_OVERVIEW}, {_SEARCH} SELECT id, level, hits, label_hits, round(route_score, 6)::DOUBLE AS score, row_number() OVER (ORDER BY route, place) AS rank FROM ord QUALIFY rank <= 8")
+SEARCH_SQL = f"WITH RECURSIVE {_FINE}, {_SUMMARY}, {_OVERVIEW}, {_SEARCH} SELECT id, level, hits, label_hits, round(route_score, 6)::DOUBLE AS score, row_number() OVER (ORDER BY route, place) AS rank FROM ord QUALIFY rank <= 8"
+
+
+@R.add("community_search", SEARCH_SQL)
 def community_search(spark: SparkSession, sf: str) -> DataFrame:
+    return C.search(searched(spark, sf), QUERY_GROUPS, 8)
+
+
+def searched(spark: SparkSession, sf: str) -> DataFrame:
+    """Both levels of summaries with their words, as they are stored."""
+    return stored(spark, sf, "community-summaries", MADE_OF, lambda: described(spark, sf))
+
+
+def described(spark: SparkSession, sf: str) -> DataFrame:
     members, strong = fine(spark, sf)
-    own = written(summaries(spark, sf, members, strong).select("community", "works", "edges", "words", "label"), "summaries")
+    own = summaries(spark, sf, members, strong).select("community", "works", "edges", "words", "label")
     above = C.overviews(members, C.cross_weights(strong, members), C.top_labels(members, labels(spark, sf)))
     rows = own.join(above, "community", "left")
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     low = rows.select(name("fine", "community").alias("id"), F.lit("fine").alias("level"), name("overview", "overview").alias("parent"), "label", F.concat_ws(" ", "words", "label").alias("text"), "works", "edges", F.lit(0).cast("long").alias("children"))
     high = rows.where("overview is not null").groupBy("overview").agg(F.min("label").alias("label"), F.array_join(F.collect_list("words"), " ").alias("text"), F.sum("works").alias("works"), F.sum("edges").alias("edges"), F.count(F.lit(1)).alias("children"))
     high = high.select(name("overview", "overview").alias("id"), F.lit("overview").alias("level"), F.lit(None).cast("string").alias("parent"), "label", "text", "works", "edges", "children")
-    both = low.unionByName(high).withColumn("words", tokens(F.col("text"))).withColumn("label_words", tokens(F.col("label")))
-    return C.search(both, QUERY_GROUPS, 8)
+    return low.unionByName(high).withColumn("words", tokens(F.col("text"))).withColumn("label_words", tokens(F.col("label")))

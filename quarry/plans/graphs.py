@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import title, tokens
 from quarry.operators import graph, lexical, objects
 from quarry.plans.registry import Registry
-from quarry.plans.retrieval import WORDS, _bm25, _RANK, _TOKENS
+from quarry.plans.stored import stored
+from quarry.plans.retrieval import WORDS, _bm25, _RANK, _TOKENS, coupled, text_index
 from quarry.sources.tables import table
 
 R = Registry()
@@ -36,8 +37,7 @@ def co_citation(spark: SparkSession, sf: str) -> DataFrame:
     SELECT src, dst, shared, round(score, 6) AS score, row_number() OVER (PARTITION BY src ORDER BY shared DESC, round(score, 9) DESC NULLS LAST, dst) AS rank FROM m QUALIFY rank <= 5""",
 )
 def graph_neighbors(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.shared_pairs(table(spark, sf, "lineitem"), "l_partkey", "l_orderkey")
-    return graph.neighbours(edges, 5).withColumn("score", F.round("score", 6))
+    return graph.neighbours(coupled(spark, sf), 5).withColumn("score", F.round("score", 6))
 
 
 @R.add(
@@ -76,6 +76,10 @@ def title_pairs(classes: DataFrame, percent: int = 92, least: int = 6) -> DataFr
     return both.select("src", "dst", shared.cast("long").alias("shared"), (shared / union).alias("score"), union.alias("u")).where(f"shared >= {least} and 100 * shared >= {percent} * u").drop("u")
 
 
+def stored_families(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "families", ["documents"], lambda: families(table(spark, sf, "documents")))
+
+
 def families(docs: DataFrame) -> DataFrame:
     """(doc_id, family): the least document id that equal or nearly equal titles lead to."""
     classes = graph.written(title_classes(docs), "titles")
@@ -101,7 +105,7 @@ def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("family_components", f"WITH RECURSIVE {_FAMILIES} SELECT doc_id, family FROM fam")
 def family_components(spark: SparkSession, sf: str) -> DataFrame:
-    return families(table(spark, sf, "documents"))
+    return stored_families(spark, sf)
 
 
 @R.add(
@@ -111,7 +115,7 @@ def family_components(spark: SparkSession, sf: str) -> DataFrame:
 )
 def family_primary(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    rows = families(table(spark, sf, "documents")).join(docs, "doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = stored_families(spark, sf).join(docs, "doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     best = F.max_by("doc_id", F.struct(F.coalesce("quality", F.lit(0)), "n_chars", -F.col("doc_id")))
     return rows.groupBy("family").agg(best.alias("primary_id"), F.count(F.lit(1)).alias("members"), F.max("n_chars").alias("longest"))
 
@@ -124,8 +128,8 @@ def family_primary(spark: SparkSession, sf: str) -> DataFrame:
 )
 def family_dedup_rank(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    best = lexical.ranked(lexical.bm25_scores(docs, WORDS), 60)
-    rows = families(docs).join(F.broadcast(best), "doc_id")  # 60 rows
+    best = lexical.ranked(lexical.bm25_scores(text_index(spark, sf), WORDS), 60)
+    rows = stored_families(spark, sf).join(F.broadcast(best), "doc_id")  # 60 rows
     kept = rows.groupBy("family").agg(F.min("rank").alias("pos"), F.min_by("doc_id", "rank").alias("doc_id"), F.count(F.lit(1)).alias("versions"))
     return kept.select("doc_id", "family", "versions", F.row_number().over(Window.orderBy("pos")).cast("long").alias("rank"))
 
@@ -147,11 +151,11 @@ def online_merge(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     kind = F.when(F.col("lang") == "en", "article").when(F.col("lang") == "fr", "review").when(F.col("lang") == "de", "note").otherwise("conference paper")
     typed = docs.select("doc_id", "n_chars", kind.alias("type"))
-    lists = [lexical.ranked(lexical.bm25_scores(docs, w), 30).select("doc_id", F.lit(i).alias("list"), "rank") for i, w in enumerate((WORDS[:1], WORDS[1:]))]
+    lists = [lexical.ranked(lexical.bm25_scores(text_index(spark, sf), w), 30).select("doc_id", F.lit(i).alias("list"), "rank") for i, w in enumerate((WORDS[:1], WORDS[1:]))]
     hits = typed.join(F.broadcast(lists[0].unionByName(lists[1])), "doc_id")  # 60 rows
     fused = objects.fused_lists(hits.select(F.col("doc_id").alias("key"), "list", "rank", "type"))
     preference = F.when(F.col("type") == "article", 5).when(F.col("type") == "review", 4).when(F.col("type") == "note", 3).otherwise(2)
-    groups = families(docs).join(typed, "doc_id").select(F.col("doc_id").alias("key"), F.col("family").alias("group"), F.struct(preference, "n_chars").alias("richness"))
+    groups = stored_families(spark, sf).join(typed, "doc_id").select(F.col("doc_id").alias("key"), F.col("family").alias("group"), F.struct(preference, "n_chars").alias("richness"))
     return objects.one_per_group(fused, groups, 60)
 
 

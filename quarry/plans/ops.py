@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import jobs, lexical
 from quarry.plans.registry import Registry
-from quarry.plans.retrieval import _RANK, _TOKENS, WORDS, _bm25
+from quarry.plans.retrieval import _RANK, _TOKENS, WORDS, _bm25, text_index
 from quarry.sources.tables import table
 
 R = Registry()
@@ -123,7 +123,7 @@ _SHELL = f"""s AS ({_bm25(WORDS)}), b AS (SELECT doc_id, round(score, 6) AS scor
 
 @R.add("idea_rank", f"WITH {_TOKENS}, {_SHELL} SELECT doc_id, round(least(1.0, 0.45 + 0.5 * score / (1 + score)), 3)::DOUBLE AS idea_score, rank FROM b")
 def idea_rank(spark: SparkSession, sf: str) -> DataFrame:
-    best = lexical.bm25_topk(table(spark, sf, "documents"), WORDS, 10)
+    best = lexical.bm25_topk(text_index(spark, sf), WORDS, 10)
     return best.select("doc_id", F.round(F.least(F.lit(1.0), 0.45 + 0.5 * F.col("score") / (1 + F.col("score"))), 3).alias("idea_score"), "rank")
 
 
@@ -132,7 +132,7 @@ def idea_rank(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {_TOKENS}, {_SHELL} SELECT 'evidence_bundle' AS object_type, 'work:' || doc_id AS object_id, 'ready' AS status, 'ranked' AS derivation, rank, 'E' || rank AS ref FROM b""",
 )
 def retrieval_shell(spark: SparkSession, sf: str) -> DataFrame:
-    best = lexical.bm25_topk(table(spark, sf, "documents"), WORDS, 10)
+    best = lexical.bm25_topk(text_index(spark, sf), WORDS, 10)
     return best.select(
         F.lit("evidence_bundle").alias("object_type"), F.concat(F.lit("work:"), F.col("doc_id").cast("string")).alias("object_id"), F.lit("ready").alias("status"), F.lit("ranked").alias("derivation"), "rank", F.concat(F.lit("E"), F.col("rank").cast("string")).alias("ref")
     )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
-from quarry.operators import graph, grounding, lexical, vectors
+from quarry.operators import graph, grounding, inverted, lexical, vectors
 from quarry.plans.registry import Registry
+from quarry.plans.stored import stored
 from quarry.sources.tables import table
 
 R = Registry()
@@ -31,9 +32,15 @@ def _bm25(words: list[str], source: str = "d") -> str:
 _RANK = "row_number() OVER (ORDER BY round(score, 9) DESC, doc_id)"
 
 
+def text_index(spark: SparkSession, sf: str) -> inverted.Index:
+    """The inverted index of the documents' texts."""
+    return inverted.of_table(spark, "texts", [f"{sf}/documents.parquet"], table(spark, sf, "documents"), "doc_id", ["text"])
+
+
+
 @R.add("bm25_topk", f"WITH {_TOKENS}, s AS ({_bm25(WORDS)}) SELECT doc_id, round(score, 6) AS score, {_RANK} AS rank FROM s QUALIFY {_RANK} <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25_topk(table(spark, sf, "documents"), WORDS, 10)
+    return lexical.bm25_topk(text_index(spark, sf), WORDS, 10)
 
 
 @R.add(
@@ -45,7 +52,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, stage::BIGINT AS stage, rank FROM f WHERE rank <= 20""",
 )
 def bm25_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.ladder(table(spark, sf, "documents"), WORDS, 20)
+    return lexical.ladder(text_index(spark, sf), WORDS, 20)
 
 
 @R.add(
@@ -54,7 +61,7 @@ def bm25_ladder(spark: SparkSession, sf: str) -> DataFrame:
     WHERE len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'of' AND t[i + 1] = 'the')) > 0""",
 )
 def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.phrase_match(table(spark, sf, "documents"), ["of", "the"])
+    return lexical.phrase_match(text_index(spark, sf), ["of", "the"])
 
 
 @R.add("term_stats", f"WITH {_TOKENS} SELECT token, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS token FROM d) GROUP BY 1, 2) GROUP BY 1")
@@ -102,6 +109,16 @@ _KNN = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
   knn AS (SELECT least(s, d) AS src, greatest(s, d) AS dst, max(score) AS score FROM top GROUP BY 1, 2)"""
 
 
+def coupled(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between parts that share orders, from both ends, by ``src``."""
+    return stored(spark, sf, "edges", ["lineitem"], lambda: graph.mirrored(graph.shared_pairs(table(spark, sf, "lineitem"), "l_partkey", "l_orderkey")), ["src"])
+
+
+def similar(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges between near vectors, from both ends, by ``src``."""
+    return stored(spark, sf, "similar", ["embeddings"], lambda: graph.mirrored(vectors.knn_edges(table(spark, sf, "embeddings"))), ["src"])
+
+
 @R.add("knn_edges", f"WITH {_KNN} SELECT src, dst, round(score, 6) AS score FROM knn")
 def knn_edges(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.knn_edges(table(spark, sf, "embeddings")).withColumn("score", F.round("score", 6))
@@ -127,7 +144,7 @@ def similarity_max_by_metric(spark: SparkSession, sf: str) -> DataFrame:
 )
 def rrf_fusion_docs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return fused(lexical.ranked(lexical.bm25_scores(docs, WORDS), 50), lexical.ranked(vectors.hash_cosine(docs, QUERY.split()), 50), 1.25, 0.75)
+    return fused(lexical.ranked(lexical.bm25_scores(text_index(spark, sf), WORDS), 50), lexical.ranked(vectors.hash_cosine(docs, QUERY.split()), 50), 1.25, 0.75)
 
 
 def fused(bm25: DataFrame, vector: DataFrame, w1: float, w2: float) -> DataFrame:
@@ -166,8 +183,7 @@ def graph_injection(spark: SparkSession, sf: str) -> DataFrame:
     order = [F.col("q").desc(), F.col("l_partkey")]
     seeds = items.groupBy("l_partkey").agg(F.sum("l_quantity").alias("q")).orderBy(*order).limit(20)
     seeds = seeds.select(F.col("l_partkey").alias("id"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("seed_rank"), F.lit(1.0).alias("support"))
-    edges = graph.shared_pairs(items, "l_partkey", "l_orderkey")
-    return graph.injected(edges, seeds, 5).withColumn("graph_score", F.round("graph_score", 6))
+    return graph.injected(coupled(spark, sf), seeds, 5).withColumn("graph_score", F.round("graph_score", 6))
 
 
 @R.add(

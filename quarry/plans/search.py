@@ -6,15 +6,23 @@ are turns of conversations, formulas are parts, assets are pages; citations betw
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import query as Q
 from quarry.functions.query import MatchQuery
 from quarry.functions.text import title, tokens
-from quarry.operators import graph, search, vectors
-from quarry.plans.graphs import _FAMILIES, families
+from quarry.operators import inverted, search, summaries, vectors
+from quarry.operators.versions import derived
+from quarry.plans import communities
+from quarry.plans.graphs import _FAMILIES, stored_families
+from quarry.plans.pieces import KNN as _KNN
+from quarry.plans.pieces import hits_sql as _hits_sql
 from quarry.plans.registry import Registry
+from quarry.plans.retrieval import coupled, similar
+from quarry.plans.stored import KIND, stored
 from quarry.sources.tables import table
 
 R = Registry()
@@ -77,9 +85,10 @@ _TITLE = "substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80)"
 _WORKS = f"SELECT doc_id AS id, n_chars AS year, source, {_lists([_TITLE, 'text', 'lang'])} AS fields FROM documents"
 
 
-def works_index(docs: DataFrame) -> DataFrame:
+def works_index(spark: SparkSession, sf: str) -> inverted.Index:
+    docs = table(spark, sf, "documents")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("year"), "source", title(F.col("text")).alias("title"), "text", "lang")
-    return search.index(rows, "id", ["title", "text", "lang"], ["year", "source"])
+    return inverted.of_table(spark, "works", [f"{sf}/documents.parquet"], rows, "id", ["title", "text", "lang"], ["year", "source"])
 
 
 QUERIES = Q.match_queries(PROFILE)
@@ -87,7 +96,7 @@ QUERIES = Q.match_queries(PROFILE)
 
 @R.add("search_works", f"WITH {_search_sql('r', _WORKS, 'id', ['year', 'source'], QUERIES, LIMIT, 'year DESC NULLS LAST, id DESC')} SELECT id, round(score, 6) AS score, stage, rank FROM r")
 def search_works(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.search_works(works_index(table(spark, sf, "documents")), QUERIES, LIMIT, "id")
+    found = search.search_works(works_index(spark, sf), QUERIES, LIMIT, "id")
     return found.select("id", F.round("score", 6).alias("score"), "stage", "rank")
 
 
@@ -98,7 +107,7 @@ def search_works(spark: SparkSession, sf: str) -> DataFrame:
 def search_works_in_collection(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     names = [r.source for r in docs.select("source").where("source is not null").distinct().orderBy("source").limit(3).collect()]
-    found = search.search_works(works_index(docs), QUERIES, LIMIT, "id", where=F.col("source").isin(names))
+    found = search.search_works(works_index(spark, sf), QUERIES, LIMIT, "id", where=F.col("source").isin(names))
     return found.select("id", "source", F.round("score", 6).alias("score"), "stage", "rank")
 
 
@@ -116,13 +125,13 @@ def chunk_rows(turns: DataFrame) -> DataFrame:
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("work_id"), role.alias("chunk_role"), "role", "text")
 
 
-def chunks_index(turns: DataFrame) -> DataFrame:
-    return search.index(chunk_rows(turns), "id", ["role", "text"], ["work_id", "chunk_role"])
+def chunks_index(spark: SparkSession, sf: str) -> inverted.Index:
+    return inverted.of_table(spark, "chunks", [f"{sf}/conversations.parquet"], chunk_rows(table(spark, sf, "conversations")), "id", ["role", "text"], ["work_id", "chunk_role"])
 
 
 @R.add("search_chunks", f"WITH {_search_sql('r', _CHUNKS, 'id', ['work_id', 'chunk_role'], CHUNK_QUERIES, LIMIT, _ROLE_ORDER, penalty=_PENALTY)} SELECT id, work_id, chunk_role, round(score, 6) AS score, stage, rank FROM r")
 def search_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    found = search.search_chunks(chunks_index(table(spark, sf, "conversations")), CHUNK_QUERIES, LIMIT, "id")
+    found = search.search_chunks(chunks_index(spark, sf), CHUNK_QUERIES, LIMIT, "id")
     return found.select("id", "work_id", "chunk_role", F.round("score", 6).alias("score"), "stage", "rank")
 
 
@@ -135,25 +144,20 @@ _PAGES = f"SELECT page_id AS id, {_lists(['url', chr(34) + 'caption' + chr(34)])
 @R.add("search_formulas", f"WITH {_search_sql('r', _PARTS, 'id', [], _cascade(PART_GROUPS), LIMIT, 'id')} SELECT id, round(score, 6) AS score, stage, rank FROM r")
 def search_formulas(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_name")
-    found = search.search_by_id(search.index(rows, "id", ["p_brand", "p_type", "p_name"]), _cascade(PART_GROUPS), LIMIT, "id")
+    found = search.search_by_id(inverted.of_table(spark, "formulas", [f"{sf}/part.parquet"], rows, "id", ["p_brand", "p_type", "p_name"]), _cascade(PART_GROUPS), LIMIT, "id")
     return found.select("id", F.round("score", 6).alias("score"), "stage", "rank")
 
 
 @R.add("search_assets", f"WITH {_search_sql('r', _PAGES, 'id', [], _cascade(PAGE_GROUPS), LIMIT, 'id')} SELECT id, round(score, 6) AS score, stage, rank FROM r")
 def search_assets(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("caption"))
-    found = search.search_by_id(search.index(rows, "id", ["url", "caption"]), _cascade(PAGE_GROUPS), LIMIT, "id")
+    found = search.search_by_id(inverted.of_table(spark, "assets", [f"{sf}/pages.parquet"], rows, "id", ["url", "caption"]), _cascade(PAGE_GROUPS), LIMIT, "id")
     return found.select("id", F.round("score", 6).alias("score"), "stage", "rank")
 
 
 # ---- vectors
 
 
-def _hits_sql(groups, words: str = "w") -> str:
-    one = lambda a: "(" + " AND ".join(f"list_contains({words}, '{x}')" for x in a.split()) + ")"
-    return "(" + " + ".join("(" + " OR ".join(one(a) for a in g) + ")::INT" for g in groups) + ")"
-
-
 def _need(groups) -> str:
     return f"(hits >= {max(1, min(2, len(groups)))} OR coverage >= 0.75)"
 
@@ -182,26 +186,37 @@ _CHUNK_WORDS = f"SELECT conv_id * 1000 + turn AS id, list_concat({_TOK.format('r
 CANDIDATES = max(3 * LIMIT, 50)
 
 
-def works_vector(docs: DataFrame, limit: int) -> DataFrame:
+def works_vector(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     """A work is embedded as its title twice, its abstract and its topics."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.concat_ws(" ", title(F.col("text")), title(F.col("text")), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))).alias("body"), tokens(F.col("text")).alias("words"))
-    scores = vectors.hash_cosine(rows, EMBEDDED.split(), "id", "body")
-    return search.vector_ranked(scores, rows.select("id", "words"), PROFILE.groups, limit)
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.concat_ws(" ", title(F.col("text")), title(F.col("text")), F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))).alias("body"))
+    scores = vector_index(spark, sf, "works", "documents", rows).cosine(EMBEDDED.split())
+    return search.vector_ranked(scores, rows.select("id", "text"), PROFILE.groups, limit, analyze=tokens)
+
+
+def chunk_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_rows(table(spark, sf, "conversations")).select("id", F.concat_ws(" ", "role", "text").alias("text"))
+
 
+def chunks_vector(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+    rows = chunk_bodies(spark, sf)
+    scores = vector_index(spark, sf, "chunks", "conversations", rows.withColumnRenamed("text", "body")).cosine(CHUNK_EMBEDDED.split())
+    return search.vector_ranked(scores, rows, CHUNK_PROFILE.groups, limit, analyze=tokens)
 
-def chunks_vector(turns: DataFrame, limit: int) -> DataFrame:
-    rows = chunk_rows(turns).select("id", F.concat_ws(" ", "role", "text").alias("body")).withColumn("words", tokens(F.col("body")))
-    return search.vector_ranked(vectors.hash_cosine(rows, CHUNK_EMBEDDED.split(), "id", "body"), rows.select("id", "words"), CHUNK_PROFILE.groups, limit)
+
+def vector_index(spark: SparkSession, sf: str, name: str, source: str, rows: DataFrame) -> vectors.Index:
+    """The stored vectors of a table's rows (id, body)."""
+    found = derived(spark, f"vectors-{name}", [f"{sf}/{source}.parquet"], lambda path, _: vectors.write_index(rows, path, "id", "body", kind="md5", words=tokens), KIND)
+    return vectors.Index(spark, found["path"])
 
 
 @R.add("search_works_vector", f"WITH {_vector_sql('v', _WORK_WORDS, EMBEDDED, PROFILE.groups, LIMIT)} SELECT id, round(score, 6) AS score, hits, round(coverage, 6) AS coverage, rank FROM v")
 def search_works_vector(spark: SparkSession, sf: str) -> DataFrame:
-    return works_vector(table(spark, sf, "documents"), LIMIT).select("id", F.round("score", 6).alias("score"), "hits", F.round("coverage", 6).alias("coverage"), "rank")
+    return works_vector(spark, sf, LIMIT).select("id", F.round("score", 6).alias("score"), "hits", F.round("coverage", 6).alias("coverage"), "rank")
 
 
 @R.add("search_chunks_vector", f"WITH {_vector_sql('v', _CHUNK_WORDS, CHUNK_EMBEDDED, CHUNK_PROFILE.groups, LIMIT)} SELECT id, round(score, 6) AS score, hits, round(coverage, 6) AS coverage, rank FROM v")
 def search_chunks_vector(spark: SparkSession, sf: str) -> DataFrame:
-    return chunks_vector(table(spark, sf, "conversations"), LIMIT).select("id", F.round("score", 6).alias("score"), "hits", F.round("coverage", 6).alias("coverage"), "rank")
+    return chunks_vector(spark, sf, LIMIT).select("id", F.round("score", 6).alias("score"), "hits", F.round("coverage", 6).alias("coverage"), "rank")
 
 
 # ---- hybrid
@@ -219,9 +234,6 @@ _EDGES = """e AS (SELECT DISTINCT l_partkey AS n, l_orderkey AS v FROM lineitem)
   pr AS (SELECT a.n AS src, b.n AS dst, count(*) AS shared FROM e a JOIN e b ON a.v = b.v AND a.n < b.n GROUP BY 1, 2 HAVING count(*) >= 2),
   es AS (SELECT src, dst, shared, shared / sqrt(x.d * y.d) AS score FROM pr JOIN deg x ON x.n = src JOIN deg y ON y.n = dst),
   edges AS (SELECT src, dst, shared, score FROM es UNION ALL SELECT dst, src, shared, score FROM es)"""
-_KNN = """ev AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ep AS (SELECT a.vec_id AS s, b.vec_id AS d, list_dot_product(a.v, b.v) AS score FROM ev a JOIN ev b ON a.vec_id <> b.vec_id),
-  et AS (SELECT * FROM ep WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(score, 9) DESC, d) <= 10),
-  kn AS (SELECT least(s, d) AS a, greatest(s, d) AS b, max(score) AS score FROM et GROUP BY 1, 2), sim AS (SELECT a AS src, b AS dst, score FROM kn UNION ALL SELECT b, a, score FROM kn)"""
 EXPAND, SEEDS = 5, 5
 _INJECT = f"""seed AS (SELECT id, row_number() OVER (ORDER BY round(hybrid, 9) DESC, id) AS seed_rank, bm25_rank, hits, coverage FROM fu QUALIFY seed_rank <= {SEEDS}),
   ok AS (SELECT id, seed_rank, CASE WHEN bm25_rank IS NOT NULL THEN 1.0::DOUBLE ELSE greatest(0.25, coverage) END AS support FROM seed WHERE bm25_rank IS NOT NULL OR {_need(PROFILE.groups)}),
@@ -240,19 +252,27 @@ _HYBRID_WORKS = f"""WITH RECURSIVE {_FAMILIES}, {_search_sql('b', _WORKS, 'id',
   {_fuse_sql('fu', 'b', 'v', f"SELECT doc_id AS id, {_TOK.format('text')} AS w FROM documents", PROFILE.groups, search.WORKS_WEIGHTS)}, {_EDGES}, {_KNN}, {_INJECT}"""
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Ranked candidates, a few hundred rows at most, as a table of their own: what comes after doesn't search again."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def agreeing(found: DataFrame, texts: DataFrame, groups: Sequence[Sequence[str]]) -> DataFrame:
+    """(id, rank, hits, coverage) of found rows; only their texts (id, text) are cut into words."""
+    hits, coverage = search.agreement(F.col("words"), groups)
+    rows = texts.join(F.broadcast(found.select("id", "rank")), "id").withColumn("words", tokens(F.col("text")))  # CANDIDATES rows
+    return rows.select("id", "rank", hits.alias("hits"), coverage.alias("coverage"))
+
+
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked works with their graph support, one of each family."""
+    """Ranked works with their graph support, one of each family; index, edges and families are read as they are stored."""
     docs = table(spark, sf, "documents")
     groups = PROFILE.groups
-    found = search.search_works(works_index(docs), QUERIES, CANDIDATES, "id").select("id", "rank")
-    words = docs.select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("words"))
-    hits, coverage = search.agreement(F.col("words"), groups)
-    bm25 = words.join(F.broadcast(found), "id").select("id", "rank", hits.alias("hits"), coverage.alias("coverage"))  # CANDIDATES rows
-    fused = search.fuse(bm25, works_vector(docs, CANDIDATES), groups, search.WORKS_WEIGHTS)
-    edges = graph.mirrored(graph.shared_pairs(table(spark, sf, "lineitem"), "l_partkey", "l_orderkey"))
-    similar = graph.mirrored(vectors.knn_edges(table(spark, sf, "embeddings")))
-    ranked = search.rank_works(search.inject(fused, edges, similar, groups, EXPAND, SEEDS), LIMIT)
-    fams = families(docs).join(docs.select("doc_id", "n_chars"), "doc_id")
+    found = few(search.search_works(works_index(spark, sf), QUERIES, CANDIDATES, "id").select("id", "rank"))
+    bm25 = agreeing(found, docs.select(F.col("doc_id").alias("id"), "text"), groups)
+    fused = few(search.fuse(bm25, works_vector(spark, sf, CANDIDATES), groups, search.WORKS_WEIGHTS))
+    ranked = search.rank_works(search.inject(fused, coupled(spark, sf), similar(spark, sf), groups, EXPAND, SEEDS), LIMIT)
+    fams = stored_families(spark, sf).join(docs.select("doc_id", "n_chars"), "doc_id")
     primary = fams.groupBy("family").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("primary"))
     return search.one_per_family(ranked, fams.join(primary, "family").select(F.col("doc_id").alias("id"), "family", "primary"), LIMIT)
 
@@ -264,13 +284,10 @@ def hybrid_works(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_chunk_rows(spark: SparkSession, sf: str, limit: int) -> DataFrame:
-    turns = table(spark, sf, "conversations")
     groups, n = CHUNK_PROFILE.groups, max(3 * limit, 50)
-    found = search.search_chunks(chunks_index(turns), CHUNK_QUERIES, n, "id").select("id", "rank")
-    words = chunk_rows(turns).select("id", tokens(F.concat_ws(" ", "role", "text")).alias("words"))
-    hits, coverage = search.agreement(F.col("words"), groups)
-    bm25 = words.join(F.broadcast(found), "id").select("id", "rank", hits.alias("hits"), coverage.alias("coverage"))
-    return search.rank_chunks(search.fuse(bm25, chunks_vector(turns, n), groups, search.CHUNKS_WEIGHTS), limit)
+    found = few(search.search_chunks(chunks_index(spark, sf), CHUNK_QUERIES, n, "id").select("id", "rank"))
+    bm25 = agreeing(found, chunk_bodies(spark, sf), groups)
+    return search.rank_chunks(search.fuse(bm25, chunks_vector(spark, sf, n), groups, search.CHUNKS_WEIGHTS), limit)
 
 
 _HYBRID_CHUNKS = f"""{_search_sql('cb', _CHUNKS, 'id', ['work_id', 'chunk_role'], CHUNK_QUERIES, CANDIDATES, _ROLE_ORDER, penalty=_PENALTY)}, {_vector_sql('cv', _CHUNK_WORDS, CHUNK_EMBEDDED, CHUNK_PROFILE.groups, CANDIDATES)},
@@ -286,19 +303,59 @@ def hybrid_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- retrieval as a whole
 
-SHOWN = 10
-_SUMMARY = """sm AS (SELECT c_mktsegment AS label, count(*) AS works FROM customer GROUP BY 1 HAVING count(*) >= 2)"""
+SHOWN, SUMMARIES = 10, 3
+#: Communities and facets of the binding speak of parts; these lanes are asked with the parts' groups.
+_PART_FACETS = """fs AS (SELECT DISTINCT 'type' AS facet, p_type AS label, p_partkey AS work FROM part UNION ALL SELECT DISTINCT 'name', p_name, p_partkey FROM part UNION ALL SELECT DISTINCT 'brand', p_brand, p_partkey FROM part),
+  fw AS (SELECT facet, label, count(DISTINCT work) AS works, count(*) AS signals FROM fs GROUP BY 1, 2 HAVING count(DISTINCT work) >= 2)"""
+
+
+def _facet_sql(name: str, groups: Sequence[Sequence[str]], limit: int) -> str:
+    label, both = _TOK.format("label"), _TOK.format("label || ' ' || facet")
+    n = len(groups)
+    return f"""{_PART_FACETS}, fh AS (SELECT *, {_hits_sql(groups, both)}::BIGINT AS hits, {_hits_sql(groups, label)}::BIGINT AS label_hits FROM fw),
+  fc AS (SELECT *, 1.5 * hits + hits / {n}.0::DOUBLE + 0.8 * label_hits + 0.4 * (label_hits / {n}.0::DOUBLE) + 0.02 * least(works, 25) + 0.01 * least(signals, 25) AS score FROM fh WHERE hits > 0 OR label_hits > 0),
+  {name} AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, hits DESC, label_hits DESC, works DESC, signals DESC, lower(label), facet || ':' || label) AS rank FROM fc QUALIFY rank <= {limit})"""
+
+
+def part_facets(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored facets of parts, with the largest parts of each."""
+
+    def made() -> DataFrame:
+        part = table(spark, sf, "part")
+        signals = F.explode(F.array(*(F.struct(F.lit(k).alias("facet"), F.col(c).alias("label")) for k, c in (("type", "p_type"), ("name", "p_name"), ("brand", "p_brand")))))
+        works = part.select(F.col("p_partkey").alias("work"), F.lit(0).alias("citations"), F.col("p_size").alias("year"), F.col("p_name").alias("title"))
+        return summaries.facets(part.select(F.col("p_partkey").alias("work"), signals.alias("s")).select("work", "s.*"), works)
+
+    return stored(spark, sf, "part-facets", ["part"], made)
+
+
+@R.add("facet_search", f"WITH {_facet_sql('f', PART_GROUPS, 8)} SELECT facet, label, hits, label_hits, works, signals, round(score, 6)::DOUBLE AS score, rank FROM f")
+def facet_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The facets that agree with a query, in the order of seven keys."""
+    return summaries.search_facets(part_facets(spark, sf), PART_GROUPS, 8).select("facet", "label", "hits", "label_hits", "works", "signals", F.round("score", 6).alias("score"), "rank")
+
+
+@R.add(
+    "summary_works",
+    f"""WITH {_facet_sql('f', PART_GROUPS, 8)}, rw AS (SELECT f.rank, p_partkey AS work, row_number() OVER (PARTITION BY f.rank ORDER BY p_size DESC, lower(p_name), p_partkey) AS r FROM f JOIN fs USING (facet, label) JOIN part ON p_partkey = fs.work QUALIFY r <= 4),
+    m AS (SELECT work, min((rank, r)) AS met FROM rw GROUP BY 1) SELECT work, row_number() OVER (ORDER BY met) AS rank FROM m QUALIFY rank <= 12""",
+)
+def summary_works(spark: SparkSession, sf: str) -> DataFrame:
+    """The works that stand for the found facets, as they are first met."""
+    return summaries.works_of(summaries.search_facets(part_facets(spark, sf), PART_GROUPS, 8), 12)
 
 
 @R.add(
     "retrieve",
     f"""{_HYBRID_WORKS}, {_HYBRID_CHUNKS}, top AS (SELECT id, row_number() OVER (ORDER BY place) AS rank, hybrid FROM gr QUALIFY rank <= {SHOWN}),
-  sc AS (SELECT ck.id, ck.hybrid, row_number() OVER (ORDER BY (top.id IS NOT NULL) DESC, ck.rank) AS place FROM ck LEFT JOIN top ON top.id = ck.id // 1000 QUALIFY place <= {SHOWN}),
-  {_SUMMARY}, su AS (SELECT label, works, row_number() OVER (ORDER BY works DESC, label) AS rank FROM sm QUALIFY rank <= 3)
-  SELECT 'work' AS lane, 'W' || rank AS ref, id::VARCHAR AS item, rank, round(hybrid, 6) AS score FROM top UNION ALL SELECT 'chunk', 'C' || place, id::VARCHAR, place, round(hybrid, 6) FROM sc UNION ALL SELECT 'summary', 'S' || rank, label, rank, round(works, 6)::DOUBLE FROM su""",
+  sc AS (SELECT ck.id, ck.hybrid, row_number() OVER (ORDER BY (top.id IS NOT NULL) DESC, ck.rank) AS place FROM ck LEFT JOIN top ON top.id = ck.id // 1000 QUALIFY place <= {SHOWN})
+  SELECT 'work' AS lane, 'W' || rank AS ref, id::VARCHAR AS item, rank, round(hybrid, 6) AS score FROM top UNION ALL SELECT 'chunk', 'C' || place, id::VARCHAR, place, round(hybrid, 6) FROM sc
+  UNION ALL SELECT 'community', 'G' || rank, id, rank, score FROM ({communities.SEARCH_SQL}) WHERE rank <= {SUMMARIES}
+  UNION ALL SELECT 'facet', 'O' || rank, facet || ':' || label, rank, round(score, 6)::DOUBLE FROM (WITH {_facet_sql('f', communities.QUERY_GROUPS, SUMMARIES)} SELECT * FROM f)""",
 )
 def retrieve(spark: SparkSession, sf: str) -> DataFrame:
-    """The lanes that the route asks for: works with graph support, chunks that support them first, and summaries for relation and result queries."""
+    """The lanes that the route asks for: works with graph support, chunks that support them first, and, for relation and result
+    queries, summaries of communities and of facets."""
     target, _ = Q.route(WORK_QUERY, CONCEPTS)
     works = hybrid(spark, sf).where(F.col("rank") <= SHOWN)
     chunks = hybrid_chunk_rows(spark, sf, LIMIT)
@@ -310,8 +367,7 @@ def retrieve(spark: SparkSession, sf: str) -> DataFrame:
     lane = lambda df, name, mark, item, score: df.select(F.lit(name).alias("lane"), F.concat(F.lit(mark), F.col("rank").cast("string")).alias("ref"), F.col(item).cast("string").alias("item"), "rank", F.round(score, 6).cast("double").alias("score"))
     out = lane(works, "work", "W", "id", "hybrid").unionByName(lane(near, "chunk", "C", "id", "hybrid"))
     if Q.wants_summaries(WORK_QUERY, target):
-        facets = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("label")).agg(F.count(F.lit(1)).alias("works")).where("works >= 2")
-        by = [F.col("works").desc(), F.col("label")]
-        facets = facets.orderBy(*by).limit(3).withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("long"))
-        out = out.unionByName(lane(facets, "summary", "S", "label", "works"))
+        found = communities.community_search(spark, sf).where(F.col("rank") <= SUMMARIES)
+        facets = summaries.search_facets(part_facets(spark, sf), communities.QUERY_GROUPS, SUMMARIES)
+        out = out.unionByName(lane(found, "community", "G", "id", "score")).unionByName(lane(facets, "facet", "O", "id", "score"))
     return out
