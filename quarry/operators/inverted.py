@@ -70,7 +70,7 @@ def write_segment(rows: DataFrame, path: str, key: str, fields: Sequence[str], k
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = found.repartitionByRange(parts, "bucket", "word", key).sortWithinPartitions("bucket", "word", key)
     dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
-    words = spark.read.parquet(path).agg(F.sum(F.size("places")).alias("n")).first().n
+    words = spark.read.schema(found.schema).parquet(path).agg(F.sum(F.size("places")).alias("n")).first().n
     return {"documents": rows.count(), "words": int(words or 0), "schema": found.schema.json(), "buckets": buckets, "key": key, "keep": list(keep)}
 
 

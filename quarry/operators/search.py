@@ -80,12 +80,12 @@ def _matches(q: MatchQuery, at: dict[str, int]) -> Column:
     return out
 
 
-def search(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, order: Sequence[Column], where: Column | None = None, penalty: Column | None = None) -> DataFrame:
+def search(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, order: Sequence[Column], where: Column | None = None, penalty: Column | None = None, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The cascade: rows of the first query by rank, then what the next one adds, up to ``limit``.
 
     Columns: those of ``built`` but the words, score (negative; lower is better), stage, rank.  ``order`` breaks ties of
-    rounded scores (of score + ``penalty`` and then score, where there is one).  Statistics cover all rows, ``where`` only
-    what may be returned.
+    rounded scores (of score + ``penalty`` and then score, where there is one).  Statistics cover all rows, ``where`` and
+    ``within`` (a filter as a function) only what may be returned.
     """
     if not queries:
         empty = built.counted([]).drop("dl", "tf") if isinstance(built, Index) else built.drop("fields")
@@ -104,6 +104,8 @@ def search(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int,
 
     if where is not None:
         rows = rows.where(where)
+    if within is not None:
+        rows = within(rows)
     stages = F.filter(F.array(*(F.struct(F.lit(i).cast("long").alias("stage"), score(q).alias("score"), _matches(q, at).alias("hit")) for i, q in enumerate(queries))), lambda x: x.hit)
     kept = [c for c in rows.columns if c not in ("dl", "tf")]
     found = rows.withColumn("x", F.explode(stages)).select(*kept, F.col("x.stage").alias("stage"), F.col("x.score").alias("score"))
@@ -115,19 +117,19 @@ def search(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int,
     return first.select(*kept, "score", "stage", F.row_number().over(Window.orderBy("stage", "pos")).cast("long").alias("rank"))
 
 
-def search_works(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "work_id", year: str = "year", where: Column | None = None) -> DataFrame:
+def search_works(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "work_id", year: str = "year", where: Column | None = None, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Equal scores: the later year first (none last), then the later id."""
-    return search(built, queries, limit, [F.col(year).desc_nulls_last(), F.col(key).desc()], where)
+    return search(built, queries, limit, [F.col(year).desc_nulls_last(), F.col(key).desc()], where, within=within)
 
 
-def search_chunks(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "chunk_id", role: str = "chunk_role", where: Column | None = None) -> DataFrame:
+def search_chunks(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str = "chunk_id", role: str = "chunk_role", where: Column | None = None, within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Windows of formulas and assets rank a little lower; equal scores: by role, then by id."""
     penalty, place = F.lit(0.0), F.lit(len(ROLES))
     for k, v in PENALTIES.items():
         penalty = F.when(F.col(role) == k, v).otherwise(penalty)
     for i, k in enumerate(ROLES):
         place = F.when(F.col(role) == k, i).otherwise(place)
-    return search(built, queries, limit, [place, F.col(key)], where, penalty)
+    return search(built, queries, limit, [place, F.col(key)], where, penalty, within)
 
 
 def search_by_id(built: Index | DataFrame, queries: Sequence[MatchQuery], limit: int, key: str, where: Column | None = None) -> DataFrame:

@@ -35,11 +35,11 @@ def communities(members: DataFrame, strong: DataFrame, works: DataFrame, labels:
     titled = titles.groupBy("community").agg(F.min_by("title", "at").alias("title"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", shown.alias("t")))), lambda x: x["t"]), "; ").alias("titles"))
     top = C.top_labels(members, labels)
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("works")).alias("n"), "value")))
-    listed = top.groupBy("community").pivot("kind", list(WORDS_OF_KIND)).agg(ranked)
+    listed = top.withColumn("kind", F.concat(F.lit("top_"), "kind")).groupBy("community").pivot("kind", [f"top_{k}" for k in WORDS_OF_KIND]).agg(ranked)
     rows = members.groupBy("community").agg(F.count(F.lit(1)).alias("works")).join(C.edge_stats(inner), "community").join(best, "community").join(titled, "community").join(listed, "community", "left")
-    first = {k: F.get(F.col(k), 0)["value"] for k in WORDS_OF_KIND}
+    first = {k: F.get(F.col(f"top_{k}"), 0)["value"] for k in WORDS_OF_KIND}
     label = community_name(F.coalesce(*(first[k] for k in NAMING)), first["collaboration"], F.col("title"))
-    values = [F.concat(F.lit(f"{name}: "), F.array_join(F.transform(F.slice(k, 1, SHOWN_VALUES), lambda x: F.concat_ws("=", x["value"], (-x["n"]).cast("string"))), ", ")) for k, name in WORDS_OF_KIND.items()]
+    values = [F.concat(F.lit(f"{name}: "), F.array_join(F.transform(F.slice(f"top_{k}", 1, SHOWN_VALUES), lambda x: F.concat_ws("=", x["value"], (-x["n"]).cast("string"))), ", ")) for k, name in WORDS_OF_KIND.items()]
     signals = F.array_sort(F.array(*(F.struct((-F.col(s)).alias("n"), F.lit(s).alias("name")) for s in C.SIGNALS)))
     mix = F.array_join(F.transform(F.filter(signals, lambda x: x["n"] < 0), lambda x: F.concat_ws("=", x["name"], (-x["n"]).cast("string"))), ", ")
     text = F.concat_ws(" | ", F.format_string("works=%d", "works"), F.format_string("edges=%d", "edges"), F.concat(F.lit("signals: "), mix), F.concat(F.lit("representative works: "), F.col("titles")), *values)

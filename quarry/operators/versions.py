@@ -28,6 +28,11 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _files(spark, path)
+    return fs.exists(at)
+
+
 def stamp(spark: SparkSession, *paths: str) -> str:
     """A digest of the names, sizes and times of all files below the paths; a missing path counts as empty."""
     found = []

@@ -5,22 +5,23 @@ import pytest
 from quarry.engine import Engine
 
 WORKS = [
-    (801, "Observation of the rare decay of the eta meson to four muons", "A rare decay search with four muons and 101 inverse femtobarns.", 2021, []),
-    (802, "Search for an exotic Higgs boson decay", "We study an exotic Higgs final state with photons.", 2022, []),
-    (901, "Measurements of production cross sections of polarized same-sign W boson pairs in association with two jets in proton-proton collisions at 13 TeV", "The first measurements of polarized same-sign W boson pairs are reported with the CMS detector in vector boson scattering.", 2020, ["CMS"]),
-    (902, "Observation of electroweak production of same-sign W boson pairs in the two jet and two same-sign lepton final state in proton-proton collisions at 13 TeV", "CMS observes electroweak same-sign W boson pair production in association with two jets.", 2018, ["CMS"]),
-    (903, "Measurement and interpretation of same-sign W boson pair production in association with two jets in pp collisions at 13 TeV with the ATLAS detector", "ATLAS measures same-sign W boson pair production in association with two jets.", 2023, ["ATLAS"]),
-    (904, "Stairway to discovery: A report on the CMS programme of cross section measurements from millibarns to femtobarns", "A broad CMS cross section programme overview covering many measurements and future prospects.", 2024, ["CMS"]),
-    (701, "Search for exotic Higgs boson decays to four photons", "A broad Higgs exotic decay analysis.", 2019, []),
-    (702, "Search for exotic Higgs boson decays to two muons and two b quarks", "A related exotic Higgs decay analysis.", 2019, []),
+    (801, "Four muons from one eta meson", "Counting the rare decay of eta mesons to four muons over a decade of running.", 2021, []),
+    (802, "Looking for odd decays of the Higgs boson", "An exotic Higgs boson might end in photons; none is seen.", 2022, []),
+    (901, "How same-sign W boson pairs are polarized", "CMS splits same-sign W boson pairs with two jets by their polarization, in vector boson scattering.", 2020, ["CMS"]),
+    (902, "Two W bosons of one charge beside two jets", "CMS sees electroweak same-sign W boson pairs with two jets.", 2018, ["CMS"]),
+    (903, "Same-sign W boson pairs, measured and read", "ATLAS measures same-sign W boson pairs with two jets.", 2023, ["ATLAS"]),
+    (904, "Ten years of cross sections at CMS", "What the CMS programme has measured, from common to rare, and what comes next.", 2024, ["CMS"]),
+    (701, "An exotic Higgs boson and four photons", "Decays of exotic Higgs bosons, broadly.", 2019, []),
+    (702, "An exotic Higgs boson, two muons and two b quarks", "Another exotic Higgs boson decay.", 2019, []),
 ]
+TOPICS = {801: ["rare decays"], 802: ["Higgs"], 901: ["polarization", "same-sign WW"], 902: ["same-sign WW"], 903: ["same-sign WW"], 904: ["cross sections"], 701: ["Higgs"], 702: ["Higgs"]}
 
 
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("engine"))
-    spark.createDataFrame([(*w[:4], w[4], []) for w in WORKS], "work_id long, title string, abstract string, year int, collaborations array<string>, topics array<string>").write.parquet(f"{folder}/works")
-    chunks = [(1, 801, "abstract_chunk", "Abstract", "The eta meson decays to four muons."), (2, 801, "section_child", "Yield", "The efficiency of four muons is small."), (3, 802, "section_child", "Limits", "Photons of the Higgs decay.")]
+    spark.createDataFrame([(*w[:4], w[4], TOPICS[w[0]]) for w in WORKS], "work_id long, title string, abstract string, year int, collaborations array<string>, topics array<string>").write.parquet(f"{folder}/works")
+    chunks = [(1, 801, "abstract_chunk", "Abstract", "Eta mesons end in four muons."), (2, 801, "section_child", "Yield", "The efficiency of four muons is low."), (3, 802, "section_child", "Limits", "Photons of the Higgs boson.")]
     spark.createDataFrame(chunks, "chunk_id long, work_id long, chunk_role string, section string, text string").write.parquet(f"{folder}/chunks")
     spark.createDataFrame([(s, d) for s in (701, 702) for d in (801, 802)], "src long, dst long").write.parquet(f"{folder}/citations")
     spark.createDataFrame([("ww", i) for i in (901, 902, 903, 904)], "collection string, work_id long").write.parquet(f"{folder}/members")
@@ -65,6 +66,52 @@ def test_chunks_retrieval_and_answers(engine):
     assert engine.status()["works"] == 8
 
 
+def test_summaries_of_communities_and_facets(engine):
+    rows = {r.id: r for r in engine.built("communities").collect()}
+    higgs = rows["fine:701"]
+    assert higgs.label == "Higgs community"
+    assert (higgs.level, higgs.works, sorted(higgs.representatives)) == ("fine", 2, [701, 702])
+    assert "topics: Higgs=2" in higgs.text and "signals: bibliographic=1" in higgs.text
+    facets = {(r.facet, r.label): (r.works, list(r.representatives)) for r in engine.built("facets").collect()}
+    assert facets["topic", "same-sign WW"] == (3, [903, 901, 902])
+    assert facets["collaboration", "CMS"][0] == 3 and ("topic", "rare decays") not in facets
+    found = engine.retrieve("overview of Higgs boson decays", limit=4)
+    assert found["communities"].first().label == "Higgs community"
+    assert ("topic", "Higgs") in {(r.facet, r.label) for r in found["facets"].collect()}
+    found = engine.retrieve("Higgs", limit=4, target="community")
+    assert {701, 702} <= {r.work_id for r in found["works"].collect()} <= {701, 702, 801, 802}
+    assert [r.label for r in engine.search_facets("same-sign CMS", collection="ww").collect()][:1] in (["CMS"], ["same-sign WW"])
+    assert engine.search_communities("Higgs", collection="ww").count() == 0
+
+
+def test_ideas_and_documents(engine):
+    ideas = engine.ideas("Higgs decays")
+    assert ideas[0]["score"] == 0.95 and set(ideas[0]["works"]) in ({701, 702}, {801, 802})
+    doc = engine.document(801)
+    assert doc["chunks"] == {"abstract_chunk": 1, "section_child": 1} and doc["ready"] and doc["stale"] == []
+    assert not engine.document(901)["ready"]
+
+
+def test_neighbours_by_kind_and_scope(engine):
+    assert [(r.dst, r.kind) for r in engine.neighbours(801).collect()] == [(802, "co_citation")]
+    assert engine.neighbours(801, kind="bibliographic").count() == engine.neighbours(801, collection="ww").count() == engine.neighbours(801, kind="similarity").count() == 0
+
+
+def test_a_build_makes_only_what_changed(engine, spark):
+    log = []
+    number = engine.version.number
+    engine.build(log.append)
+    assert {r["state"] for r in log} == {"current"} and engine.version.number == number
+    old = Engine(spark, engine.folder)
+    spark.createDataFrame([(903, 801), (903, 802)], "src long, dst long").write.mode("append").parquet(f"{engine.folder}/citations")
+    log.clear()
+    engine.build(log.append)
+    assert {r["target"] for r in log if r["state"] == "built"} == {"edges", "communities"}
+    assert engine.neighbours(903).count() == 2 and old.neighbours(903).count() == 0
+    old.refresh()
+    assert old.neighbours(903).count() == 2
+
+
 def test_command_line(engine, capsys):
     from quarry.__main__ import main
 

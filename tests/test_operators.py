@@ -6,13 +6,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import fulltext, graph, ingest, jobs, lexical, vectors
+from quarry.operators import fulltext, graph, ingest, inverted, jobs, lexical, vectors
+from quarry.operators.shared import new_path
+from quarry.operators.versions import Store
 
 
 def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
+def index_of(docs):
+    store = Store(docs.sparkSession, new_path(docs.sparkSession, "index"))
+    inverted.write(store, "words", docs, "doc_id", ["text"])
+    return inverted.read(store, "words")
+
+
 def test_components_of_paths_stars_and_loops(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (10, 11), (20, 20)], "src long, dst long")
     assert rows(graph.connected_components(edges)) == [(3, 3), (4, 3), (5, 3), (9, 3), (10, 10), (11, 10), (20, 20)]
@@ -30,13 +38,13 @@ def test_coupling_and_co_citation(spark):
 
 def test_bm25_prefers_rare_words_and_short_documents(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha beta beta gamma gamma gamma"), (3, "beta"), (4, None), (5, "")], "doc_id long, text string")
-    got = [r.doc_id for r in lexical.bm25_topk(docs, ["alpha"], 5).collect()]
+    got = [r.doc_id for r in lexical.bm25_topk(index_of(docs), ["alpha"], 5).collect()]
     assert got == [1, 2]
 
 
 def test_phrase_needs_adjacency(spark):
     docs = spark.createDataFrame([(1, "of the of the"), (2, "of a the"), (3, None)], "doc_id long, text string")
-    assert rows(lexical.phrase_match(docs, ["of", "the"])) == [(1, 2)]
+    assert rows(lexical.phrase_match(index_of(docs), ["of", "the"])) == [(1, 2)]
 
 
 def test_knn_in_blocks_is_exact(spark, monkeypatch):
