@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
-from quarry.operators import graph, grounding, inverted, lexical, vectors
+from quarry.operators import cells, graph, grounding, inverted, lexical, vectors
+from quarry.operators.versions import derived
 from quarry.plans.registry import Registry
-from quarry.plans.stored import stored
+from quarry.plans.stored import KIND, stored
 from quarry.sources.tables import table
 
 R = Registry()
@@ -124,6 +125,35 @@ def knn_edges(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.knn_edges(table(spark, sf, "embeddings")).withColumn("score", F.round("score", 6))
 
 
+def vector_cells(spark: SparkSession, sf: str) -> cells.Index:
+    """The stored cells of the embeddings."""
+    found = derived(spark, "cells", [f"{sf}/embeddings.parquet"], lambda path, _: cells.write(table(spark, sf, "embeddings"), path), KIND)
+    return cells.Index(spark, found["path"])
+
+
+@R.add(
+    "nearest_vectors",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_dot_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+    SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM p QUALIFY rank <= 10""",
+)
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest vectors of every vector whose id is divisible by 50, against all, by cells and exactly."""
+    queries = table(spark, sf, "embeddings").where("vec_id % 50 = 0")
+    return vector_cells(spark, sf).search(queries, 10).withColumn("score", F.round("score", 6)).select("qid", "id", "score", "rank")
+
+
+@R.add(
+    "nearest_in_label",
+    """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT a.vec_id AS qid, b.vec_id AS id, list_dot_product(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND b.label = (SELECT min(label) FROM embeddings))
+    SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM p QUALIFY rank <= 5""",
+)
+def nearest_in_label(spark: SparkSession, sf: str) -> DataFrame:
+    """The same within a scope that is applied before the search: the vectors of the least label."""
+    e = table(spark, sf, "embeddings")
+    scope = e.join(e.agg(F.min("label").alias("label")), "label").select("vec_id")
+    return vector_cells(spark, sf).search(e.where("vec_id % 50 = 0"), 5, allowed=scope).withColumn("score", F.round("score", 6)).select("qid", "id", "score", "rank")
+
+
 @R.add(
     "similarity_max_by_metric",
     f"""WITH {_KNN}, m AS (SELECT src, dst, 'cosine' AS metric, score FROM knn UNION ALL SELECT src, dst, 'label', 0.5 FROM knn JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst WHERE a.label = b.label)
