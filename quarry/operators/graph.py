@@ -57,6 +57,26 @@ def shared_pairs(edges: DataFrame, node: str, via: str, least: int = 2) -> DataF
     return rows.select("src", "dst", shared.alias("shared"), score(shared, F.size("src_vs"), F.size("dst_vs")).alias("score")).where(F.col("shared") >= least)
 
 
+def updated_pairs(pairs: DataFrame, edges: DataFrame, changed: DataFrame, node: str, via: str, least: int = 2) -> DataFrame:
+    """``shared_pairs`` of ``edges``, given those of an older table and the rows that came or went since (``changed``).
+
+    Pairs of two nodes of which no row changed stay as they were.  A pair with a touched node is counted anew, found through the
+    touched node's neighbours but its ``least - 1`` most frequent ones: pairs with so many in common also share another."""
+    e = edges.select(F.col(node).alias("n"), F.col(via).alias("v")).distinct()
+    touched = changed.select(F.col(node).alias("n")).distinct()
+    own = e.join(touched, "n", "left_semi")
+    sizes = e.join(own.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.count(F.lit(1)).alias("f"))
+    rarer = own.join(sizes, "v").withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.col("f").desc(), F.col("v").desc()))).where(F.col("r") >= least)
+    near = rarer.select(F.col("n").alias("x"), "v").join(e.select(F.col("n").alias("y"), "v"), "v").where("x <> y").select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")).distinct()
+    lists = e.join(near.select(F.explode(F.array("src", "dst")).alias("n")).distinct(), "n", "left_semi").groupBy("n").agg(F.collect_list("v").alias("vs"))
+    side = lambda c: lists.select(F.col("n").alias(c), F.col("vs").alias(f"{c}_vs"))
+    shared = F.size(F.array_intersect("src_vs", "dst_vs")).cast("long")
+    anew = near.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", shared.alias("shared"), (shared / F.sqrt(F.size("src_vs").cast("double") * F.size("dst_vs"))).alias("score")).where(F.col("shared") >= least)
+    end = lambda c: touched.select(F.col("n").alias(c))
+    kept = pairs.select("src", "dst", "shared", "score").join(end("src"), "src", "left_anti").join(end("dst"), "dst", "left_anti")
+    return kept.select("src", "dst", "shared", "score").unionByName(anew)
+
+
 def mirrored(edges: DataFrame) -> DataFrame:
     """Every undirected edge from both ends."""
     rest = [c for c in edges.columns if c not in ("src", "dst")]

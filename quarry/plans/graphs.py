@@ -40,6 +40,25 @@ def graph_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbours(coupled(spark, sf), 5).withColumn("score", F.round("score", 6))
 
 
+@R.add(
+    "updated_edges",
+    """WITH e AS (SELECT DISTINCT l_partkey AS n, l_orderkey AS v FROM lineitem WHERE l_quantity > 2), d AS (SELECT n, count(*) AS d FROM e GROUP BY 1),
+    p AS (SELECT a.n AS src, b.n AS dst, count(*) AS shared FROM e a JOIN e b ON a.v = b.v AND a.n < b.n GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT src, dst, shared, round(shared / sqrt(x.d * y.d), 6) AS score FROM p JOIN d x ON x.n = src JOIN d y ON y.n = dst""",
+)
+def updated_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges after rows came and went: those of the older table, with the touched parts' edges made anew.
+
+    The older table lacks what was shipped last and still has the rows of the smallest quantities, which have gone since."""
+    items = table(spark, sf, "lineitem").select("l_partkey", "l_orderkey", "l_quantity", "l_shipdate")
+    late = F.col("l_shipdate") >= F.add_months(F.lit(items.agg(F.max("l_shipdate")).first()[0]), -1)
+    old = items.where(~late)
+    before = stored(spark, sf, "older-edges", ["lineitem"], lambda: graph.shared_pairs(old, "l_partkey", "l_orderkey"))
+    now = items.where("l_quantity > 2")
+    changed = now.where(late).unionByName(old.where("l_quantity <= 2"))
+    return graph.updated_pairs(before, now, changed, "l_partkey", "l_orderkey").withColumn("score", F.round("score", 6))
+
+
 @R.add(
     "citation_backfill",
     """SELECT l_orderkey, count(*) AS citations, count(p_partkey) AS resolved FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 25) ON p_partkey = l_partkey GROUP BY 1""",

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import jobs, lexical
+from quarry.operators import jobs, lexical, states
 from quarry.plans.registry import Registry
 from quarry.plans.retrieval import _RANK, _TOKENS, WORDS, _bm25, text_index
 from quarry.sources.tables import table
+from quarry.streaming import jobs as job_stream
 
 R = Registry()
 LANES = ["click", "error", "purchase", "refund", "signup", "sync", "view"]
@@ -161,3 +162,55 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("safe_keys", r"SELECT doc_id, lower(regexp_replace(regexp_replace(substr(string_split(coalesce(text, ''), chr(10))[1], 1, 80), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS key FROM documents")
 def safe_keys(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.safe_key(T.title(F.col("text"))).alias("key"))
+
+
+# ---- logs of transitions: users' events as jobs
+
+_EVENTS = {"signup": "submit", "view": "progress", "click": "progress", "purchase": "success", "error": "failure"}
+_CASE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _EVENTS.items()) + " END"
+_JOB_SQL = f"""e AS (SELECT user_id AS job, event_id, ts, {_CASE} AS event FROM events),
+  n AS (SELECT *, row_number() OVER o AS seq, count(*) FILTER (WHERE event = 'submit') OVER o AS part FROM e WINDOW o AS (PARTITION BY job ORDER BY ts, event_id)),
+  f AS (SELECT *, first_value(CASE event WHEN 'success' THEN 'succeeded' WHEN 'failure' THEN 'failed' END IGNORE NULLS) OVER p AS done, bool_or(event = 'progress') OVER p AS moved
+    FROM n WINDOW p AS (PARTITION BY job, part ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  l AS (SELECT job, seq, event_id, ts, event, CASE WHEN done IS NOT NULL THEN done WHEN moved THEN 'running' ELSE 'queued' END AS status FROM f)"""
+
+
+def job_events(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.create_map(*(F.lit(x) for kv in _EVENTS.items() for x in kv))
+    return table(spark, sf, "events").select(F.col("user_id").alias("job"), "event_id", "ts", names[F.col("event_type")].alias("event"))
+
+
+@R.add("job_log", f"WITH {_JOB_SQL} SELECT job, seq, event_id, event, status, status IN ('succeeded', 'failed') AS ended FROM l")
+def job_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Every job's events with their numbers and the status after each: what the stream of jobs writes."""
+    return job_stream.followed(job_events(spark, sf)).drop("ts")
+
+
+@R.add(
+    "job_snapshot",
+    f"""WITH {_JOB_SQL}, s AS (SELECT job, arg_max(status, seq) AS status, count(*) AS events, max(seq) AS last_seq, max(ts) FILTER (WHERE event = 'submit') AS submitted_at, arg_max(ts, seq) AS updated_at, arg_max(ts, seq) FILTER (WHERE event IN ('success', 'failure')) AS f FROM l GROUP BY 1)
+    SELECT job, status, events, last_seq, submitted_at, updated_at, CASE WHEN status IN ('succeeded', 'failed') THEN f END AS finished_at FROM s""",
+)
+def job_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    return job_stream.snapshot(job_stream.followed(job_events(spark, sf)))
+
+
+#: Users' events as states of a parsed document: most orders of them are not allowed.
+_PARSE = {"signup": "registered", "view": "submitted", "click": "submitted", "purchase": "materialized", "error": "failed"}
+_PARSE_CASE = "CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _PARSE.items()) + " END"
+_LEGAL = ", ".join(f"('{s}', '{e}', '{t}')" for (s, e), t in states.PARSE.items())
+
+
+@R.add(
+    "parse_states",
+    f"""WITH RECURSIVE m(s, e, t) AS (VALUES {_LEGAL}), x AS (SELECT user_id AS doc, event_id, {_PARSE_CASE} AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events),
+    r(doc, place, before, after, event, event_id, allowed) AS (
+      SELECT x.doc, x.place, '', coalesce(m.t, ''), x.event, x.event_id, m.t IS NOT NULL FROM x LEFT JOIN m ON m.s = '' AND m.e = x.event WHERE x.place = 1
+      UNION ALL SELECT x.doc, x.place, r.after, coalesce(m.t, r.after), x.event, x.event_id, m.t IS NOT NULL FROM r JOIN x ON x.doc = r.doc AND x.place = r.place + 1 LEFT JOIN m ON m.s = r.after AND m.e = x.event)
+    SELECT doc, place, event_id, event, before, after, allowed FROM r""",
+)
+def parse_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Every transition of every document: allowed or refused, and the states around it."""
+    names = F.create_map(*(F.lit(x) for kv in _PARSE.items() for x in kv))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("doc"), "event_id", "ts", names[F.col("event_type")].alias("event"))
+    return states.history(rows, states.PARSE, "doc", "event", ["ts", "event_id"]).drop("ts")
