@@ -24,6 +24,8 @@ from quarry.operators.shared import written
 from quarry.operators.versions import Store, Target, exists, stamp
 
 SUMMARIES = 4
+#: Edges are made anew if more than one in so many citations has changed.
+REBUILD_SHARE = 5
 EVIDENCE_CHARS = {"work": 700, "chunk": 500}
 INSUFFICIENT = "There is not enough evidence to answer."
 
@@ -90,12 +92,10 @@ class Engine:
             return Target(lambda path, _: vectors.write_index(rows, path, key, "body"), inputs, recipe=vectors.HASHES[1])
 
         def edges(path: str, others: dict) -> None:
-            cited = self.table("citations", "src bigint, dst bigint").where("dst is not null")
-            kinds = (("bibliographic", "src", "dst"), ("co_citation", "dst", "src"))
-            graph.mirrored(reduce(DataFrame.unionByName, (graph.shared_pairs(cited, a, b).withColumn("kind", F.lit(k)) for k, a, b in kinds))).sortWithinPartitions("src").write.parquet(path)
+            self._write_edges(path, others["edges"])
 
         def communities_of(path: str, others: dict) -> None:
-            self._write_communities(self.spark.read.parquet(others["edges"]["path"]), path)
+            self._write_communities(self.spark.read.parquet(f"{others['edges']['path']}/edges"), path)
 
         def facets_of(path: str, others: dict) -> None:
             summaries.facets(self._labels().select("work", F.col("kind").alias("facet"), F.col("value").alias("label")), self._described()).write.parquet(path)
@@ -125,7 +125,21 @@ class Engine:
 
     def edges(self) -> DataFrame:
         """Coupling and co-citation from both ends."""
-        return self.built("edges")
+        return self.spark.read.parquet(f"{self.version.targets['edges']['path']}/edges")
+
+    def _write_edges(self, path: str, last: dict | None) -> None:
+        """Edges of the citations, and the citations that they are of; if few of these have changed since the last time, only what they touch is made anew."""
+        self.table("citations", "src bigint, dst bigint").where("dst is not null").select("src", "dst").distinct().write.parquet(f"{path}/cited")
+        cited, made = self.spark.read.parquet(f"{path}/cited"), []
+        old = changed = None
+        if last is not None:
+            old, before = (self.spark.read.parquet(f"{last['path']}/{x}") for x in ("edges", "cited"))
+            changed = written(cited.join(before, ["src", "dst"], "left_anti").unionByName(before.join(cited, ["src", "dst"], "left_anti")), "changed-citations")
+        few_changed = changed is not None and changed.count() * REBUILD_SHARE <= cited.count()
+        for kind, node, via in (("bibliographic", "src", "dst"), ("co_citation", "dst", "src")):
+            pairs = graph.updated_pairs(old.where((F.col("kind") == kind) & (F.col("src") < F.col("dst"))), cited, changed, node, via) if few_changed else graph.shared_pairs(cited, node, via)
+            made.append(graph.mirrored(pairs.withColumn("kind", F.lit(kind))))
+        made[0].unionByName(made[1]).sortWithinPartitions("src").write.parquet(f"{path}/edges")
 
     def similar(self) -> DataFrame:
         return self.table("similarity", "src bigint, dst bigint, score double")

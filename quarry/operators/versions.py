@@ -62,7 +62,7 @@ class Version:
 @dataclass(frozen=True)
 class Target:
     """What to build: ``make(path, targets)`` writes below a new folder and may return notes; ``inputs`` are paths, ``after`` other
-    targets, whose entries it is given."""
+    targets, whose entries it is given, beside its own last entry (None at first)."""
 
     make: Callable[[str, dict[str, dict]], dict | None]
     inputs: Sequence[str] = ()
@@ -124,7 +124,7 @@ class Store:
                 continue
             path = f"{self.folder}/{name}/{uuid.uuid4().hex}"
             try:
-                notes = t.make(path, {a: after[a] for a in t.after})
+                notes = t.make(path, {name: before.targets.get(name), **{a: after[a] for a in t.after}})
             except Exception as e:
                 log({"target": name, "state": "failed", "seconds": round(time.time() - began, 3), "error": f"{type(e).__name__}: {e}"[:500]})
                 raise

@@ -103,10 +103,16 @@ def test_a_build_makes_only_what_changed(engine, spark):
     engine.build(log.append)
     assert {r["state"] for r in log} == {"current"} and engine.version.number == number
     old = Engine(spark, engine.folder)
+    spark.createDataFrame([(i, i + 1) for i in range(5000, 5040)], "src long, dst long").write.mode("append").parquet(f"{engine.folder}/citations")
+    engine.build()
     spark.createDataFrame([(903, 801), (903, 802)], "src long, dst long").write.mode("append").parquet(f"{engine.folder}/citations")
     log.clear()
     engine.build(log.append)
     assert {r["target"] for r in log if r["state"] == "built"} == {"edges", "communities"}
+    rebuilt = Engine(spark, engine.folder)
+    rebuilt.store = type(rebuilt.store)(spark, f"{engine.folder}/anew")
+    rebuilt.build()
+    assert sorted(map(tuple, engine.edges().collect())) == sorted(map(tuple, rebuilt.edges().collect()))
     assert engine.neighbours(903).count() == 2 and old.neighbours(903).count() == 0
     old.refresh()
     assert old.neighbours(903).count() == 2
