@@ -44,41 +44,29 @@ def chunk_roles(docs: DataFrame, parent_limit: int) -> DataFrame:
 
 
 def pack_chunks(docs: DataFrame, budget: int, overlap: int) -> DataFrame:
-    """(doc_id, chunk, text, n_tokens): whole sentences up to a budget of tokens; the last ``overlap`` sentences begin the next chunk.
+    """(doc_id, chunk, text, n_tokens): whole sentences up to a budget of tokens; the last ``overlap`` sentences begin the next chunk, as far as it has room.
 
     A document is one row, so packing needs no shuffle.  A sentence above the budget is a chunk of its own.
     """
-    units = sentences(F.col("text"))
-    sized = docs.select("doc_id", F.transform(units, lambda s: F.struct(s.alias("s"), F.size(F.regexp_extract_all(s, F.lit(rf"({TOKEN}|[^\s\p{{L}}\p{{N}}_])"), F.lit(1))).alias("n"))).alias("units"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, chunk, text, size = [], [], [], []
-            for doc, parts in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist(), strict=True):
-                held: list[dict] = []
-                fresh = made = 0
-
-                def flush(doc=doc) -> None:
-                    nonlocal held, fresh, made
-                    ids.append(doc)
-                    chunk.append(made)
-                    text.append(" ".join(u["s"].strip() for u in held))
-                    size.append(sum(u["n"] for u in held))
-                    made += 1
-                    held, fresh = held[len(held) - overlap :] if overlap else [], 0
-
-                for u in parts or []:
-                    if fresh and sum(x["n"] for x in held) + u["n"] > budget:
-                        flush()
-                        while held and sum(x["n"] for x in held) + u["n"] > budget:
-                            held.pop(0)
-                    held.append(u)
-                    fresh += 1
-                if fresh:
-                    flush()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(chunk, pa.int64()), pa.array(text, pa.string()), pa.array(size, pa.int64())], names=["doc_id", "chunk", "text", "n_tokens"])
-
-    return sized.mapInArrow(run, "doc_id bigint, chunk bigint, text string, n_tokens bigint")
+    tokens_of = lambda s: F.size(F.regexp_extract_all(s, F.lit(rf"({TOKEN}|[^\s\p{{L}}\p{{N}}_])"), F.lit(1)))
+    units = F.transform(sentences(F.col("text")), lambda s: F.struct(F.trim(s).alias("s"), tokens_of(s).alias("n")))
+    unit, none = "struct<s:string,n:int>", F.array()
+    start = F.struct(none.cast(f"array<{unit}>").alias("held"), none.cast("array<struct<text:string,n:int>>").alias("out"))
+    total = lambda held: F.aggregate(held, F.lit(0), lambda acc, u: acc + u["n"])
+    chunk = lambda held: F.array(F.struct(F.array_join(F.transform(held, lambda u: u["s"]), " ").alias("text"), total(held).alias("n")))
+
+    def packed(acc: Column, u: Column) -> Column:
+        full = (F.size(acc["held"]) > 0) & (total(acc["held"]) + u["n"] > budget)
+        carried = acc["held"].cast(f"array<{unit}>")
+        # Of the last sentences as many as leave room for the next one.
+        tails = F.transform(F.sequence(F.lit(0), F.least(F.lit(overlap), F.size(carried))), lambda k: F.slice(carried, F.size(carried) - k + 1, k))
+        fitting = F.filter(tails, lambda t: total(t) + u["n"] <= budget)
+        kept = F.when(F.size(fitting) > 0, F.element_at(fitting, -1)).otherwise(none.cast(f"array<{unit}>"))
+        return F.struct(F.concat(F.when(full, kept).otherwise(carried), F.array(u)).alias("held"), F.when(full, F.concat(acc["out"], chunk(carried))).otherwise(acc["out"]).alias("out"))
+
+    done = F.aggregate(units, start, packed, lambda acc: F.when(F.size(acc["held"]) > 0, F.concat(acc["out"], chunk(acc["held"]))).otherwise(acc["out"]))
+    rows = docs.select("doc_id", F.posexplode(done).alias("chunk", "c"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "c.text", F.col("c.n").cast("long").alias("n_tokens"))
 
 
 def html_sections(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:

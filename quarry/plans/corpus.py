@@ -241,7 +241,16 @@ def first_k_concat(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.first_k(table(spark, sf, "conversations").where("role <> 'system'"), "conv_id", "turn", "text", 3)
 
 
-@R.add("chunk_pack")
+@R.add(
+    "chunk_pack",
+    rf"""WITH RECURSIVE u AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS i, unnest(s) AS s FROM (SELECT doc_id, {_SENT} AS s FROM documents)),
+    t AS (SELECT doc_id, i, trim(s) AS s, len(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'))::BIGINT AS n, lag(len(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'))) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM u),
+    r(doc_id, i, chunk, first, held) AS (SELECT doc_id, i, 0::BIGINT, 1, n FROM t WHERE i = 1
+      UNION ALL SELECT t.doc_id, t.i, CASE WHEN held + n > 120 THEN chunk + 1 ELSE chunk END, CASE WHEN held + n <= 120 THEN first WHEN p + n <= 120 THEN t.i - 1 ELSE t.i END, CASE WHEN held + n <= 120 THEN held + n WHEN p + n <= 120 THEN p + n ELSE n END
+      FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1),
+    c AS (SELECT doc_id, chunk, min(first) AS a, max(i) AS b FROM r GROUP BY ALL)
+    SELECT c.doc_id, chunk, string_agg(s, ' ' ORDER BY t.i) AS text, sum(n)::BIGINT AS n_tokens FROM c JOIN t ON t.doc_id = c.doc_id AND t.i BETWEEN a AND b GROUP BY ALL""",
+)
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences of every document packed into chunks of a token budget, with overlap."""
     return fulltext.pack_chunks(table(spark, sf, "documents"), budget=120, overlap=1)

@@ -72,9 +72,9 @@ def citation_backfill(spark: SparkSession, sf: str) -> DataFrame:
 # ---- version families: works whose titles are nearly the same
 
 
-def title_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, rep, words): documents of equal title words form one class, named by its least id."""
-    t = docs.select("doc_id", F.array_sort(F.array_distinct(tokens(title(F.col("text"))))).alias("words"))
+def title_classes(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, rep, words): documents of equal title words form one class, named by its least id; ``whole`` texts are titles themselves."""
+    t = docs.select("doc_id", F.array_sort(F.array_distinct(tokens(F.col("text") if whole else title(F.col("text"))))).alias("words"))
     key = t.withColumn("key", F.array_join("words", " "))
     return key.join(key.groupBy("key").agg(F.min("doc_id").alias("rep")), "key").select("doc_id", "rep", "words")
 

@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import blocks, graph, records, scopes
+from quarry.operators import blocks, collapse, graph, records, scopes
+from quarry.operators.jobs import place_in_group
+from quarry.operators.shared import written
+from quarry.plans.graphs import title_classes, title_pairs
 from quarry.plans.registry import Registry
 from quarry.plans.stored import stored
 from quarry.sources import landing
@@ -149,6 +152,47 @@ def family_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return records.expanded(seeds, members.join(records.family_summary(members).select("family", "primary"), "family"))
 
 
+@R.add(
+    "near_titles",
+    f"""WITH t AS (SELECT k, list_sort(list_distinct(regexp_extract_all(lower('Goods of group ' || (k // 6) || ' that some customer asked for in a hurry and on credit at the counter' || CASE WHEN k % 3 = 0 THEN ' again' || (k // 6) ELSE '' END), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM (SELECT o_orderkey AS k FROM orders)),
+    c AS (SELECT w, min(k) AS rep FROM t GROUP BY 1), p AS (SELECT a.rep AS src, b.rep AS dst, len(list_intersect(a.w, b.w)) AS shared, len(list_distinct(list_concat(a.w, b.w))) AS u FROM c a JOIN c b ON a.rep < b.rep AND b.rep <= a.rep + 12)
+    SELECT src, dst, shared::BIGINT AS shared, round(shared / u, 6) AS score FROM p WHERE 100 * shared >= 92 * u""",
+)
+def near_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Titles that are as good as equal: here those of one group's orders, some of them a word longer."""
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("Goods of group "), F.floor(k / 6).cast("string"), F.lit(" that some customer asked for in a hurry and on credit at the counter"), F.when(k % 3 == 0, F.concat(F.lit(" again"), F.floor(k / 6).cast("string"))).otherwise(""))
+    rows = table(spark, sf, "orders").select(k.alias("doc_id"), text.alias("text"))
+    return title_pairs(written(title_classes(rows, whole=True), "titles")).withColumn("score", F.round("score", 6))
+
+
+# ---- hits collapsed by rank
+
+
+def ranked_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as hits of one list, dearest first."""
+    price = table(spark, sf, "orders").select(F.col("o_orderkey").alias("work_id"), "o_totalprice")
+    rows = order_works(spark, sf).join(price, "work_id")
+    placed = place_in_group(rows.select("work_id", F.lit(0).alias("g"), F.struct((-F.col("o_totalprice")).alias("p"), F.col("work_id").alias("w")).alias("by")), "g", "by").select("work_id", F.col("place").cast("long").alias("place"))
+    kinds = F.when(F.array_contains(F.col("document_type"), "Article"), 5).when(F.array_contains(F.col("document_type"), "note"), 3).otherwise(1)
+    return rows.join(placed, "work_id").withColumns({"title_words": records.title_words(F.col("title_normal")), "preference": kinds, "documents": F.coalesce(F.size("documents"), F.lit(0))})
+
+
+@R.add(
+    "collapsed_hits",
+    f"""WITH RECURSIVE {_RECORDS}, h AS (SELECT rec.*, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, {_TITLE} AS t, CASE s WHEN 'F' THEN 5 WHEN 'P' THEN 4 ELSE 2 END AS stage FROM rec JOIN orders ON o_orderkey = k),
+    x AS (SELECT a.place AS early, b.place AS late FROM h a JOIN h b ON a.place < b.place AND (a.t = b.t OR a.arxiv = b.arxiv OR a.doi = b.doi)
+      WHERE CASE WHEN a.arxiv IS NOT NULL AND b.arxiv IS NOT NULL THEN a.arxiv = b.arxiv WHEN a.doi IS NOT NULL AND b.doi IS NOT NULL THEN a.doi = b.doi
+        ELSE a.t = b.t AND abs(a.year - b.year) <= 1 AND (a.report = b.report OR a.collaboration = b.collaboration AND a.stage <> b.stage AND greatest(a.stage, b.stage) >= 3 AND NOT least(a.stage, b.stage) >= 4) END),
+    d(late, early) AS (SELECT late, early FROM x UNION SELECT d.late, x.early FROM d JOIN x ON x.late = d.early), f AS (SELECT h.*, coalesce(m, place) AS family FROM h LEFT JOIN (SELECT late, min(early) AS m FROM d GROUP BY 1) ON late = place)
+    SELECT family AS place, arg_max(place, (CASE s WHEN 'F' THEN 5 WHEN 'P' THEN 3 ELSE 1 END, (arxiv IS NOT NULL)::INT, (doi IS NOT NULL)::INT, k % 9, length(title), -place)) AS best, count(*) AS hits FROM f GROUP BY 1""",
+)
+def collapsed_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranked hits with versions of one work as one, at the place of the first, the richest standing for it."""
+    found = collapse.collapsed(written(ranked_orders(spark, sf), "hits"), collapse.richness())
+    return found.select("place", "best", (F.size("members") + 1).cast("long").alias("hits"))
+
+
 # ---- scopes and selections
 
 _ONE_PER_SOURCE = "SELECT doc_id AS work_id, source AS collection FROM documents WHERE source IS NOT NULL"
