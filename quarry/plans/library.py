@@ -152,16 +152,20 @@ def family_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return records.expanded(seeds, members.join(records.family_summary(members).select("family", "primary"), "family"))
 
 
+_SAID = "goods that some customer asked for in a hurry and on credit".split()
+
+
 @R.add(
     "near_titles",
-    f"""WITH t AS (SELECT k, list_sort(list_distinct(regexp_extract_all(lower('Goods of group ' || (k // 6) || ' that some customer asked for in a hurry and on credit at the counter' || CASE WHEN k % 3 = 0 THEN ' again' || (k // 6) ELSE '' END), '[\\p{{L}}\\p{{N}}_]+'))) AS w FROM (SELECT o_orderkey AS k FROM orders)),
-    c AS (SELECT w, min(k) AS rep FROM t GROUP BY 1), p AS (SELECT a.rep AS src, b.rep AS dst, len(list_intersect(a.w, b.w)) AS shared, len(list_distinct(list_concat(a.w, b.w))) AS u FROM c a JOIN c b ON a.rep < b.rep AND b.rep <= a.rep + 12)
+    f"""WITH t AS (SELECT k, list_sort(list_transform({[*_SAID, 'once']!r}, lambda w: w || (k // 6)) || CASE WHEN k % 3 = 0 THEN ['again' || (k // 6)] ELSE [] END) AS w FROM (SELECT o_orderkey AS k FROM orders)),
+    c AS (SELECT w, min(k) AS rep FROM t GROUP BY 1), p AS (SELECT a.rep AS src, b.rep AS dst, len(list_intersect(a.w, b.w)) AS shared, len(list_distinct(list_concat(a.w, b.w))) AS u FROM c a JOIN c b ON a.rep < b.rep AND a.rep // 6 = b.rep // 6)
     SELECT src, dst, shared::BIGINT AS shared, round(shared / u, 6) AS score FROM p WHERE 100 * shared >= 92 * u""",
 )
 def near_titles(spark: SparkSession, sf: str) -> DataFrame:
     """Titles that are as good as equal: here those of one group's orders, some of them a word longer."""
     k = F.col("o_orderkey")
-    text = F.concat(F.lit("Goods of group "), F.floor(k / 6).cast("string"), F.lit(" that some customer asked for in a hurry and on credit at the counter"), F.when(k % 3 == 0, F.concat(F.lit(" again"), F.floor(k / 6).cast("string"))).otherwise(""))
+    group = F.floor(k / 6).cast("string")
+    text = F.concat_ws(" ", *(F.concat(F.lit(w), group) for w in [*_SAID, "once"]), F.when(k % 3 == 0, F.concat(F.lit("again"), group)))
     rows = table(spark, sf, "orders").select(k.alias("doc_id"), text.alias("text"))
     return title_pairs(written(title_classes(rows, whole=True), "titles")).withColumn("score", F.round("score", 6))
 

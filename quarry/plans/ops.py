@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import jobs, lexical, states
+from quarry.operators import contracts, effects, jobs, lexical, states
 from quarry.plans.registry import Registry
 from quarry.plans.retrieval import _RANK, _TOKENS, WORDS, _bm25, text_index
 from quarry.sources.tables import table
@@ -214,3 +214,91 @@ def parse_states(spark: SparkSession, sf: str) -> DataFrame:
     names = F.create_map(*(F.lit(x) for kv in _PARSE.items() for x in kv))
     rows = table(spark, sf, "events").select(F.col("user_id").alias("doc"), "event_id", "ts", names[F.col("event_type")].alias("event"))
     return states.history(rows, states.PARSE, "doc", "event", ["ts", "event_id"]).drop("ts")
+
+
+# ---- contracts and effects
+
+
+@R.add(
+    "contract_violations",
+    """WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey + 10 * l_linenumber AS evidence, CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_suppkey END AS work, l_quantity / 48 AS confidence, l_linestatus || l_returnflag AS status FROM lineitem)
+    SELECT 'lost_evidence' AS rule, id::VARCHAR AS subject, evidence::VARCHAR AS detail FROM s WHERE evidence NOT IN (SELECT p_partkey FROM part)
+    UNION ALL SELECT 'untraced', id::VARCHAR, coalesce(work::VARCHAR, 'none') FROM s WHERE work IS NULL OR work NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+    UNION ALL SELECT 'confidence', id::VARCHAR, NULL FROM s WHERE confidence > 1 UNION ALL SELECT 'status', id::VARCHAR, status FROM s WHERE status NOT IN ('FA', 'FR', 'ON')
+    UNION ALL SELECT 'repeated', id::VARCHAR, count(*)::VARCHAR FROM s GROUP BY id HAVING count(*) > 1""",
+)
+def contract_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """What a contract rules out: objects without evidence or work, values out of bounds, unknown states, repeated keys."""
+    items = table(spark, sf, "lineitem")
+    s = items.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") + 10 * F.col("l_linenumber")).alias("evidence"), F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("work"),
+        (F.col("l_quantity") / 48).alias("confidence"), F.concat("l_linestatus", "l_returnflag").alias("status"),
+    )
+    rules = [
+        contracts.dangling(s, "id", "evidence", table(spark, sf, "part"), "p_partkey", "lost_evidence"), contracts.dangling(s, "id", "work", table(spark, sf, "supplier").where("s_acctbal > 0"), "s_suppkey", "untraced"),
+        contracts.outside(s, "id", "confidence", 0.0, 1.0, "confidence").withColumn("detail", F.lit(None).cast("string")), contracts.unknown(s, "id", "status", ("FA", "FR", "ON"), "status"), contracts.repeated(s, "id", "repeated"),
+    ]
+    return contracts.violations(rules)
+
+
+@R.add(
+    "coalesced_objects",
+    """WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS part, l_returnflag AS flag, l_linenumber AS line FROM lineitem)
+    SELECT sha256(to_json({'flag': flag, 'line': line, 'part': part})) AS digest, part, flag, line, min(id) AS first, count(*) AS occurrences FROM x GROUP BY ALL""",
+)
+def coalesced_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal objects as one, named by the digest of what they say."""
+    x = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("line"))
+    return contracts.coalesced(x, "id", ["part", "flag", "line"])
+
+
+_K = 3
+_LISTS = f"""l AS (SELECT 'price' AS scenario, o_custkey AS query, o_orderkey AS item, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders
+    UNION ALL SELECT 'date', o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) FROM orders UNION ALL SELECT 'key', o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) FROM orders),
+  j AS (SELECT o_custkey AS query, o_orderkey AS item FROM orders WHERE o_orderpriority LIKE '1%'), n AS (SELECT query, count(*) AS n FROM j GROUP BY 1),
+  h AS (SELECT scenario, query, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first FROM l JOIN j USING (query, item) WHERE rank <= {_K} GROUP BY ALL),
+  m AS (SELECT scenario, query, coalesce(hits, 0) / n AS recall, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, {_K}) + 1), lambda i: 1 / log2(i + 1))) AS ndcg, coalesce(1 / first, 0) AS rr
+    FROM n CROSS JOIN (VALUES ('price'), ('date'), ('key')) s(scenario) LEFT JOIN h USING (scenario, query))"""
+
+
+def order_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' orders in three orders, measured by how early the urgent ones come."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("item"), "o_totalprice", "o_orderdate", "o_orderpriority")
+    by = {"price": [F.col("o_totalprice").desc(), F.col("item")], "date": [F.col("o_orderdate").desc(), F.col("item")], "key": [F.col("item")]}
+    lists = [o.select(F.lit(k).alias("scenario"), "query", "item", F.row_number().over(Window.partitionBy("query").orderBy(*v)).alias("rank")) for k, v in by.items()]
+    return effects.measures(lists[0].unionByName(lists[1]).unionByName(lists[2]), o.where("o_orderpriority LIKE '1%'"), _K)
+
+
+@R.add("effect_measures", f"WITH {_LISTS} SELECT scenario, count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr FROM m GROUP BY 1")
+def effect_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall, discounted gain and reciprocal rank of each scenario."""
+    means = [F.round(F.avg(c), 6).alias(n) for c, n in (("recall", "recall"), ("ndcg", "ndcg"), ("rr", "mrr"))]
+    return order_lists(spark, sf).groupBy("scenario").agg(F.count(F.lit(1)).alias("queries"), *means)
+
+
+_COUNT = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate(effects.BOUNDS)) + f" ELSE {len(effects.BOUNDS)} END"
+
+
+@R.add(
+    "effect_intervals",
+    f"""WITH {_LISTS}, d AS (SELECT a.scenario, a.query, a.ndcg AS x, a.ndcg - b.ndcg AS d FROM m a JOIN m b ON b.query = a.query AND b.scenario = 'key'),
+    w AS (SELECT scenario, round, d, {_COUNT} AS w FROM (SELECT *, ('0x' || substr(md5(query || '-' || round), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM d CROSS JOIN range(1, {effects.ROUNDS + 1}) r(round))),
+    e AS (SELECT scenario, round, sum(w * d) / sum(w) AS m FROM w GROUP BY ALL HAVING sum(w) > 0), p AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY m, round) AS r, count(*) OVER (PARTITION BY scenario) AS n FROM e),
+    i AS (SELECT scenario, min(m) FILTER (WHERE r > 0.025 * n) AS low, max(m) FILTER (WHERE r <= 0.975 * n) AS high FROM p GROUP BY 1)
+    SELECT scenario, count(*) AS queries, round(avg(x), 6) AS mean, round(avg(d), 6) AS difference, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM d JOIN i USING (scenario) GROUP BY 1""",
+)
+def effect_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """Each scenario against one, with an interval over resampled queries."""
+    found = effects.compared(order_lists(spark, sf), "key", "ndcg")
+    return found.select("scenario", "queries", *(F.round(c, 6).alias(c) for c in ("mean", "difference", "low", "high")))
+
+
+@R.add(
+    "owner_labels",
+    """WITH r AS (SELECT l_suppkey AS owner, p_name AS label, l_discount AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey), b AS (SELECT owner, lower(label) AS k, max(confidence) AS c, min(label) AS label FROM r GROUP BY ALL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY c DESC, k) AS n FROM b QUALIFY n <= 6) SELECT owner, string_agg(label, ';' ORDER BY n) AS labels FROM t GROUP BY 1""",
+)
+def owner_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The six surest labels of each owner."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("owner"), F.col("p_name").alias("label"), F.col("l_discount").alias("confidence"))
+    return effects.labels_of(rows, 6).select("owner", F.array_join("labels", ";").alias("labels"))
