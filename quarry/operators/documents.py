@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import document as D
+from quarry.operators.shared import spread
 
 ITEMS = (
     "doc_id bigint, item string, id int, section int, role string, kind string, level int, number string, first_page int, last_page int, pages string, title string, path string, "
@@ -51,7 +52,7 @@ def materialize(docs: DataFrame, doc_id: str = "doc_id", title: str = "title", c
                 rows = [{"doc_id": i, **r} for r in _rows(i, D.build(c, t, chars, overlap, parent_chars))]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(title), F.col(content)).mapInArrow(run, ITEMS)
+    return spread(docs.select(F.col(doc_id).cast("long"), F.col(title), F.col(content))).mapInArrow(run, ITEMS)
 
 
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}

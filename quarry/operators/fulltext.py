@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions.pages import capsule
 from quarry.functions.pages import sections as sections_of_page
 from quarry.functions.text import TOKEN, sentences
+from quarry.operators.shared import spread
 
 
 def neighbour_text(rows: DataFrame, owner: str, position: str, value: Column) -> DataFrame:
@@ -82,4 +83,4 @@ def html_sections(pages: DataFrame, page_id: str = "page_id", html: str = "html"
             kinds = (pa.int64(), pa.int64(), pa.int64(), *(pa.string(),) * 5, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["page_id", "section", "level", "title", "parent", "path", "text", "capsule", "n_chars"])
 
-    return pages.select(F.col(page_id).cast("long"), F.col(html)).mapInArrow(run, "page_id bigint, section bigint, level bigint, title string, parent string, path string, text string, capsule string, n_chars bigint")
+    return spread(pages.select(F.col(page_id).cast("long"), F.col(html))).mapInArrow(run, "page_id bigint, section bigint, level bigint, title string, parent string, path string, text string, capsule string, n_chars bigint")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import tokens
+from quarry.operators.shared import spread
 from quarry.operators.versions import Store, Target, Version, derived, stamp
 
 BUCKETS = 64
@@ -36,7 +37,7 @@ def bucket(word: str, buckets: int = BUCKETS) -> int:
 
 def postings(rows: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] = (), analyze: Callable[[Column], Column] = tokens) -> DataFrame:
     """``word``, the key, the kept columns, ``dl`` (the document's words) and ``places``; a document without words has none."""
-    listed = rows.select(key, *keep, F.array(*(analyze(F.col(f)) for f in fields)).alias("fields"))
+    listed = spread(rows.select(key, *keep, *(f for f in fields if f not in (key, *keep)))).select(key, *keep, F.array(*(analyze(F.col(f)) for f in fields)).alias("fields"))
     kept = [key, *keep]
     schema = T.StructType([T.StructField("word", T.StringType()), *(listed.schema[c] for c in kept), T.StructField("dl", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
 

@@ -39,6 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows for work that is heavier than moving them: dealt out again where there are fewer splits than cores (a file of one row group is one split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it lies."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

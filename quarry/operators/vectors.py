@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.normalize import search_text
 from quarry.functions.text import EMBEDDING_STOPWORDS, tokens
+from quarry.operators.shared import spread
 
 DIM = 768
 #: Vectors of one block: two blocks and their products are what a task holds.
@@ -77,7 +78,7 @@ def _folded(batch: pa.RecordBatch, dim: int, kind: str) -> Iterator[tuple[pa.Rec
 
 
 def _worded(docs: DataFrame, doc_id: str, text: str, words: Callable[[Column], Column]) -> DataFrame:
-    return docs.select(F.col(doc_id), words(F.col(text)).alias("toks"))
+    return spread(docs.select(F.col(doc_id), F.col(text).alias("_text"))).select(doc_id, words(F.col("_text")).alias("toks"))
 
 
 def slot_idf(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dim: int = DIM, kind: str = "md5", words: Callable[[Column], Column] = tokens) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import normalize
 from quarry.functions import text as T
 from quarry.operators import documents, extract, fulltext, ingest, objects, taxonomy
+from quarry.operators.shared import spread
 from quarry.plans.registry import Registry
 from quarry.sources.tables import table
 
@@ -192,7 +193,7 @@ def document_items(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("searched_forms")
 def searched_forms(spark: SparkSession, sf: str) -> DataFrame:
     """The searched and the shown form of every document, as the data model prescribes them."""
-    both = table(spark, sf, "documents").select("doc_id", normalize.search_form(F.col("text")).alias("s"), normalize.display_form(F.col("text")).alias("d"))
+    both = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", normalize.search_form(F.col("text")).alias("s"), normalize.display_form(F.col("text")).alias("d"))
     return both.select("doc_id", F.md5("s").alias("searched"), F.length("s").cast("long").alias("n_searched"), F.md5("d").alias("shown"), F.length("d").cast("long").alias("n_shown"))
 
 
