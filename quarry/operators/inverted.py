@@ -1,10 +1,11 @@
-"""A positional inverted index as a Parquet table: one row for each word of each document, with its places.
+"""A positional inverted index as a Parquet table: rows are blocks of a word's postings.
 
-Rows lie in folders by a hash of the word and in the order (word, document) within, cut into files by ranges: the postings of a
-word that is in every document are many files, the words of a query are a few folders and, by the files' statistics, a few row
-groups.  A row carries the document's length and whatever columns a search returns or orders by, so a search reads postings and
-nothing else.  Documents that come later are another segment, a folder beside the first; a reader takes the segments that the
-published version lists.  Deleting or changing a document needs a new index.
+A block has the documents of one batch that hold a word, by their ids, with their lengths, how often the word stands in each and where, and
+whatever columns a search returns or orders by: a search reads blocks and nothing else.  Blocks lie in folders by a hash of the word, in the
+order of words within files: the words of a query are a few folders and, by the files' statistics, a few row groups.  The blocks of a
+common word go to many tasks, so a word that is in every document is many files.  Documents that come later are another segment, a
+folder beside the first; a reader takes the segments that the published version lists.  Deleting or changing a document needs a new
+index.
 
 The words of a document's fields stand one behind the other with a place left free between fields, so a phrase never reaches
 from one field into the next.
@@ -27,52 +28,65 @@ from quarry.operators.shared import spread
 from quarry.operators.versions import Store, Target, Version, derived, stamp
 
 BUCKETS = 64
-#: Postings of a file, about.
-FILE_ROWS = 1 << 21
+#: A word is common if one in so many documents of a batch holds it; tasks that a common word's blocks are dealt to, for each one of a rare word's folder.
+COMMON, SPREAD = 8, 8
 
 
 def bucket(word: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(word.encode()) % buckets
 
 
-def postings(rows: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] = (), analyze: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``word``, the key, the kept columns, ``dl`` (the document's words) and ``places``; a document without words has none."""
+def blocks(rows: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str] = (), analyze: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``word``, ``common``, ``n`` documents, their keys and kept columns and lengths (``dl``) as lists, ``ends`` (how many of ``places`` come until each document's
+    last) and ``places``; one row for each word of a batch."""
     listed = spread(rows.select(key, *keep, *(f for f in fields if f not in (key, *keep)))).select(key, *keep, F.array(*(analyze(F.col(f)) for f in fields)).alias("fields"))
     kept = [key, *keep]
-    schema = T.StructType([T.StructField("word", T.StringType()), *(listed.schema[c] for c in kept), T.StructField("dl", T.LongType()), T.StructField("places", T.ArrayType(T.IntegerType()))])
+    lists = [T.StructField(c, T.ArrayType(listed.schema[c].dataType)) for c in kept]
+    whole = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("dl", "ends", "places")]
+    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("common", T.BooleanType()), T.StructField("n", T.IntegerType()), *lists, *whole])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("fields")
-            flat = lists.flatten()
+            flat = batch.column("fields").flatten()
             per_field = np.diff(flat.offsets.to_numpy()) if len(flat) else np.empty(0, np.int64)
             words = flat.flatten().dictionary_encode()
-            doc_of_field = np.repeat(np.arange(batch.num_rows), len(fields))
-            doc = np.repeat(doc_of_field, per_field)
+            doc = np.repeat(np.repeat(np.arange(batch.num_rows), len(fields)), per_field)
+            if not len(doc):
+                continue
             lengths = np.bincount(doc, minlength=batch.num_rows)
             # A word's place: how many words of its document stand before it, and one more for each field before its own.
             place = np.arange(len(doc)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(np.tile(np.arange(len(fields)), batch.num_rows), per_field)
             code = words.indices.to_numpy()
-            order = np.lexsort((place, code, doc))
+            order = np.lexsort((place, doc, code))
             doc, code, place = doc[order], code[order], place[order]
-            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]) if len(doc) else np.empty(0, np.int64)
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(place.astype(np.int32)))
-            at = pa.array(doc[first])
-            columns = [words.dictionary.take(pa.array(code[first])), *(batch.column(c).take(at) for c in kept), pa.array(lengths[doc[first]]), places]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", *kept, "dl", "places"])
+            posting = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])  # where each (word, document) begins
+            first = np.flatnonzero(np.r_[True, code[posting][1:] != code[posting][:-1]])  # which posting begins each word
+            bounds, starts = np.append(first, len(posting)), np.append(posting, len(doc))
+            n = np.diff(bounds)
+            last = starts[1:] - np.repeat(starts[bounds[:-1]], n)
+            at, offsets = pa.array(doc[posting]), pa.array(bounds.astype(np.int32))
+            listing = lambda values: pa.ListArray.from_arrays(offsets, values)  # noqa: E731, B023
+            own = [listing(batch.column(c).take(at)) for c in kept]
+            numbers = [listing(pa.array(x.astype(np.int32))) for x in (lengths[doc[posting]], last)]
+            places = pa.ListArray.from_arrays(pa.array(starts[bounds].astype(np.int32)), pa.array(place.astype(np.int32)))
+            columns = [words.dictionary.take(pa.array(code[posting][first])), pa.array(n * COMMON >= batch.num_rows), pa.array(n.astype(np.int32)), *own, *numbers, places]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(schema.fields, columns, strict=True)]))
 
     return listed.mapInArrow(run, schema)
 
 
 def write_segment(rows: DataFrame, path: str, key: str, fields: Sequence[str], keep: Sequence[str] = (), analyze: Callable[[Column], Column] = tokens, buckets: int = BUCKETS) -> dict:
-    """Write the postings below ``path``; returns what a search needs of the segment: how many documents and words there are."""
+    """Write the blocks below ``path``; returns what a search needs of the segment: how many documents and words there are."""
     spark = rows.sparkSession
-    found = postings(rows, key, fields, keep, analyze).withColumn("bucket", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = found.repartitionByRange(parts, "bucket", "word", key).sortWithinPartitions("bucket", "word", key)
-    dealt.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("bucket").parquet(path)
-    words = spark.read.schema(found.schema).parquet(path).agg(F.sum(F.size("places")).alias("n")).first().n
-    return {"documents": rows.count(), "words": int(words or 0), "schema": found.schema.json(), "buckets": buckets, "key": key, "keep": list(keep)}
+    each = -(-parts // buckets)
+    code = F.crc32(F.col("word").cast("binary"))
+    deal = F.when(F.col("common"), F.pmod(F.xxhash64(F.get(key, 0)), F.lit(SPREAD * each))).otherwise(F.floor(code / buckets) % each)
+    found = blocks(rows, key, fields, keep, analyze).withColumn("bucket", (code % buckets).cast("int"))
+    dealt = found.repartition(parts, "bucket", deal).drop("common").sortWithinPartitions("bucket", "word", F.get(key, 0))
+    dealt.write.option("compression", "zstd").partitionBy("bucket").parquet(path)
+    words = spark.read.schema(dealt.schema).parquet(path).agg(F.sum(F.size("places")).alias("n")).first().n
+    return {"documents": rows.count(), "words": int(words or 0), "schema": dealt.schema.json(), "buckets": buckets, "key": key, "keep": list(keep)}
 
 
 class Index:
@@ -90,22 +104,42 @@ class Index:
         for t in tables[1:]:
             self.rows = self.rows.unionByName(t)
 
-    def postings(self, words: Sequence[str]) -> DataFrame:
-        """The postings of some words: only their folders are read."""
+    def blocks(self, words: Sequence[str]) -> DataFrame:
+        """The blocks of some words: only their folders are read."""
         names = sorted(set(words))
         return self.rows.where(F.col("bucket").isin(sorted({bucket(w, self.buckets) for w in names}))).where(F.col("word").isin(names)).drop("bucket")
 
+    def postings(self, words: Sequence[str], places: bool = True) -> DataFrame:
+        """The blocks' postings as rows: ``word``, the key, the kept columns, ``dl``, ``tf`` and, if asked for, ``places``."""
+
+        def posting(i: Column) -> Column:
+            begin = F.when(i > 0, F.get("ends", i - 1)).otherwise(0)
+            tf = F.get("ends", i) - begin
+            where = [F.slice("places", begin + 1, tf).alias("places")] if places else []
+            return F.struct(*(F.get(c, i).alias(c) for c in (self.key, *self.keep, "dl")), tf.alias("tf"), *where)
+
+        found = self.blocks(words)
+        return found.select("word", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), posting)).alias("p")).select("word", "p.*")
+
+    def frequencies(self, words: Sequence[str]) -> dict[str, int]:
+        """How many documents hold each of some words: the blocks tell, their postings are not read."""
+        found = self.blocks(words).groupBy("word").agg(F.sum("n").alias("n"))
+        return dict.fromkeys(words, 0) | {r.word: r.n for r in found.collect()}  # a row a word
+
     def counted(self, phrases: Sequence[str]) -> DataFrame:
         """The key, kept columns, ``dl`` and ``tf``, the phrases' occurrences, of documents that hold any of the phrases' words."""
         split = [p.split() for p in phrases]
-        found = self.postings([w for ws in split for w in ws])
-        one = F.map_from_entries(F.collect_list(F.struct("word", "places")))
+        longer = any(len(ws) > 1 for ws in split)
+        found = self.postings([w for ws in split for w in ws], places=longer)
+        one = F.map_from_entries(F.collect_list(F.struct("word", F.struct("tf", *(["places"] if longer else [])).alias("p"))))
         rows = found.groupBy(self.key, *self.keep, "dl").agg(one.alias("at"))
 
         def count(words: list[str]) -> Column:
-            places = F.element_at("at", words[0])
+            if len(words) == 1:
+                return F.coalesce(F.element_at("at", words[0])["tf"], F.lit(0))
+            places = F.element_at("at", words[0])["places"]
             for k, w in enumerate(words[1:], 1):
-                places = F.array_intersect(places, _back(F.element_at("at", w), k))
+                places = F.array_intersect(places, _back(F.element_at("at", w)["places"], k))
             return F.when(places.isNotNull(), F.size(places)).otherwise(0)
 
         tf = F.array(*(count(ws) for ws in split)) if split else F.array().cast("array<int>")
@@ -127,7 +161,7 @@ def target(rows: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str]
     def make(path: str, others: dict) -> dict:
         return {"segments": [[f"{path}/first", write_segment(rows, f"{path}/first", key, fields, keep, analyze)]]}
 
-    return Target(make, inputs, recipe=f"{key} {fields} {keep} {BUCKETS}")
+    return Target(make, inputs, recipe=f"blocks {key} {fields} {keep} {BUCKETS}")
 
 
 def append(store: Store, name: str, rows: DataFrame, fields: Sequence[str], analyze: Callable[[Column], Column] = tokens, inputs: Sequence[str] = ()) -> Version:
@@ -135,7 +169,7 @@ def append(store: Store, name: str, rows: DataFrame, fields: Sequence[str], anal
     now = store.current()
     entry = now.targets[name]
     old = Index(store.spark, entry["notes"]["segments"])
-    if not old.rows.select(old.key).join(rows.select(old.key), old.key, "left_semi").isEmpty():
+    if not old.rows.select(F.explode(old.key).alias(old.key)).join(rows.select(old.key), old.key, "left_semi").isEmpty():
         raise ValueError("some of these documents are in the index")
     path = f"{entry['path']}/{stamp(store.spark, entry['path'])}"
     notes = write_segment(rows, path, old.key, fields, old.keep, analyze, old.buckets)

@@ -63,7 +63,11 @@ def weighed(built: Index | DataFrame, phrases: Sequence[str]) -> tuple[DataFrame
     of_phrase = [F.count_if(F.col("tf")[i] > 0).alias(f"df_{i}") for i in range(len(phrases))]
     if isinstance(built, Index):
         rows, n, avgdl = built.counted(phrases), built.n, built.avgdl
-        s = rows.agg(*of_phrase).first()
+        if any(" " in p for p in phrases):
+            s = rows.agg(*of_phrase).first()
+        else:
+            found = built.frequencies(phrases)
+            s = {f"df_{i}": found[p] for i, p in enumerate(phrases)}
     else:
         rows = counted(built, phrases)
         s = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *of_phrase).first()

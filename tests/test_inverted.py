@@ -60,7 +60,7 @@ def test_counts_of_phrases(works, index):
 
 
 def test_only_the_words_folders_are_read(index, capsys):
-    index.postings(["oak", "elm"]).explain("formatted")
+    index.blocks(["oak", "elm"]).explain("formatted")
     plan = capsys.readouterr().out
     folders = re.search(r"PartitionFilters: \[.*bucket#\d+ IN \(([\d,]+)\)", plan)
     assert set(map(int, folders[1].split(","))) == {inverted.bucket("oak"), inverted.bucket("elm")}
@@ -93,7 +93,7 @@ def test_no_words_and_no_rows(spark, works):
 
 def test_a_word_of_every_document_is_dealt(spark):
     """Postings of one word go to more than one file, in order."""
-    rows = spark.range(5000).select(F.col("id").alias("work_id"), F.lit("oak").alias("title"), F.lit(None).cast("string").alias("abstract"), F.lit(1).alias("year"))
+    rows = spark.range(5000).repartition(40).select(F.col("id").alias("work_id"), F.lit("oak").alias("title"), F.lit(None).cast("string").alias("abstract"), F.lit(1).alias("year"))
     index = built(rows)[1]
-    assert len(index.postings(["oak"]).inputFiles()) > 1
-    assert index.postings(["oak"]).count() == 5000
+    assert len(index.blocks(["oak"]).inputFiles()) > 1
+    assert index.postings(["oak"]).count() == index.frequencies(["oak", "elm"])["oak"] == 5000
