@@ -119,6 +119,10 @@ class Index:
             return F.struct(*(F.get(c, i).alias(c) for c in (self.key, *self.keep, "dl")), tf.alias("tf"), *where)
 
         found = self.blocks(words)
+        if not places:
+            tf = F.zip_with("ends", F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.col("n") - 1)), lambda end, begin: end - begin)
+            own = [self.key, *self.keep, "dl"]
+            return found.select("word", F.explode(F.arrays_zip(*own, tf.alias("tf"))).alias("p")).select("word", *(F.col("p").getField(c).alias(c) for c in [*own, "tf"]))
         return found.select("word", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), posting)).alias("p")).select("word", "p.*")
 
     def frequencies(self, words: Sequence[str]) -> dict[str, int]:
@@ -129,6 +133,10 @@ class Index:
     def counted(self, phrases: Sequence[str]) -> DataFrame:
         """The key, kept columns, ``dl`` and ``tf``, the phrases' occurrences, of documents that hold any of the phrases' words."""
         split = [p.split() for p in phrases]
+        if phrases and all(len(ws) == 1 for ws in split):
+            own = [F.coalesce(F.sum(F.when(F.col("word") == ws[0], F.col("tf"))), F.lit(0)).cast("int").alias(f"tf_{i}") for i, ws in enumerate(split)]
+            rows = self.postings([ws[0] for ws in split], places=False).groupBy(self.key, *self.keep, "dl").agg(*own)
+            return rows.select(self.key, *self.keep, "dl", F.array(*(f"tf_{i}" for i in range(len(split)))).alias("tf"))
         longer = any(len(ws) > 1 for ws in split)
         found = self.postings([w for ws in split for w in ws], places=longer)
         one = F.map_from_entries(F.collect_list(F.struct("word", F.struct("tf", *(["places"] if longer else [])).alias("p"))))
