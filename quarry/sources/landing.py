@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import zipfile
+from collections.abc import Iterator
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,27 +69,92 @@ def hits_of(pages: DataFrame, body: str = "body") -> DataFrame:
     return pages.select(F.explode(found).alias("value"))
 
 
+#: The files of a bundle, by the ends of their names.
+BUNDLE = {"content": "content_list.json", "text": "full.md", "model": "model.json"}
+#: What a path inside a bundle must not be: absolute, with a scheme or a drive, or leading up.
+HOSTILE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|[/\\])|(?:^|[/\\])\.\.(?:[/\\]|$)"
+
+
+def safe_path(path: Column) -> Column:
+    """A path inside a bundle; null for one that leads out of it."""
+    return F.when(~path.rlike(HOSTILE), path)
+
+
+def _bundled(files: DataFrame) -> DataFrame:
+    one = lambda end: F.max(F.when(F.col("file").endswith(end), F.col("value")))
+    return files.groupBy("folder").agg(*(one(end).alias(k) for k, end in BUNDLE.items())).where("content is not null")
+
+
 def bundles(spark: SparkSession, path: str) -> DataFrame:
     """(folder, content, text, model): the parsed bundles below a path, one folder each, by the ends of their files' names."""
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    kinds = {"content": "content_list.json", "text": "full.md", "model": "model.json"}
-    folder = F.regexp_replace("file", "/[^/]*$", "")
-    one = lambda end: F.max(F.when(F.col("file").endswith(end), F.col("value")))
-    return files.groupBy(folder.alias("folder")).agg(*(one(end).alias(k) for k, end in kinds.items())).where("content is not null")
+    return _bundled(files.where(~F.col("file").endswith(".zip")).withColumn("folder", F.regexp_replace("file", "/[^/]*$", "")))
+
+
+def zipped_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, content, text, model, refused): bundles that are zip files, named after them; ``refused`` are entries whose paths lead out of them.
+
+    What can't be read as a zip file has no row.  An archive is opened in the task that has it; only the bundle's texts are taken out."""
+    hostile, ends = re.compile(HOSTILE), tuple(BUNDLE.values())
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for folder, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(body)) as z:
+                        for name in z.namelist():
+                            if hostile.search(name):
+                                out.append((folder, name, None))
+                            elif name.endswith(ends):
+                                out.append((folder, name, z.read(name).decode("utf-8", "replace")))
+                except zipfile.BadZipFile:
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*out, strict=True) if out else ([], [], []))], names=["folder", "file", "value"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path)
+    found = files.select(F.regexp_replace("path", r"\.zip$", "").alias("folder"), "content").mapInArrow(entries, "folder string, file string, value string")
+    refused = found.groupBy("folder").agg(F.array_sort(F.collect_set(F.when(F.col("value").isNull(), F.col("file")))).alias("refused"))
+    return _bundled(found.where("value is not null")).join(refused, "folder")
+
+
+def manifest_rows(found: DataFrame, parser: str) -> DataFrame:
+    """(folder, value): the manifest of each bundle as JSON: its parser and which of its files there are."""
+    files = F.array_compact(F.array(*(F.when(F.col(k).isNotNull(), F.lit(k)) for k in BUNDLE)))
+    return found.select("folder", F.to_json(F.struct(F.lit(parser).alias("parser"), files.alias("files"), F.sha2("content", 256).alias("content_sha256"))).alias("value"))
+
+
+def _with(raw: Column, name: str, value: Column) -> Column:
+    """A JSON object's text with one field set; nulls take it out."""
+    bare = F.regexp_replace(raw, rf'(?<!\\)"{name}"\s*:\s*(?:"(?:[^"\\]|\\.)*"|[^,{{}}\[\]"]+)\s*,?\s*', "")
+    bare = F.regexp_replace(bare, r",\s*}$", "}")
+    text = F.concat(F.lit(f'{{"{name}":'), value, F.when(bare.rlike(r"^\{\s*\}$"), "").otherwise(","), F.substring(bare, 2, 1 << 30))
+    return F.when(value.isNull(), bare).otherwise(text)
 
 
 def rejoined(parts: DataFrame) -> DataFrame:
-    """(doc_id, content): documents that were parsed in parts (doc_id, part, start_page, content), as one content list.
-
-    Each part's pages are moved so that its first is the part's start page; items keep the order of parts.
-    """
-    item = "struct<type:string, text:string, text_level:int, page_idx:int, page:int, page_no:int, latex:string, caption:string, image_path:string, html:string>"
-    rows = parts.select("doc_id", "part", "start_page", F.posexplode(F.from_json("content", f"array<{item}>")).alias("place", "x"))
-    page = F.coalesce("x.page_idx", "x.page", "x.page_no")
-    low = rows.groupBy("doc_id", "part").agg(F.min(page).alias("low"))
-    moved = rows.join(low, ["doc_id", "part"]).select("doc_id", "part", "place", F.col("x").withField("page_idx", page + F.col("start_page") - F.col("low")).withField("page", F.lit(None)).withField("page_no", F.lit(None)).alias("x"))
+    """(doc_id, content): documents that were parsed in parts (doc_id, part, start_page, content; folder), as one content list.
+
+    Each part's pages are moved so that its first is the part's start page; items keep the order of parts and all their other
+    fields.  Paths of images are put below the part's folder, if it has one; those that lead out of it are taken away."""
+    folder = F.coalesce(F.col("folder"), F.lit("")) if "folder" in parts.columns else F.lit("")
+    rows = parts.select("doc_id", "part", "start_page", folder.alias("folder"), F.posexplode(F.from_json("content", "array<string>")).alias("place", "x"))
+    number = lambda c: F.get_json_object("x", f"$.{c}").cast("int")
+    rows = rows.withColumn("page", F.coalesce(number("page_idx"), number("page"), number("page_no")))
+    low = rows.groupBy("doc_id", "part").agg(F.min("page").alias("low"))
+    item = F.col("x")
+    for c in ("page", "page_no"):
+        item = _with(item, c, F.lit(None).cast("string"))
+    item = _with(item, "page_idx", (F.col("page") + F.col("start_page") - F.col("low")).cast("string"))
+    for c in ("img_path", "image_path"):
+        path = F.get_json_object("x", f"$.{c}")
+        inside = safe_path(path)
+        rooted = F.when(F.col("folder") == "", inside).otherwise(F.concat(F.col("folder"), F.lit("/"), inside))
+        quoted = F.get_json_object(F.to_json(F.array(rooted)), "$").substr(F.lit(2), F.length(F.to_json(F.array(rooted))) - 2)
+        item = F.when(path.isNull(), item).otherwise(_with(item, c, F.when(inside.isNotNull(), quoted)))
+    moved = rows.join(low, ["doc_id", "part"]).select("doc_id", "part", "place", item.alias("x"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "x"))), lambda s: s["x"])
-    return moved.groupBy("doc_id").agg(F.to_json(listed).alias("content"))
+    return moved.groupBy("doc_id").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("content"))
 
 
 def identity_of_folder(name: Column) -> Column:

@@ -122,3 +122,33 @@ def test_parts_of_a_document_are_rejoined(spark):
     parts = spark.createDataFrame([(1, 2, 10, part(0, 1)), (1, 1, 0, part(3, 4))], "doc_id long, part int, start_page int, content string")
     got = json.loads(landing.rejoined(parts).first().content)
     assert [(x["text"], x["page_idx"]) for x in got] == [("t3", 0), ("t4", 1), ("t0", 10), ("t1", 11)]
+
+
+def test_rejoined_parts_keep_all_fields_and_safe_paths(spark):
+    a = [{"type": "image", "img_path": 'images/a "b.png', "page_idx": 2, "text_format": "latex", "nested": {"k": [1, {"z": "}"}]}}, {"type": "image", "img_path": "../../etc/passwd", "page_no": 3}]
+    b = [{"page": 0, "image_path": "x/y.png", "table_body": '<td>"page": 9</td>'}, {"page_idx": 1, "image_path": "/abs"}, {"page_idx": 5}, {"image_path": "file:///x", "text": "no page"}]
+    parts = spark.createDataFrame([(1, 1, 0, "p1", json.dumps(a)), (1, 2, 10, "p2", json.dumps(b)), (2, 1, 0, None, json.dumps(a[:1]))], "doc_id long, part int, start_page int, folder string, content string")
+    got = {r.doc_id: json.loads(r.content) for r in landing.rejoined(parts).collect()}
+    assert got[1] == [
+        {"type": "image", "img_path": "p1/" + a[0]["img_path"], "page_idx": 0, "text_format": "latex", "nested": {"k": [1, {"z": "}"}]}}, {"type": "image", "page_idx": 1},
+        {"page_idx": 10, "image_path": "p2/x/y.png", "table_body": b[0]["table_body"]}, {"page_idx": 11}, {"page_idx": 15}, {"text": "no page"},
+    ]
+    assert got[2][0]["img_path"] == a[0]["img_path"]
+
+
+def test_zipped_bundles_refuse_hostile_paths(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "2401.00001.zip", "w") as z:
+        z.writestr("out/p_content_list.json", "[]")
+        z.writestr("out/full.md", "# T")
+        z.writestr("../../escape_content_list.json", "[1]")
+        z.writestr("/abs/full.md", "x")
+        z.writestr("images/a.png", b"123")
+    (tmp_path / "broken.zip").write_bytes(b"no zip")
+    found = landing.zipped_bundles(spark, str(tmp_path))
+    assert [(r.folder.rsplit("/", 1)[-1], r.content, r.text, r.model, r.refused) for r in found.collect()] == [("2401.00001", "[]", "# T", None, ["../../escape_content_list.json", "/abs/full.md"])]
+    manifest = json.loads(landing.manifest_rows(found, "reader").first().value)
+    assert (manifest["parser"], manifest["files"]) == ("reader", ["content", "text"])
+    paths = spark.createDataFrame([("a/b.png",), ("..",), ("a/../b",), ("C:\\x",), ("http://x",), ("a..b/c",)], "p string")
+    assert [r.p for r in paths.select(landing.safe_path(F.col("p")).alias("p")).collect()] == ["a/b.png", None, None, None, None, "a..b/c"]
