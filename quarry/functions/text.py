@@ -87,3 +87,17 @@ def snippet(text: Column, pattern: str, before: int = 80, after: int = 120) -> C
 
 def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+
+
+def text_or_null(value: Column) -> Column:
+    """Trimmed; null for what is empty."""
+    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+
+
+def int_or_null(value: Column) -> Column:
+    """A whole number; null for anything else."""
+    return F.when(F.trim(value.cast("string")).rlike(r"^[+-]?[0-9]+$"), F.trim(value.cast("string")).try_cast("bigint"))
+
+
+def float_or_null(value: Column) -> Column:
+    return F.trim(value.cast("string")).try_cast("double")

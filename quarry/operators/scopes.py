@@ -110,6 +110,19 @@ def annotated(hits: DataFrame, works: DataFrame, documents: DataFrame, pdfs: Dat
     return rows.fillna(False, ["known", "has_pdf"])
 
 
+def purged(works: DataFrame, source: str, patterns: list[str], children: dict[str, tuple[DataFrame, str]], key: str = "work_id") -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(works, children, gone): works of a source whose canonical id is like one of the patterns go, and with them what belongs to them.
+
+    ``children``: tables by name with the column that names their work; ``gone`` has the works that went."""
+    like = F.lit(False)
+    for p in patterns:
+        like = like | F.col("canonical_id").like(p)
+    out = F.coalesce((F.col("canonical_source") == source) & like, F.lit(False))
+    gone = works.where(out)
+    ids = gone.select(key)
+    return works.where(~out), {n: df.join(ids.withColumnRenamed(key, c), c, "left_anti") for n, (df, c) in children.items()}, gone
+
+
 def rebuilt_edges(old: DataFrame, new: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Edges after a rebuild: of everything, the new ones; of a collection's works, the new ones beside the old that have an end outside."""
     if members is None:

@@ -385,3 +385,39 @@ def content_blocks(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("shortened_texts", "SELECT doc_id, md5(CASE WHEN length(text) > 360 THEN substr(text, 1, 359) || '…' ELSE text END) AS text FROM documents")
 def shortened_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(T.truncate(F.col("text"), 360)).alias("text"))
+
+
+@R.add(
+    "hit_summaries",
+    f"""WITH {_RECORDS} SELECT k, title, year, concat_ws(';', 'arxiv=' || arxiv, 'doi=' || doi, 'inspire=' || inspire) AS identifiers, coalesce('https://arxiv.org/pdf/' || arxiv || '.pdf', '') AS pdf_candidates, 'https://orders/' || k AS source_url FROM rec""",
+)
+def hit_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """What is shown of each hit."""
+    found = records.hit_summary(order_hits(spark, sf))
+    ids = F.array_join(F.array_sort(F.transform(F.map_entries("identifiers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
+    return found.select(F.element_at(F.split("source_url", "/"), -1).cast("long").alias("k"), "title", F.col("year").cast("long").alias("year"), ids.alias("identifiers"), F.array_join("pdf_candidates", ";").alias("pdf_candidates"), "source_url")
+
+
+@R.add(
+    "purged_works",
+    """WITH g AS (SELECT p_partkey FROM part WHERE p_brand LIKE 'Brand%' AND (p_name LIKE 'red %' OR p_name LIKE '% ring'))
+    SELECT 'work' AS what, p_partkey AS id FROM part WHERE p_partkey NOT IN (FROM g) UNION ALL SELECT 'line', l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_partkey NOT IN (FROM g)""",
+)
+def purged_works(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left when deprecated works go with all that belongs to them."""
+    works = table(spark, sf, "part").select(F.col("p_partkey").alias("work_id"), F.when(F.col("p_brand").like("Brand%"), "pdg").alias("canonical_source"), F.col("p_name").alias("canonical_id"))
+    items = table(spark, sf, "lineitem").select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    left, children, _ = scopes.purged(works, "pdg", ["red %", "% ring"], {"lines": (items, "l_partkey")})
+    return left.select(F.lit("work").alias("what"), F.col("work_id").alias("id")).unionByName(children["lines"].select(F.lit("line").alias("what"), "id"))
+
+
+@R.add(
+    "coerced_values",
+    r"""WITH v AS (SELECT event_id, ' ' || coalesce(regexp_extract(props, '"k": *([0-9]+)', 1), '') || CASE event_id % 4 WHEN 1 THEN '.5' WHEN 2 THEN ' x' WHEN 3 THEN ' ' ELSE '' END AS x FROM events)
+    SELECT event_id, CASE WHEN regexp_full_match(trim(x), '[+-]?[0-9]+') THEN trim(x)::BIGINT END AS n, TRY_CAST(trim(x) AS DOUBLE) AS f, nullif(trim(x), '') AS t FROM v""",
+)
+def coerced_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Loose values as whole numbers, numbers and texts, null for what is none."""
+    tail = F.when(F.col("event_id") % 4 == 1, ".5").when(F.col("event_id") % 4 == 2, " x").when(F.col("event_id") % 4 == 3, " ").otherwise("")
+    x = F.concat(F.lit(" "), F.coalesce(F.regexp_extract("props", '"k": *([0-9]+)', 1), F.lit("")), tail)
+    return table(spark, sf, "events").select("event_id", T.int_or_null(x).alias("n"), T.float_or_null(x).alias("f"), T.text_or_null(x).alias("t"))

@@ -48,6 +48,15 @@ def year_buckets(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+#: Fields that a source is always asked for.
+REQUIRED_FIELDS = ("control_number", "titles", "abstracts", "collaborations", "document_type", "earliest_date", "publication_info", "references")
+
+
+def with_required(fields: list[str], required: tuple[str, ...] = REQUIRED_FIELDS) -> list[str]:
+    """The wanted fields in their order, then what is required and missing."""
+    return list(dict.fromkeys(x for x in (*(f.strip() for f in fields), *required) if x))
+
+
 def shards(spark: SparkSession, queries: list[str], buckets: list[tuple[int, int]]) -> DataFrame:
     """(shard, query, first_year, last_year, text): every query in every range of years."""
     rows = [(i, q, a, b, f"{q} and date {a}->{b}") for i, (q, (a, b)) in enumerate(product(queries, buckets))]

@@ -152,3 +152,11 @@ def test_zipped_bundles_refuse_hostile_paths(spark, tmp_path):
     assert (manifest["parser"], manifest["files"]) == ("reader", ["content", "text"])
     paths = spark.createDataFrame([("a/b.png",), ("..",), ("a/../b",), ("C:\\x",), ("http://x",), ("a..b/c",)], "p string")
     assert [r.p for r in paths.select(landing.safe_path(F.col("p")).alias("p")).collect()] == ["a/b.png", None, None, None, None, "a..b/c"]
+
+
+def test_required_fields_and_rewrites():
+    from quarry.functions import query as Q
+
+    assert landing.with_required([" titles", "dois", "", "titles"]) == ["titles", "dois", "control_number", "abstracts", "collaborations", "document_type", "earliest_date", "publication_info", "references"]
+    assert Q.needs_rewrite("rare decays") and not Q.needs_rewrite("  ") and not Q.needs_rewrite(None)
+    assert not Q.needs_rewrite("Title: decays") and not Q.needs_rewrite("x", enabled=False) and not Q.needs_rewrite("x", model=False) and not Q.needs_rewrite("x", most=1)
