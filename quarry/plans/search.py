@@ -88,7 +88,7 @@ _WORKS = f"SELECT doc_id AS id, n_chars AS year, source, {_lists([_TITLE, 'text'
 def works_index(spark: SparkSession, sf: str) -> inverted.Index:
     docs = table(spark, sf, "documents")
     rows = docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("year"), "source", title(F.col("text")).alias("title"), "text", "lang")
-    return inverted.of_table(spark, "works", [f"{sf}/documents.parquet"], rows, "id", ["title", "text", "lang"], ["year", "source"])
+    return inverted.of_table(spark, "works", [f"{sf}/documents.parquet"], rows, "id", ["title", "text", "lang"], ["year"])
 
 
 QUERIES = Q.match_queries(PROFILE)
@@ -107,8 +107,9 @@ def search_works(spark: SparkSession, sf: str) -> DataFrame:
 def search_works_in_collection(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     names = [r.source for r in docs.select("source").where("source is not null").distinct().orderBy("source").limit(3).collect()]
-    found = search.search_works(works_index(spark, sf), QUERIES, LIMIT, "id", where=F.col("source").isin(names))
-    return found.select("id", "source", F.round("score", 6).alias("score"), "stage", "rank")
+    inside = docs.where(F.col("source").isin(names)).select(F.col("doc_id").alias("id"), "source")
+    found = search.search_works(works_index(spark, sf), QUERIES, LIMIT, "id", within=lambda rows: rows.join(inside.select("id"), "id", "left_semi"))
+    return found.join(inside, "id").select("id", "source", F.round("score", 6).alias("score"), "stage", "rank")
 
 
 # ---- chunks

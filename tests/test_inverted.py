@@ -97,3 +97,27 @@ def test_a_word_of_every_document_is_dealt(spark):
     index = built(rows)[1]
     assert len(index.blocks(["oak"]).inputFiles()) > 1
     assert index.postings(["oak"]).count() == index.frequencies(["oak", "elm"])["oak"] == 5000
+
+
+def test_numbers_of_blocks_are_packed_and_read_again():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.integers(0, 1 << int(b), 40, dtype=np.uint64) for b in rng.integers(1, 63, 30)] + [np.array([0, 127, 128, (1 << 64) - 1], np.uint64)])
+    starts = np.array([0, 5, 700, len(values) - 4])
+    data, ends = inverted.packed(values, starts)
+    got = [inverted.unpacked(data[a:b].tobytes()).tolist() for a, b in zip(ends, ends[1:])]
+    assert got == [values[a:b].tolist() for a, b in zip(starts, [*starts[1:], len(values)])]
+
+
+def test_kept_columns_and_keys_of_all_kinds(spark):
+    rows = [(-5, "oak pine", None, "x", -7), (1 << 60, "pine", None, None, None), (3, "oak oak", "elm", "y", 9), (None, "oak", None, "z", 1)]
+    frame = spark.createDataFrame(rows, "work_id long, title string, abstract string, kind string, year int")
+    store = Store(spark, new_path(spark, "index"))
+    inverted.write(store, "words", frame, "work_id", ["title", "abstract"], ["kind", "year"])
+    index = inverted.read(store, "words")
+    got = sorted((r.word, r.work_id, r.kind, r.year, r.dl, r.tf, r.places) for r in index.postings(["oak", "pine", "elm"]).collect())
+    assert got == [("elm", 3, "y", 9, 3, 1, [3]), ("oak", -5, "x", -7, 2, 1, [0]), ("oak", 3, "y", 9, 3, 2, [0, 1]), ("pine", -5, "x", -7, 2, 1, [1]), ("pine", 1 << 60, None, None, 1, 1, [0])]
+    assert index.n == 3
+    with pytest.raises(TypeError):
+        inverted.blocks(frame, "title", ["abstract"])
