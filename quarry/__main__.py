@@ -1,7 +1,8 @@
 """Command line: the registered queries, and the engine over a folder of tables.
 
-``list`` names the queries; ``run NAME FOLDER`` runs one.  ``build FOLDER`` builds an engine's indexes; ``search``, ``chunks``,
-``retrieve`` and ``neighbours`` ask it; ``status`` counts its tables; ``profile QUERY`` shows how a query is read.
+``list`` names the queries; ``run NAME FOLDER`` runs one.  ``ingest FOLDER HITS`` adds a source's hits, ``build FOLDER`` builds what is
+stale; ``search``, ``chunks``, ``communities``, ``facets``, ``ideas``, ``retrieve``, ``document`` and ``neighbours`` ask; ``status``
+counts the tables; ``profile QUERY`` shows how a query is read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,13 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--out", help="write Parquet here instead of showing rows")
     for name, about in (("build", "build the indexes"), ("status", "count the tables")):
         commands.add_parser(name, help=about).add_argument("folder")
-    for name, about in (("search", "ranked works"), ("chunks", "ranked chunks"), ("retrieve", "what the query's route asks for")):
+    take = commands.add_parser("ingest", help="add a source's hits to the library")
+    take.add_argument("folder")
+    take.add_argument("hits", help="text files, a hit as JSON a line")
+    one = commands.add_parser("document", help="a work, its chunks and whether it is ready")
+    one.add_argument("folder")
+    one.add_argument("work_id", type=int)
+    for name, about in (("search", "ranked works"), ("chunks", "ranked chunks"), ("retrieve", "what the query's route asks for"), ("communities", "ranked summaries of communities"), ("facets", "ranked facets"), ("ideas", "communities as starting points")):
         ask = commands.add_parser(name, help=about)
         ask.add_argument("folder")
         ask.add_argument("query")
@@ -35,6 +42,8 @@ def parser() -> argparse.ArgumentParser:
     near.add_argument("folder")
     near.add_argument("work_id", type=int)
     near.add_argument("--limit", type=int, default=10)
+    near.add_argument("--kind", default="all", choices=("all", "bibliographic", "co_citation", "similarity"))
+    near.add_argument("--collection")
     commands.add_parser("profile", help="how a query is read").add_argument("query")
     return out
 
@@ -68,8 +77,16 @@ def main(argv: list[str] | None = None) -> None:
     engine = Engine(spark, args.folder)
     if args.command in ("build", "status"):
         print(json.dumps(getattr(engine, args.command)()))
+    elif args.command == "ingest":
+        print(json.dumps(engine.ingest(spark.read.text(args.hits))))
+    elif args.command == "document":
+        print(json.dumps(engine.document(args.work_id), ensure_ascii=False, default=str))
+    elif args.command in ("communities", "facets"):
+        print(shown(getattr(engine, f"search_{args.command}")(args.query, args.limit, args.collection)))
+    elif args.command == "ideas":
+        print(json.dumps(engine.ideas(args.query, args.limit, args.collection), ensure_ascii=False))
     elif args.command == "neighbours":
-        print(shown(engine.neighbours(args.work_id, args.limit)))
+        print(shown(engine.neighbours(args.work_id, args.limit, args.kind, args.collection)))
     elif args.command == "search":
         print(shown(engine.search_works(args.query, args.collection, args.limit, args.expand)))
     elif args.command == "chunks":

@@ -3,7 +3,8 @@
 Tables, as Parquet below the folder (only ``works`` is needed): works (work_id, title, abstract, year; topics, collaborations
 as arrays, if there are any), chunks (chunk_id, work_id, chunk_role, section, text), citations (src, dst), members
 (collection, work_id), families (work_id, family, primary), similarity (src, dst, score).  What is built lies beside them in
-``built``, as versions: a build makes anew what has changed and shows all of it at once.
+``built``, as versions: a build makes anew what has changed and shows all of it at once.  Instead of being laid there, works,
+citations and families can be made of a source's hits (``ingest``); they lie in ``library``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import types as T
 
 from quarry.functions import query as Q
 from quarry.functions.normalize import search_text
-from quarry.operators import community, graph, inverted, scopes, search, summaries, vectors
+from quarry.operators import community, graph, inverted, records, scopes, search, summaries, vectors
+from quarry.operators.families import title_classes, title_pairs
 from quarry.operators.shared import written
 from quarry.operators.versions import Store, Target, exists, stamp
 
@@ -54,13 +56,15 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.store = Store(spark, f"{self.folder}/built")
-        self.version = self.store.current()
+        self.store, self.shelf = Store(spark, f"{self.folder}/built"), Store(spark, f"{self.folder}/library")
+        self.version, self.library = self.store.current(), self.shelf.current()
 
     # ---- tables
 
     def table(self, name: str, schema: str | None = None) -> DataFrame:
-        """A table; one that is not there is empty if its ``schema`` is given."""
+        """A table: as it was made of ingested hits, or as it lies in the folder; one that is not there is empty if its ``schema`` is given."""
+        if name in self.library.targets:
+            return self.shelf.table(name, self.library)
         if schema is not None and not exists(self.spark, f"{self.folder}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.folder}/{name}")
@@ -80,11 +84,59 @@ class Engine:
     def families(self) -> DataFrame:
         return self.table("families", "work_id bigint, family bigint, primary bigint")
 
+    # ---- ingesting
+
+    def ingest(self, hits: DataFrame, log: Callable[[dict], None] = lambda row: None) -> dict[str, int]:
+        """Add hits (value: JSON) to the library and make its tables of all hits so far: works, ids, citations, families.
+
+        A work is what hits that share any identifier describe; its id is a hash of its name.  The same hits again change nothing but
+        the files that hold them.  References to works that are not there yet are resolved when these come.  Afterwards ``build``
+        makes what depends on the changed tables."""
+        raw = f"{self.folder}/hits"
+        hits.select("value").where("value IS NOT NULL").write.mode("append").text(raw)
+        read = lambda others, name: self.spark.read.parquet(others[name]["path"])
+        number = lambda c: F.xxhash64(c)
+
+        def found(path: str, others: dict) -> None:
+            records.merged(records.described(records.parse_hits(self.spark.read.text(raw).distinct()))).write.parquet(path)
+
+        def works(path: str, others: dict) -> None:
+            r = read(others, "records")
+            listed = lambda df, column, name: df.groupBy("work").agg(F.array_sort(F.collect_set(column)).alias(name))
+            topics, collaborations = listed(records.work_topics(r), "topic", "topics"), listed(records.work_collaborations(r), "collaboration", "collaborations")
+            rows = records.works(r).join(topics, "work", "left").join(collaborations, "work", "left")
+            none = F.array().cast("array<string>")
+            rows.select(number("work").alias("work_id"), "work", "title", "abstract", "year", "citation_count", "source_url", "pdf_url", F.coalesce("topics", none).alias("topics"), F.coalesce("collaborations", none).alias("collaborations")).write.parquet(path)
+
+        def ids(path: str, others: dict) -> None:
+            records.work_ids(read(others, "records")).select(number("work").alias("work_id"), "id_type", "id_value", "is_primary").write.parquet(path)
+
+        def citations(path: str, others: dict) -> None:
+            r = read(others, "records")
+            resolved = records.resolve_citations(records.citations(r), records.work_ids(r))
+            resolved.select(number("work").alias("src"), F.when(F.col("dst").isNotNull(), number("dst")).alias("dst"), "dst_source", "dst_external_id").where("dst IS NULL OR src <> dst").write.parquet(path)
+
+        def families(path: str, others: dict) -> None:
+            r = read(others, "records")
+            # A work is as its best record says: the one that gives it its title.
+            best = r.groupBy("work").agg(F.max_by(F.struct(*(c for c in r.columns if c != "work")), F.struct("stage", F.coalesce("citation_count", F.lit(-1)), "title")).alias("b")).select(number("work").alias("work_id"), "b.*")
+            best = written(best, "best-records")
+            titles = written(title_classes(best.select(F.col("work_id").alias("doc_id"), F.col("title_normal").alias("text")), whole=True), "titles")
+            names = best.select(F.col("work_id").alias("id"), "title_normal")
+            alike = title_pairs(titles).select("src", "dst").join(names.select(F.col("id").alias("src"), F.col("title_normal").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("title_normal").alias("b")), "dst").select("a", "b").distinct()
+            members = records.family_rows(best, records.family_pairs(best, alike))
+            members.join(records.family_summary(members).select("family", "primary"), "family").select("work_id", "family", "primary").write.parquet(path)
+
+        made = {"works": works, "ids": ids, "citations": citations, "families": families}
+        targets = {"records": Target(found, [raw], recipe="merged"), **{k: Target(f, after=["records"]) for k, f in made.items()}}
+        self.library = self.shelf.build(targets, log)
+        return {k: self.shelf.table(k, self.library).count() for k in made}
+
     # ---- building
 
     def targets(self) -> dict[str, Target]:
         """What can be built, of what, and after what."""
-        at = lambda *names: [f"{self.folder}/{n}" for n in names]
+        at = lambda *names: [self.library.targets[n]["path"] if n in self.library.targets else f"{self.folder}/{n}" for n in names]
         works, chunks = self.works(), self.chunks()
         titled = chunks.join(works.select("work_id", "title"), "work_id")
 
@@ -117,8 +169,8 @@ class Engine:
         return {"works": self.works().count(), "chunks": self.chunks().count(), "edges": self.edges().where("src < dst").count()}
 
     def refresh(self) -> None:
-        """Read the newest version from now on."""
-        self.version = self.store.current()
+        """Read the newest versions from now on."""
+        self.version, self.library = self.store.current(), self.shelf.current()
 
     def built(self, name: str) -> DataFrame:
         return self.store.table(name, self.version)

@@ -31,6 +31,8 @@ from quarry.operators.versions import Store, Target, Version, derived, stamp
 BUCKETS = 64
 #: A word is common if one in so many documents of a batch holds it; tasks that a common word's blocks are dealt to, for each one of a rare word's folder.
 COMMON, SPREAD = 8, 8
+#: Words whose postings are sorted at once.
+WORDS = 1 << 20
 
 
 def bucket(word: str, buckets: int = BUCKETS) -> int:
@@ -100,8 +102,18 @@ def blocks(rows: DataFrame, key: str, fields: Sequence[str], keep: Sequence[str]
     other = [c for c in keep if c not in whole]
     schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("common", T.BooleanType()), T.StructField("n", T.IntegerType()), T.StructField("total", T.LongType()), T.StructField("data", T.BinaryType()), *(T.StructField(c, T.ArrayType(listed.schema[c].dataType)) for c in other)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of documents of about WORDS words; a longer document stands alone."""
         for batch in batches:
+            offsets = batch.column("fields").flatten().offsets.to_numpy()[:: len(fields)].astype(np.int64)
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + WORDS, side="right")) - 1)
+                yield batch.slice(a, b - a)
+                a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             flat = batch.column("fields").flatten()
             per_field = np.diff(flat.offsets.to_numpy()) if len(flat) else np.empty(0, np.int64)
             words = flat.flatten().dictionary_encode()

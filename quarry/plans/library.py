@@ -13,7 +13,7 @@ from quarry.functions import text as T
 from quarry.operators import blocks, collapse, graph, records, scopes
 from quarry.operators.jobs import place_in_group
 from quarry.operators.shared import written
-from quarry.plans.graphs import title_classes, title_pairs
+from quarry.operators.families import title_classes, title_pairs
 from quarry.plans.registry import Registry
 from quarry.plans.stored import stored
 from quarry.sources import landing

@@ -131,3 +131,34 @@ def test_command_line(engine, capsys):
     assert '"dst": 702' in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["run", "nothing", engine.folder])
+
+
+def test_hits_become_a_library(spark, tmp_path):
+    import json
+
+    def hit(number, title, **more):
+        return json.dumps({"metadata": {"control_number": number, "titles": [{"title": title}], "publication_info": [{"year": 2020}], **more}})
+
+    title = "Cold glass stacks shrink a little and then settle on their shelves"
+    first = [
+        hit(1, title, document_type=["article"], dois=[{"value": "10.1/A"}], collaborations=[{"value": "Hall"}], keywords=[{"value": "Glass"}], references=[{"control_number": 2}, {"control_number": 9}]),
+        json.dumps({"metadata": {"titles": [{"title": title}], "dois": [{"value": "10.1/a"}], "abstracts": [{"value": "shelves"}]}}),
+        hit(3, f"{title} again", document_type=["conference paper"], collaborations=[{"value": "hall"}], references=[{"control_number": 2}, {"control_number": 9}]),
+        "no json",
+    ]
+    engine = Engine(spark, str(tmp_path))
+    lines = lambda rows: spark.createDataFrame([(r,) for r in rows], "value string")
+    assert engine.ingest(lines(first)) == {"works": 2, "ids": 3, "citations": 4, "families": 2}
+    works = {r.title: r for r in engine.table("works").collect()}
+    assert (works[title].topics, works[title].collaborations, works[title].work) == (["Glass"], ["hall"], "doi:10.1/a")
+    assert {r.family for r in engine.families().collect()} == {min(r.work_id for r in works.values())}
+    assert {r.primary for r in engine.families().collect()} == {works[title].work_id}
+    log = []
+    assert engine.ingest(lines(first[:1]), log.append)["works"] == 2
+    assert engine.table("citations").where("dst IS NOT NULL").count() == 0
+    engine.ingest(lines([hit(2, "Older glass"), hit(9, "Oldest glass")]))
+    assert engine.table("citations").where("dst IS NOT NULL").count() == 4
+    assert engine.build()["edges"] == 2
+    found = engine.search_works("cold glass stacks", limit=5).collect()
+    assert found[0].title == title and len(found[0].versions) == 1
+    assert engine.neighbours(works[title].work_id).first().shared == 2

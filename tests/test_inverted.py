@@ -84,6 +84,13 @@ def test_segments_are_as_one_index(spark, works):
         inverted.append(store, "words", later.limit(1), ["title", "abstract"])
 
 
+def test_blocks_of_few_words(works, monkeypatch):
+    monkeypatch.setattr(inverted, "WORDS", 50)
+    index = built(works)[1]
+    assert index.rows.where("word = 'oak'").count() > 20
+    assert found(index) == found(search.index(works, "work_id", ["title", "abstract"], ["year"]))
+
+
 def test_no_words_and_no_rows(spark, works):
     for rows in (works.where("work_id = 1001"), works.where("work_id < 0")):
         index = built(rows)[1]
