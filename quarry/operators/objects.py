@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import METHOD_PATTERNS, RESULT_PATTERNS, snippet
-from quarry.operators.graph import dealt_pairs
+from quarry.operators.graph import BLOCK, dealt_pairs
+from quarry.operators.shared import written
 
 # Fixed values that the data model prescribes.
 VERSION = "v1"
@@ -96,14 +97,26 @@ def transfer(signatures: DataFrame, supported: DataFrame, blocked: DataFrame | N
     """(src, dst, support, score): from each work to those that share method signatures with it.
 
     ``signatures``: (work, key); ``supported``: works with result values; ``blocked``: works whose structure needs review or
-    failed, which give no candidates.  A shared key's works are paired in blocks, each pair once, and mirrored after the count.
+    failed, which give no candidates.  Works with the same keys are one class: only the classes' least works are paired and counted,
+    in blocks, and the members' pairs are joined to that at the end, where nothing is shuffled any more.
     """
-    pairs = dealt_pairs(signatures.select(F.col("work").alias("n"), F.col("key").alias("v")).where("v is not null").distinct())
-    counted = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
-    both = counted.unionByName(counted.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "support"))
-    if blocked is not None:
-        both = both.join(blocked.select(F.col("work").alias("src")).distinct(), "src", "left_anti")
-    both = both.join(supported.select(F.col("work").alias("dst"), F.lit(1).alias("has")).distinct(), "dst", "left")
+    own = written(signatures.select("work", "key").where("key is not null").distinct(), "signatures")
+    sets = own.groupBy("work").agg(F.sort_array(F.collect_list("key")).alias("keys")).select("work", F.size("keys").cast("long").alias("support"), F.sha2(F.to_json("keys"), 256).alias("same"))
+    sets = written(sets, "signature-sets")
+    classes = sets.groupBy("same").agg(F.min("work").alias("rep"), F.first("support").alias("support"), F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    classes = written(classes, "signature-classes")
+    members = sets.select("work", "same").join(classes.select("same", "rep", "blocks"), "same").select("work", "rep", F.pmod(F.xxhash64("work"), "blocks").cast("int").alias("block"))
+    reps = own.join(classes.select(F.col("rep").alias("work")), "work", "left_semi")
+    counted = dealt_pairs(reps.select(F.col("work").alias("n"), F.col("key").alias("v"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+    links = written(counted, "class-pairs")
+    links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "support"))
+    links = links.unionByName(classes.where((F.col("size") > 1) & (F.col("support") >= least)).select(F.col("rep").alias("src"), F.col("rep").alias("dst"), "support"))
+    parts = lambda c, n: classes.select(F.col("rep").alias(c), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(n))
+    links = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "support").join(parts("a", "i"), "a").join(parts("b", "j"), "b")
+    givers = members if blocked is None else members.join(blocked.select("work").distinct(), "work", "left_anti")
+    takers = members.join(supported.select("work", F.lit(1).alias("has")).distinct(), "work", "left")
+    both = links.join(givers.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("work").alias("src")), ["a", "i"])
+    both = both.join(takers.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("work").alias("dst"), "has"), ["b", "j"]).where("src <> dst")
     score = F.least(F.lit(TRANSFER_CAP), TRANSFER_BASE + TRANSFER_STEP * F.col("support") + F.when(F.col("has") == 1, TRANSFER_RESULT).otherwise(0.0))
     return both.select("src", "dst", "support", score.alias("score"))
 

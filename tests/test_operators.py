@@ -318,6 +318,24 @@ def test_places_and_quantiles_of_large_groups(spark, monkeypatch):
             assert r.n == len(values)
 
 
+def test_transfer_pairs_works_of_equal_keys_once(spark, monkeypatch):
+    import itertools
+
+    from quarry.operators import objects
+
+    keys = {w: set("abc") if w < 40 else {"b", "c", str(w)} if w < 43 else {"z"} for w in range(45)}
+    signs = spark.createDataFrame([(w, k) for w, ks in keys.items() for k in ks] + [(0, "a"), (7, None)], "work long, key string")
+    paired, deal = [], objects.dealt_pairs
+    monkeypatch.setattr(objects, "dealt_pairs", lambda e: paired.append(e.select("n").distinct().count()) or deal(e))
+    monkeypatch.setattr(objects, "BLOCK", 6)
+    one = lambda w: spark.createDataFrame([(w,)], "work long")
+    for least in (1, 2):
+        got = {(r.src, r.dst): (r.support, round(r.score, 2)) for r in objects.transfer(signs, one(2), one(3), least).collect()}
+        want = {(a, b): n for a, b in itertools.permutations(keys, 2) if a != 3 and (n := len(keys[a] & keys[b])) >= least}
+        assert got == {(a, b): (n, round(min(0.99, 0.35 + 0.2 * n + (0.15 if b == 2 else 0)), 2)) for (a, b), n in want.items()}
+    assert paired == [5, 5]
+
+
 def test_contract_and_transfer(spark):
     from quarry.operators import objects
 
