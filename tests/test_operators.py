@@ -300,6 +300,31 @@ def test_pairs_of_a_hub_and_of_blocks(spark, monkeypatch):
     assert pairs.count() == pairs.where("src < dst").count() == sum(len(via[a] & via[b]) for a, b in itertools.combinations(via, 2))
 
 
+def test_shared_pairs_of_both_ways_in_bounded_parts(spark, monkeypatch):
+    import itertools
+    import random
+    import re
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(40), rng.randrange(30)) for _ in range(300)}
+    df = spark.createDataFrame([*edges, (1, None), (None, 2)], "n long, v long")
+    monkeypatch.setattr(graph, "ROWS", 20)
+    for node, via in (("n", "v"), ("v", "n")):
+        own = {}
+        for x, y in edges:
+            x, y = (x, y) if node == "n" else (y, x)
+            own.setdefault(x, set()).add(y)
+        extra = {("n", 1): 1, ("v", 2): 1}
+        size = {x: len(ys) + extra.get((node, x), 0) for x, ys in own.items()}
+        want = {(a, b): (s, round(s / (size[a] * size[b]) ** 0.5, 9)) for a, b in itertools.combinations(sorted(own), 2) if (s := len(own[a] & own[b])) >= 2}
+        found = graph.shared_pairs(df, node, via)
+        assert {(r.src, r.dst): (r.shared, round(r.score, 9)) for r in found.collect()} == want
+        assert max(map(int, re.findall(r"hashpartitioning\([^()]*, (\d+)\)", found._jdf.queryExecution().executedPlan().toString()))) >= 16
+    mirrored = graph.mirrored(found)
+    assert mirrored._jdf.queryExecution().optimizedPlan().toString().count("Union") == 0
+    assert mirrored.count() == 2 * len(want)
+
+
 def test_places_and_quantiles_of_large_groups(spark, monkeypatch):
     import numpy as np
 
