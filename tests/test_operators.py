@@ -81,6 +81,29 @@ def test_knn_of_many_copies_in_few_blocks_and_strips(spark, monkeypatch):
         assert {(r.src, r.dst) for r in vectors.knn_edges(df, k, least).collect()} == want
 
 
+def test_knn_sends_a_vector_to_few_blocks_and_keeps_ties(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate((rng.standard_normal((200, 16)), np.repeat(rng.standard_normal((3, 16)), 40, axis=0)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(i), [float(v) for v in r]) for i, r in zip(rng.permutation(len(x)) * 7, x, strict=True)]
+    df = spark.createDataFrame([*rows, (3, None)], "vec_id long, embedding array<float>")
+    for name, value in (("BLOCK", 8), ("BLOCKS", 5), ("STRIP", 16), ("TILE", 32), ("SOURCES", 50)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    exact = {r.vec_id: np.array(r.embedding) for r in df.where("embedding is not null").collect()}
+    ids = sorted(exact)
+    m = np.array([exact[i] for i in ids])
+    cosine = np.round(m @ m.T, 9)
+    for k, least in ((4, 0.3), (60, 0.1)):
+        want = {(min(ids[a], ids[b]), max(ids[a], ids[b])) for a in range(len(ids)) for b in sorted((b for b in range(len(ids)) if b != a and cosine[a, b] >= least), key=lambda b: (-cosine[a, b], b))[:k]}
+        edges = vectors.knn_edges(df, k, least)
+        assert {(r.src, r.dst) for r in edges.collect()} == want
+    # 320 vectors of 16 numbers in blocks of at most 1,024 numbers are more blocks than BLOCKS, with the same edges.
+    monkeypatch.setattr(vectors, "NUMBERS", 1024, raising=False)
+    assert {(r.src, r.dst) for r in vectors.knn_edges(df, k, least).collect()} == want
+
+
 def test_chunks_keep_every_sentence_and_the_budget(spark):
     text = " ".join(f"Word{i} is here now." for i in range(30))
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
