@@ -104,6 +104,24 @@ def test_knn_sends_a_vector_to_few_blocks_and_keeps_ties(spark, monkeypatch):
     assert {(r.src, r.dst) for r in vectors.knn_edges(df, k, least).collect()} == want
 
 
+@pytest.mark.parametrize("kind", vectors.HASHES)
+def test_folded_rows_are_sums_of_slots_of_all_features(kind):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [["a", "b", "a", "b"], [], None, ["é__x", "a", "日本", "a"], ["b"]]
+    want = np.zeros((len(rows), 7))
+    for i, r in enumerate(rows):
+        for f in [*(r or []), *(f"{x}__{y}" for x, y in zip(r or [], (r or [])[1:], strict=False))]:
+            at, sign = vectors.slot(f, 7, kind)
+            want[i, at] += sign * (0.5 if "__" in f else 1.0)
+    values, present = vectors.fold(pa.array(rows, pa.list_(pa.string())), 7, kind)
+    assert (values == want).all() and not present[[1, 2]].any() and present[values != 0].all()
+    names = ["a", "b", "é__x", "日本__a"] * 50
+    at, sign = vectors.slots_of([x.encode() for x in names], 768, kind)
+    assert list(zip(at.tolist(), sign.tolist(), strict=True)) == [vectors.slot(x, 768, kind) for x in names]
+
+
 def test_chunks_keep_every_sentence_and_the_budget(spark):
     text = " ".join(f"Word{i} is here now." for i in range(30))
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
