@@ -6,6 +6,7 @@ import ctypes
 import os
 import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -36,6 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files behind: they go when its query ends, not when the driver's garbage is collected."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -92,7 +105,7 @@ def fmix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-__all__ = ["arrow_map", "crc_mod", "documents", "env_single_thread", "fmix64", "materialize", "shared_dir", "slices", "texts_of", "trim", "tune", "union_all"]
+__all__ = ["arrow_map", "crc_mod", "documents", "env_single_thread", "fmix64", "materialize", "shared_dir", "shuffles_removed", "slices", "texts_of", "trim", "tune", "union_all"]
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

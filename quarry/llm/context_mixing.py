@@ -11,7 +11,8 @@
    pairs' paths.  So no table is of fixed size, none is sent to all tasks, and a task holds about PAIRS pairs.
 5. One in CALIBRATE training documents is first scored by the counts of the others: what the mixer has learned at its end,
    averaged, is where every document's weights begin.  The counts by which all documents are scored have these too.
-6. The code's counts are sent to all tasks; each block meets its answers and is scored.
+6. The code's counts are sent to all tasks; each block meets its answers and is scored, a share of the blocks (``WAVES``)
+   after the other: what is shuffled for that lies on disk beside the answers for one share only.
 
 Defined cases: a null or empty text is its end token alone; without training documents every base probability is 1 (its
 logarithm 0) and the model knows only the escape and bytes; repeated ids each get a row; an empty table gives none; a
@@ -20,7 +21,6 @@ document longer than a block is a block of its own.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +31,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import mixing
-from quarry.llm.common import materialize, slices, trim, tune
-from quarry.llm.mixing import Code, Symbols, ranges, tree_words
+from quarry.llm.common import materialize, shuffles_removed, slices, trim, tune, union_all
+from quarry.llm.mixing import Code, Symbols, counted, distinct, numbered, ranges, tree_words
 
 BLOCK = 1 << 22
 #: Distinct words of all blocks that one range of hashes adds up, about.
 RANGE = 1 << 21
 #: Pairs of all blocks that one range of hashes adds up, about.
 PAIRS = 1 << 21
+#: Shares of the blocks that meet their answers one after the other, where there are SHARE blocks or more in each.
+WAVES, SHARE = 4, 8
 #: One in so many training documents sets the mixer's first weights, by the counts of the others.
 CALIBRATE = 16
 BLOCKS = "block bigint, ids binary, held binary, sizes binary, words binary, tokens binary, train binary"
@@ -199,7 +201,8 @@ def word_totals(table: DataFrame, parts: int) -> DataFrame:
         return pa.Table.from_pylist(rows, schema=_TOTALS)
 
     sent = table.select("block", "words", "train").mapInArrow(send, "block bigint, part int, hashes binary, size int, counts binary")
-    return materialize(sent.groupBy("part").applyInArrow(add, TOTALS), "word-totals")
+    with shuffles_removed(table.sparkSession):
+        return materialize(sent.groupBy("part").applyInArrow(add, TOTALS), "word-totals")
 
 
 _TOTALS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("distinct", pa.int64()), ("hist", pa.binary()), ("hashes", pa.binary()), ("totals", pa.binary())])
@@ -301,12 +304,6 @@ def _symbols(row: dict, code: Code) -> tuple[Symbols, np.ndarray, np.ndarray, tu
     return Symbols(tokens, first, words, hashes, code), tokens, sizes, block
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files of what is materialized go now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 PAIR_ROWS = "block bigint, part int, size int, pairs binary, train binary, first binary"
 ANSWERS = "block bigint, part int, size int, odds binary, first_size int, first_odds binary"
 _ANSWERS = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("size", pa.int32()), ("odds", pa.binary()), ("first_size", pa.int32()), ("first_odds", pa.binary())])
@@ -328,26 +325,29 @@ def pair_odds(table: DataFrame, code: Broadcast, parts: int, longer: bool) -> Da
             for i in range(batch.num_rows):
                 row = {x: batch.column(x)[i].as_py() for x in ("block", "words", "tokens", "sizes", "held", "train")}
                 text, tokens, sizes, (words, _, _, _) = _symbols(row, c)
-                pairs, number = np.unique(text.both if longer else text.one, return_inverse=True)
+                every = text.both if longer else text.one
+                pairs = distinct(every)
                 part = np.repeat(np.repeat(np.frombuffer(row["held"], np.uint8), sizes), text.n)
-                count = [np.bincount(number, weights=part == k, minlength=len(pairs)).astype(np.uint32) for k in (0, 2)]
-                del number
-                yield _dealt(row["block"], pairs, *count, parts)
+                yield _dealt(row["block"], pairs, *(counted(pairs, every[part == k]) for k in (0, 2)), parts)
                 # Words seen once in all are spelled even if they have a leaf: they are what new words look like.
                 once = np.flatnonzero(text.known & (np.append(c.counts, 0)[text.leaf] == 1) & (np.frombuffer(row["train"], "<u4") > 0))
                 if len(once):
                     _, _, two, four, size, _ = mixing.spelled([words[k] for k in once], c)
                     mark = np.zeros(len(words), np.uint8)
                     mark[tokens] = np.maximum(mark[tokens], np.repeat(np.where(np.frombuffer(row["held"], np.uint8) == 2, 2, 0), sizes))
-                    pairs, number = np.unique(four if longer else two, return_inverse=True)
+                    every = four if longer else two
+                    pairs = distinct(every)
                     part = np.repeat(mark[once], size)
-                    yield _dealt(-1, pairs, *(np.bincount(number, weights=part == k, minlength=len(pairs)).astype(np.uint32) for k in (0, 2)), parts)
+                    yield _dealt(-1, pairs, *(counted(pairs, every[part == k]) for k in (0, 2)), parts)
         trim()
 
     def add(group: pa.Table) -> pa.Table:
         c = code.value
         rows = group.to_pylist()
-        pairs, number = np.unique(np.concatenate([_unpress_pairs(r["pairs"], r["size"]) for r in rows]), return_inverse=True)
+        lists = [_unpress_pairs(r["pairs"], r["size"]) for r in rows]
+        pairs = distinct(np.concatenate(lists))
+        number = np.concatenate([np.searchsorted(pairs, x) for x in lists])  # each list ascends, so this is a walk
+        del lists
         first = [_unpress(r["first"], r["size"], np.uint32) for r in rows]
         train = np.bincount(number, weights=np.concatenate([_unpress(r["train"], r["size"], np.uint32) for r in rows]), minlength=len(pairs))
         every = _Answers(pairs, train + np.bincount(number, weights=np.concatenate(first), minlength=len(pairs)), c)
@@ -364,7 +364,8 @@ def pair_odds(table: DataFrame, code: Broadcast, parts: int, longer: bool) -> Da
         return pa.Table.from_pylist(out, schema=_ANSWERS)
 
     sent = table.select("block", "words", "tokens", "sizes", "held", "train").mapInArrow(send, PAIR_ROWS)
-    return materialize(sent.groupBy("part").applyInArrow(add, ANSWERS), "pair-odds")
+    with shuffles_removed(table.sparkSession):
+        return materialize(sent.groupBy("part").applyInArrow(add, ANSWERS), "pair-odds")
 
 
 def _press_pairs(pairs: np.ndarray) -> bytes:
@@ -391,7 +392,7 @@ def _paths(text: Symbols, code: Code, answers: tuple[list, list]) -> tuple[list[
     where, known, at = [], [], 0
     none = (np.empty(0, np.int8), np.empty(0, np.uint8), np.empty(0, np.int8))
     for own, found in zip((text.one, text.both), answers, strict=True):
-        pairs, number = np.unique(own, return_inverse=True)
+        pairs, number = numbered(own)
         odds, place = mixing.whole_paths(pairs, *(np.concatenate(x) for x in zip(none, *found, strict=True)), code)
         where.append(at + place[number])
         known.append(odds)
@@ -460,8 +461,10 @@ def first_weights(table: DataFrame, code: Broadcast, answers: DataFrame) -> np.n
 
     early = answers.where("first_size > 0").select("block", "part", F.col("first_size").alias("size"), F.col("first_odds").alias("odds"))
     learned = np.zeros((3, mixing.GATES))
-    for r in _met(calibration(table), early, None).mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect():
-        learned[divmod(r.k, mixing.GATES)] = r.x
+    sums = _met(calibration(table), early, None).mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x"))
+    with shuffles_removed(table.sparkSession):
+        for r in sums.collect():
+            learned[divmod(r.k, mixing.GATES)] = r.x
     seen = learned[2] > 1000
     return np.where(seen, learned[:2] / np.maximum(1, learned[2]), mixing.START)
 
@@ -472,21 +475,18 @@ SCORES = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_to
 def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", words: int | None = None) -> DataFrame:
     """Every document's base and model score (log10 probabilities), and the model's bits per byte of its words and their ends."""
     table = blocks(docs, held_out, doc_id, text)
-    size = table.agg(F.coalesce(F.sum(F.length("train")), F.lit(0)).alias("s")).first().s // 4
-    totals = word_totals(table, max(1, -(-size // RANGE)))
+    size, made = table.agg(F.coalesce(F.sum(F.length("train")), F.lit(0)), F.count(F.lit(1))).first()
+    totals = word_totals(table, max(1, -(-(size // 4) // RANGE)))
     code, n, distinct = make_code(totals, byte_counts(table), words)
-    _release(table.sparkSession)
     code_sent = table.sparkSession.sparkContext.broadcast(code)  # at most about ``tree_words`` counts
     del code
     # A pair a token of either kind, and those of spelled words, less what repeats in a block.
     found = []
     for longer in (False, True):
         found.append(pair_odds(table, code_sent, max(1, -(-n // PAIRS)), longer))
-        _release(table.sparkSession)
     answers = found[0].unionByName(found[1])
     # Rounded, so that the order in which sums arrive leaves no trace in the scores.
     start = np.round(first_weights(table, code_sent, answers), 6)
-    _release(table.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, counts, odds in _bodies(batches):
@@ -508,4 +508,10 @@ def score_documents(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", t
             )
         trim()
 
-    return _met(table, answers, totals).mapInArrow(run, SCORES).withColumnRenamed("id", doc_id)
+    waves = max(1, min(WAVES, made // SHARE))
+    scores = []
+    for k in range(waves):
+        own = [x.where(F.pmod(F.xxhash64("block"), F.lit(waves)) == k) for x in (table, answers, totals)]
+        with shuffles_removed(table.sparkSession):
+            scores.append(materialize(_met(*own).mapInArrow(run, SCORES), "scores"))
+    return union_all(scores).withColumnRenamed("id", doc_id)

@@ -51,6 +51,32 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers of ``x`` in ascending order; sorting values takes a fraction of the time of sorting places."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def counted(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How often ``x`` has each of ``values``, which ascend and hold all of ``x``."""
+    x = np.sort(x)
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))[: len(x)])
+    out = np.zeros(len(values), np.uint32)
+    out[np.searchsorted(values, x[at])] = np.diff(at, append=len(x))
+    return out
+
+
+def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``distinct(x)``, the place in it of each of ``x``); unsigned numbers, which are looked up about in their order."""
+    values, bits = distinct(x), np.uint64(len(x).bit_length())
+    order = (np.sort((x >> bits << bits) | np.arange(len(x), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place = np.empty(len(x), np.int64)
+    place[order] = np.searchsorted(values, x[order])
+    return values, place
+
+
 def tree_words(tokens: int) -> int:
     """How many words get leaves of their own."""
     return min((1 << SYMBOL) - 1024, max(WORDS, int(WORDS * (tokens / TOKENS) ** (1 / 3))))

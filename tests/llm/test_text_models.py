@@ -248,6 +248,41 @@ def test_scores_do_not_depend_on_order(spark, docs):
     assert a == b
 
 
+
+def test_blocks_meet_their_answers_in_shares(docs, monkeypatch):
+    held = F.col("doc_id") % 10 == 0
+    met, real = [], context_mixing._met
+
+    def spied(table, answers, totals):
+        if totals is not None:
+            met.append({r.block for r in table.select("block").collect()})
+        return real(table, answers, totals)
+
+    monkeypatch.setattr(context_mixing, "_met", spied)
+    some = docs.repartition(16, "doc_id")
+    shares = {r.doc_id: r.score for r in context_mixing.score_documents(some, held).collect()}
+    assert len(met) == 2
+    assert not met[0] & met[1]
+    assert sum(map(len, met)) == 16
+    monkeypatch.setattr(context_mixing, "WAVES", 1)
+    assert shares == {r.doc_id: r.score for r in context_mixing.score_documents(some, held).collect()}
+    assert len(shares) == docs.count()
+
+
+def test_distinct_counted_and_numbered_by_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 5000):
+        x = rng.integers(0, 1 << 63, n, dtype=np.uint64)[rng.integers(0, max(1, n // 3 + 1), n)] if n else np.empty(0, np.uint64)
+        x[: n // 2] &= np.uint64(7)
+        x[: n // 4] |= np.uint64(1 << 63)
+        values, place = np.unique(x, return_inverse=True)
+        assert (mixing.distinct(x) == values).all()
+        assert (mixing.counted(values, x[: n // 2]) == np.bincount(place[: n // 2], minlength=len(values))).all()
+        got = mixing.numbered(x)
+        assert (got[0] == values).all()
+        assert (got[1] == place).all()
+
+
 def test_language_model_counts_every_context_apart():
     """Log odds of every decision from counts of the symbols on either side, by brute force, with more contexts than words."""
     rng = np.random.default_rng(3)
