@@ -7,6 +7,7 @@ are turns of conversations, formulas are parts, assets are pages; citations betw
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from quarry.plans.graphs import _FAMILIES, stored_families
 from quarry.plans.pieces import KNN as _KNN
 from quarry.plans.pieces import hits_sql as _hits_sql
 from quarry.plans.registry import Registry
-from quarry.plans.retrieval import coupled, similar
+from quarry.plans.retrieval import coupled_to, similar_to
 from quarry.plans.stored import KIND, stored
 from quarry.sources.tables import table
 
@@ -266,13 +267,14 @@ def agreeing(found: DataFrame, texts: DataFrame, groups: Sequence[Sequence[str]]
 
 
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Ranked works with their graph support, one of each family; index, edges and families are read as they are stored."""
+    """Ranked works with their graph support, one of each family; index and families are read as they are stored, and only
+    the edges of the seeds are made (of similar ones the first ten, 2 * EXPAND, are asked for)."""
     docs = table(spark, sf, "documents")
     groups = PROFILE.groups
     found = few(search.search_works(works_index(spark, sf), QUERIES, CANDIDATES, "id").select("id", "rank"))
     bm25 = agreeing(found, docs.select(F.col("doc_id").alias("id"), "text"), groups)
     fused = few(search.fuse(bm25, works_vector(spark, sf, CANDIDATES), groups, search.WORKS_WEIGHTS))
-    ranked = search.rank_works(search.inject(fused, coupled(spark, sf), similar(spark, sf), groups, EXPAND, SEEDS), LIMIT)
+    ranked = search.rank_works(search.inject(fused, partial(coupled_to, spark, sf), partial(similar_to, spark, sf), groups, EXPAND, SEEDS), LIMIT)
     fams = stored_families(spark, sf).join(docs.select("doc_id", "n_chars"), "doc_id")
     primary = fams.groupBy("family").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("primary"))
     return search.one_per_family(ranked, fams.join(primary, "family").select(F.col("doc_id").alias("id"), "family", "primary"), LIMIT)

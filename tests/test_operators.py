@@ -451,3 +451,37 @@ def test_latest_status_survives_restarts(spark, tmp_path):
     got = {r.job: r.s.event_type for r in windows.current(spark, target).collect()}
     assert got == {1: "c", 2: "b"}
     assert len(windows.versions(spark, target)) == 2
+
+
+def test_edges_of_a_few_nodes_are_those_of_the_whole_graph(spark):
+    rows = [(i % 23, (i * i) % 31) for i in range(400)] + [(None, 3), (5, None), (5, 3)]
+    edges = spark.createDataFrame(rows, "n long, v long")
+    whole = {(r.src, r.dst, r.shared, round(r.score, 12)) for r in graph.mirrored(graph.shared_pairs(edges, "n", "v")).collect() if r.src in (5, 7)}
+    assert whole == {(r.src, r.dst, r.shared, round(r.score, 12)) for r in graph.shared_with(edges, "n", "v", [5, 7, 99]).collect()}
+    assert whole
+    assert graph.shared_with(edges, "n", "v", []).count() == 0
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_nearest_of_a_few_vectors_are_the_first_edges_of_the_whole_graph(spark, repeated):
+    rows = [(i, [float((i * 7) % 5), float((i * 3) % 11) - 4, 1.0]) for i in range(60)]
+    rows = [(i, [x / sum(y * y for y in v) ** 0.5 for x in v]) for i, v in rows] + [(70, None)]
+    e = spark.createDataFrame(rows + rows[10:13] * repeated, "vec_id long, embedding array<double>")
+    found = vectors.nearest_to(e, [3, 12, 99], 4).collect()
+    for i in (3, 12):
+        order = lambda r: (-round(r.score, 9), r.dst)
+        want = sorted((r for r in graph.mirrored(vectors.knn_edges(e, 4)).collect() if r.src == i), key=order)[:4]
+        got = sorted((r for r in found if r.src == i), key=order)[:4]
+        assert [(r.dst, round(r.score, 9)) for r in got] == [(r.dst, round(r.score, 9)) for r in want]
+    assert vectors.nearest_to(e, []).count() == 0
+
+
+def test_hybrid_search_makes_no_edges_but_those_of_its_seeds(spark, monkeypatch):
+    from quarry.plans import search as plans
+
+    def whole(*_, **__):
+        raise AssertionError("all edges made")
+
+    monkeypatch.setattr(graph, "shared_pairs", whole)
+    monkeypatch.setattr(vectors, "knn_edges", whole)
+    assert plans.hybrid_works(spark, "/root/testdata/sf0.001").count() > 0
