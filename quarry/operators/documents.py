@@ -18,6 +18,8 @@ ITEMS = (
     "doc_id bigint, item string, id int, section int, role string, kind string, level int, number string, first_page int, last_page int, pages string, title string, path string, "
     "text string, raw string, latex string, caption string, asset string, heading boolean, searched boolean, excluded string, citations int, members array<int>, target_type string, target_id string"
 )
+#: Characters of documents whose items are given away together, about.
+CHARS = 1 << 18
 NAMES = [x.split()[0] for x in ITEMS.split(", ")]
 
 
@@ -48,8 +50,14 @@ def materialize(docs: DataFrame, doc_id: str = "doc_id", title: str = "title", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for i, t, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows = [{"doc_id": i, **r} for r in _rows(i, D.build(c, t, chars, overlap, parent_chars))]
+                rows += ({"doc_id": i, **r} for r in _rows(i, D.build(c, t, chars, overlap, parent_chars)))
+                size += len(c or "")
+                if size > CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return spread(docs.select(F.col(doc_id).cast("long"), F.col(title), F.col(content))).mapInArrow(run, ITEMS)
