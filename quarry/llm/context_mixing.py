@@ -38,7 +38,7 @@ BLOCK = 1 << 22
 #: Distinct words of all blocks that one range of hashes adds up, about.
 RANGE = 1 << 21
 #: Pairs of all blocks that one range of hashes adds up, about.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 #: Shares of the blocks that meet their answers one after the other, where there are SHARE blocks or more in each.
 WAVES, SHARE = 4, 8
 #: One in so many training documents sets the mixer's first weights, by the counts of the others.
@@ -277,18 +277,17 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 class _Answers:
-    """Odds of pairs, as ``context_odds`` gives them, and those of some of them as one piece of bytes."""
+    """Odds of pairs by one or more counts, as ``odds_by_counts`` gives them, and those of some pairs as one piece of bytes."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray, code: Code):
+    def __init__(self, pairs: np.ndarray, code: Code, *counts: np.ndarray):
         self.pairs, self.code = pairs, code
-        self.alone, self.split, self.odds = mixing.context_odds(pairs, n, code)
+        self.split, self.odds = mixing.odds_by_counts(pairs, code, *counts)
         self.place = np.cumsum(self.split, dtype=np.int64) - self.split
 
-    def packed(self, own: np.ndarray) -> bytes:
-        split = self.split[own]
+    def packed(self, own: np.ndarray, which: int) -> bytes:
+        split, (alone, odds) = self.split[own], self.odds[which]
         shared = mixing.inherited(self.pairs[own], split, self.code)
-        odds = self.odds[ranges(self.place[own] + shared, split - shared)]
-        raw = b"".join(x.tobytes() for x in (self.alone[own], split, odds))
+        raw = b"".join(x.tobytes() for x in (alone[own], split, odds[ranges(self.place[own] + shared, split - shared)]))
         return np.array([len(raw)], "<i8").tobytes() + _ZSTD.compress(raw, asbytes=True)
 
     @staticmethod
@@ -349,18 +348,20 @@ def pair_odds(table: DataFrame, code: Broadcast, parts: int, longer: bool) -> Da
         number = np.concatenate([np.searchsorted(pairs, x) for x in lists])  # each list ascends, so this is a walk
         del lists
         first = [_unpress(r["first"], r["size"], np.uint32) for r in rows]
-        train = np.bincount(number, weights=np.concatenate([_unpress(r["train"], r["size"], np.uint32) for r in rows]), minlength=len(pairs))
-        every = _Answers(pairs, train + np.bincount(number, weights=np.concatenate(first), minlength=len(pairs)), c)
-        others = _Answers(pairs, train, c)
-        del pairs, train
+        train = np.bincount(number, weights=np.concatenate([_unpress(r["train"], r["size"], np.uint32) for r in rows]), minlength=len(pairs)).astype(np.int64)
+        early = np.bincount(number, weights=np.concatenate(first), minlength=len(pairs)).astype(np.int64)
+        early += train
+        # By the counts of all documents, and by those of all but the calibration documents.
+        found = _Answers(pairs, c, early, train)
+        del pairs, train, early
         out, a = [], 0
         for r, f in zip(rows, first, strict=True):
             own = number[a : a + r["size"]]
             a += r["size"]
             if r["block"] >= 0:
                 early = own[f > 0]
-                out.append({"block": r["block"], "part": r["part"] + LONGER * longer, "size": len(own), "odds": every.packed(own), "first_size": len(early), "first_odds": others.packed(early)})
-        del every, others, number
+                out.append({"block": r["block"], "part": r["part"] + LONGER * longer, "size": len(own), "odds": found.packed(own, 0), "first_size": len(early), "first_odds": found.packed(early, 1)})
+        del found, number
         return pa.Table.from_pylist(out, schema=_ANSWERS)
 
     sent = table.select("block", "words", "tokens", "sizes", "held", "train").mapInArrow(send, PAIR_ROWS)

@@ -242,42 +242,78 @@ def contexts(tokens: np.ndarray, hashes: np.ndarray, first: np.ndarray, cut: np.
     return fmix64(one * _A + np.uint64(11)) & cut, fmix64((two * _B + np.uint64(7)) ^ (one * _A)) & cut
 
 
-def context_odds(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Logarithms of counts below this many are looked up.
+LOGS = np.log(np.arange(1 << 12) + 0.4)
+
+
+def _log(n: np.ndarray) -> np.ndarray:
+    """The logarithms of counts, and 0.4 more each."""
+    out = LOGS[np.minimum(n, len(LOGS) - 1)]
+    large = np.flatnonzero(n >= len(LOGS))
+    out[large] = np.log(n[large] + 0.4)
+    return out
+
+
+def _units(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    odds = _log(ones)
+    odds -= _log(zeros)
+    odds *= SCALE
+    np.rint(odds, out=odds)
+    return np.clip(odds, -127, 127, out=odds).astype(np.int8)
+
+
+def odds_by_counts(pairs: np.ndarray, code: Code, *counts: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """For ascending pairs and their counts, the log odds along each pair's path of the bits that it takes, as signed bytes in units of 1 / SCALE.
 
-    From where a pair is alone in its context they are all the same.  So: (what they are from there, how many decisions come
-    before, and these decisions' odds, pair after pair).
+    From where a pair is alone in its context they are all the same.  So: (how many decisions come before, and for each of ``counts``
+    what they are from there, and these decisions' odds, pair after pair).
     """
-    symbol = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.int64)
-    units = lambda ones, zeros: np.clip(np.rint((np.log(ones + 0.4) - np.log(zeros + 0.4)) * SCALE), -127, 127).astype(np.int8)
-    alone = units(n, 0.0)
+    symbol = (pairs & np.uint64((1 << SYMBOL) - 1)).astype(np.int32)
     split = np.zeros(len(pairs), np.uint8)
     begins = np.ones(len(pairs) + 1, bool)
     context = pairs >> np.uint64(SYMBOL)
     begins[1:-1] = (context[1:] != context[:-1]) | ((symbol[1:] >= code.leaves) != (symbol[:-1] >= code.leaves))
     del context
-    alive = np.flatnonzero(~(begins[:-1] & begins[1:]))
+    alive = np.flatnonzero(~(begins[:-1] & begins[1:])).astype(np.int32)
     begins = begins[alive]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    d = 0
+    # A path's next bit is the sign.
+    path = code.path[symbol[alive]].view(np.int64)
+    del symbol
+    upto = [np.concatenate(([0], np.cumsum(n, dtype=np.int64))) for n in counts]
+    found: list[tuple[np.ndarray, list[np.ndarray]]] = []
     while len(alive):
-        at = code.start[symbol[alive]] + d
-        bit, m = code.bits[at], n[alive]
+        bit = path < 0
+        # A group is a run of pairs, and as symbols ascend, those that take a 0 come before those that take a 1.
         group = np.flatnonzero(begins)
-        ones = np.add.reduceat(m * bit, group)
-        odds = units(ones, np.add.reduceat(m, group) - ones)[np.cumsum(begins) - 1]
-        found.append((alive, np.where(bit == 1, odds, -odds)))
+        size = np.diff(group, append=len(alive))
+        first = alive[group]
+        last = first + size
+        middle = last - np.add.reduceat(bit, group, dtype=np.int64)
+        odds = []
+        for total in upto:
+            below = total[middle]
+            own = np.repeat(_units(total[last] - below, below - total[first]), size)
+            np.negative(own, out=own, where=~bit)
+            odds.append(own)
+        found.append((alive, odds))
         split[alive] += 1
-        # Within a group symbols ascend, so those that take a 0 come before those that take a 1.
         begins[1:] |= bit[1:] != bit[:-1]
         more = ~(begins & np.append(begins[1:], True))
-        alive, begins = alive[more], begins[more]
-        d += 1
+        alive, begins, path = alive[more], begins[more], path[more] << 1
+    del upto
     place = np.cumsum(split, dtype=np.int64) - split
-    out = np.empty(int(split.sum(dtype=np.int64)), np.int8)
+    outs = [np.empty(int(split.sum(dtype=np.int64)), np.int8) for _ in counts]
     for d, (which, odds) in enumerate(found):
-        out[place[which] + d] = odds
-    return alone, split, out
+        at = place[which] + d
+        for out, own in zip(outs, odds, strict=True):
+            out[at] = own
+    return split, [(_units(n, np.zeros(1, np.int64)), out) for n, out in zip(counts, outs, strict=True)]
+
+
+def context_odds(pairs: np.ndarray, n: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``odds_by_counts`` of one count: (the odds from where a pair is alone, how many decisions come before, these decisions' odds)."""
+    split, [(alone, odds)] = odds_by_counts(pairs, code, n)
+    return alone, split, odds
 
 
 def inherited(pairs: np.ndarray, split: np.ndarray, code: Code) -> np.ndarray:
@@ -305,15 +341,19 @@ def whole_paths(pairs: np.ndarray, alone: np.ndarray, split: np.ndarray, odds: n
     split, own = split.astype(np.int64), inherited(pairs, split, code)
     out[ranges(place + own, split - own)] = odds
     alive = np.flatnonzero(split > 0)
+    at, split, own, path = place[alive], split[alive], own[alive], code.path[symbol[alive]].view(np.int64)
     d = 0
-    while len(alive):
-        later = own[alive] > d
-        if later.any():
-            source = np.maximum.accumulate(np.where(later, 0, np.arange(len(alive))))[later]
-            here, there = alive[later], alive[source]
-            out[place[here] + d] = np.where(code.bits[start[here] + d] == code.bits[start[there] + d], out[place[there] + d], -out[place[there] + d])
+    while len(at):
+        later = own > d
+        here = np.flatnonzero(later)
+        if len(here):
+            there = np.maximum.accumulate(np.where(later, 0, np.arange(len(at))))[here]
+            odds = out[at[there] + d]
+            np.negative(odds, out=odds, where=(path[here] < 0) != (path[there] < 0))
+            out[at[here] + d] = odds
         d += 1
-        alive = alive[split[alive] > d]
+        more = split > d
+        at, split, own, path = at[more], split[more], own[more], path[more] << 1
     return out, place
 
 

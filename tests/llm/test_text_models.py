@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -312,6 +313,27 @@ def test_language_model_counts_every_context_apart():
             assert abs(odds[at + d] * (2 * code.bits[i] - 1) - np.clip(want, -127, 127)) < 0.51
 
 
+def test_language_model_finds_odds_of_two_counts_in_one_pass():
+    """Both counts' odds are those of each by itself, large counts too, and memory stays within what the answers and one pass hold."""
+    rng = np.random.default_rng(5)
+    code = mixing.Code(np.sort(rng.integers(0, 1 << 62, 3000).astype(np.uint64)), rng.integers(1, 10_000, 3000), 100, np.ones(257, np.int64))
+    pairs = mixing.distinct(mixing.fmix64(rng.integers(0, 500, 200_000).astype(np.uint64)) & code.cut | rng.integers(0, len(code.length), 200_000).astype(np.uint64))
+    counts = [np.minimum(rng.zipf(1.3, len(pairs)), 10**7).astype(np.int64), rng.integers(0, 3, len(pairs))]
+    tracemalloc.start()
+    found = context_mixing._Answers(pairs, code, *counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    decisions = int(found.split.sum(dtype=np.int64))
+    assert peak < 9 * decisions + 40 * len(pairs)  # two passes with places of eight bytes took more
+    for n, (alone, odds) in zip(counts, found.odds, strict=True):
+        own = mixing.context_odds(pairs, n, code)
+        assert (own[0] == alone).all()
+        assert (own[1] == found.split).all()
+        assert (own[2] == odds).all()
+        ends = np.log(n + 0.4) - np.log(0.4)
+        assert (alone == np.clip(np.rint(ends * mixing.SCALE), -127, 127)).all()
+
+
 def test_language_model_grows_with_its_training_texts(docs):
     """Every distinct pair of a context and a symbol is answered; the tree takes more words of more tokens."""
     assert mixing.WORDS == mixing.tree_words(1000) < mixing.tree_words(1 << 26) < mixing.tree_words(1 << 30)
