@@ -5,11 +5,19 @@ Everything is a column expression over a work's text, so one pass makes the obje
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import METHOD_PATTERNS, RESULT_PATTERNS, snippet
-from quarry.operators.graph import BLOCK, dealt_pairs
+from quarry.operators.graph import BLOCK, ROWS, dealt_pairs
 from quarry.operators.shared import written
 
 # Fixed values that the data model prescribes.
@@ -33,6 +41,9 @@ NOISE = {
 }
 CHUNK_NOISE, BLOCK_NOISE, EQUATION_SHARE = 0, 1, 0.6
 
+# Transfer in blocks: keys and works of a block, works of a unit; counts and meetings of a strip; rows given away at once.
+NUMBERS, WORKS, PIECE, STRIP, GIVEN = 1 << 23, 1 << 15, 512, 1 << 22, 1 << 18
+
 VALUE = "struct<kind:string, label:string, evidence:string, confidence:double>"
 
 
@@ -97,17 +108,26 @@ def transfer(signatures: DataFrame, supported: DataFrame, blocked: DataFrame | N
     """(src, dst, support, score): from each work to those that share method signatures with it.
 
     ``signatures``: (work, key); ``supported``: works with result values; ``blocked``: works whose structure needs review or
-    failed, which give no candidates.  Works with the same keys are one class: only the classes' least works are paired and counted,
-    in blocks, and the members' pairs are joined to that at the end, where nothing is shuffled any more.
+    failed, which give no candidates.  Works with the same keys are one class.  Where classes meet at few keys (ROWS pairs at most), only
+    the classes' least works are paired and counted, in blocks, and the members' pairs are joined to that at the end, where nothing is
+    shuffled any more.  Elsewhere no pair is shuffled at all: blocks of works meet with their keys, and a task counts and gives away the
+    pairs of two blocks piece by piece.
     """
-    own = written(signatures.select("work", "key").where("key is not null").distinct(), "signatures")
-    sets = own.groupBy("work").agg(F.sort_array(F.collect_list("key")).alias("keys")).select("work", F.size("keys").cast("long").alias("support"), F.sha2(F.to_json("keys"), 256).alias("same"))
-    sets = written(sets, "signature-sets")
+    own = written(signatures.select("work", "key").where("work is not null and key is not null"), "signatures")
+    # Numbers of the keys, fixed by being written.
+    keys = written(own.select("key").distinct().withColumn("number", F.monotonically_increasing_id()), "signature-keys")
+    numbered = own.join(keys, "key").groupBy("work").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    kind = T.StructType([own.schema["work"], T.StructField("support", T.LongType()), T.StructField("same", T.BinaryType())])
+    sets = written(numbered.mapInArrow(_packed, kind), "signature-sets")
     classes = sets.groupBy("same").agg(F.min("work").alias("rep"), F.first("support").alias("support"), F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     classes = written(classes, "signature-classes")
-    members = sets.select("work", "same").join(classes.select("same", "rep", "blocks"), "same").select("work", "rep", F.pmod(F.xxhash64("work"), "blocks").cast("int").alias("block"))
     reps = own.join(classes.select(F.col("rep").alias("work")), "work", "left_semi")
-    counted = dealt_pairs(reps.select(F.col("work").alias("n"), F.col("key").alias("v"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
+    pairs = reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
+    score = F.least(F.lit(TRANSFER_CAP), TRANSFER_BASE + TRANSFER_STEP * F.col("support") + F.when(F.col("has") == 1, TRANSFER_RESULT).otherwise(0.0))
+    if (pairs or 0) > ROWS:
+        return _block_pairs(sets, supported, blocked, least).select("src", "dst", "support", score.alias("score"))
+    members = sets.select("work", "same").join(classes.select("same", "rep", "blocks"), "same").select("work", "rep", F.pmod(F.xxhash64("work"), "blocks").cast("int").alias("block"))
+    counted = dealt_pairs(reps.select(F.col("work").alias("n"), F.col("key").alias("v")).distinct()).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
     links = written(counted, "class-pairs")
     links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "support"))
     links = links.unionByName(classes.where((F.col("size") > 1) & (F.col("support") >= least)).select(F.col("rep").alias("src"), F.col("rep").alias("dst"), "support"))
@@ -117,10 +137,131 @@ def transfer(signatures: DataFrame, supported: DataFrame, blocked: DataFrame | N
     takers = members.join(supported.select("work", F.lit(1).alias("has")).distinct(), "work", "left")
     both = links.join(givers.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("work").alias("src")), ["a", "i"])
     both = both.join(takers.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("work").alias("dst"), "has"), ["b", "j"]).where("src <> dst")
-    score = F.least(F.lit(TRANSFER_CAP), TRANSFER_BASE + TRANSFER_STEP * F.col("support") + F.when(F.col("has") == 1, TRANSFER_RESULT).otherwise(0.0))
     return both.select("src", "dst", "support", score.alias("score"))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(work, numbers) to (work, support, same): the sorted numbers by their steps, in few bytes."""
+    for batch in batches:
+        lists = batch.column("numbers")
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        same = [zlib.compress(np.diff(flat[x:y], prepend=0).tobytes(), 1) for x, y in pairwise(ends)]
+        yield pa.RecordBatch.from_arrays([batch.column("work"), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.binary())], names=["work", "support", "same"])
+
+
+def _block_pairs(sets: DataFrame, supported: DataFrame, blocked: DataFrame | None, least: int) -> DataFrame:
+    """(src, dst, support, has): works dealt in blocks, every pair of blocks counted by one task; a block is sent once to each other one.
+
+    Twelve blocks; more only where a block would hold more than NUMBERS keys or WORKS works.
+    """
+    n, total = sets.agg(F.count(F.lit(1)), F.sum("support")).first()
+    blocks = max(min(12, n), -(-total // NUMBERS), -(-n // WORKS))
+    works = sets.join(supported.select("work", F.lit(1).alias("has")).distinct(), "work", "left")
+    gives = F.lit(True)
+    if blocked is not None:
+        works, gives = works.join(blocked.select("work", F.lit(1).alias("held")).distinct(), "work", "left"), F.col("held").isNull()
+    member = F.struct("work", gives.alias("gives"), "has")
+    units = works.groupBy(F.pmod(F.xxhash64("work"), F.lit(blocks)).cast("int").alias("own"), "same").agg(F.collect_list(member).alias("members"))
+    sent = units.select("own", "same", "members", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    sent = sent.select("own", "same", "members", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    work, limits = sets.schema["work"].dataType, (PIECE, STRIP, GIVEN)
+    kind = T.StructType([T.StructField("src", work), T.StructField("dst", work), T.StructField("support", T.LongType()), T.StructField("has", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            ij = np.stack([batch.column(c).to_numpy() for c in "ij"])
+            cuts = [0, *(np.flatnonzero((ij[:, 1:] != ij[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+            for x, y in pairwise(cuts):
+                if x < y:
+                    now = tuple(ij[:, x])
+                    if held and now != at:
+                        yield from _two_blocks(pa.Table.from_batches(held), *at, least, *limits)
+                        held = []
+                    at = now
+                    held.append(batch.slice(x, y - x))
+        if held:
+            yield from _two_blocks(pa.Table.from_batches(held), *at, least, *limits)
+
+    return sent.repartition(blocks * blocks, "i", "j").sortWithinPartitions("i", "j").mapInArrow(run, kind)
+
+
+class _Side:
+    """A block: units of at most ``piece`` works with the same keys."""
+
+    def __init__(self, rows: pa.Table, piece: int):
+        sets = [np.cumsum(np.frombuffer(zlib.decompress(x), np.int64)) for x in rows.column("same").to_pylist()]
+        lists = rows.column("members").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        members, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        self.work, self.gives, self.has = (members.field(c) for c in ("work", "gives", "has"))
+        self.gives = self.gives.to_numpy(zero_copy_only=False)
+        pieces = [(u, s, min(piece, y - s)) for u, (x, y) in enumerate(pairwise(ends)) for s in range(x, y, piece)]
+        self.first, self.size = (np.array([p[k] for p in pieces], np.int64) for k in (1, 2))
+        self.keys = np.concatenate([sets[p[0]] for p in pieces])
+        self.unit = np.repeat(np.arange(len(pieces)), [len(sets[p[0]]) for p in pieces])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one behind the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _two_blocks(rows: pa.Table, i: int, j: int, least: int, piece: int, strip: int, given: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of two blocks' works, both ways; or those of one block."""
+    first = pc.equal(rows.column("own"), int(i))
+    x = _Side(rows.filter(first), piece) if pc.any(first).as_py() else None
+    y = x if i == j else _Side(rows.filter(pc.invert(first)), piece) if not pc.all(first).as_py() else None
+    if x is None or y is None:
+        return
+    order = np.argsort(y.keys, kind="stable")
+    known, begin = np.unique(y.keys[order], return_index=True)
+    begin, units, wide = np.append(begin, len(order)), y.unit[order], len(y.size)
+    place = np.minimum(np.searchsorted(known, x.keys), len(known) - 1)
+    met = known[place] == x.keys
+    place, unit = place[met], x.unit[met]
+    sizes = begin[place + 1] - begin[place]
+    # Strips of x's units: a bounded number of counts, and of meetings unless one unit alone has more.
+    cost = np.cumsum(np.bincount(unit, sizes, len(x.size)).astype(np.int64))
+    at = 0
+    while at < len(x.size):
+        end = min(at + max(1, strip // wide), int(np.searchsorted(cost, (cost[at - 1] if at else 0) + strip, side="right")))
+        end = max(end, at + 1)
+        lo, hi = np.searchsorted(unit, [at, end])
+        meet = np.repeat((unit[lo:hi] - at) * wide, sizes[lo:hi]) + units[_ranges(begin[place[lo:hi]], sizes[lo:hi])]
+        counts = np.bincount(meet, minlength=(end - at) * wide)
+        hits = np.flatnonzero(counts >= max(1, least))
+        a, b, support = at + hits // wide, hits % wide, counts[hits]
+        yield from _spelled(x, y, a, b, support, given)
+        if x is not y:
+            order = np.argsort(b, kind="stable")
+            yield from _spelled(y, x, b[order], a[order], support[order], given)
+        at = end
+
+
+def _spelled(x: _Side, y: _Side, a: np.ndarray, b: np.ndarray, support: np.ndarray, given: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of units (sorted by a) as pairs of their works, about ``given`` rows at a time."""
+    total = np.cumsum(x.size[a] * y.size[b])
+    cuts = np.flatnonzero(np.diff(total // given)) + 1
+    for lo, hi in pairwise([0, *cuts, len(a)]):
+        if lo == hi:
+            continue
+        # Each work of a unit meets the whole run of its partners.
+        runs = np.flatnonzero(np.r_[True, a[lo + 1 : hi] != a[lo : hi - 1]]) + lo
+        lengths, own = np.diff(np.append(runs, hi)), a[runs]
+        src, run = _ranges(x.first[own], x.size[own]), np.repeat(np.arange(len(own)), x.size[own])
+        src, run = src[x.gives[src]], run[x.gives[src]]
+        pair = _ranges(runs[run], lengths[run])
+        sizes = y.size[b[pair]]
+        src = np.repeat(np.repeat(src, lengths[run]), sizes)
+        dst, n = _ranges(y.first[b[pair]], sizes), np.repeat(support[pair], sizes)
+        if x is y:
+            other = src != dst
+            src, dst, n = src[other], dst[other], n[other]
+        yield pa.RecordBatch.from_arrays([x.work.take(pa.array(src)), y.work.take(pa.array(dst)), pa.array(n, pa.int64()), y.has.take(pa.array(dst))], names=["src", "dst", "support", "has"])
+
+
 # ---- contract
 
 

@@ -249,8 +249,8 @@ def transfer_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of suppliers whose parts share a computed key."""
     items = table(spark, sf, "lineitem")
     part = table(spark, sf, "part")
-    key = F.concat_ws("/", F.lower("p_name"), F.lower("p_brand"), F.col("p_size").cast("string"))
-    x = items.join(part, items.l_partkey == part.p_partkey).select(F.col("l_suppkey").alias("supp"), key.alias("k")).distinct()
+    key = F.concat(F.lower("p_name"), F.lit("/"), F.lower("p_brand"), F.lit("/"), F.col("p_size").cast("string"))
+    x = items.join(part, items.l_partkey == part.p_partkey).select(F.col("l_suppkey").alias("supp"), key.alias("k"))
     # Here the giver's own returns count as the result that supports it, so pairs are turned round.
     has = items.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("work")).distinct()
     found = objects.transfer(x.select(F.col("supp").alias("work"), F.col("k").alias("key")), has, least=2)

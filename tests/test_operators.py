@@ -402,6 +402,24 @@ def test_transfer_pairs_works_of_equal_keys_once(spark, monkeypatch):
     assert paired == [5, 5]
 
 
+def test_transfer_in_blocks_shuffles_no_pairs(spark, monkeypatch):
+    import itertools
+
+    from quarry.operators import objects
+
+    keys = {f"w{w}": {str(k) for k in range(w % 7, 40, 2 + w % 5)} if w < 60 else {"1", "2"} for w in range(90)}
+    signs = spark.createDataFrame([(w, k) for w, ks in keys.items() for k in ks] + [("w0", "0"), ("w7", None), (None, "1")], "work string, key string")
+    monkeypatch.setattr(objects, "ROWS", 0, raising=False)
+    monkeypatch.setattr(objects, "dealt_pairs", lambda e: pytest.fail("pairs are shuffled"))
+    for name, value in {"NUMBERS": 100, "PIECE": 3, "STRIP": 50, "GIVEN": 7}.items():
+        monkeypatch.setattr(objects, name, value, raising=False)
+    some = lambda *w: spark.createDataFrame([(x,) for x in w], "work string")
+    for least, blocked in ((1, None), (3, some("w3", "w70"))):
+        got = [(r.src, r.dst, r.support, round(r.score, 2)) for r in objects.transfer(signs, some("w2", "w71"), blocked, least).collect()]
+        want = {(a, b): n for a, b in itertools.permutations(keys, 2) if (blocked is None or a not in ("w3", "w70")) and (n := len(keys[a] & keys[b])) >= least}
+        assert sorted(got) == sorted((a, b, n, round(min(0.99, 0.35 + 0.2 * n + (0.15 if b in ("w2", "w71") else 0)), 2)) for (a, b), n in want.items())
+
+
 def test_contract_and_transfer(spark):
     from quarry.operators import objects
 
