@@ -125,7 +125,7 @@ def transfer(signatures: DataFrame, supported: DataFrame, blocked: DataFrame | N
     pairs = reps.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0]
     score = F.least(F.lit(TRANSFER_CAP), TRANSFER_BASE + TRANSFER_STEP * F.col("support") + F.when(F.col("has") == 1, TRANSFER_RESULT).otherwise(0.0))
     if (pairs or 0) > ROWS:
-        return _block_pairs(sets, supported, blocked, least).select("src", "dst", "support", score.alias("score"))
+        return _block_pairs(sets, classes, supported, blocked, least).select("src", "dst", "support", score.alias("score"))
     members = sets.select("work", "same").join(classes.select("same", "rep", "blocks"), "same").select("work", "rep", F.pmod(F.xxhash64("work"), "blocks").cast("int").alias("block"))
     counted = dealt_pairs(reps.select(F.col("work").alias("n"), F.col("key").alias("v")).distinct()).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= least)
     links = written(counted, "class-pairs")
@@ -149,19 +149,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("work"), pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.binary())], names=["work", "support", "same"])
 
 
-def _block_pairs(sets: DataFrame, supported: DataFrame, blocked: DataFrame | None, least: int) -> DataFrame:
-    """(src, dst, support, has): works dealt in blocks, every pair of blocks counted by one task; a block is sent once to each other one.
+def _block_pairs(sets: DataFrame, classes: DataFrame, supported: DataFrame, blocked: DataFrame | None, least: int) -> DataFrame:
+    """(src, dst, support, has): classes (of more than BLOCK works: parts) dealt in blocks, every pair of blocks counted by one task; a block is
+    sent once to each other one.
 
     Twelve blocks; more only where a block would hold more than NUMBERS keys or WORKS works.
     """
     n, total = sets.agg(F.count(F.lit(1)), F.sum("support")).first()
     blocks = max(min(12, n), -(-total // NUMBERS), -(-n // WORKS))
-    works = sets.join(supported.select("work", F.lit(1).alias("has")).distinct(), "work", "left")
+    works = sets.join(classes.select("same", F.col("blocks").alias("parts")), "same").withColumn("part", F.pmod(F.xxhash64("work"), "parts"))
+    works = works.join(supported.select("work", F.lit(1).alias("has")).distinct(), "work", "left")
     gives = F.lit(True)
     if blocked is not None:
         works, gives = works.join(blocked.select("work", F.lit(1).alias("held")).distinct(), "work", "left"), F.col("held").isNull()
     member = F.struct("work", gives.alias("gives"), "has")
-    units = works.groupBy(F.pmod(F.xxhash64("work"), F.lit(blocks)).cast("int").alias("own"), "same").agg(F.collect_list(member).alias("members"))
+    units = works.groupBy(F.pmod(F.xxhash64("same", "part"), F.lit(blocks)).cast("int").alias("own"), "part", "same").agg(F.collect_list(member).alias("members"))
     sent = units.select("own", "same", "members", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
     sent = sent.select("own", "same", "members", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     work, limits = sets.schema["work"].dataType, (PIECE, STRIP, GIVEN)
@@ -241,21 +243,17 @@ def _two_blocks(rows: pa.Table, i: int, j: int, least: int, piece: int, strip: i
 
 
 def _spelled(x: _Side, y: _Side, a: np.ndarray, b: np.ndarray, support: np.ndarray, given: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of units (sorted by a) as pairs of their works, about ``given`` rows at a time."""
+    """Pairs of units as pairs of their works, about ``given`` rows at a time."""
     total = np.cumsum(x.size[a] * y.size[b])
     cuts = np.flatnonzero(np.diff(total // given)) + 1
     for lo, hi in pairwise([0, *cuts, len(a)]):
         if lo == hi:
             continue
-        # Each work of a unit meets the whole run of its partners.
-        runs = np.flatnonzero(np.r_[True, a[lo + 1 : hi] != a[lo : hi - 1]]) + lo
-        lengths, own = np.diff(np.append(runs, hi)), a[runs]
-        src, run = _ranges(x.first[own], x.size[own]), np.repeat(np.arange(len(own)), x.size[own])
-        src, run = src[x.gives[src]], run[x.gives[src]]
-        pair = _ranges(runs[run], lengths[run])
+        # Pair by pair: runs of the same works side by side take little room in the result's files.
+        src, pair = _ranges(x.first[a[lo:hi]], x.size[a[lo:hi]]), np.repeat(np.arange(lo, hi), x.size[a[lo:hi]])
+        src, pair = src[x.gives[src]], pair[x.gives[src]]
         sizes = y.size[b[pair]]
-        src = np.repeat(np.repeat(src, lengths[run]), sizes)
-        dst, n = _ranges(y.first[b[pair]], sizes), np.repeat(support[pair], sizes)
+        src, dst, n = np.repeat(src, sizes), _ranges(y.first[b[pair]], sizes), np.repeat(support[pair], sizes)
         if x is y:
             other = src != dst
             src, dst, n = src[other], dst[other], n[other]
